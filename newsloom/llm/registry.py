@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from newsloom.llm import exact_dedup
+from newsloom.llm import byte_bpe, exact_dedup, license_scan
 
-MODULES = [exact_dedup]
+MODULES = [exact_dedup, byte_bpe, license_scan]
 
 
 def queries() -> dict:
