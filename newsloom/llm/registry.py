@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from newsloom.llm import byte_bpe, exact_dedup, html_extract, language_id, license_scan, quality
+from newsloom.llm import byte_bpe, exact_dedup, html_extract, language_id, license_scan, mixing, quality
 
-MODULES = [exact_dedup, byte_bpe, license_scan, language_id, html_extract, quality]
+MODULES = [exact_dedup, byte_bpe, license_scan, language_id, html_extract, quality, mixing]
 
 
 def queries() -> dict:
