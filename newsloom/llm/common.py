@@ -193,5 +193,33 @@ def may_hold(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bitmap[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
 
 
+def whole_runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Batches sorted by a column of long, regrouped so that no run of equal values is cut; with the runs' edges."""
+    held: list[pa.RecordBatch] = []
+
+    def out() -> tuple[pa.Table, np.ndarray]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        value = table[column].to_numpy()
+        return table, np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1], [True]]))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        value = batch.column(column).to_numpy()
+        cut = int(np.flatnonzero(value == value[-1])[0])
+        if held and (cut or held[-1].column(column)[0].as_py() != value[-1]):
+            if cut:
+                held.append(batch.slice(0, cut))
+            yield out()
+            held = []
+        elif cut:
+            held.append(batch.slice(0, cut))
+            yield out()
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield out()
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import Words, binary_values, documents, file_based, materialise, may_hold, membership, mix64, row_key, slices, small_batches
+from newsloom.llm.common import Words, binary_values, documents, file_based, materialise, may_hold, membership, mix64, row_key, slices, small_batches, whole_runs
 from newsloom.llm.components import components
 
 BANDS, ROWS = 30, 5
@@ -215,12 +215,7 @@ def propose(nodes: np.ndarray, comps: np.ndarray, sigs: np.ndarray, refuted: lis
 
 
 def _proposal_batches(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Batches sorted by bucket; a bucket may span batches."""
-    held: list[pa.RecordBatch] = []
-
-    def run(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        bucket = table["bucket"].to_numpy()
-        cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+    for table, cuts in whole_runs(batches, "bucket"):
         nodes, comps = table["node"].to_numpy(), table["component"].to_numpy()
         sigs = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint64).reshape(len(nodes), -1)
         refuted = table["refuted"].to_pylist()
@@ -229,21 +224,6 @@ def _proposal_batches(batches: Iterator[pa.RecordBatch], least: float) -> Iterat
         ends = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0], pa.int64()), pa.array(ends[:, 1], pa.int64())], names=["a", "b"])
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        last = batch.column("bucket")[batch.num_rows - 1].as_py()
-        bucket = batch.column("bucket").to_numpy()
-        cut = int(np.searchsorted(bucket, last))
-        if cut or (held and held[0].column("bucket")[0].as_py() != last):
-            if cut:
-                held.append(batch.slice(0, cut))
-            yield from run(pa.Table.from_batches(held))
-            held = []
-        held.append(batch.slice(cut))
-    if held:
-        yield from run(pa.Table.from_batches(held))
-
 
 class NearDuplicates:
     """links = NearDuplicates(docs, width, percent); links.members: a row of each input row."""

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from newsloom.llm import byte_bpe, exact_dedup, html_extract, language_id, license_scan, minhash, mixing, quality
+from newsloom.llm import byte_bpe, cap_filters, exact_dedup, html_extract, language_id, license_scan, minhash, mixing, quality
 
-MODULES = [exact_dedup, byte_bpe, license_scan, language_id, html_extract, quality, mixing, minhash]
+MODULES = [exact_dedup, byte_bpe, license_scan, language_id, html_extract, quality, mixing, minhash, cap_filters]
 
 
 def queries() -> dict:
