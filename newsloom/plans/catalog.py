@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from newsloom.plans import operations, registry
+
+MODULES = [operations]
+
 
 def queries() -> dict:
-    return {}
+    return registry.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)
