@@ -5,14 +5,16 @@
 2. Equal sets are one class with one representative; from here on only classes count, so thousands
    of copies cost one row each.
 3. Representatives meet in band buckets (BANDS bands of ROWS minima: a pair of similarity 0.8 meets
-   but for (1 - 0.8^ROWS)^BANDS). Round one compares each with the head of each of its buckets by
-   bit counts on the packed signatures, corrected for chance collisions, and confirms the best.
-4. Later rounds look only at buckets that still hold several components: there each member proposes,
-   of each other component, the member of highest estimated similarity that was not refuted before.
-   They end when no bucket has a proposal left, so every candidate pair is either inside a
-   component, refuted on the full sets, or estimated below MARGIN standard errors under the
-   threshold. The work a round emits is linear in bucket members; pairs of a group are never
-   emitted.
+   but for (1 - 0.8^ROWS)^BANDS). In a bucket, similarities are estimated by bit counts on the packed
+   signatures, corrected for chance collisions. Each member proposes its most similar partner, and
+   the most connected member it may be linked to (the original among edited copies); of all its
+   proposals the best of either kind is confirmed on the full sets.
+4. Later rounds look only at buckets that still hold several components, with longer signatures
+   (FINE minima) of their members. Members outside a bucket's largest component propose their best
+   partners of other components that were not refuted before, first a few, then more, then all. They
+   end when no bucket has a proposal left, so every candidate pair is either inside a component,
+   refuted on the full sets, or estimated below MARGIN standard errors under the threshold. Pairs of
+   a group are never emitted: a round's output is linear in bucket members until the last.
 5. Confirmed links make components by large-star and small-star steps.
 
 Large buckets are compared in tiles of TILE members, so memory stays bounded; a bucket of one
@@ -38,16 +40,20 @@ from newsloom.llm.components import components
 
 BANDS, ROWS = 30, 5
 PERMUTATIONS = BANDS * ROWS
+FINE = 1024
 LOW_BITS = 4
-MARGIN = 4.5
+MARGIN = 3.5
 TILE = 1024
+#: Members of a large bucket that others are compared with in the first round, and its hubs.
+SAMPLE, HUBS = 256, 16
+#: Proposals of a member in each later round; afterwards all.
+PROPOSALS = [16]
 #: Bits of a shingle's hash; the rest of a word holds its text's place in a slice.
 HASH_BITS = 54
 
 _RNG = np.random.default_rng(20240917)
-_A = (_RNG.integers(0, 1 << 32, PERMUTATIONS, np.uint64) | np.uint64(1)).astype(np.uint32)
-_B = _RNG.integers(0, 1 << 32, PERMUTATIONS, np.uint64).astype(np.uint32)
-SIGNATURE_BYTES = 8 * math.ceil(PERMUTATIONS * LOW_BITS / 64)
+_A = (_RNG.integers(0, 1 << 32, FINE, np.uint64) | np.uint64(1)).astype(np.uint32)
+_B = _RNG.integers(0, 1 << 32, FINE, np.uint64).astype(np.uint32)
 CHANCE = 2.0**-LOW_BITS
 
 
@@ -75,42 +81,55 @@ def shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return packed & np.uint64((1 << HASH_BITS) - 1), edges
 
 
+def minima(values: np.ndarray, starts: np.ndarray, count: int) -> np.ndarray:
+    """[permutation, set]: least values of non-empty sets."""
+    small = (mix64(values + np.uint64(1)) >> np.uint64(32)).astype(np.uint32)
+    out = np.empty((count, len(starts)), np.uint32)
+    work = np.empty_like(small)
+    for k in range(count):
+        np.multiply(small, _A[k], out=work)
+        work += _B[k]
+        np.minimum.reduceat(work, starts, out=out[k])
+    return out
+
+
+def packed(least: np.ndarray) -> np.ndarray:
+    """[set, byte]: the low bits of each minimum, padded to whole words."""
+    nibbles = (least.T & np.uint32(15)).astype(np.uint8)
+    out = np.zeros((len(nibbles), 8 * math.ceil(len(least) * LOW_BITS / 64)), np.uint8)
+    out[:, : len(least) // 2] = nibbles[:, 0::2] | (nibbles[:, 1::2] << 4)
+    return out
+
+
 def sketch(values: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(two digests, band hashes, packed signatures) of non-empty sets."""
     starts = edges[:-1]
     mixed = mix64(values + np.uint64(1))
     digests = np.stack([np.add.reduceat(mixed, starts), np.add.reduceat(mix64(mixed ^ np.uint64(0xA5A5A5A5A5A5A5A5)), starts)], 1)
-    small = (mixed >> np.uint64(32)).astype(np.uint32)
-    minima = np.empty((PERMUTATIONS, len(starts)), np.uint32)
-    work = np.empty_like(small)
-    for k in range(PERMUTATIONS):
-        np.multiply(small, _A[k], out=work)
-        work += _B[k]
-        np.minimum.reduceat(work, starts, out=minima[k])
+    least = minima(values, starts, PERMUTATIONS)
     bands = np.empty((len(starts), BANDS), np.uint64)
     for b in range(BANDS):
         acc = np.full(len(starts), b + 1, np.uint64)
         for r in range(ROWS):
-            acc = mix64(acc * np.uint64(0x9E3779B97F4A7C15) + minima[b * ROWS + r])
+            acc = mix64(acc * np.uint64(0x9E3779B97F4A7C15) + least[b * ROWS + r])
         bands[:, b] = acc
-    nibbles = (minima.T & np.uint32(15)).astype(np.uint8)
-    packed = np.zeros((len(starts), SIGNATURE_BYTES), np.uint8)
-    packed[:, : PERMUTATIONS // 2] = nibbles[:, 0::2] | (nibbles[:, 1::2] << 4)
-    return digests, bands, packed
+    return digests, bands, packed(least)
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard similarity of packed signatures (last axis: words), corrected for chance."""
-    x = a ^ b
-    x |= x >> np.uint64(2)
-    x |= x >> np.uint64(1)
-    differ = np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(-1, dtype=np.int64)
-    return (1 - differ / PERMUTATIONS - CHANCE) / (1 - CHANCE)
+def similarity(a: np.ndarray, b: np.ndarray, count: int) -> np.ndarray:
+    """Estimated Jaccard similarity of packed signatures (last axis: words) of `count` minima, corrected for chance."""
+    differ = np.zeros(np.broadcast_shapes(a.shape[:-1], b.shape[:-1]), np.int32)
+    for w in range(a.shape[-1]):
+        x = a[..., w] ^ b[..., w]
+        x |= x >> np.uint64(2)
+        x |= x >> np.uint64(1)
+        differ += np.bitwise_count(x & np.uint64(0x1111111111111111))
+    return (1 - differ / count - CHANCE) / (1 - CHANCE)
 
 
-def floor_estimate(threshold: float) -> float:
+def floor_estimate(threshold: float, count: int) -> float:
     match = CHANCE + (1 - CHANCE) * threshold
-    return threshold - MARGIN * math.sqrt(match * (1 - match) / PERMUTATIONS) / (1 - CHANCE)
+    return threshold - MARGIN * math.sqrt(match * (1 - match) / count) / (1 - CHANCE)
 
 
 def _list_array(flat: np.ndarray, edges: np.ndarray) -> pa.Array:
@@ -126,12 +145,12 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[p
             values, edges = shingle_sets(batch.column("body"), width)
             n = np.diff(edges)
             full = np.flatnonzero(n)
-            digests, bands, packed = np.zeros((len(n), 2), np.uint64), np.zeros((len(full), BANDS), np.uint64), np.zeros((len(full), SIGNATURE_BYTES), np.uint8)
+            digests, bands, low = np.zeros((len(n), 2), np.uint64), np.zeros((0, BANDS), np.uint64), np.zeros((0, 8), np.uint8)
             if len(full):
-                digests[full], bands, packed = sketch(values, np.append(edges[full], edges[-1]))
+                digests[full], bands, low = sketch(values, np.append(edges[full], edges[-1]))
             ends = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))])
             place = np.cumsum(n > 0) - 1
-            blobs = [packed[place[i]].tobytes() if n[i] else None for i in range(len(n))]
+            blobs = [low[place[i]].tobytes() if n[i] else None for i in range(len(n))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("_file"), batch.column("_row"), pa.array(n, pa.int64()),
                  pa.array(np.ascontiguousarray(digests[:, 0]).view(np.int64)),
@@ -141,25 +160,18 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[p
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch], width: int, bitmap: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Full sets of the rows that may be in the bitmap."""
+    """Full sets and fine signatures of the rows that may be in the bitmap."""
     for whole in batches:
         if bitmap is not None:
             whole = whole.filter(pa.array(may_hold(bitmap, whole.column("key").to_numpy())))
         for batch in slices(whole, "body"):
             values, edges = shingle_sets(batch.column("body"), width)
             blobs = [values[edges[i] : edges[i + 1]].tobytes() for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column("_file"), batch.column("_row"), pa.array(blobs, pa.binary())], names=["_file", "_row", "items"])
-
-
-def _estimate_batches(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if not b.num_rows:
-            continue
-        sig = [np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("sa", "sb")]
-        est = similarity(*sig)
-        keep = np.flatnonzero(est >= least)
-        out = pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(est)], names=["a", "b", "est"])
-        yield out.take(pa.array(keep))
+            full = np.flatnonzero(np.diff(edges))
+            fine = iter(packed(minima(values, edges[full], FINE)) if len(full) else ())
+            some = np.diff(edges) > 0
+            signatures = [next(fine).tobytes() if s else None for s in some]
+            yield pa.RecordBatch.from_arrays([batch.column("_file"), batch.column("_row"), pa.array(blobs, pa.binary()), pa.array(signatures, pa.binary())], names=["_file", "_row", "items", "fine"])
 
 
 def _confirm_batches(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -176,53 +188,87 @@ def _confirm_batches(batches: Iterator[pa.RecordBatch], percent: int) -> Iterato
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
 
-def propose(nodes: np.ndarray, comps: np.ndarray, sigs: np.ndarray, refuted: list, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Of each member and other component, the best partner not refuted, at least as similar as `least`."""
-    order = np.argsort(comps, kind="stable")
-    nodes, comps, sigs = nodes[order], comps[order], sigs[order]
-    starts = np.flatnonzero(np.concatenate([[True], comps[1:] != comps[:-1]]))
-    if len(starts) < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    place = {int(x): i for i, x in enumerate(nodes)}
-    a, b = [], []
-    for i in range(0, len(nodes), TILE):
-        rows = slice(i, min(i + TILE, len(nodes)))
-        best = np.full((rows.stop - i, len(starts)), -1.0)
-        which = np.zeros((rows.stop - i, len(starts)), np.int64)
-        group = np.searchsorted(starts, np.arange(len(nodes)), side="right") - 1
-        for j in range(0, len(nodes), TILE):
-            cols = slice(j, min(j + TILE, len(nodes)))
-            est = similarity(sigs[rows, None, :], sigs[None, cols, :])
-            est[comps[rows, None] == comps[None, cols]] = -1
-            for k in range(rows.start, rows.stop):
-                for other in refuted[order[k]] or ():
-                    p = place.get(other, -1)
-                    if j <= p < cols.stop:
-                        est[k - i, p - j] = -1
-            cut = np.flatnonzero(np.concatenate([[True], group[j + 1 : cols.stop] != group[j : cols.stop - 1]]))
-            for g0, g1 in zip(cut, np.append(cut[1:], est.shape[1]), strict=True):
-                part = est[:, g0:g1]
-                top = part.argmax(1)
-                value = part[np.arange(len(part)), top]
-                g = group[j + g0]
-                better = value > best[:, g]
-                best[better, g] = value[better]
-                which[better, g] = j + g0 + top[better]
-        r, g = np.nonzero(best >= least)
-        a.append(nodes[i + r])
-        b.append(nodes[which[r, g]])
-    return np.concatenate(a), np.concatenate(b)
-
-
-def _proposal_batches(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+def propose(nodes: np.ndarray, comps: np.ndarray, sigs: np.ndarray, refuted: list, least: float, count: int, threshold: float, top: int = 1, every: bool = False) -> tuple[np.ndarray, ...]:
+    """(member, partner, estimate, degree of the partner), by place: proposals between components of one bucket.
+
+    every: members outside the largest component look at all members, for their `top` best partners;
+    otherwise all members look at a sample and at the hubs, for the best partner and the best hub.
+    """
+    size = len(nodes)
+    ids, group, sizes = np.unique(comps, return_inverse=True, return_counts=True)
+    none = np.zeros(0, np.int64)
+    if len(ids) < 2:
+        return none, none, np.zeros(0), none
+    sample = np.arange(size) if size <= SAMPLE else np.sort(np.argsort(mix64(nodes.view(np.uint64)), kind="stable")[:SAMPLE])
+    degree = np.zeros(size, np.int64)
+    for i in range(0, size, TILE):
+        degree[i : i + TILE] = (similarity(sigs[i : i + TILE, None, :], sigs[None, sample, :], count) >= threshold).sum(1)
+    hubs = np.argsort(-degree, kind="stable")[:HUBS]
+    rows = np.flatnonzero(group != sizes.argmax()) if every else np.arange(size)
+    columns = np.arange(size) if every else np.union1d(sample, hubs)
+    is_hub = np.isin(columns, hubs)
+    place = {int(x): i for i, x in enumerate(nodes[columns])} if any(refuted[r] for r in rows) else {}
+    out: list[tuple[np.ndarray, ...]] = []
+    for i in range(0, len(rows), TILE // 4):
+        mine = rows[i : i + TILE // 4]
+        best_of: list[np.ndarray] = []
+        parts = []
+        for j in range(0, len(columns), TILE):
+            cols = columns[j : j + TILE]
+            est = similarity(sigs[mine, None, :], sigs[None, cols, :], count)
+            est[comps[mine][:, None] == comps[cols][None, :]] = -1
+            parts.append(est)
+        est = np.concatenate(parts, 1)
+        for k, r in enumerate(mine):
+            for other in refuted[r] or ():
+                if (p := place.get(other, -1)) >= 0:
+                    est[k, p] = -1
+        if top >= est.shape[1]:
+            r, c = np.nonzero(est >= least)
+        else:
+            c = np.argpartition(-est, top - 1, axis=1)[:, :top]
+            r = np.repeat(np.arange(len(mine)), top)
+            c = c.ravel()
+            keep = est[r, c] >= least
+            r, c = r[keep], c[keep]
+        best_of.append(np.stack([r, c]))
+        if not every and is_hub.any():
+            rank = np.where((est >= least) & is_hub[None, :], degree[columns][None, :], -1)
+            c = rank.argmax(1)
+            r = np.flatnonzero(rank[np.arange(len(mine)), c] >= 0)
+            best_of.append(np.stack([r, c[r]]))
+        r, c = np.concatenate(best_of, 1)
+        out.append((mine[r], columns[c], est[r, c], degree[columns[c]]))
+    return tuple(np.concatenate([x[i] for x in out]) for i in range(4))
+
+
+def _first_meeting(buckets: np.ndarray, bands: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether rows i and j (of one bucket) are in no earlier bucket together."""
+    first = (bands[i] == bands[j]).argmax(1)
+    return bands[i, first] == buckets[i]
+
+
+def _proposal_batches(batches: Iterator[pa.RecordBatch], least: float, count: int, threshold: float, top: int, every: bool) -> Iterator[pa.RecordBatch]:
     for table, cuts in whole_runs(batches, "bucket"):
         nodes, comps = table["node"].to_numpy(), table["component"].to_numpy()
         sigs = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint64).reshape(len(nodes), -1)
         refuted = table["refuted"].to_pylist()
-        pairs = [propose(nodes[s:e], comps[s:e], sigs[s:e], refuted[s:e], least) for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
-        a, b = (np.concatenate([p[i] for p in pairs]) for i in (0, 1))
-        ends = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0], pa.int64()), pa.array(ends[:, 1], pa.int64())], names=["a", "b"])
+        two = cuts[:-1][np.diff(cuts) == 2]  # most buckets: a pair
+        est = similarity(sigs[two], sigs[two + 1], count)
+        good = (est >= least) & (comps[two] != comps[two + 1])
+        good[good] = [nodes[i + 1] not in (refuted[i] or ()) for i in two[good]]
+        found = [(two[good], two[good] + 1, est[good], np.ones(int(good.sum()), np.int64))]
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            if e - s > 2:
+                i, j, est, degree = propose(nodes[s:e], comps[s:e], sigs[s:e], refuted[s:e], least, count, threshold, top, every)
+                found.append((i + s, j + s, est, degree))
+        i, j, est, degree = (np.concatenate([p[k] for p in found]) for k in range(4))
+        if every and len(i):
+            bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(len(nodes), BANDS)
+            keep = _first_meeting(table["bucket"].to_numpy(), bands, i, j)
+            i, j, est, degree = i[keep], j[keep], est[keep], degree[keep]
+        _, once = np.unique(np.stack([nodes[i], nodes[j]], 1), axis=0, return_index=True)  # of the buckets in hand
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[i[once]]), pa.array(nodes[j[once]]), pa.array(est[once]), pa.array(degree[once])], names=["a", "b", "est", "degree"])
 
 
 class NearDuplicates:
@@ -230,7 +276,6 @@ class NearDuplicates:
 
     def __init__(self, docs: DataFrame, width: int = 5, percent: int = 80) -> None:
         self.width, self.percent = width, percent
-        self.least = floor_estimate(percent / 100)
         small_batches(docs.sparkSession)
         self.docs = file_based(docs)
         scan = self.docs.select("doc_id", *row_key(), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body"))
@@ -246,18 +291,21 @@ class NearDuplicates:
         reps = self.sketches.select("_file", "_row", "bands", "signature").join(own, ["_file", "_row"])
         rows = materialise(reps.select("node", "_file", "_row", "signature", "bands"), "reps")
         spread = rows.select("node", F.explode("bands").alias("bucket"))
-        heads = materialise(spread.groupBy("bucket").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size"), "heads")
-        self.buckets = materialise(spread.join(heads, "bucket"), "buckets")
+        shared = materialise(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("bucket"), "shared")
+        self.buckets = materialise(spread.join(shared, "bucket"), "buckets")
         inside = self.buckets.select("node").distinct()
-        self.signatures = materialise(rows.drop("bands").join(inside, "node", "left_semi"), "signatures")
-        self.sets = self._sets()
-
-        pairs = self.buckets.filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
-        tested = self._confirm(self._best(self._estimated(pairs)))
-        links, refuted = tested.filter("linked"), tested.filter("not linked")
-        labels = materialise(components(links), "labels")
-        while True:
-            fresh = materialise(self._proposals(labels, refuted), "proposals")
+        met = materialise(rows.join(inside, "node", "left_semi"), "met")
+        self.sets = self._sets(met)
+
+        first = self.buckets.withColumn("component", F.col("node")).join(met.select("node", "signature"), "node").withColumn("refuted", F.lit(None).cast("array<long>")).withColumn("bands", F.lit(None).cast("array<long>"))
+        proposed = self._proposals(first, PERMUTATIONS, 1, False)
+        best = proposed.groupBy("a").agg(F.max(F.struct("est", "b")).alias("near"), F.max(F.struct("degree", "est", "b")).alias("hub"))
+        pairs = best.select("a", F.explode(F.array("near.b", "hub.b")).alias("b"))
+        tested = self._confirm(pairs)
+        refuted = tested.filter("not linked")
+        labels = materialise(components(tested.filter("linked")), "labels")
+        for top in [*PROPOSALS, *([1 << 30] * 1_000_000)]:
+            fresh = materialise(self._unordered(self._open(labels, refuted, top)), "proposals")
             if fresh.isEmpty():
                 return labels
             tested = self._confirm(fresh)
@@ -265,40 +313,40 @@ class NearDuplicates:
             found = tested.filter("linked").select("a", "b")
             if not found.isEmpty():
                 labels = materialise(components(found.union(labels.select("node", "component"))), "labels")
+        raise AssertionError("every round refutes or links something")
 
-    def _sets(self) -> DataFrame:
-        """node, items: the full set of each node that shares a bucket."""
+    def _sets(self, met: DataFrame) -> DataFrame:
+        """node, items, fine, bands: the full set, long signature and buckets of each node that shares one."""
         key = F.xxhash64("_file", "_row")
-        bitmap = membership(self.signatures, key, self.signatures.count())
+        bitmap = membership(met, key, met.count())
         width = self.width
         scan = self.docs.select(*row_key(), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body")).withColumn("key", key)
-        found = scan.mapInArrow(lambda it: _set_batches(it, width, bitmap), "_file long, _row long, items binary")
-        return materialise(found.join(self.signatures.select("node", "_file", "_row"), ["_file", "_row"]).select("node", "items"), "sets")
-
-    def _estimated(self, pairs: DataFrame) -> DataFrame:
-        least, sigs = self.least, self.signatures
-        both = pairs.join(sigs.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a").join(sigs.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b")
-        return both.select("a", "b", "sa", "sb").mapInArrow(lambda it: _estimate_batches(it, least), "a long, b long, est double")
+        found = scan.mapInArrow(lambda it: _set_batches(it, width, bitmap), "_file long, _row long, items binary, fine binary")
+        return materialise(found.join(met.select("node", "_file", "_row", "bands"), ["_file", "_row"]).select("node", "items", "fine", "bands"), "sets")
 
     @staticmethod
-    def _best(estimated: DataFrame) -> DataFrame:
-        return estimated.groupBy("a").agg(F.max(F.struct("est", "b")).alias("top")).select("a", F.col("top.b").alias("b"))
+    def _unordered(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def _confirm(self, pairs: DataFrame) -> DataFrame:
         """a, b, linked."""
         percent, sets = self.percent, self.sets
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("xa")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("xb")), "b")
+        both = self._unordered(pairs).join(sets.select(F.col("node").alias("a"), F.col("items").alias("xa")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("xb")), "b")
         return materialise(both.select("a", "b", "xa", "xb").mapInArrow(lambda it: _confirm_batches(it, percent), "a long, b long, linked boolean"), "tested")
 
-    def _proposals(self, labels: DataFrame, refuted: DataFrame) -> DataFrame:
+    def _proposals(self, rows: DataFrame, count: int, top: int, every: bool) -> DataFrame:
+        threshold = self.percent / 100
+        least = floor_estimate(threshold, count)
+        rows = rows.select("bucket", "node", "component", "signature", "refuted", "bands").repartition("bucket").sortWithinPartitions("bucket")
+        return rows.mapInArrow(lambda it: _proposal_batches(it, least, count, threshold, top, every), "a long, b long, est double, degree long")
+
+    def _open(self, labels: DataFrame, refuted: DataFrame, top: int) -> DataFrame:
         """New candidate pairs between components, from buckets that hold several."""
         at = self.buckets.select("bucket", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         open_ = at.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
         no = refuted.select("a", "b").union(refuted.select("b", "a")).groupBy("a").agg(F.collect_set("b").alias("refuted")).withColumnRenamed("a", "node")
-        rows = at.join(open_, "bucket", "left_semi").join(self.signatures.select("node", "signature"), "node").join(no, "node", "left")
-        least = self.least
-        rows = rows.select("bucket", "node", "component", "signature", "refuted").repartition("bucket").sortWithinPartitions("bucket")
-        return rows.mapInArrow(lambda it: _proposal_batches(it, least), "a long, b long").distinct()
+        rows = at.join(open_, "bucket", "left_semi").join(self.sets.select("node", F.col("fine").alias("signature"), "bands"), "node").join(no, "node", "left")
+        return self._proposals(rows, FINE, top, True)
 
     @property
     def members(self) -> DataFrame:

@@ -79,7 +79,7 @@ def test_estimates_are_unbiased():
             a, b = np.sort(x[:n]), np.sort(x[n - both :])
             _, _, sig = minhash.sketch(np.concatenate([a, b]), np.array([0, n, 2 * n]))
             words = sig.view(np.uint64)
-            errors.append(minhash.similarity(words[0], words[1]) - j)
+            errors.append(minhash.similarity(words[0], words[1], minhash.PERMUTATIONS) - j)
         assert abs(np.mean(errors)) < 0.03
 
 
@@ -96,10 +96,30 @@ def test_proposals_skip_refuted_and_own_component():
     sets = [base, base[:-20], base[20:], base[:-30]]
     sigs = [minhash.sketch(s, np.array([0, len(s)]))[2].view(np.uint64)[0] for s in sets]
     nodes, comps = np.array([1, 2, 3, 4]), np.array([1, 1, 3, 3])
-    a, b = minhash.propose(nodes, comps, np.array(sigs), [None] * 4, 0.6)
-    assert {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist(), strict=True)} <= {(1, 3), (1, 4), (2, 3), (2, 4)} and len(a) == 4
-    no = [[3, 4], [3, 4], [1, 2], [1, 2]]
-    assert len(minhash.propose(nodes, comps, np.array(sigs), no, 0.6)[0]) == 0
+    find = lambda no, **how: [nodes[x] for x in minhash.propose(nodes, comps, np.array(sigs), no, 0.6, minhash.PERMUTATIONS, 0.8, **how)[:2]]
+    a, b = find([None] * 4)
+    cross = {(1, 3), (1, 4), (2, 3), (2, 4)}
+    assert {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist(), strict=True)} <= cross and set(a.tolist()) == {1, 2, 3, 4}
+    a, b = find([None] * 4, top=100, every=True)
+    assert {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist(), strict=True)} == cross
+    assert all(len(find([[3, 4], [3, 4], [1, 2], [1, 2]], every=e)[0]) == 0 for e in (False, True))
+
+
+def test_large_buckets_are_searched_in_rounds(spark, monkeypatch):
+    """Copies of one text with more and more edits, in buckets far above the sample."""
+    monkeypatch.setattr(minhash, "SAMPLE", 4)
+    monkeypatch.setattr(minhash, "HUBS", 2)
+    monkeypatch.setattr(minhash, "TILE", 16)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(260):
+        words = list(base)
+        for _ in range(rng.randint(0, 22)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame([Row(doc_id=i, text=t) for i, t in rows]), 2, 80).collect()}
+    assert got == brute(rows, 2, 80)
 
 
 def test_odd_rows(spark):
