@@ -29,10 +29,10 @@ from functools import cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import documents, small_batches, slices
+from newsloom.llm.common import documents, file_based, slices, small_batches
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Pieces in a worker's cache before it starts anew.
@@ -262,46 +262,46 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encode_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+def encode_batches(batches: Iterator[pa.RecordBatch], path: str, with_tokens: bool) -> Iterator[pa.RecordBatch]:
+    """Digests of each row, its ids and the bytes where they end if asked for; columns before the text are kept."""
     tool = codec(path)
     for whole in batches:
         for batch in slices(whole, "body"):
-            texts = [(x.as_py() or b"").decode("utf-8", "replace") for x in batch.column("body")]
-            sizes, ids_sha, back_sha = [], [], []
-            for ids in tool.encode(texts):
+            kept = batch.schema.names[:-1]
+            sizes, ids_sha, back_sha, all_ids, all_ends = [], [], [], [], []
+            for ids in tool.encode([(x.as_py() or b"").decode("utf-8", "replace") for x in batch.column("body")]):
                 sizes.append(len(ids))
                 ids_sha.append(hashlib.sha256(",".join(map(tool.names.__getitem__, ids)).encode()).hexdigest())
                 back_sha.append(hashlib.sha256(tool.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids_sha), pa.array(back_sha)],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+                if with_tokens:
+                    all_ids.append(ids)
+                    all_ends.append([b for _, b in tool.offsets(ids)])
+            cols = [*(batch.column(k) for k in kept), pa.array(sizes, pa.int64()), pa.array(ids_sha), pa.array(back_sha)]
+            names = [*kept, "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_tokens:
+                cols += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(all_ends, pa.list_(pa.int64()))]
+                names += ["ids", "ends"]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
 
-def token_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    """doc_id, ids, ends: the tokens themselves, with the byte offset at which each ends."""
-    tool = codec(path)
-    for whole in batches:
-        for batch in slices(whole, "body"):
-            ids = tool.encode([(x.as_py() or b"").decode("utf-8", "replace") for x in batch.column("body")])
-            ends = [[b for _, b in tool.offsets(x)] for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int64()))], names=["doc_id", "ids", "ends"])
-
-
-def _scan(docs: DataFrame) -> DataFrame:
-    small_batches(docs.sparkSession)
-    return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body"))
+def _body() -> Column:
+    return F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body")
 
 
-def encode(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
-    """Tokens of each document: doc_id, ids, ends. The file of ranks must be at the same path on every node."""
+def digests(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256. The file of ranks must be at the same path on every node."""
     path = public_tokenizers.path(ranks)
-    return _scan(docs).mapInArrow(lambda it: token_batches(it, path), "doc_id long, ids array<int>, ends array<long>")
+    small_batches(docs.sparkSession)
+    return docs.select("doc_id", _body()).mapInArrow(lambda it: encode_batches(it, path, False), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def digests(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
+def tokens(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
+    """The tokens themselves: doc_id, shard and place (file and row it was read from), digests, ids, and the byte where each id ends."""
     path = public_tokenizers.path(ranks)
-    return _scan(docs).mapInArrow(lambda it: encode_batches(it, path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    small_batches(docs.sparkSession)
+    rows = file_based(docs).select("doc_id", F.col("_metadata.file_name").alias("shard"), F.col("_metadata.row_index").alias("place"), _body())
+    schema = "doc_id long, shard string, place long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, ends array<long>"
+    return rows.mapInArrow(lambda it: encode_batches(it, path, True), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,5 +57,5 @@ def test_rows(spark, reference):
         assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
     assert byte_bpe.digests(docs.limit(0)).count() == 0
-    tokens = byte_bpe.encode(docs.filter("doc_id = 1")).first()
-    assert tokens.ends[-1] == len("He's here")
+    tokens = byte_bpe.tokens(docs.filter("doc_id = 1")).first()
+    assert tokens.ends[-1] == len("He's here") and tokens.ids == reference.encode_ordinary("He's here")
