@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from newsloom.plans import operations, registry
+from newsloom.plans import operations, registry, stories, texts
 
-MODULES = [operations]
+MODULES = [operations, texts, stories]
 
 
 def queries() -> dict:

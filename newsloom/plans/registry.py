@@ -64,7 +64,7 @@ items AS (
          nullif(min(id) OVER (PARTITION BY md5(raw_text)), id) AS duplicate_of,
          CASE WHEN id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN ['ads', 'war', 'gone rule'][id % 3 + 1] END AS blocked_reason,
          CASE WHEN id % 13 <> 0 THEN id * 37 % 1000 END AS views,
-         CAST(TIMESTAMP '{data.EPOCH}' + to_minutes(CAST(id * 40 AS INT)) AS DATE) AS digest_day
+         CAST(TIMESTAMP '{data.EPOCH}' + to_minutes(CAST(id * 40 AS INT)) AS DATE) AS digest_day, id // {data.ITEMS_A_DIGEST} AS digest
   FROM (SELECT doc_id AS id, CAST(substr(source, 4) AS BIGINT) AS source_id, text AS raw_text FROM documents)),
 vectors AS (SELECT vec_id AS id, embedding AS v FROM embeddings),
 present AS (SELECT max(processed_at) AS as_of FROM items),

@@ -9,7 +9,7 @@ SOURCES = StructType.fromDDL(
 ITEMS = StructType.fromDDL(
     "id BIGINT, source_id BIGINT, message_id STRING, original_url STRING, raw_text STRING, summary STRING, category STRING, "
     "published_at TIMESTAMP, processed_at TIMESTAMP, sent BOOLEAN, classify_attempts INT, duplicate_of BIGINT, "
-    "blocked_reason STRING, views BIGINT, digest_day DATE"
+    "blocked_reason STRING, views BIGINT, digest_day DATE, digest BIGINT"
 )
 VECTORS = StructType.fromDDL("id BIGINT, v ARRAY<FLOAT>")
 CATEGORIES = StructType.fromDDL("name STRING, emoji STRING, sort_order INT, is_active BOOLEAN")

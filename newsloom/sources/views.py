@@ -23,6 +23,8 @@ RULES = [(1, "ads", "Adverts"), (2, "= licensed under", None), (3, "war", "War")
 RULE_CATEGORIES = [(2, "feed"), (2, "tech"), (4, "finance")]
 RULE_SOURCES = [(3, 2), (3, 3), (5, 1), (5, 6), (5, 11), (4, 5), (4, 9)]
 DIGEST_LOG = [("2024-01-01 09:00:00", 12, "ok"), ("2024-01-01 18:30:00", 0, "empty"), ("2024-01-02 09:00:10", 31, "ok"), ("2024-01-02 18:30:00", 7, "failed"), ("2024-01-03 09:00:00", 3, "empty")]
+#: Three days of posts.
+ITEMS_A_DIGEST = 108
 LEGACY_SCHEDULES = [("a", "11:00, 16:00, 21:00"), ("b", "9:30"), ("c", "11:00,11:00"), ("d", "25:99,12:00"), ("e", ""), ("f", None), ("g", "7:5,x,08:61,23:59")]
 
 
@@ -91,6 +93,7 @@ class Views:
             F.when(F.col("toxic"), F.element_at(F.array(F.lit("ads"), F.lit("war"), F.lit("gone rule")), (n % 3 + 1).cast("int"))).alias("blocked_reason"),
             F.when(n % 13 != 0, n * 37 % 1000).alias("views"),
             at.cast("date").alias("digest_day"),
+            F.floor(n / ITEMS_A_DIGEST).alias("digest"),
         )
 
     @staticmethod
