@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from newsloom.plans import operations, registry, stories, texts
+from newsloom.plans import operations, registry, stories, streams, texts
 
-MODULES = [operations, texts, stories]
+MODULES = [operations, texts, stories, streams]
 
 
 def queries() -> dict:
