@@ -173,6 +173,9 @@ class Codec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.vocabulary = {i: b for b, i in self.ranks.items()}
         self.names = {i: str(i) for i in self.vocabulary}
+        self.widths = np.zeros(max(self.vocabulary) + 1, np.int64)
+        for i, b in self.vocabulary.items():
+            self.widths[i] = len(b)
         self.cache: dict[bytes, tuple[int, ...]] = {}
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
@@ -268,18 +271,21 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, with_tokens: bo
     for whole in batches:
         for batch in slices(whole, "body"):
             kept = batch.schema.names[:-1]
-            sizes, ids_sha, back_sha, all_ids, all_ends = [], [], [], [], []
+            sizes, ids_sha, back_sha, all_ids = [], [], [], []
             for ids in tool.encode([(x.as_py() or b"").decode("utf-8", "replace") for x in batch.column("body")]):
                 sizes.append(len(ids))
                 ids_sha.append(hashlib.sha256(",".join(map(tool.names.__getitem__, ids)).encode()).hexdigest())
                 back_sha.append(hashlib.sha256(tool.decode(ids)).hexdigest())
                 if with_tokens:
                     all_ids.append(ids)
-                    all_ends.append([b for _, b in tool.offsets(ids)])
             cols = [*(batch.column(k) for k in kept), pa.array(sizes, pa.int64()), pa.array(ids_sha), pa.array(back_sha)]
             names = [*kept, "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_tokens:
-                cols += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(all_ends, pa.list_(pa.int64()))]
+                cut = np.concatenate([[0], np.cumsum(sizes)])
+                flat = np.fromiter(itertools.chain.from_iterable(all_ids), np.int32, int(cut[-1]))
+                ends = np.concatenate([[0], np.cumsum(tool.widths[flat])])
+                ends = ends[1:] - np.repeat(ends[cut[:-1]], sizes)
+                cols += [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x)) for x in (flat, ends)]
                 names += ["ids", "ends"]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 

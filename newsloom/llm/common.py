@@ -22,7 +22,7 @@ ASCII_SPACE = b" \t\n\x0b\x0c\r"
 MAX_FILTER_BITS = 1 << 27
 #: Rows handed to Python at once; texts are processed in slices of at most SLICE_BYTES.
 BATCH_ROWS = 512
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 
 
 def shared_dir(spark: SparkSession) -> str:
