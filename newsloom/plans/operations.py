@@ -217,12 +217,12 @@ def _(v):
     return v.items.select("id", "message_id")
 
 
-_INCOMING = """, incoming AS (SELECT id AS no, CASE WHEN id % 4 = 0 THEN message_id ELSE message_id || '_new' END AS message_id FROM items WHERE id % 3 = 1)"""
+_INCOMING = """, incoming AS (SELECT id AS no, CASE WHEN id % 4 = 0 THEN message_id ELSE message_id || '_new' END AS message_id FROM items)"""
 
 
 def _incoming(v):
     m = F.col("message_id")
-    return v.items.filter("id % 3 = 1").select(F.col("id").alias("no"), F.when(F.col("id") % 4 == 0, m).otherwise(F.concat(m, F.lit("_new"))).alias("message_id"))
+    return v.items.select(F.col("id").alias("no"), F.when(F.col("id") % 4 == 0, m).otherwise(F.concat(m, F.lit("_new"))).alias("message_id"))
 
 
 @plan("seen_semi", f"{_INCOMING} SELECT no FROM incoming WHERE message_id IN (SELECT message_id FROM items)")
@@ -241,16 +241,17 @@ def _(v):
     return state.insert_or_ignore(v.items, incoming, "message_id", [F.col("turn")]).select("message_id", "turn")
 
 
-@plan("mark_duplicates", "SELECT id, sent OR duplicate_of IS NOT NULL OR id % 50 = 7 AS sent, CASE WHEN id % 50 = 7 THEN id - 7 ELSE duplicate_of END AS duplicate_of FROM items")
+@plan("mark_duplicates", "SELECT id, sent OR duplicate_of IS NOT NULL AS sent, duplicate_of FROM items")
 def _(v):
-    facts = v.items.filter("id % 50 = 7").select("id", (F.col("id") - 7).alias("primary_id"))
-    marked = state.mark_duplicates(v.items, facts)
-    return marked.select("id", (F.col("sent") | F.col("duplicate_of").isNotNull()).alias("sent"), "duplicate_of")
+    facts = v.items.filter("duplicate_of IS NOT NULL").select("id", F.col("duplicate_of").alias("primary_id"))
+    before = v.items.withColumn("duplicate_of", F.lit(None).cast("bigint"))
+    return state.mark_duplicates(before, facts).select("id", "sent", "duplicate_of")
 
 
-@plan("mark_blocked", "SELECT id, sent OR id % 40 = 3 AS sent, CASE WHEN id % 40 = 3 THEN 'ads' ELSE blocked_reason END AS blocked_reason FROM items")
+@plan("mark_blocked", "SELECT id, sent OR blocked_reason IS NOT NULL AS sent, blocked_reason FROM items")
 def _(v):
-    return state.mark_blocked(v.items, v.items.filter("id % 40 = 3").select("id", F.lit("ads").alias("reason"))).select("id", "sent", "blocked_reason")
+    facts = v.items.filter("blocked_reason IS NOT NULL").select("id", F.col("blocked_reason").alias("reason"))
+    return state.mark_blocked(v.items.withColumn("blocked_reason", F.lit(None).cast("string")), facts).select("id", "sent", "blocked_reason")
 
 
 @plan("discard_queue", "SELECT id, md5(CASE WHEN trim(coalesce(summary, '')) = '' THEN substr(raw_text, 1, 200) ELSE summary END) AS summary_md5 FROM items WHERE NOT sent AND source_id IN (SELECT id FROM sources WHERE status = 'paused')")
@@ -271,9 +272,9 @@ def _(v):
     return state.refresh_counters(v.items, counters).select("id", "views", clock.stamp(F.col("engagement_at")).alias("engagement"))
 
 
-@plan("bookmarks", "SELECT s.id, greatest(last_message_id, (SELECT max(id) FROM items i WHERE i.source_id = s.id AND i.id % 7 = 0)) AS last_message_id FROM sources s")
+@plan("bookmarks", "SELECT s.id, greatest(last_message_id, (SELECT max(id) FROM items i WHERE i.source_id = s.id)) AS last_message_id FROM sources s")
 def _(v):
-    polled = v.items.filter("id % 7 = 0").select("source_id", F.col("id").alias("message_no"))
+    polled = v.items.select("source_id", F.col("id").alias("message_no"))
     return state.advance_bookmarks(v.sources, polled).select("id", "last_message_id")
 
 

@@ -211,13 +211,13 @@ def _(v):
     return rules.valid_blocks(chunks, rules.scoped(v.rules, v.rule_categories, v.rule_sources), answers)
 
 
-@plan("group_normalise", """, g AS (SELECT digest, id % 9 AS group_no, id + CASE WHEN id % 10 = 3 THEN 100000 WHEN id % 10 = 4 THEN 1 ELSE 0 END AS id FROM items WHERE id % 10 <> 5),
+@plan("group_normalise", """, g AS (SELECT digest, id % 9 AS group_no, id + CASE WHEN id % 10 = 3 THEN 100000 WHEN id % 10 = 4 THEN 1 ELSE 0 END AS id FROM items WHERE views IS NOT NULL),
 k AS (SELECT g.digest, g.id, min(group_no) AS group_no FROM g JOIN items i ON i.digest = g.digest AND i.id = g.id GROUP BY 1, 2),
 u AS (SELECT * FROM k UNION ALL SELECT digest, id, -id - 1 FROM items WHERE (digest, id) NOT IN (SELECT digest, id FROM k))
 SELECT digest, group_no, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM u GROUP BY 1, 2""")
 def _(v):
     n = F.col("id")
-    named = v.items.filter("id % 10 <> 5").select("digest", (n % 9).alias("group_no"), (n + F.when(n % 10 == 3, 100000).when(n % 10 == 4, 1).otherwise(0)).alias("id"))
+    named = v.items.filter("views IS NOT NULL").select("digest", (n % 9).alias("group_no"), (n + F.when(n % 10 == 3, 100000).when(n % 10 == 4, 1).otherwise(0)).alias("id"))
     out = rules.normalise_groups(v.items, named.groupBy("digest", "group_no").agg(F.collect_list("id").alias("ids")))
     return out.select("digest", "group_no", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"))
 
@@ -229,13 +229,13 @@ def _(v):
     return rules.route(v.items, answers, ["tech", "crypto"]).select("id", "category")
 
 
-@plan("war_block", """, young AS (SELECT digest, id, published_at, id % 20 // 10 AS chunk, id % 25 = 0 AS overview FROM items, present WHERE id % 4 = 0 AND epoch(as_of - published_at) <= 400 * 3600),
+@plan("war_block", """, young AS (SELECT digest, id, published_at, id % 20 // 10 AS chunk, id % 25 = 0 AS overview FROM items, present WHERE category = 'feed' AND epoch(as_of - published_at) <= 400 * 3600),
 w AS (SELECT *, count(*) OVER (PARTITION BY digest) AS n, max(CASE WHEN overview THEN chunk END) OVER (PARTITION BY digest) AS top FROM young),
 f AS (SELECT *, min(CASE WHEN overview AND chunk = top THEN id END) OVER (PARTITION BY digest) AS lead FROM w WHERE n >= 3)
 SELECT digest, id, row_number() OVER (PARTITION BY digest ORDER BY CASE WHEN id = lead THEN 0 ELSE 1 END, published_at, id) AS place FROM f""")
 def _(v):
     n = F.col("id")
-    answers = v.items.filter("id % 4 = 0").select("digest", F.floor(n % 20 / 10).alias("chunk"), "id", (n % 25 == 0).alias("overview"))
+    answers = v.items.filter("category = 'feed'").select("digest", F.floor(n % 20 / 10).alias("chunk"), "id", (n % 25 == 0).alias("overview"))
     return rules.folded_reports(v.items, answers, v.as_of, most_hours=400)
 
 
@@ -267,11 +267,11 @@ def _(v):
     return digest.category_order(v.categories.filter("is_active"), ["feed", "crypto"], F.lit(9 * 60)).select("name", "place")
 
 
-@plan("reply_parents", """, r AS (SELECT id, CASE WHEN (source_id + 7) % 20 % 2 = 0 THEN 'tg_src' || (id - 13) % 20 || '_' || (id - 13) ELSE md5('src' || (id - 13) % 20 || ':' || (id - 13)) END AS reply_to FROM items WHERE id >= 13 AND id % 3 = 1)
+@plan("reply_parents", """, r AS (SELECT id, CASE WHEN (source_id + 7) % 20 % 2 = 0 THEN 'tg_src' || (id - 13) % 20 || '_' || (id - 13) ELSE md5('src' || (id - 13) % 20 || ':' || (id - 13)) END AS reply_to FROM items WHERE id >= 13)
 SELECT r.id, p.id AS parent_id, CASE WHEN s.id IS NOT NULL AND s.source_id <> p.source_id THEN s.id END AS shown_as FROM r JOIN items p ON p.message_id = r.reply_to LEFT JOIN items s ON s.id = p.duplicate_of""")
 def _(v):
     target = F.col("id") - 13
-    replies = v.items.filter("id >= 13 AND id % 3 = 1").select("id", v.message_id(F.when((F.col("source_id") + 7) % 20 % 2 == 0, "telegram").otherwise("rss"), F.concat(F.lit("src"), target % 20), target).alias("reply_to"))
+    replies = v.items.filter("id >= 13").select("id", v.message_id(F.when((F.col("source_id") + 7) % 20 % 2 == 0, "telegram").otherwise("rss"), F.concat(F.lit("src"), target % 20), target).alias("reply_to"))
     return digest.reply_parents(replies, v.items, v.items)
 
 

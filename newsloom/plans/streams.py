@@ -20,9 +20,9 @@ def _(v):
     return ingest.source_lives(v.spark, v.sf_dir)
 
 
-@plan("alert_throttle", """, a AS (SELECT event_type AS key, event_id AS seq, date_trunc('day', ts) AS d, user_id, ts FROM events WHERE user_id < 5), n AS (SELECT *, row_number() OVER (PARTITION BY key, user_id ORDER BY ts, seq) AS n FROM a),
+@plan("alert_throttle", """, a AS (SELECT event_type AS key, event_id AS seq, date_trunc('day', ts) AS d, user_id, ts FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY key, user_id ORDER BY ts, seq) AS n FROM a),
 w(key, user_id, n, sent, seq, out) AS (SELECT key, user_id, n, ts, seq, true FROM n WHERE n = 1 UNION ALL SELECT n.key, n.user_id, n.n, CASE WHEN epoch(n.ts - w.sent) >= 86400 THEN n.ts ELSE w.sent END, n.seq, epoch(n.ts - w.sent) >= 86400 FROM w JOIN n ON n.key = w.key AND n.user_id = w.user_id AND n.n = w.n + 1)
 SELECT key || ':' || user_id AS key, seq FROM w WHERE out""")
 def _(v):
-    alerts = v.table("events").filter("user_id < 5").select(F.concat_ws(":", "event_type", F.col("user_id").cast("string")).alias("key"), F.col("ts").cast("timestamp").alias("moment"), F.col("event_id").alias("seq"))
+    alerts = v.table("events").select(F.concat_ws(":", "event_type", F.col("user_id").cast("string")).alias("key"), F.col("ts").cast("timestamp").alias("moment"), F.col("event_id").alias("seq"))
     return ingest.throttled(alerts, 86400)

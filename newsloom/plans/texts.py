@@ -99,10 +99,10 @@ def _(v):
     return v.items.select("id", text.richness(F.col("raw_text")).alias("richness"))
 
 
-@plan("named_numbers", """, x AS (SELECT id, regexp_extract_all(regexp_replace(summary, '(\\d)[ ,](\\d\\d\\d)', '\\1\\2', 'g'), '(\\d+(?:\\.\\d+)?)', 1) AS a FROM items WHERE NOT regexp_matches(summary, '\\d[ ,]\\d'))
+@plan("named_numbers", """, x AS (SELECT id, regexp_extract_all(regexp_replace(regexp_replace(summary, '(\\d)[ ,](\\d\\d\\d)\\b', '\\1\\2', 'g'), '(\\d)[ ,](\\d\\d\\d)\\b', '\\1\\2', 'g'), '(\\d+(?:\\.\\d+)?)', 1) AS a FROM items)
 SELECT id, coalesce(array_to_string(list_sort(list_distinct(a)), ','), '') AS numbers FROM x""")
 def _(v):
-    return v.items.filter(~F.col("summary").rlike(r"\d[ ,]\d")).select("id", F.array_join(F.array_sort(text.numbers(F.col("summary"))), ",").alias("numbers"))
+    return v.items.select("id", F.array_join(F.array_sort(text.numbers(F.col("summary"))), ",").alias("numbers"))
 
 
 @plan("language_share", """, p AS (SELECT source_id, length(regexp_replace(raw_text, '[^\\pL]', '', 'g')) AS n, length(regexp_replace(raw_text, '[^a-zA-ZäöüßÄÖÜ]', '', 'g')) AS inside, lower(raw_text) AS low FROM items)
@@ -166,12 +166,12 @@ def _(v):
     return ingest.collapse_albums(e.select((F.col("user_id") * 100000 + hour).cast("double").alias("album"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "view", "").otherwise(F.col("event_type")).alias("caption")))
 
 
-@plan("deleted_posts", """, l AS (SELECT 'src' || source_id AS peer, id AS number, id % 9 = 0 OR source_id = 4 AS gone FROM items WHERE source_id % 2 = 0),
+@plan("deleted_posts", """, l AS (SELECT 'src' || source_id AS peer, id AS number, id % 9 = 0 OR source_id = 4 AS gone FROM items WHERE message_id LIKE 'tg!_%' ESCAPE '!'),
 b AS (SELECT *, (row_number() OVER (PARTITION BY peer ORDER BY number) - 1) // 5 AS batch FROM l),
 c AS (SELECT *, count(*) OVER w AS n, count(*) FILTER (gone) OVER w AS g FROM b WINDOW w AS (PARTITION BY peer, batch))
 SELECT 'https://t.me/' || peer || '/' || number AS url FROM c WHERE gone AND NOT (n > 1 AND n = g)""")
 def _(v):
-    rows = v.items.filter("source_id % 2 = 0").select(F.concat(F.lit("src"), "source_id").alias("peer"), F.col("id").alias("number"), ((F.col("id") % 9 == 0) | (F.col("source_id") == 4)).alias("empty"))
+    rows = v.items.filter(F.col("message_id").startswith("tg_")).select(F.concat(F.lit("src"), "source_id").alias("peer"), F.col("id").alias("number"), ((F.col("id") % 9 == 0) | (F.col("source_id") == 4)).alias("empty"))
     links = rows.select(F.concat(F.lit("https://t.me/"), "peer", F.lit("/"), "number").alias("url"))
     return ingest.deleted_posts(links, rows, 5)
 
