@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from newsloom.plans import operations, registry, stories, streams, texts
+from newsloom.plans import operations, registry, stories, streams, texts, triage
 
-MODULES = [operations, texts, stories, streams]
+MODULES = [operations, texts, stories, streams, triage]
 
 
 def queries() -> dict:

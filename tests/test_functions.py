@@ -85,6 +85,7 @@ def test_lines():
     assert span("Fed cut", "Fed") == "Fed cut"
     assert span("У Полтаві чутно вибухи", "вибух в Полтаві").startswith("Полтаві")
     assert span("Kyiv Council adopts budget", None) == "adopts"
-    assert plain.rule_title("= Licensed under X. More") == "Licensed under X" and len(plain.rule_title("word " * 30)) <= 46
+    assert plain.rule_title("= Licensed") == "= exact phrases" and plain.rule_title("Adverts") == "Adverts" and plain.rule_title(": Adverts: shops, sales") == "Adverts…"
+    assert plain.rule_title("Posts that ask the reader to subscribe to a channel") == "Posts that ask the reader to subscribe…" and len(plain.rule_title("word " * 30)) <= 46
     assert plain.image_note("a [b]\n c") == "[Image: a (b) c]" and plain.image_note(" ") == ""
     assert plain.without_feed_footer("T (x)", "Body.\nThe post T (x) appeared first on Site.") == "Body." and plain.without_feed_footer("T", "The post office first appeared on stamps.") == "The post office first appeared on stamps."
