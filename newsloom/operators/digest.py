@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.operators.graph import cut
+
 LINES_PER_SOURCE = 50
 
 
@@ -40,22 +42,23 @@ def reply_parents(replies: DataFrame, store: DataFrame, shown: DataFrame) -> Dat
     return out.select("id", "parent_id", F.when(F.col("line_source") != F.col("parent_source"), F.col("told_by")).alias("shown_as"))
 
 
-def threads(spark: SparkSession, lines: DataFrame) -> DataFrame:
+def threads(lines: DataFrame) -> DataFrame:
     """Digest, id, place, nested: each answer right under its original, depth first; loops go out once, at the end.
 
-    lines: digest, id, position, parent (null or elsewhere: a top line). Levels are found by a recursive
-    query, one join a level; a path tells the order.
+    lines: digest, id, position, parent (null or elsewhere: a top line). A line's path is the positions
+    from its top line down; paths double in length each round, so depth costs its logarithm.
     """
-    lines.createOrReplaceTempView("newsloom_thread_lines")
-    tree = spark.sql("""
-      WITH RECURSIVE tree (digest, id, path, depth) AS (
-        SELECT digest, id, CAST(lpad(CAST(position AS STRING), 9, '0') AS STRING), 0 FROM newsloom_thread_lines l
-        WHERE parent IS NULL OR NOT EXISTS (SELECT 1 FROM newsloom_thread_lines p WHERE p.digest = l.digest AND p.id = l.parent)
-        UNION ALL
-        SELECT c.digest, c.id, concat(t.path, '/', lpad(CAST(c.position AS STRING), 9, '0')), t.depth + 1
-        FROM tree t JOIN newsloom_thread_lines c ON c.digest = t.digest AND c.parent = t.id)
-      SELECT * FROM tree""")
-    rows = lines.join(tree, ["digest", "id"], "left")
-    path = F.coalesce("path", F.concat(F.lit("~"), F.lpad(F.col("position").cast("string"), 9, "0")))
-    w = Window.partitionBy("digest").orderBy(path)
-    return rows.select("digest", "id", F.row_number().over(w).alias("place"), (F.coalesce("depth", F.lit(0)) > 0).alias("nested"))
+    here = lines.select("digest", F.col("id").alias("parent"), F.lit(True).alias("here"))
+    step = F.lpad(F.col("position").cast("string"), 12, "0")
+    rows = lines.join(here, ["digest", "parent"], "left").select("digest", "id", "position", F.when(F.col("here"), F.col("parent")).alias("up"), step.alias("path"), F.col("here").isNotNull().alias("nested"))
+    now = cut(rows.select("digest", "id", "position", "up", "path", "nested"))
+    most, rounds = now.count(), 0
+    while 2**rounds <= 2 * most and not now.filter("up IS NOT NULL").isEmpty():
+        above = now.select("digest", F.col("id").alias("up"), F.col("up").alias("next"), F.col("path").alias("head"))
+        now = cut(now.join(above, ["digest", "up"], "left").select("digest", "id", "position", F.col("next").alias("up"), F.concat_ws("/", "head", "path").alias("path"), "nested"))
+        rounds += 1
+    # whoever still has something above is in a loop, or answers one
+    loop = F.col("up").isNotNull()
+    order = F.when(loop, F.concat(F.lit("~"), F.lpad(F.col("position").cast("string"), 12, "0"))).otherwise(F.col("path"))
+    w = Window.partitionBy("digest").orderBy(order)
+    return now.select("digest", "id", F.row_number().over(w).alias("place"), (F.col("nested") & ~loop).alias("nested"))

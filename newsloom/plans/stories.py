@@ -282,7 +282,7 @@ SELECT digest, id, row_number() OVER (PARTITION BY digest ORDER BY path) AS plac
 def _(v):
     t = F.col("turn")
     lines = v.table("conversations").select(F.col("conv_id").alias("digest"), t.alias("id"), t.alias("position"), F.when(t % 5 == 4, t + 500).when(t > 0, F.nullif(F.floor(t / 2), t)).alias("parent"))
-    return digest.threads(v.spark, lines)
+    return digest.threads(lines)
 
 
 @plan("unembedded", "SELECT source_id, count(*) AS n FROM items WHERE lower(trim(coalesce(nullif(summary, ''), raw_text))) NOT IN ('', 'no text', 'no caption', 'media') AND id NOT IN (SELECT id FROM vectors) GROUP BY 1")

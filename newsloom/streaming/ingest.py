@@ -36,8 +36,9 @@ def ingest(posts: DataFrame, store: str, checkpoint: str, retention: str = "30 d
     """ST02/ST07: each message is stored once, however often it is polled or a batch is retried.
 
     Duplicates within the retention fall to the watermarked state; what the store already has falls to
-    an anti-join in the batch, so a restart with a lost checkpoint doesn't store twice either. A batch
-    is written into a folder of its own number: writing it again replaces it.
+    an anti-join in the batch, so a restart with a lost checkpoint doesn't store twice either; it looks
+    back as far as the retention, as the state does. A batch is written into a folder of its own
+    number: writing it again replaces it.
     """
     spark = posts.sparkSession
     fresh = posts.withWatermark("published_at", retention).dropDuplicatesWithinWatermark(["message_id"])
@@ -46,10 +47,14 @@ def ingest(posts: DataFrame, store: str, checkpoint: str, retention: str = "30 d
         folder = spark._jvm.org.apache.hadoop.fs.Path(store)
         files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
         rows = batch.select("message_id", "source_id", "published_at")
+        first = batch.agg(F.min("published_at")).first()[0]
+        if first is None:
+            return
         if files.exists(folder):
             have = spark.read.option("basePath", store).parquet(store)
             if "batch" in have.columns:
-                rows = unseen(rows, have.filter(F.col("batch") != number))
+                recent = F.col("published_at") >= F.lit(first) - F.expr(f"INTERVAL {retention}")
+                rows = unseen(rows, have.filter((F.col("batch") != number) & recent))
         rows.write.mode("overwrite").parquet(f"{store}/batch={number}")
 
     fresh.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

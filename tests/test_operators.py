@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from newsloom.operators import dedup, graph, judge, merge, render, reposts, rules, similarity, state
+from newsloom.operators import dedup, digest, graph, judge, merge, render, reposts, rules, similarity, state
 
 
 def test_components_and_cycles(spark):
@@ -86,6 +86,30 @@ def test_merged_line_and_links(spark):
     assert [x.url for x in line.shown] == ["u1", "v2", "v3", "v4"] and line.more == 2
 
 
+def test_threads_and_loops(spark):
+    lines = [(1, 1, 1, None), (1, 2, 2, 5), (1, 3, 3, 1), (1, 4, 4, 3), (1, 5, 5, 99), (1, 6, 6, 7), (1, 7, 7, 6), (1, 8, 8, 1), (2, 1, 1, None), *[(3, i, i, i - 1 if i else None) for i in range(140)]]
+    df = spark.createDataFrame(lines, "digest long, id long, position long, parent long")
+    got = digest.threads(df).orderBy("digest", "place").collect()
+    assert [(r.id, r.nested) for r in got if r.digest == 1] == [(1, False), (3, True), (4, True), (8, True), (5, False), (2, True), (6, False), (7, False)]
+    assert [r.id for r in got if r.digest == 3] == list(range(140))
+    assert digest.threads(df.limit(0)).count() == 0
+
+
+def test_ingest_stores_once_over_restarts(spark, tmp_path):
+    from newsloom.streaming import ingest
+
+    folder, store = tmp_path / "in", str(tmp_path / "store")
+    def arrive(ids):
+        rows = spark.createDataFrame([(i, i % 7, f'{{"k": {i}}}') for i in ids], "event_id long, user_id long, props string")
+        rows.selectExpr("event_id", "timestamp_ntz'2024-01-01 00:00:00' as ts", "user_id", "'view' as event_type", "1.0D as value", "props").write.mode("append").parquet(str(folder))
+
+    for checkpoint, ids in (("a", range(20)), ("a", range(10, 30)), ("b", range(25, 35))):
+        arrive(ids)
+        ingest.ingest(ingest.posts_stream(spark, str(folder), "*.parquet"), store, str(tmp_path / checkpoint))
+    rows = [r.message_id for r in spark.read.parquet(store).collect()]
+    assert len(rows) == len(set(rows)) == 35
+
+
 def test_packing():
     blocks = render.source_blocks("N", [(1, "a" * 30), (2, "b" * 30), (3, "c" * 30)], limit=110)
     assert [ids for _, ids in blocks] == [[1, 2], [3]] and all(len(t) <= 110 for t, _ in blocks)
