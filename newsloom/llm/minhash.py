@@ -17,8 +17,10 @@
    a group are never emitted: a round's output is linear in bucket members until the last.
 5. Confirmed links make components by large-star and small-star steps.
 
-Large buckets are compared in tiles of TILE members, so memory stays bounded; a bucket of one
-component, however large, is never compared again.
+Buckets of more than CHUNK members are dealt to several tasks. In the first round each part is on its
+own (what should meet across parts does so in other bands or later); in later rounds members outside
+the largest component meet all members, part against part. A bucket of one component, however large,
+is never compared again.
 
 Defined results: null or blank texts have the empty set (n_shingles 0) and link with nothing, even
 among each other; a text of fewer words than a shingle has one shingle, its whole sequence; null
@@ -44,6 +46,8 @@ FINE = 1024
 LOW_BITS = 4
 MARGIN = 3.5
 TILE = 1024
+#: Members of a bucket that one task compares.
+CHUNK = 1024
 #: Members of a large bucket that others are compared with in the first round, and its hubs.
 SAMPLE, HUBS = 256, 16
 #: Proposals of a member in each later round; afterwards all.
@@ -188,37 +192,34 @@ def _confirm_batches(batches: Iterator[pa.RecordBatch], percent: int) -> Iterato
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
 
-def propose(nodes: np.ndarray, comps: np.ndarray, sigs: np.ndarray, refuted: list, least: float, count: int, threshold: float, top: int = 1, every: bool = False) -> tuple[np.ndarray, ...]:
+def propose(nodes: np.ndarray, comps: np.ndarray, sigs: np.ndarray, refuted: list, role: np.ndarray, least: float, count: int, threshold: float, top: int = 1, every: bool = False) -> tuple[np.ndarray, ...]:
     """(member, partner, estimate, degree of the partner), by place: proposals between components of one bucket.
 
-    every: members outside the largest component look at all members, for their `top` best partners;
-    otherwise all members look at a sample and at the hubs, for the best partner and the best hub.
+    Members whose role has bit 1 propose to those whose role has bit 2. every: their `top` best
+    partners of all; otherwise the best of a sample and of the hubs, and the best hub.
     """
-    size = len(nodes)
-    ids, group, sizes = np.unique(comps, return_inverse=True, return_counts=True)
     none = np.zeros(0, np.int64)
-    if len(ids) < 2:
+    rows, columns = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
+    if not len(rows) or not len(columns) or (comps == comps[0]).all():
         return none, none, np.zeros(0), none
-    sample = np.arange(size) if size <= SAMPLE else np.sort(np.argsort(mix64(nodes.view(np.uint64)), kind="stable")[:SAMPLE])
-    degree = np.zeros(size, np.int64)
-    for i in range(0, size, TILE):
-        degree[i : i + TILE] = (similarity(sigs[i : i + TILE, None, :], sigs[None, sample, :], count) >= threshold).sum(1)
-    hubs = np.argsort(-degree, kind="stable")[:HUBS]
-    rows = np.flatnonzero(group != sizes.argmax()) if every else np.arange(size)
-    columns = np.arange(size) if every else np.union1d(sample, hubs)
-    is_hub = np.isin(columns, hubs)
+    degree = np.zeros(len(nodes), np.int64)
+    if not every:
+        sample = columns if len(columns) <= SAMPLE else np.sort(columns[np.argsort(mix64(nodes[columns].view(np.uint64)), kind="stable")[:SAMPLE]])
+        for i in range(0, len(nodes), TILE):
+            degree[i : i + TILE] = (similarity(sigs[i : i + TILE, None, :], sigs[None, sample, :], count) >= threshold).sum(1)
+        hubs = columns[np.argsort(-degree[columns], kind="stable")[:HUBS]]
+        columns = np.union1d(sample, hubs)
+        is_hub = np.isin(columns, hubs)
     place = {int(x): i for i, x in enumerate(nodes[columns])} if any(refuted[r] for r in rows) else {}
     out: list[tuple[np.ndarray, ...]] = []
     for i in range(0, len(rows), TILE // 4):
         mine = rows[i : i + TILE // 4]
-        best_of: list[np.ndarray] = []
-        parts = []
+        est = np.empty((len(mine), len(columns)))
         for j in range(0, len(columns), TILE):
             cols = columns[j : j + TILE]
-            est = similarity(sigs[mine, None, :], sigs[None, cols, :], count)
-            est[comps[mine][:, None] == comps[cols][None, :]] = -1
-            parts.append(est)
-        est = np.concatenate(parts, 1)
+            part = similarity(sigs[mine, None, :], sigs[None, cols, :], count)
+            part[comps[mine][:, None] == comps[cols][None, :]] = -1
+            est[:, j : j + TILE] = part
         for k, r in enumerate(mine):
             for other in refuted[r] or ():
                 if (p := place.get(other, -1)) >= 0:
@@ -226,18 +227,17 @@ def propose(nodes: np.ndarray, comps: np.ndarray, sigs: np.ndarray, refuted: lis
         if top >= est.shape[1]:
             r, c = np.nonzero(est >= least)
         else:
-            c = np.argpartition(-est, top - 1, axis=1)[:, :top]
+            c = np.argpartition(-est, top - 1, axis=1)[:, :top].ravel()
             r = np.repeat(np.arange(len(mine)), top)
-            c = c.ravel()
             keep = est[r, c] >= least
             r, c = r[keep], c[keep]
-        best_of.append(np.stack([r, c]))
-        if not every and is_hub.any():
+        found = [np.stack([r, c])]
+        if not every:
             rank = np.where((est >= least) & is_hub[None, :], degree[columns][None, :], -1)
             c = rank.argmax(1)
             r = np.flatnonzero(rank[np.arange(len(mine)), c] >= 0)
-            best_of.append(np.stack([r, c[r]]))
-        r, c = np.concatenate(best_of, 1)
+            found.append(np.stack([r, c[r]]))
+        r, c = np.concatenate(found, 1)
         out.append((mine[r], columns[c], est[r, c], degree[columns[c]]))
     return tuple(np.concatenate([x[i] for x in out]) for i in range(4))
 
@@ -249,10 +249,10 @@ def _first_meeting(buckets: np.ndarray, bands: np.ndarray, i: np.ndarray, j: np.
 
 
 def _proposal_batches(batches: Iterator[pa.RecordBatch], least: float, count: int, threshold: float, top: int, every: bool) -> Iterator[pa.RecordBatch]:
-    for table, cuts in whole_runs(batches, "bucket"):
+    for table, cuts in whole_runs(batches, "run"):
         nodes, comps = table["node"].to_numpy(), table["component"].to_numpy()
         sigs = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint64).reshape(len(nodes), -1)
-        refuted = table["refuted"].to_pylist()
+        refuted, role = table["refuted"].to_pylist(), table["role"].to_numpy()
         two = cuts[:-1][np.diff(cuts) == 2]  # most buckets: a pair
         est = similarity(sigs[two], sigs[two + 1], count)
         good = (est >= least) & (comps[two] != comps[two + 1])
@@ -260,7 +260,7 @@ def _proposal_batches(batches: Iterator[pa.RecordBatch], least: float, count: in
         found = [(two[good], two[good] + 1, est[good], np.ones(int(good.sum()), np.int64))]
         for s, e in zip(cuts[:-1], cuts[1:], strict=True):
             if e - s > 2:
-                i, j, est, degree = propose(nodes[s:e], comps[s:e], sigs[s:e], refuted[s:e], least, count, threshold, top, every)
+                i, j, est, degree = propose(nodes[s:e], comps[s:e], sigs[s:e], refuted[s:e], role[s:e], least, count, threshold, top, every)
                 found.append((i + s, j + s, est, degree))
         i, j, est, degree = (np.concatenate([p[k] for p in found]) for k in range(4))
         if every and len(i):
@@ -291,13 +291,15 @@ class NearDuplicates:
         reps = self.sketches.select("_file", "_row", "bands", "signature").join(own, ["_file", "_row"])
         rows = materialise(reps.select("node", "_file", "_row", "signature", "bands"), "reps")
         spread = rows.select("node", F.explode("bands").alias("bucket"))
-        shared = materialise(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("bucket"), "shared")
+        shared = materialise(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "shared")
         self.buckets = materialise(spread.join(shared, "bucket"), "buckets")
         inside = self.buckets.select("node").distinct()
         met = materialise(rows.join(inside, "node", "left_semi"), "met")
         self.sets = self._sets(met)
 
-        first = self.buckets.withColumn("component", F.col("node")).join(met.select("node", "signature"), "node").withColumn("refuted", F.lit(None).cast("array<long>")).withColumn("bands", F.lit(None).cast("array<long>"))
+        part = F.pmod(F.xxhash64("node", "bucket"), F.ceil(F.col("size") / CHUNK))
+        run = F.when(F.col("size") <= CHUNK, F.col("bucket")).otherwise(F.xxhash64("bucket", part))
+        first = self.buckets.withColumn("component", F.col("node")).withColumn("run", run).withColumn("role", F.lit(3)).join(met.select("node", "signature"), "node").withColumn("refuted", F.lit(None).cast("array<long>")).withColumn("bands", F.lit(None).cast("array<long>"))
         proposed = self._proposals(first, PERMUTATIONS, 1, False)
         best = proposed.groupBy("a").agg(F.max(F.struct("est", "b")).alias("near"), F.max(F.struct("degree", "est", "b")).alias("hub"))
         pairs = best.select("a", F.explode(F.array("near.b", "hub.b")).alias("b"))
@@ -337,15 +339,26 @@ class NearDuplicates:
     def _proposals(self, rows: DataFrame, count: int, top: int, every: bool) -> DataFrame:
         threshold = self.percent / 100
         least = floor_estimate(threshold, count)
-        rows = rows.select("bucket", "node", "component", "signature", "refuted", "bands").repartition("bucket").sortWithinPartitions("bucket")
+        rows = rows.select("run", "role", "bucket", "node", "component", "signature", "refuted", "bands").repartition("run").sortWithinPartitions("run")
         return rows.mapInArrow(lambda it: _proposal_batches(it, least, count, threshold, top, every), "a long, b long, est double, degree long")
 
     def _open(self, labels: DataFrame, refuted: DataFrame, top: int) -> DataFrame:
         """New candidate pairs between components, from buckets that hold several."""
         at = self.buckets.select("bucket", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        open_ = at.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
+        sizes = at.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket")
+        open_ = sizes.agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("top")).filter("comps > 1")
+        open_ = open_.select("bucket", F.col("top.component").alias("largest"), F.ceil(F.col("size") / CHUNK).alias("parts"), F.ceil((F.col("size") - F.col("top.n")) / CHUNK).alias("row_parts"))
+        at = at.join(materialise(open_, "open"), "bucket")
+        outside = F.col("component") != F.col("largest")
+        # small buckets are one run; of others, parts of the outside meet parts of all
+        whole = at.filter("parts = 1").select("bucket", "node", "component", F.col("bucket").alias("run"), F.when(outside, 3).otherwise(2).alias("role"))
+        deal = lambda n: F.pmod(F.xxhash64("node", "bucket"), F.col(n))
+        large = at.filter("parts > 1")
+        proposers = large.filter(outside).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("bucket", "node", "component", F.xxhash64("bucket", deal("row_parts"), F.col("j").cast("bigint")).alias("run"), F.lit(1).alias("role"))
+        partners = large.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("row_parts") - 1))).select("bucket", "node", "component", F.xxhash64("bucket", F.col("i").cast("bigint"), deal("parts")).alias("run"), F.lit(2).alias("role"))
+        at = whole.union(proposers).union(partners)
         no = refuted.select("a", "b").union(refuted.select("b", "a")).groupBy("a").agg(F.collect_set("b").alias("refuted")).withColumnRenamed("a", "node")
-        rows = at.join(open_, "bucket", "left_semi").join(self.sets.select("node", F.col("fine").alias("signature"), "bands"), "node").join(no, "node", "left")
+        rows = at.join(self.sets.select("node", F.col("fine").alias("signature"), "bands"), "node").join(no, "node", "left")
         return self._proposals(rows, FINE, top, True)
 
     @property

@@ -96,7 +96,7 @@ def test_proposals_skip_refuted_and_own_component():
     sets = [base, base[:-20], base[20:], base[:-30]]
     sigs = [minhash.sketch(s, np.array([0, len(s)]))[2].view(np.uint64)[0] for s in sets]
     nodes, comps = np.array([1, 2, 3, 4]), np.array([1, 1, 3, 3])
-    find = lambda no, **how: [nodes[x] for x in minhash.propose(nodes, comps, np.array(sigs), no, 0.6, minhash.PERMUTATIONS, 0.8, **how)[:2]]
+    find = lambda no, **how: [nodes[x] for x in minhash.propose(nodes, comps, np.array(sigs), no, np.full(4, 3), 0.6, minhash.PERMUTATIONS, 0.8, **how)[:2]]
     a, b = find([None] * 4)
     cross = {(1, 3), (1, 4), (2, 3), (2, 4)}
     assert {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist(), strict=True)} <= cross and set(a.tolist()) == {1, 2, 3, 4}
@@ -110,6 +110,7 @@ def test_large_buckets_are_searched_in_rounds(spark, monkeypatch):
     monkeypatch.setattr(minhash, "SAMPLE", 4)
     monkeypatch.setattr(minhash, "HUBS", 2)
     monkeypatch.setattr(minhash, "TILE", 16)
+    monkeypatch.setattr(minhash, "CHUNK", 32)
     rng = random.Random(9)
     base = [f"w{i}" for i in range(150)]
     rows = []
