@@ -18,32 +18,32 @@ _QUEUE = """, queue AS (
 SELECT id, category, source_name, source_type, strftime(published_at, '%Y-%m-%d %H:%M:%S') AS published,
        row_number() OVER (PARTITION BY digest_day ORDER BY category, source_sort_order NULLS FIRST, source_id, published_at NULLS FIRST, id) AS position FROM queue""")
 def _(v):
-    return queue.positions(queue.unsent(v.items, v.sources)).select("id", "category", "source_name", "source_type", clock.stamp(F.col("published_at")).alias("published"), "position")
+    return queue.positions(queue.unsent(v.posts, v.sources)).select("id", "category", "source_name", "source_type", clock.stamp(F.col("published_at")).alias("published"), "position")
 
 
 @plan("queue_of_categories", f"""{_QUEUE} SELECT id, source_name FROM queue WHERE category IN ('crypto', 'other')""")
 def _(v):
-    return queue.unsent(v.items, v.sources, ["crypto", "other"]).select("id", "source_name")
+    return queue.unsent(v.posts, v.sources, ["crypto", "other"]).select("id", "source_name")
 
 
 @plan("queue_count", f"""{_QUEUE} SELECT count(*) AS n FROM queue""")
 def _(v):
-    return queue.unsent(v.items, v.sources).agg(F.count(F.lit(1)).alias("n"))
+    return queue.unsent(v.posts, v.sources).agg(F.count(F.lit(1)).alias("n"))
 
 
 @plan("needs_summary", "SELECT id FROM items WHERE trim(summary) = '' AND trim(raw_text) <> ''")
 def _(v):
-    return queue.needs_summary(v.items).select("id")
+    return queue.needs_summary(v.posts).select("id")
 
 
 @plan("sent_but_empty", "SELECT i.id, s.prompt_extra AS source_prompt_extra FROM items i LEFT JOIN sources s ON s.id = i.source_id WHERE sent AND trim(summary) = '' AND trim(raw_text) <> '' ORDER BY i.id DESC LIMIT 5")
 def _(v):
-    return queue.sent_but_empty(v.items, v.sources).select("id", "source_prompt_extra")
+    return queue.sent_but_empty(v.posts, v.sources).select("id", "source_prompt_extra")
 
 
 @plan("recent_texts", "SELECT id, source_id, md5(raw_text) AS text_md5, rank FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY id DESC) AS rank FROM items) WHERE rank <= 7")
 def _(v):
-    return queue.newest_of_each_source(v.items, 7).select("id", "source_id", F.md5("raw_text").alias("text_md5"), "rank")
+    return queue.newest_of_each_source(v.posts, 7).select("id", "source_id", F.md5("raw_text").alias("text_md5"), "rank")
 
 
 @plan("vector_pool", "SELECT i.id, i.sent, s.sort_order AS source_sort_order, len(v.v) AS dims FROM items i JOIN vectors v USING (id) LEFT JOIN sources s ON s.id = i.source_id, present WHERE blocked_reason IS NULL AND processed_at >= as_of - INTERVAL 600 HOUR")
@@ -80,7 +80,7 @@ def _(v):
 
 @plan("stats_totals", "SELECT count(*) FILTER (processed_at >= as_of - INTERVAL 24 HOUR) AS total, count(*) FILTER (NOT sent) AS pending FROM items, present")
 def _(v):
-    return analytics.totals(v.items, v.as_of)
+    return analytics.totals(v.posts, v.as_of)
 
 
 _BY_SOURCE = """, per_source AS (
@@ -112,14 +112,14 @@ _SILENT = """, last AS (SELECT source_id, max(processed_at) AS last_item_at FROM
 
 @plan("silent_sources", f"{_SILENT} SELECT id, name, strftime(last_item_at, '%Y-%m-%d %H:%M:%S') AS last_item, hours_silent FROM silent")
 def _(v):
-    return analytics.silent(v.items, v.sources, v.as_of, 8).select("id", "name", clock.stamp(F.col("last_item_at")).alias("last_item"), "hours_silent")
+    return analytics.silent(v.posts, v.sources, v.as_of, 8).select("id", "name", clock.stamp(F.col("last_item_at")).alias("last_item"), "hours_silent")
 
 
 @plan("silent_fresh", f"{_SILENT} SELECT id FROM silent WHERE id NOT IN (2, 4, 6)")
 def _(v):
     """Silent sources that weren't reported yet."""
     already = v.spark.range(2, 8, 2)
-    return analytics.silent(v.items, v.sources, v.as_of, 8).select("id").join(already, "id", "left_anti")
+    return analytics.silent(v.posts, v.sources, v.as_of, 8).select("id").join(already, "id", "left_anti")
 
 
 @plan("source_health", """SELECT source_id, round(epoch(max(as_of) - max(processed_at)) / 3600, 6) AS hours_since, count(*) FILTER (processed_at >= as_of - INTERVAL 7 DAY) AS week_total,
@@ -192,7 +192,7 @@ def _(v):
 
 @plan("source_counts", f"{_SILENT} SELECT category, count(*) AS sources, count(*) FILTER (status = 'paused') AS paused, (SELECT count(*) FROM silent q WHERE q.category = s.category) AS quiet FROM sources s GROUP BY category")
 def _(v):
-    return analytics.source_counts(v.sources, analytics.silent(v.items, v.sources, v.as_of, 8))
+    return analytics.source_counts(v.sources, analytics.silent(v.posts, v.sources, v.as_of, 8))
 
 
 @plan("home_state", f"""{_QUEUE}{_SILENT}
@@ -200,7 +200,7 @@ SELECT (SELECT count(*) FROM queue) AS pending, (SELECT count(*) FROM silent) AS
        (SELECT count(*) FROM sources WHERE status = 'error') AS error, (SELECT count(*) FROM sources WHERE status = 'paused') AS paused, (SELECT arg_max(status, sent_at) FROM digest_log) AS last_status,
        (SELECT strftime(max(sent_at), '%Y-%m-%d %H:%M:%S') FROM digest_log) AS last_digest""")
 def _(v):
-    return analytics.home_state(v.sources, queue.unsent(v.items, v.sources), analytics.silent(v.items, v.sources, v.as_of, 8), v.digest_log)
+    return analytics.home_state(v.sources, queue.unsent(v.posts, v.sources), analytics.silent(v.posts, v.sources, v.as_of, 8), v.digest_log)
 
 
 @plan("failure_streaks", """, polls AS (SELECT user_id AS source_id, ts AS moment, event_type = 'error' AS failed, event_id AS seq FROM events),
@@ -214,7 +214,7 @@ def _(v):
 
 @plan("message_ids", "SELECT id, message_id FROM items")
 def _(v):
-    return v.items.select("id", "message_id")
+    return v.posts.select("id", "message_id")
 
 
 _INCOMING = """, incoming AS (SELECT id AS no, CASE WHEN id % 4 = 0 THEN message_id ELSE message_id || '_new' END AS message_id FROM items)"""
@@ -222,23 +222,23 @@ _INCOMING = """, incoming AS (SELECT id AS no, CASE WHEN id % 4 = 0 THEN message
 
 def _incoming(v):
     m = F.col("message_id")
-    return v.items.select(F.col("id").alias("no"), F.when(F.col("id") % 4 == 0, m).otherwise(F.concat(m, F.lit("_new"))).alias("message_id"))
+    return v.posts.select(F.col("id").alias("no"), F.when(F.col("id") % 4 == 0, m).otherwise(F.concat(m, F.lit("_new"))).alias("message_id"))
 
 
 @plan("seen_semi", f"{_INCOMING} SELECT no FROM incoming WHERE message_id IN (SELECT message_id FROM items)")
 def _(v):
-    return state.seen(_incoming(v), v.items).select("no")
+    return state.seen(_incoming(v), v.posts).select("no")
 
 
 @plan("unseen_anti", f"{_INCOMING} SELECT no FROM incoming WHERE message_id NOT IN (SELECT message_id FROM items)")
 def _(v):
-    return state.unseen(_incoming(v), v.items).select("no")
+    return state.unseen(_incoming(v), v.posts).select("no")
 
 
 @plan("insert_or_ignore", """SELECT c.message_id, turn FROM (SELECT 'tg_src0_' || conv_id AS message_id, min(turn) AS turn FROM conversations GROUP BY 1) c WHERE c.message_id NOT IN (SELECT message_id FROM items)""")
 def _(v):
     incoming = v.table("conversations").select(F.concat(F.lit("tg_src0_"), F.col("conv_id")).alias("message_id"), "turn")
-    return state.insert_or_ignore(v.items, incoming, "message_id", [F.col("turn")]).select("message_id", "turn")
+    return state.insert_or_ignore(v.posts, incoming, "message_id", [F.col("turn")]).select("message_id", "turn")
 
 
 @plan("mark_duplicates", "SELECT id, sent OR duplicate_of IS NOT NULL AS sent, duplicate_of FROM items")
@@ -257,24 +257,24 @@ def _(v):
 @plan("discard_queue", "SELECT id, md5(CASE WHEN trim(coalesce(summary, '')) = '' THEN substr(raw_text, 1, 200) ELSE summary END) AS summary_md5 FROM items WHERE NOT sent AND source_id IN (SELECT id FROM sources WHERE status = 'paused')")
 def _(v):
     paused = v.sources.filter("status = 'paused'").select(F.col("id").alias("source_id"))
-    return state.discard_queue(v.items, paused).filter("discarded").select("id", F.md5("summary").alias("summary_md5"))
+    return state.discard_queue(v.posts, paused).filter("discarded").select("id", F.md5("summary").alias("summary_md5"))
 
 
 @plan("retention_prune", "SELECT source_id, count(*) AS n FROM items, present WHERE NOT (sent AND processed_at < as_of - INTERVAL 10 DAY) GROUP BY 1")
 def _(v):
-    return state.prune(v.items, v.as_of, 10).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
+    return state.prune(v.posts, v.as_of, 10).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @plan("engagement_refresh", """, c AS (SELECT event_id % 1000 AS id, arg_max(CAST(floor(value) AS BIGINT), (ts, event_id)) AS views, max(ts) AS seen FROM events GROUP BY 1)
 SELECT i.id, CASE WHEN c.id IS NOT NULL AND NOT sent THEN c.views ELSE i.views END AS views, strftime(CASE WHEN NOT sent THEN seen END, '%Y-%m-%d %H:%M:%S') AS engagement FROM items i LEFT JOIN c USING (id)""")
 def _(v):
     counters = v.table("events").select((F.col("event_id") % 1000).alias("id"), F.floor("value").cast("bigint").alias("views"), F.col("ts").cast("timestamp").alias("seen_at"), F.col("event_id").alias("seq"))
-    return state.refresh_counters(v.items, counters).select("id", "views", clock.stamp(F.col("engagement_at")).alias("engagement"))
+    return state.refresh_counters(v.posts, counters).select("id", "views", clock.stamp(F.col("engagement_at")).alias("engagement"))
 
 
 @plan("bookmarks", "SELECT s.id, greatest(last_message_id, (SELECT max(id) FROM items i WHERE i.source_id = s.id)) AS last_message_id FROM sources s")
 def _(v):
-    polled = v.items.select("source_id", F.col("id").alias("message_no"))
+    polled = v.posts.select("source_id", F.col("id").alias("message_no"))
     return state.advance_bookmarks(v.sources, polled).select("id", "last_message_id")
 
 
@@ -295,7 +295,7 @@ def _(v):
 
 @plan("reassign_source", "SELECT id, CASE WHEN source_id = 3 AND NOT sent THEN 'feed' ELSE category END AS category FROM items")
 def _(v):
-    return state.reassign(v.items, 3, "feed").select("id", "category")
+    return state.reassign(v.posts, 3, "feed").select("id", "category")
 
 
 @plan("place_at_bottom", "SELECT id, coalesce((SELECT max(sort_order) FROM sources o WHERE o.category = s.category AND o.id <> s.id), -1) + 1 AS bottom FROM sources s")

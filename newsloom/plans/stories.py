@@ -21,7 +21,7 @@ alike AS (SELECT * FROM pair WHERE a_source <> b_source AND score >= CASE WHEN a
 
 
 def _emb(v):
-    return similarity.embedded(v.items, v.vectors)
+    return similarity.embedded(v.posts, v.vectors)
 
 
 @plan("cosine_counts", f"{_EMBEDDED} SELECT digest, count(*) AS pairs, count(*) FILTER (score >= 0.3) AS near, round(max(score), 6) AS top FROM pair GROUP BY 1")
@@ -47,7 +47,7 @@ def _(v):
 
 @plan("within_source_clusters", f"{_EMBEDDED}, own AS (SELECT * FROM pair WHERE a_source = b_source AND score >= 0.15){_REACH.format(edges='own', nodes='items')} SELECT id, component FROM comp")
 def _(v):
-    return similarity.clusters(v.items, similarity.digest_pairs(_emb(v), 0.15, 0.15, within_source=True))
+    return similarity.clusters(v.posts, similarity.digest_pairs(_emb(v), 0.15, 0.15, within_source=True))
 
 
 @plan("cluster_min_cosine", f"{_EMBEDDED}, own AS (SELECT * FROM pair WHERE a_source = b_source AND score >= 0.15){_REACH.format(edges='own', nodes='emb')} SELECT x.component, round(min(score), 6) AS least FROM pair JOIN comp x ON x.id = a JOIN comp y ON y.id = b AND x.component = y.component GROUP BY 1")
@@ -64,7 +64,7 @@ m AS (SELECT c.id, p.id AS sid, list_cosine_similarity(c.v, p.v) AS score, c.sou
   WHERE list_cosine_similarity(c.v, p.v) >= CASE WHEN c.category = p.category THEN 0.1 ELSE 0.2 END)
 SELECT id, arg_max(sid, (score, -sid)) FILTER (NOT follow) AS best_id, round(max(score) FILTER (NOT follow), 6) AS best_score, arg_max(sid, (score, -sid)) FILTER (follow) AS follow_id FROM m GROUP BY 1""")
 def _(v):
-    rows = _emb(v)
+    rows = similarity.embedded(v.items, v.vectors)
     out = similarity.pool_matches(rows.filter("NOT sent"), rows.filter("sent AND blocked_reason IS NULL"), 48, 0.1, 0.2, NEAR)
     return out.select("id", "best_id", F.round("best_score", 6).alias("best_score"), "follow_id")
 
@@ -90,7 +90,7 @@ cand AS (SELECT m.id, b.id AS primary_id FROM member m JOIN best b USING (compon
 def _members(v, pairs=None):
     rows = _emb(v)
     pairs = similarity.digest_pairs(rows, SAME, CROSS) if pairs is None else pairs
-    return dedup.with_richness(queue.with_source(v.items, v.sources)).join(similarity.clusters(rows, pairs), "id")
+    return dedup.with_richness(queue.with_source(v.posts, v.sources)).join(similarity.clusters(rows, pairs), "id")
 
 
 @plan("primary_selection", f"{_MEMBERS} SELECT id, primary_id FROM cand")
@@ -110,7 +110,7 @@ def _ladder(v):
     members = _members(v)
     found = dedup.candidates(members)
     side = lambda c, p: _emb(v).select(F.col("id").alias(c), F.col("v").alias(f"{p}v"), F.col("norm").alias(f"{p}n"), F.col("category").alias(f"{p}c"))
-    rich = dedup.with_richness(v.items).select("id", "richness")
+    rich = dedup.with_richness(v.posts).select("id", "richness")
     asked = found.join(side("id", "x"), "id").join(side("primary_id", "y"), "primary_id").join(rich, "id").join(rich.toDF("primary_id", "primary_richness"), "primary_id")
     asked = asked.select("id", "primary_id", vec.cosine(F.col("xv"), F.col("yv"), F.col("xn"), F.col("yn")).alias("score"), (F.col("primary_id") % 4 == 0).alias("shown"), (F.col("xc") == F.col("yc")).alias("same_category"), "richness", "primary_richness", (F.col("id") % 11 == 0).alias("other_night"))
     mark = lambda c, n: v.labelled.select(F.col("id").alias(c), F.col("label").alias(n))
@@ -133,7 +133,7 @@ best2 AS (SELECT component, id, source_id FROM member2 QUALIFY row_number() OVER
 SELECT m.id, b.id AS survivor_id FROM member2 m JOIN best2 b USING (component) JOIN pair p ON p.a = least(m.id, b.id) AND p.b = greatest(m.id, b.id) WHERE m.id <> b.id AND m.source_id <> b.source_id AND p.score >= 0.1""")
 def _(v):
     kept = _ladder(v).filter("outcome = 'kept'").select("id", "primary_id")
-    members = dedup.with_richness(queue.with_source(v.items, v.sources)).select("id", "source_id", "category", "source_type", "source_sort_order", "richness", "published_at")
+    members = dedup.with_richness(queue.with_source(v.posts, v.sources)).select("id", "source_id", "category", "source_type", "source_sort_order", "richness", "published_at")
     return dedup.regroup(kept, members, similarity.digest_pairs(_emb(v), 0.1, 0.1), 0.1)
 
 
@@ -144,7 +144,7 @@ SELECT id, spot AS primary_id FROM ends WHERE r = 1 AND spot NOT IN (SELECT id F
 def _(v):
     n = F.col("id")
     nxt = F.when(n % 3 != 0, F.floor(n / 2)).when(n % 90 == 30, n + 60).when((n % 90 == 0) & (n > 0), n - 60)
-    hidden = v.items.select("id", nxt.cast("bigint").alias("primary_id")).filter("primary_id IS NOT NULL AND primary_id <> id")
+    hidden = v.posts.select("id", nxt.cast("bigint").alias("primary_id")).filter("primary_id IS NOT NULL AND primary_id <> id")
     ended = dedup.survivors(hidden)
     return ended.join(hidden.select(F.col("id").alias("primary_id")), "primary_id", "left_anti").select("id", "primary_id")
 
@@ -193,7 +193,7 @@ _SCOPED = """, norm AS (SELECT id, category, source_id, digest, replace(lower(tr
 @plan("literal_filter", f"""{_SCOPED} SELECT id, CASE WHEN regexp_matches(t, 'licensed\\s+under') AND category IN ('feed', 'tech') THEN '= licensed under' WHEN regexp_matches(t, 'er\\s*[-–—]+\\s*st') AND category = 'finance' AND source_id IN (5, 9) THEN '= er–st'
   WHEN regexp_matches(t, 'the') AND source_id IN (1, 6, 11) THEN '= The' END AS hit FROM norm""")
 def _(v):
-    return rules.literal_hits(v.items, rules.scoped(v.rules, v.rule_categories, v.rule_sources)).select("id", "hit")
+    return rules.literal_hits(v.posts, rules.scoped(v.rules, v.rule_categories, v.rule_sources)).select("id", "hit")
 
 
 _CHUNKS = """, chunks AS (SELECT id, digest, category, source_id, (row_number() OVER (PARTITION BY digest ORDER BY category, id) - 1) // 10 AS chunk FROM items WHERE NOT sent),
@@ -205,7 +205,7 @@ shown AS (SELECT DISTINCT digest, chunk, word_id FROM chunks JOIN scope ON (cats
 SELECT a.id, s.rule FROM answers a JOIN chunks c ON c.digest = a.digest AND c.chunk = a.chunk AND c.id = a.id JOIN scope s ON s.word_id = a.word_id SEMI JOIN shown h ON h.digest = a.digest AND h.chunk = a.chunk AND h.word_id = a.word_id
 WHERE coalesce(confidence, 10) >= 8 AND (cats IS NULL OR list_contains(cats, category)) AND (srcs IS NULL OR list_contains(srcs, source_id))""")
 def _(v):
-    chunks = rules.chunked(v.items.filter("NOT sent"))
+    chunks = rules.chunked(v.posts.filter("NOT sent"))
     n = F.col("id")
     answers = chunks.select("digest", F.when(n % 14 == 0, F.col("chunk") + 1).otherwise(F.col("chunk")).alias("chunk"), "id", F.element_at(F.array(*map(F.lit, (1, 3, 2, 7))), (n % 4 + 1).cast("int")).cast("bigint").alias("word_id"), F.when(n % 5 != 0, n % 11).alias("confidence"))
     return rules.valid_blocks(chunks, rules.scoped(v.rules, v.rule_categories, v.rule_sources), answers)
@@ -217,16 +217,16 @@ u AS (SELECT * FROM k UNION ALL SELECT digest, id, -id - 1 FROM items WHERE (dig
 SELECT digest, group_no, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM u GROUP BY 1, 2""")
 def _(v):
     n = F.col("id")
-    named = v.items.filter("views IS NOT NULL").select("digest", (n % 9).alias("group_no"), (n + F.when(n % 10 == 3, 100000).when(n % 10 == 4, 1).otherwise(0)).alias("id"))
-    out = rules.normalise_groups(v.items, named.groupBy("digest", "group_no").agg(F.collect_list("id").alias("ids")))
+    named = v.posts.filter("views IS NOT NULL").select("digest", (n % 9).alias("group_no"), (n + F.when(n % 10 == 3, 100000).when(n % 10 == 4, 1).otherwise(0)).alias("id"))
+    out = rules.normalise_groups(v.posts, named.groupBy("digest", "group_no").agg(F.collect_list("id").alias("ids")))
     return out.select("digest", "group_no", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"))
 
 
 @plan("route_apply", "SELECT id, CASE WHEN NOT sent AND id % 4 = 0 THEN 'tech' WHEN NOT sent AND id % 4 = 1 THEN 'crypto' ELSE category END AS category FROM items")
 def _(v):
     n = F.col("id")
-    answers = v.items.select("id", F.when(n % 4 == 0, "tech").when(n % 4 == 1, "crypto").when(n % 4 == 2, "nowhere").alias("category"))
-    return rules.route(v.items, answers, ["tech", "crypto"]).select("id", "category")
+    answers = v.posts.select("id", F.when(n % 4 == 0, "tech").when(n % 4 == 1, "crypto").when(n % 4 == 2, "nowhere").alias("category"))
+    return rules.route(v.posts, answers, ["tech", "crypto"]).select("id", "category")
 
 
 @plan("war_block", """, young AS (SELECT digest, id, published_at, id % 20 // 10 AS chunk, id % 25 = 0 AS overview FROM items, present WHERE category = 'feed' AND epoch(as_of - published_at) <= 400 * 3600),
@@ -235,13 +235,13 @@ f AS (SELECT *, min(CASE WHEN overview AND chunk = top THEN id END) OVER (PARTIT
 SELECT digest, id, row_number() OVER (PARTITION BY digest ORDER BY CASE WHEN id = lead THEN 0 ELSE 1 END, published_at, id) AS place FROM f""")
 def _(v):
     n = F.col("id")
-    answers = v.items.filter("category = 'feed'").select("digest", F.floor(n % 20 / 10).alias("chunk"), "id", (n % 25 == 0).alias("overview"))
-    return rules.folded_reports(v.items, answers, v.as_of, most_hours=400)
+    answers = v.posts.filter("category = 'feed'").select("digest", F.floor(n % 20 / 10).alias("chunk"), "id", (n % 25 == 0).alias("overview"))
+    return rules.folded_reports(v.posts, answers, v.as_of, most_hours=400)
 
 
 @plan("filterable", """SELECT i.id, trim(coalesce(nullif(summary, ''), raw_text)) NOT IN ('', 'no text') AND NOT coalesce(contains(prompt_extra, 'no filter'), false) AS filterable FROM items i LEFT JOIN sources s ON s.id = i.source_id WHERE NOT sent AND coalesce(status, '') <> 'paused'""")
 def _(v):
-    return rules.filterable(queue.unsent(v.items, v.sources)).select("id", "filterable")
+    return rules.filterable(queue.unsent(v.posts, v.sources)).select("id", "filterable")
 
 
 _SHOWN = """, shown AS (SELECT i.*, coalesce(s.name, 'Unknown') AS source_name FROM items i LEFT JOIN sources s ON s.id = i.source_id WHERE NOT sent AND duplicate_of IS NULL),
@@ -290,7 +290,7 @@ def _(v):
     from newsloom.functions.text import is_placeholder, strip
 
     text = strip(F.coalesce(F.nullif(F.col("summary"), F.lit("")), F.col("raw_text")))
-    return v.items.filter((text != "") & ~is_placeholder(text)).join(v.vectors.select("id"), "id", "left_anti").groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
+    return v.posts.filter((text != "") & ~is_placeholder(text)).join(v.vectors.select("id"), "id", "left_anti").groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def digest_lines(v):

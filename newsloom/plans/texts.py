@@ -21,12 +21,12 @@ FROM (SELECT id, chr(12644) || substr(raw_text, 1, 10) || chr(8203) || chr(65039
 def _(v):
     t = F.col("raw_text")
     x = F.concat(F.lit("ㅤ"), F.substring(t, 1, 10), F.lit("​️"), F.substring(t, 11, 50), F.lit("⠀­"))
-    return v.items.select("id", F.md5(text.clean_invisible(x)).alias("text_md5"))
+    return v.posts.select("id", F.md5(text.clean_invisible(x)).alias("text_md5"))
 
 
 @plan("repost_keys", "SELECT id, md5(CASE WHEN length(k) >= 100 THEN k ELSE '' END) AS key_md5 FROM (SELECT id, regexp_replace(lower(raw_text), '[^\\pL\\pN_]+', '', 'g') AS k FROM items)")
 def _(v):
-    return v.items.select("id", F.md5(text.repost_key(F.col("raw_text"))).alias("key_md5"))
+    return v.posts.select("id", F.md5(text.repost_key(F.col("raw_text"))).alias("key_md5"))
 
 
 @plan("placeholders", f"""SELECT id, coalesce(lower(trim(t)) IN ('no text', 'no caption', 'media') OR (trim(t) LIKE '[%]' AND length(trim(t)) <= 20), false) AS untold,
@@ -61,7 +61,7 @@ def _(v):
     rest = F.substr(raw, F.locate("\n", F.concat(raw, F.lit("\n"))) + 1, F.lit(80))
     body = F.when(n % 5 == 0, "").when(n % 5 == 1, F.substring(raw, 1, 20)).otherwise(rest)
     summary = F.when(n % 3 == 0, F.concat(F.lit("Points: "), n, F.lit(" # Comments: 2"))).when(n % 3 == 1, "Points: none")
-    return v.items.select("id", F.md5(text.compose(F.split_part(raw, F.lit("\n"), F.lit(1)), body)).alias("text_md5"), text.votes(summary).alias("votes"))
+    return v.posts.select("id", F.md5(text.compose(F.split_part(raw, F.lit("\n"), F.lit(1)), body)).alias("text_md5"), text.votes(summary).alias("votes"))
 
 
 @plan("source_links", "SELECT id, CASE WHEN type = 'telegram' THEN 'https://t.me/' || substr(url, 2) ELSE url END AS link, -chat_id - 1000000000000 AS chat FROM sources")
@@ -77,7 +77,7 @@ SELECT id, CASE WHEN h < 1 THEN greatest(CAST(floor(h * 60) AS INT), 1) || 'm ag
        CAST(dayofyear(processed_at) AS INT) AS issue FROM h""")
 def _(v):
     at = F.col("processed_at")
-    return v.items.select("id", clock.ago(clock.hours_between(v.as_of, at)).alias("age"), clock.day_label(at, v.as_of).alias("day_label"), F.dayofyear(at).alias("issue"))
+    return v.posts.select("id", clock.ago(clock.hours_between(v.as_of, at)).alias("age"), clock.day_label(at, v.as_of).alias("day_label"), F.dayofyear(at).alias("issue"))
 
 
 @plan("parse_times", f"""SELECT n.name, coalesce((SELECT string_agg(CAST(h * 60 + m AS VARCHAR), ',' ORDER BY k) FROM (
@@ -96,20 +96,20 @@ def _(v):
 
 @plan("richness", """SELECT id, CAST(length(trim(regexp_replace(regexp_replace(regexp_replace(raw_text, 'https?://\\S+', '', 'g'), '^\\s*(\\[[^\\]]{0,300}\\]\\s*)+', ''), '\\s+', ' ', 'g'))) // 150 AS INT) AS richness FROM items""")
 def _(v):
-    return v.items.select("id", text.richness(F.col("raw_text")).alias("richness"))
+    return v.posts.select("id", text.richness(F.col("raw_text")).alias("richness"))
 
 
 @plan("named_numbers", """, x AS (SELECT id, regexp_extract_all(regexp_replace(regexp_replace(summary, '(\\d)[ ,](\\d\\d\\d)\\b', '\\1\\2', 'g'), '(\\d)[ ,](\\d\\d\\d)\\b', '\\1\\2', 'g'), '(\\d+(?:\\.\\d+)?)', 1) AS a FROM items)
 SELECT id, coalesce(array_to_string(list_sort(list_distinct(a)), ','), '') AS numbers FROM x""")
 def _(v):
-    return v.items.select("id", F.array_join(F.array_sort(text.numbers(F.col("summary"))), ",").alias("numbers"))
+    return v.posts.select("id", F.array_join(F.array_sort(text.numbers(F.col("summary"))), ",").alias("numbers"))
 
 
 @plan("language_share", """, p AS (SELECT source_id, length(regexp_replace(raw_text, '[^\\pL]', '', 'g')) AS n, length(regexp_replace(raw_text, '[^a-zA-ZäöüßÄÖÜ]', '', 'g')) AS inside, lower(raw_text) AS low FROM items)
 SELECT source_id, round(avg(CASE WHEN NOT regexp_matches(low, '[ñçéèê]') AND inside / n >= 0.4 AND regexp_matches(low, '[äöüß]') THEN 1.0 ELSE 0.0 END), 6) AS share, count(*) AS judged FROM p WHERE n >= 40 GROUP BY 1 HAVING count(*) >= 10""")
 def _(v):
     t = F.col("raw_text")
-    rows = v.items.filter(text.letters(t) >= 40).select("source_id", text.reads_as(t, "a-zA-ZäöüßÄÖÜ", "äöüß", "ñçéèê").cast("double").alias("reads"))
+    rows = v.posts.filter(text.letters(t) >= 40).select("source_id", text.reads_as(t, "a-zA-ZäöüßÄÖÜ", "äöüß", "ñçéèê").cast("double").alias("reads"))
     return rows.groupBy("source_id").agg(F.round(F.avg("reads"), 6).alias("share"), F.count(F.lit(1)).alias("judged")).filter("judged >= 10")
 
 
@@ -131,7 +131,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY source_id, late ORDER BY po
 
 def _entries(v):
     url = F.when(F.col("source_id") == 3, "https://blog.late.example.net/feed").otherwise("https://src.example.com/feed")
-    rows = v.items.select("id", "source_id", "raw_text", "published_at", url.alias("url"), (F.col("source_id") % 4 == 1).alias("new_source"))
+    rows = v.posts.select("id", "source_id", "raw_text", "published_at", url.alias("url"), (F.col("source_id") % 4 == 1).alias("new_source"))
     return rows.withColumn("position", F.row_number().over(Window.partitionBy("source_id").orderBy(F.col("id").desc())))
 
 
@@ -149,13 +149,13 @@ def _(v):
 @plan("gap_report", "SELECT source_id, count(*) AS skipped FROM items i JOIN sources s ON s.id = i.source_id, present WHERE s.type = 'telegram' AND last_message_id > 0 AND epoch(as_of - published_at) / 3600 > 48 GROUP BY 1")
 def _(v):
     s = v.sources.filter("type = 'telegram'").select(F.col("id").alias("source_id"), "last_message_id")
-    return ingest.gap_report(v.items.join(s, "source_id").select("source_id", "published_at", "last_message_id"), v.as_of)
+    return ingest.gap_report(v.posts.join(s, "source_id").select("source_id", "published_at", "last_message_id"), v.as_of)
 
 
 @plan("poll_page", "SELECT source_id, id, rank FROM (SELECT source_id, i.id, row_number() OVER (PARTITION BY source_id ORDER BY i.id DESC) AS rank FROM items i JOIN sources s ON s.id = i.source_id WHERE i.id > s.last_message_id) WHERE rank <= 20")
 def _(v):
     s = v.sources.select(F.col("id").alias("source_id"), "last_message_id")
-    posts = v.items.select("source_id", F.col("id").alias("message_no")).join(s, "source_id")
+    posts = v.posts.select("source_id", F.col("id").alias("message_no")).join(s, "source_id")
     return ingest.after_bookmark(posts, 20).select("source_id", F.col("message_no").alias("id"), "rank")
 
 
@@ -171,7 +171,7 @@ b AS (SELECT *, (row_number() OVER (PARTITION BY peer ORDER BY number) - 1) // 5
 c AS (SELECT *, count(*) OVER w AS n, count(*) FILTER (gone) OVER w AS g FROM b WINDOW w AS (PARTITION BY peer, batch))
 SELECT 'https://t.me/' || peer || '/' || number AS url FROM c WHERE gone AND NOT (n > 1 AND n = g)""")
 def _(v):
-    rows = v.items.filter(F.col("message_id").startswith("tg_")).select(F.concat(F.lit("src"), "source_id").alias("peer"), F.col("id").alias("number"), ((F.col("id") % 9 == 0) | (F.col("source_id") == 4)).alias("empty"))
+    rows = v.posts.filter(F.col("message_id").startswith("tg_")).select(F.concat(F.lit("src"), "source_id").alias("peer"), F.col("id").alias("number"), ((F.col("id") % 9 == 0) | (F.col("source_id") == 4)).alias("empty"))
     links = rows.select(F.concat(F.lit("https://t.me/"), "peer", F.lit("/"), "number").alias("url"))
     return ingest.deleted_posts(links, rows, 5)
 
@@ -185,7 +185,7 @@ def _(v):
 
 @plan("defer_empty", """SELECT id, trim(summary) = '' AND epoch(as_of - processed_at) / 86400 < 3 AS deferred, md5(CASE WHEN trim(summary) = '' AND epoch(as_of - processed_at) / 86400 >= 3 THEN '⚠️ ' || split_part(substr(regexp_replace(raw_text, '^\\s+|\\s+$', '', 'g'), 1, 80), chr(10), 1) ELSE summary END) AS summary_md5 FROM items, present WHERE NOT sent""")
 def _(v):
-    return ingest.defer_empty(v.items.filter("NOT sent"), v.as_of).select("id", "deferred", F.md5("summary").alias("summary_md5"))
+    return ingest.defer_empty(v.posts.filter("NOT sent"), v.as_of).select("id", "deferred", F.md5("summary").alias("summary_md5"))
 
 
 _LINES = """, lined AS (SELECT id, source_id, list_filter([regexp_replace(x, '^\\s+|\\s+$', '', 'g') FOR x IN string_split(raw_text, chr(10))], lambda x: x <> '') AS l FROM items),
@@ -195,7 +195,7 @@ signed AS (SELECT source_id, line FROM ends GROUP BY ALL HAVING count(DISTINCT b
 
 @plan("footer_lines", f"{_LINES} SELECT source_id, md5(line) AS line_md5 FROM signed")
 def _(v):
-    lines = v.items.select("source_id", text.text_lines(F.col("raw_text")).alias("lines"))
+    lines = v.posts.select("source_id", text.text_lines(F.col("raw_text")).alias("lines"))
     return reposts.footer_round(lines, 3).select("source_id", F.md5("line").alias("line_md5"))
 
 
@@ -203,7 +203,7 @@ _KEYED = """, keyed AS (SELECT id, source_id % 2 AS source_id, processed_at, dup
 
 
 def _keyed(v):
-    rows = v.items.select("id", (F.col("source_id") % 2).alias("source_id"), "raw_text", F.col("processed_at").alias("moment"), (F.col("id") % 10 == 0).alias("hidden"), F.col("sent").alias("pool"))
+    rows = v.posts.select("id", (F.col("source_id") % 2).alias("source_id"), "raw_text", F.col("processed_at").alias("moment"), (F.col("id") % 10 == 0).alias("hidden"), F.col("sent").alias("pool"))
     return reposts.with_keys(rows, None)
 
 
@@ -221,4 +221,4 @@ def _(v):
 @plan("tally_nights", """, t AS (SELECT id, processed_at, lag(id) OVER w AS earlier_id, epoch(processed_at - lag(processed_at) OVER w) / 3600 AS apart FROM items WHERE regexp_matches(raw_text, '(?i)(licensed|token)[^.]{0,120}\\d+') WINDOW w AS (PARTITION BY source_id ORDER BY processed_at, id))
 SELECT id, earlier_id FROM t WHERE earlier_id IS NOT NULL AND apart >= 10""")
 def _(v):
-    return reposts.tally_nights(v.items.select("id", "source_id", "raw_text", F.col("processed_at").alias("moment")), r"(?i)(licensed|token)[^.]{0,120}\d+")
+    return reposts.tally_nights(v.posts.select("id", "source_id", "raw_text", F.col("processed_at").alias("moment")), r"(?i)(licensed|token)[^.]{0,120}\d+")

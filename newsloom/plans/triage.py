@@ -12,7 +12,7 @@ from newsloom.plans.texts import _LINES
 
 @plan("image_reads", "SELECT id, length(regexp_replace(raw_text, '[^\\pL]', '', 'g')) < 80 AS few FROM items")
 def _(v):
-    return v.items.select("id", triage.few_own_words(F.col("raw_text")).alias("few"))
+    return v.posts.select("id", triage.few_own_words(F.col("raw_text")).alias("few"))
 
 
 @plan("shown_as_written", """SELECT i.id, length(regexp_replace(raw_text, '^\\s+|\\s+$', '', 'g')) < 80 AND (length(regexp_replace(raw_text, '[^\\pL]', '', 'g')) < 4 OR (NOT regexp_matches(lower(raw_text), '[ñçéèê]') AND length(regexp_replace(raw_text, '[^a-zA-ZäöüßÄÖÜ]', '', 'g')) / greatest(length(regexp_replace(raw_text, '[^\\pL]', '', 'g')), 1) >= 0.4 AND regexp_matches(lower(raw_text), '[äöüß]'))
@@ -20,14 +20,14 @@ def _(v):
 def _(v):
     raw = F.col("raw_text")
     reads = text.reads_as(text.without_media_prefix(raw), "a-zA-ZäöüßÄÖÜ", "äöüß", "ñçéèê")
-    return queue.with_source(v.items, v.sources).select("id", triage.shown_as_written(raw, F.col("source_prompt_extra"), reads).alias("written"))
+    return queue.with_source(v.posts, v.sources).select("id", triage.shown_as_written(raw, F.col("source_prompt_extra"), reads).alias("written"))
 
 
 @plan("unsigned_posts", f"""{_LINES}, signs AS (SELECT source_id, list(DISTINCT line) AS s FROM signed GROUP BY 1)
 SELECT id FROM lined JOIN signs USING (source_id) WHERE len(l) > 0 AND len(list_filter(s, lambda x: ends_with(l[-1], x))) = 0""")
 def _(v):
-    signs = reposts.footer_round(v.items.select("source_id", text.text_lines(F.col("raw_text")).alias("lines")), 3)
-    return triage.unsigned(v.items, signs).select("id")
+    signs = reposts.footer_round(v.posts.select("source_id", text.text_lines(F.col("raw_text")).alias("lines")), 3)
+    return triage.unsigned(v.posts, signs).select("id")
 
 
 @plan("young_sources", """, l AS (SELECT s.id, (SELECT max(processed_at) FROM items i WHERE i.source_id = s.id AND i.sent AND i.duplicate_of IS NOT NULL) AS last_item_at, as_of - to_hours(CAST(s.id * 10 AS INT)) AS created_at, as_of FROM sources s, present)
@@ -82,7 +82,7 @@ SELECT id, classify_attempts, md5(CASE WHEN classify_attempts >= 5 AND trim(summ
 def _(v):
     n = v.table("documents").count()
     failures = v.table("events").filter("event_type = 'error'").select((F.col("event_id") % F.lit(n)).alias("id"))
-    return triage.with_attempts(v.items, failures, 5).select("id", "classify_attempts", F.md5("summary").alias("summary_md5"))
+    return triage.with_attempts(v.posts, failures, 5).select("id", "classify_attempts", F.md5("summary").alias("summary_md5"))
 
 
 @plan("schedule_writes", "SELECT category, hour, minute FROM category_times WHERE NOT (hour = 9 AND minute = 0) UNION SELECT 'feed', 6, 15 UNION SELECT 'feed', 18, 30")
@@ -94,9 +94,9 @@ def _(v):
 
 @plan("slow_digests", "SELECT digest, count(*) AS n, greatest(180.0::DOUBLE, 1.5::DOUBLE * count(*)) AS slow_after FROM items WHERE NOT sent GROUP BY 1")
 def _(v):
-    return v.items.filter("NOT sent").groupBy("digest").agg(F.count(F.lit(1)).alias("n")).withColumn("slow_after", F.greatest(F.lit(180.0), F.lit(1.5) * F.col("n")))
+    return v.posts.filter("NOT sent").groupBy("digest").agg(F.count(F.lit(1)).alias("n")).withColumn("slow_after", F.greatest(F.lit(180.0), F.lit(1.5) * F.col("n")))
 
 
 @plan("measured_ages", "SELECT id, round(epoch(processed_at - published_at) / 3600, 1) AS hours FROM items WHERE published_at IS NOT NULL")
 def _(v):
-    return v.items.filter("published_at IS NOT NULL").select("id", F.round((F.unix_timestamp("processed_at") - F.unix_timestamp("published_at")) / 3600, 1).alias("hours"))
+    return v.posts.filter("published_at IS NOT NULL").select("id", F.round((F.unix_timestamp("processed_at") - F.unix_timestamp("published_at")) / 3600, 1).alias("hours"))

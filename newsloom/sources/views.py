@@ -70,15 +70,13 @@ class Views:
         return self.every_source.filter(F.col("id") != VANISHED)
 
     @cached_property
-    def items(self) -> DataFrame:
-        d, n, s = self.table("documents"), F.col("id"), F.col("source_id")
-        toxic = self.table("labels").filter("toxic = 1").select(F.col("doc_id").alias("id"), F.lit(True).alias("toxic")).distinct()
-        first = self.table("documents").groupBy(F.md5("text").alias("h")).agg(F.min("doc_id").alias("first"))
-        base = d.select(F.col("doc_id").alias("id"), self.source_number(F.col("source")).alias("source_id"), F.col("text").alias("raw_text"), F.md5("text").alias("h"))
+    def posts(self) -> DataFrame:
+        """Items without what other tables and other rows say about them: one scan, no join."""
+        n, s = F.col("id"), F.col("source_id")
+        base = self.table("documents").select(F.col("doc_id").alias("id"), self.source_number(F.col("source")).alias("source_id"), F.col("text").alias("raw_text"))
         at = minutes_after(EPOCH, n * 40)
         published = minutes_after(EPOCH, n * 40 - n * 7 % 240)
-        rows = base.join(toxic, "id", "left").join(first, "h", "left")
-        return rows.select(
+        return base.select(
             "id", "source_id",
             self.message_id(F.when(s % 2 == 0, "telegram").otherwise("rss"), F.concat(F.lit("src"), s), n).alias("message_id"),
             F.concat(F.lit("https://example.org/src"), s, F.lit("/"), n).alias("original_url"),
@@ -89,13 +87,21 @@ class Views:
             at.alias("processed_at"),
             (n % 3 != 0).alias("sent"),
             (n % 5).cast("int").alias("classify_attempts"),
-            F.nullif(F.col("first"), n).alias("duplicate_of"),
-            F.when(F.col("toxic"), F.element_at(F.array(F.lit("ads"), F.lit("war"), F.lit("gone rule")), (n % 3 + 1).cast("int"))).alias("blocked_reason"),
             F.when(n % 13 != 0, n * 37 % 1000).alias("views"),
             at.cast("date").alias("digest_day"),
             F.floor(n / ITEMS_A_DIGEST).alias("digest"),
         )
 
+    @cached_property
+    def items(self) -> DataFrame:
+        """posts, with the first post of the same text and the rule that blocked each."""
+        n = F.col("id")
+        toxic = self.table("labels").filter("toxic = 1").select(F.col("doc_id").alias("id"), F.lit(True).alias("toxic")).distinct()
+        first = self.table("documents").groupBy(F.md5("text").alias("h")).agg(F.min("doc_id").alias("first"))
+        rows = self.posts.withColumn("h", F.md5("raw_text")).join(toxic, "id", "left").join(first, "h", "left")
+        reason = F.element_at(F.array(F.lit("ads"), F.lit("war"), F.lit("gone rule")), (n % 3 + 1).cast("int"))
+        return rows.select(*self.posts.columns, F.nullif(F.col("first"), n).alias("duplicate_of"), F.when(F.col("toxic"), reason).alias("blocked_reason"))
+
     @staticmethod
     def message_id(kind: Column, url: Column, raw_id: Column) -> Column:
         """The identity of a post, from its source's kind and url and its own number."""
