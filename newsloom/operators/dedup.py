@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import richness
-from newsloom.operators.graph import follow
+from newsloom.operators.graph import components, cut, follow
 from newsloom.operators.judge import Judge
 
 
@@ -54,12 +54,10 @@ def regroup(kept: DataFrame, members: DataFrame, scores: DataFrame, floor: float
 
     kept: id, primary_id; members: rank_key's columns and category; scores: a < b, score (of different sources).
     """
-    rows = kept.join(members, "id")
+    rows = cut(kept.join(members, "id"))
     side = lambda p: rows.select("primary_id", *[F.col(c).alias(f"{p}_{c}") for c in ("id", "source_id", "category")])
     edges = side("x").join(side("y"), "primary_id").filter("x_id < y_id AND x_source_id <> y_source_id AND x_category = y_category")
     edges = edges.join(scores.filter(F.col("score") >= floor), (F.col("x_id") == F.col("a")) & (F.col("y_id") == F.col("b")), "left_semi").select(F.col("x_id").alias("a"), F.col("y_id").alias("b"))
-    from newsloom.operators.graph import components
-
     groups = rows.join(components(rows.select("id").distinct(), edges), "id")
     pairs = candidates(groups).select("id", F.col("primary_id").alias("survivor_id"))
     near = scores.filter(F.col("score") >= floor).select(F.col("a").alias("lo"), F.col("b").alias("hi"))

@@ -1,22 +1,29 @@
-"""Iterations over edge and pointer tables; each round is checkpointed to the shared folder."""
+"""Iterations over edge and pointer tables; each round is written to the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the folder the cluster names (our own only where none is named)."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir; our own only where none is named, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = "file://" + tempfile.mkdtemp(prefix="newsloom-")
         spark.conf.set("spark.checkpoint.dir", where)
-    spark.sparkContext.setCheckpointDir(where)
-    return df.checkpoint(eager=True)
+    return where.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df as a table of its own: computed once, lineage cut, safe from lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/newsloom-cut-{uuid.uuid4().hex}"
+    schema = df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import vectors as vec
 from newsloom.operators import analytics, dedup, digest, merge, queue, render, rules, similarity
+from newsloom.operators.graph import cut
 from newsloom.operators.judge import TableJudge
 from newsloom.plans.registry import plan
 
@@ -87,10 +88,12 @@ best AS (SELECT component, id, source_id FROM member QUALIFY row_number() OVER (
 cand AS (SELECT m.id, b.id AS primary_id FROM member m JOIN best b USING (component) WHERE m.id <> b.id AND m.source_id <> b.source_id)"""
 
 
-def _members(v, pairs=None):
-    rows = _emb(v)
-    pairs = similarity.digest_pairs(rows, SAME, CROSS) if pairs is None else pairs
-    return dedup.with_richness(queue.with_source(v.posts, v.sources)).join(similarity.clusters(rows, pairs), "id")
+def _members(v):
+    """Posts with a similar one, by component; only their texts are looked at."""
+    pairs = cut(similarity.digest_pairs(_emb(v), SAME, CROSS).select("a", "b"))
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    rows = queue.with_source(v.posts, v.sources).join(similarity.clusters(ends, pairs), "id")
+    return dedup.with_richness(rows)
 
 
 @plan("primary_selection", f"{_MEMBERS} SELECT id, primary_id FROM cand")
@@ -107,10 +110,10 @@ ladder AS (SELECT id, primary_id, CASE WHEN shown AND night THEN 'kept' WHEN sco
 
 
 def _ladder(v):
-    members = _members(v)
-    found = dedup.candidates(members)
+    members = cut(_members(v).drop("raw_text", "summary"))
+    found = cut(dedup.candidates(members))
     side = lambda c, p: _emb(v).select(F.col("id").alias(c), F.col("v").alias(f"{p}v"), F.col("norm").alias(f"{p}n"), F.col("category").alias(f"{p}c"))
-    rich = dedup.with_richness(v.posts).select("id", "richness")
+    rich = members.select("id", "richness")
     asked = found.join(side("id", "x"), "id").join(side("primary_id", "y"), "primary_id").join(rich, "id").join(rich.toDF("primary_id", "primary_richness"), "primary_id")
     asked = asked.select("id", "primary_id", vec.cosine(F.col("xv"), F.col("yv"), F.col("xn"), F.col("yn")).alias("score"), (F.col("primary_id") % 4 == 0).alias("shown"), (F.col("xc") == F.col("yc")).alias("same_category"), "richness", "primary_richness", (F.col("id") % 11 == 0).alias("other_night"))
     mark = lambda c, n: v.labelled.select(F.col("id").alias(c), F.col("label").alias(n))
@@ -132,8 +135,9 @@ comp2 AS (SELECT id, min(x) AS component FROM reach2 GROUP BY 1), member2 AS (SE
 best2 AS (SELECT component, id, source_id FROM member2 QUALIFY row_number() OVER (PARTITION BY component ORDER BY CASE WHEN source_type = 'telegram' THEN 0 ELSE 1 END, -richness, coalesce(source_sort_order, 1e9), coalesce(strftime(published_at, '%Y-%m-%d %H:%M:%S'), '9999'), id) = 1)
 SELECT m.id, b.id AS survivor_id FROM member2 m JOIN best2 b USING (component) JOIN pair p ON p.a = least(m.id, b.id) AND p.b = greatest(m.id, b.id) WHERE m.id <> b.id AND m.source_id <> b.source_id AND p.score >= 0.1""")
 def _(v):
-    kept = _ladder(v).filter("outcome = 'kept'").select("id", "primary_id")
-    members = dedup.with_richness(queue.with_source(v.posts, v.sources)).select("id", "source_id", "category", "source_type", "source_sort_order", "richness", "published_at")
+    kept = cut(_ladder(v).filter("outcome = 'kept'").select("id", "primary_id"))
+    asked = v.posts.join(kept.select("id").distinct(), "id", "left_semi")
+    members = dedup.with_richness(queue.with_source(asked, v.sources)).select("id", "source_id", "category", "source_type", "source_sort_order", "richness", "published_at")
     return dedup.regroup(kept, members, similarity.digest_pairs(_emb(v), 0.1, 0.1), 0.1)
 
 

@@ -10,15 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from newsloom.operators.graph import shared_folder
 from newsloom.operators.state import unseen
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    from newsloom.operators.graph import cut
-
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        cut(spark.range(1))  # names a folder
-    return f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/newsloom-{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/newsloom-{name}-{uuid.uuid4().hex}"
 
 
 def posts_stream(spark: SparkSession, folder: str, files: str) -> DataFrame:
