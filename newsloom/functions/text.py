@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values.
+# What counts as what is part of the results.
 ZERO_WIDTH = "[­​-‍⁠﻿︎️]"
 FILLERS = "[⠀ㅤ]"
 MEDIA_TOKENS = ["[Photo]", "[Video]", "[GIF]", "[Video note]", "[Sticker]", "[Doc]", "[Audio]", "[Voice]", "[Giveaway]", "[Giveaway results]", "[Story]", "[Location]", "[Venue]", "[Contact]", "[Checklist]", "[Paid media]", "[Dice]", "[Game]", "[Invoice]", "[Media]"]
@@ -15,6 +15,13 @@ NO_FILTER = ["no filter", "no_filter", "не фільтрувати", "не бл
 NO_TRANSLATE = ["no translate", "no_translate", "no translation", "без перекладу", "не перекладати", "keep original language"]
 DASHES = "-֊־᐀᠆‐‑‒–—―⸗⸚⸺⸻⹀⹝︱︲﹘﹣－−⁃➖"
 APOSTROPHES = "'‘’ʼʹ′＇`"
+DESCRIPTIONS = [
+    r"""(?i)<meta[^>]+property=["']og:description["'][^>]+content=(["'])((?:(?!\1)[^<>])+)\1""",
+    r"""(?i)<meta[^>]+name=["']description["'][^>]+content=(["'])((?:(?!\1)[^<>])+)\1""",
+    r"""(?i)<meta[^>]+name=["']twitter:description["'][^>]+content=(["'])((?:(?!\1)[^<>])+)\1""",
+    r"""(?i)<meta[^>]+content=(["'])((?:(?!\1)[^<>])+)\1[^>]+property=["']og:description""",
+]
+SITE_WIDE = r"(?i)development by creating an account on GitHub|We.re on a journey to advance and democratize"
 TALLY = r"(?i)(ППО|Повітрян\w+ сил|збил|знешкоджен|знешкодил)[^.]{0,120}\d+|\d+[^.]{0,60}(дрон|БпЛА|безпілот)[^.]{0,80}(ППО|збил|знешкод)"
 
 
@@ -183,14 +190,9 @@ def paragraphs(page: Column, least: int = 80) -> Column:
 def description(page: Column, least: int = 60) -> Column:
     """What the page says about itself, when that is a sentence of its own."""
     out = F.lit("")
-    for pattern in (
-        r"""(?i)<meta[^>]+property=["']og:description["'][^>]+content=(["'])((?:(?!\1)[^<>])+)\1""",
-        r"""(?i)<meta[^>]+name=["']description["'][^>]+content=(["'])((?:(?!\1)[^<>])+)\1""",
-        r"""(?i)<meta[^>]+name=["']twitter:description["'][^>]+content=(["'])((?:(?!\1)[^<>])+)\1""",
-        r"""(?i)<meta[^>]+content=(["'])((?:(?!\1)[^<>])+)\1[^>]+property=["']og:description""",
-    ):
+    for pattern in DESCRIPTIONS:
         text = strip_html(F.regexp_extract(page, pattern, 2))
-        good = (F.length(text) >= least) & ~text.rlike(r"(?i)development by creating an account on GitHub|We.re on a journey to advance and democratize")
+        good = (F.length(text) >= least) & ~text.rlike(SITE_WIDE)
         out = F.when((out == "") & good, text).otherwise(out)
     return out
 
