@@ -227,7 +227,7 @@ class CapFilters:
     @property
     def members(self) -> DataFrame:
         named = self.classes.join(self.links, "node", "left").join(self.labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        heads = named.groupBy("component").agg(F.min("best").alias("head"))
+        heads = materialise(named.groupBy("component").agg(F.min("best").alias("head")), "heads")
         groups = materialise(named.join(heads, "component").select("k1", "k2", "head", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "groups")
         out = self.rows.drop("vector").join(groups, ["k1", "k2"], "left")
         return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("good"), F.col("head.vec_id")).otherwise(F.col("vec_id")).alias("component_id"))

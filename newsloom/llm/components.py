@@ -16,7 +16,8 @@ from newsloom.llm.common import drop_table, materialise
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges (u, v). Large: link larger neighbours to the least one around; small: link the smaller ones and itself."""
     both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u"))) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    # a written table, not an aggregation, on the other side: so Spark can split a hub's rows over tasks
+    least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
     near = both.join(least, "u")
     if large:
         out = near.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -365,7 +365,7 @@ class NearDuplicates:
     def members(self) -> DataFrame:
         """doc_id, n_shingles, component_id, first (this row stands for its component), _file, _row."""
         named = self.classes.join(self.labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        heads = named.groupBy("component").agg(F.min("best").alias("head"))
+        heads = materialise(named.groupBy("component").agg(F.min("best").alias("head")), "heads")
         groups = materialise(named.join(heads, "component").select("d1", "d2", "head"), "groups")
         out = self.sketches.select("doc_id", "_file", "_row", "n", "d1", "d2").join(groups, ["d1", "d2"], "left")
         single = F.col("n") == 0
