@@ -71,3 +71,33 @@ def closest_twins(rows: DataFrame, judged: DataFrame, same: float, cross: float)
     top = each.withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy(F.col("score").desc(), "b"))).filter("n = 1")
     out = top.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score").distinct()
     return out.join(judged.select("a", "b"), ["a", "b"], "left_anti")
+
+
+def usual_length(vectors: DataFrame) -> DataFrame:
+    """The vectors of the length that most have; others come from another model."""
+    most = vectors.agg(F.mode(F.size("v")).alias("n")).first().n
+    return vectors.filter(F.size("v") == F.lit(most))
+
+
+def fill_vectors(items: DataFrame, vectors: DataFrame, embed, batch: int = 60) -> DataFrame:
+    """Vectors, and those of items that have none, from `embed(list of texts) -> list of vectors or None`.
+
+    Batches that fail stay without; nothing is raised. items: id, text.
+    """
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for i in range(0, len(frame), batch):
+                part = frame.iloc[i : i + batch]
+                try:
+                    got = list(embed(list(part["text"])))
+                except Exception:  # fail open, whatever the provider does
+                    continue
+                rows = [(k, [float(x) for x in v]) for k, v in zip(part["id"], got, strict=False) if v is not None]
+                yield pd.DataFrame(rows, columns=["id", "v"])
+
+    missing = items.filter(F.trim(F.coalesce("text", F.lit(""))) != "").join(vectors.select("id"), "id", "left_anti")
+    return vectors.select("id", "v").unionByName(missing.select("id", "text").mapInPandas(run, "id long, v array<float>"))

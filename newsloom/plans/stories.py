@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from newsloom.functions import vectors as vec
-from newsloom.operators import analytics, dedup, digest, merge, queue, render, rules, similarity
+from newsloom.operators import analytics, dedup, digest, merge, queue, render, rules, similarity, story
 from newsloom.operators.graph import cut
 from newsloom.operators.judge import TableJudge
 from newsloom.plans.registry import plan
@@ -321,3 +321,26 @@ def _(v):
     rows = digest_lines(v)
     issue = F.min("day").over(Window.partitionBy("digest"))
     return render.messages(rows.withColumn("issue", issue).drop("day")).select("digest", "seq", "text", F.array_join(F.transform("item_ids", lambda i: i.cast("string")), ",").alias("item_ids"))
+
+
+@plan("vector_lengths", "SELECT id FROM vectors WHERE len(v) = (SELECT mode(len(v)) FROM vectors)")
+def _(v):
+    return similarity.usual_length(v.vectors).select("id")
+
+
+@plan("story_dedup")
+def _(v):
+    """D07 over every digest of the store, judged by the labels."""
+    waiting = queue.unsent(v.items, v.sources)
+    pool = queue.with_source(v.items.filter("sent AND blocked_reason IS NULL"), v.sources)
+    lines = story.Lines(SAME, CROSS, 0.33, 0.36, 0.38, NEAR, 0.27)
+    mark = lambda c, n: v.labelled.select(F.col("id").alias(c), F.col("label").alias(n))
+    both = (F.col("la") + F.col("lb")) % 3
+
+    class Labels:
+        def pairs(self, asked):
+            verdict = F.when(F.col("la") == F.col("lb"), "same").when(both == 0, "update").when(both == 1, "different")
+            return asked.join(mark("a", "la"), "a", "left").join(mark("b", "lb"), "b", "left").withColumn("verdict", verdict).drop("la", "lb")
+
+    hidden, updates = story.deduplicate(waiting, pool, v.vectors, Labels(), lines)
+    return hidden.select("id", F.col("primary_id").alias("other_id"), F.lit("hidden").alias("outcome")).unionByName(updates.select("id", F.col("shown_id").alias("other_id"), F.lit("update").alias("outcome")))
