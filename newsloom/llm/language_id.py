@@ -129,14 +129,14 @@ class Model:
         wide = np.int32(self.symbols)
         for k, root in enumerate(self.roots):
             state = np.full(len(starts), root, np.int32)
-            count = (sizes > 0).astype(np.int64)
+            count = np.zeros(len(starts), np.int64)
             begin = self.go[root * self.symbols : (root + 1) * self.symbols]
             begin = np.where(begin >= 0, begin, root).astype(np.int32)  # an unknown character is a phrase of its own
             for j, n in enumerate(running.tolist()):
                 c = symbols[starts[:n] + j]
                 now = self.go[state[:n] * wide + c]
                 cut = now < 0
-                count[:n] += cut
+                count[:n] += cut | (state[:n] == root)  # a phrase begins after a cut, and where none is open
                 state[:n] = np.where(cut, begin[c], now)
             out[order, k] = count
         return out
