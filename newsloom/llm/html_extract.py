@@ -2,12 +2,14 @@
 
 A page is stripped to lines, one for each block element; a line's weight is its text outside links.
 Lines inside elements that can't be part of the article (navigation, headers, footers, sidebars,
-forms, scripts, notices, adverts, reader comments: by element, role, or words of class and id) keep
-their place but have no text, so the distribution dives there. Where a page marks its article or
-main part, lines outside it are such lines too. Block weights are sums over WINDOW lines from each
-line on. A surge is a block of at least SURGE characters with text right after it, a dive the next
-block of no weight; the text between surges and dives stays, whole. A page without a surge keeps
-the stretch of lines with most text.
+forms, scripts, notices, adverts, reader comments: by element, role, or words of class and id) have
+no text. Where a page marks its article or main part and that has text outside links, all its lines
+stay, links too, and no others. Elsewhere only lines with text count. Block weights are sums over
+WINDOW lines from each line on. A surge is a block of at least SURGE characters with text right after
+it, a dive the next block of no weight; the text between surges and dives stays, whole, and so do
+short stretches between two surges of one container (at most one wrapper apart) and fewer than WINDOW
+link lines in a row before the first or after the last text of their container. A page without a surge keeps the stretch of lines
+with most text. Other runs of link lines on unmarked pages are dropped.
 
 Defined results: null or empty html gives the empty text; pages cut off inside a tag, a comment or an
 element are read as far as they go; equal rows get equal results; other columns are not read.
@@ -68,27 +70,28 @@ def _surrounds(tag: str, attributes: str, inside_main: bool) -> bool:
     return bool(words & WORDS)
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, weight, inside an article or main element) of each line; lines around the article are empty."""
-    out: list[tuple[str, int, bool]] = []
+def lines(page: str) -> list[tuple[str, int, bool, int]]:
+    """(text, weight, inside an article or main element, open block elements) of each line; lines around the article are empty."""
+    out: list[tuple[str, int, bool, int]] = []
     stack: list[tuple[str, bool]] = []  # (element, whether it surrounds the article)
-    skipping = mains = links = 0
+    skipping = mains = links = depth = 0
     text: list[str] = []
     weight = 0
 
     def flush() -> None:
         nonlocal weight
         line = " ".join("".join(text).split())
-        out.append((line, min(weight, len(line)), mains > 0))
+        out.append((line, min(weight, len(line)), mains > 0, depth))
         text.clear()
         weight = 0
 
     def pop() -> None:
-        nonlocal skipping, mains, links
+        nonlocal skipping, mains, links, depth
         tag, skip = stack.pop()
         skipping -= skip
         mains -= tag in ("article", "main")
         links -= tag == "a"
+        depth -= tag not in INLINE
 
     at, size = 0, len(page)
     while at < size:
@@ -132,34 +135,65 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         skipping += skip
         mains += tag in ("article", "main")
         links += tag == "a"
+        depth += tag not in INLINE
     flush()
     return out
 
 
-def select(rows: list[tuple[str, int, bool]]) -> list[str]:
-    """The texts between surge and dive points of the block distribution."""
-    if any(inside and w for _, w, inside in rows):
-        rows = [r if r[2] else ("", 0, False) for r in rows]
-    weights = [w for _, w, _ in rows]
+def select(rows: list[tuple[str, int, bool, int]]) -> list[str]:
+    """The lines of the marked article, or else the texts between surge and dive points of the block distribution."""
+    if any(inside and w for _, w, inside, _ in rows):
+        return [t for t, _, inside, _ in rows if inside and t]
+    texts, weights, depths, lows = [], [], [], []  # lows: fewest open elements since the line before
+    kept, low = set(), 0
+    for t, w, inside, depth in rows:
+        low = min(low, depth)
+        if t:
+            if inside:  # a marked article of links only
+                kept.add(len(texts))
+            texts.append(t)
+            weights.append(w)
+            depths.append(depth)
+            lows.append(low)
+            low = depth
+    n = len(texts)
     blocks, total = [], sum(weights[: WINDOW - 1])
-    for i in range(len(rows)):
-        total += weights[i + WINDOW - 1] if i + WINDOW - 1 < len(rows) else 0
+    for i in range(n):
+        total += weights[i + WINDOW - 1] if i + WINDOW - 1 < n else 0
         blocks.append(total)
         total -= weights[i]
     stretches: list[tuple[int, int, bool]] = []
     i = 0
-    while i < len(rows):
+    while i < n:
         if not blocks[i]:
             i += 1
             continue
         start = i
-        while i < len(rows) and blocks[i]:
+        while i < n and blocks[i]:
             i += 1
         stretches.append((start, i, any(blocks[k] >= SURGE and weights[k] for k in range(start, i))))
-    kept = [s for s in stretches if s[2] or rows[s[1] - 1][2]]  # inside a marked article nothing is dropped
-    if not kept and stretches:
-        kept = [max(stretches, key=lambda s: (sum(weights[s[0] : s[1]]), -s[0]))]
-    return [rows[k][0] for a, b, _ in kept for k in range(a, b) if rows[k][0]]
+    surges = [s for s in stretches if s[2]]
+    if not surges and stretches and not kept:
+        surges = [max(stretches, key=lambda s: (sum(weights[s[0] : s[1]]), -s[0]))]
+    for a, b, _ in surges:
+        first = next(k for k in range(a, b) if weights[k])
+        kept.update(range(first, b))
+        for slack in (1, 2):  # link lines before the first text: of its container, or a wrapper apart
+            start = first
+            while start and not weights[start - 1] and min(lows[start], depths[start - 1]) >= depths[first] - slack:
+                start -= 1
+            if first - start < WINDOW:
+                kept.update(range(start, first))
+        end = b
+        while end < n and not weights[end] and min(lows[end], depths[end]) >= depths[b - 1] - 1:
+            end += 1
+        if end - b < WINDOW:
+            kept.update(range(b, end))
+    for (_, a, _), (b, _, _) in zip(surges, surges[1:], strict=False):
+        b = next(k for k in range(b, n) if weights[k])
+        if min(lows[a : b + 1]) >= max(depths[a - 1], depths[b]) - 2:
+            kept.update(k for k in range(a, b) if blocks[k])
+    return [texts[k] for k in sorted(kept)]
 
 
 def main_text(page: str | None) -> str:

@@ -49,3 +49,21 @@ def test_rows(spark):
     assert sorted(tuple(r) for r in extract(pages).collect() if r.page_id) == [(1, "u", "é x", 3)] * 2
     assert [tuple(r) for r in extract(pages.filter("page_id is null")).collect()] == [(None, None, "", 0)]
     assert extract(pages.limit(0)).count() == 0
+
+
+LONG = "A paragraph that is long enough to be a surge, with words and yet more words in it."
+LINKS = "<ul><li><a href='/1'>One</a><li><a href='/2'>Two</a><li><a href='/3'>Three</a><li><a href='/4'>Four</a></ul>"
+
+
+def test_link_lines_of_an_article_stay():
+    assert main_text(f"<article><p>{LONG}</p><p><a href='/r'>Read the full report</a></p></article>") == f"{LONG} Read the full report"
+    assert main_text(f"<main><p>{LONG}</p>{LINKS}<p>End.</p></main><p>{LONG}") == f"{LONG} One Two Three Four End."
+    assert main_text("<article><p><a href='/r'>Only this</a></p></article>") == "Only this"
+    assert main_text(f"<div><p>{LONG}</p><p><a href='/r'>Read the full report</a></p></div><div>{LINKS}</div>") == f"{LONG} Read the full report"
+
+
+def test_short_lines_in_wrappers_of_their_own_stay():
+    assert main_text(f"<body><div><h1>Short</h1></div><div><p>{LONG}</p></div></body>") == f"Short {LONG}"
+    assert main_text(f"<div><div><p>{LONG}</p></div>\n<div>\n<div>\n<p>Brief.</p>\n</div>\n</div>\n<div>\n<p>{LONG}</p></div></div>") == f"{LONG} Brief. {LONG}"
+    assert "Brief." in main_text(f"<div><p>{LONG}</p>{LINKS}<p>Brief.</p>{LINKS}<p>{LONG}</p></div>")
+    assert main_text(f"<div>{LINKS}</div><div><h1><a href='/'>Linked</a></h1><p>{LONG}</p></div><div>{LINKS}</div>") == f"Linked {LONG}"
