@@ -3,7 +3,8 @@
 A page is stripped to lines, one for each block element; a line's weight is its text outside links.
 Lines inside elements that can't be part of the article (navigation, headers, footers, sidebars,
 forms, scripts, notices, adverts, reader comments: by element, role, or words of class and id) have
-no text. Where a page marks its article or main part and that has text outside links, all its lines
+no text. Words of an element that holds most of the text (of the marked article's, if there is one)
+don't count, nor do names such as has-sidebar or entry-header. Where a page marks its article or main part and that has text outside links, all its lines
 stay, links too, and no others. Elsewhere only lines with text count. Block weights are sums over
 WINDOW lines from each line on. A surge is a block of at least SURGE characters with text right after
 it, a dive the next block of no weight; the text between surges and dives stays, whole, and so do
@@ -46,50 +47,103 @@ WORDS = {
     "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "popup", "modal", "overlay", "alert", "disclaimer",
     "comment", "comments", "commentlist", "disqus", "respond", "replies", "reply", "login", "signup", "search",
 }
+#: Of these, words of what may be longer than the article itself.
+FOREIGN = {"related", "recommended", "comment", "comments", "commentlist", "disqus", "respond", "replies", "reply", "cookie", "cookies", "consent", "gdpr", "newsletter"}
+#: Names of classes that tell of a layout or of an article's own parts, not of what the element is.
+MODIFIER = re.compile(r"(?:has|no|with|without)[-_]|(?:entry|post|article|story)[-_]+header(?![a-z])")
 #: An end tag may be left out: these end when a sibling or a block begins.
 SELF_ENDING = {"p", "li", "dt", "dd", "option", "tr", "td", "th", "thead", "tbody", "tfoot", "colgroup"}
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
-def _surrounds(tag: str, attributes: str, inside_main: bool) -> bool:
-    """Whether the element surrounds the article rather than being part of it."""
+def _surrounds(tag: str, attributes: str, inside_main: bool) -> tuple[bool, set[str]]:
+    """Whether the element certainly surrounds the article, and its words that say so of elements in general."""
     if tag in BOILERPLATE or (tag == "header" and not inside_main):
-        return True
+        return True, set()
     if not attributes or tag in ("html", "body"):
-        return False
+        return False, set()
     found = {}
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         found.setdefault(name.lower(), html.unescape(a or b or c))
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
-        return True
+        return True, set()
     if found.get("role", "").lower() in ROLES:
-        return True
-    words = set(re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", f"{found.get('class', '')} {found.get('id', '')}").lower()))
-    if tag in ("article", "main"):
-        return bool(words & {"comment", "comments", "reply", "related", "sidebar"})
-    return bool(words & WORDS)
+        return True, set()
+    names = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", f"{found.get('class', '')} {found.get('id', '')}").lower().split()
+    words = set(re.split(r"[^a-z0-9]+", " ".join(x for x in names if not MODIFIER.match(x))))
+    if inside_main:
+        words.discard("header")
+    return False, words & ({"comment", "comments", "reply", "related", "sidebar"} if tag in ("article", "main") else WORDS)
+
+
+def _discarded(rows: list[tuple[str, int, bool, int, int]], found: list[tuple[int, bool]]) -> list[bool]:
+    """Whether each element found by its words surrounds the article.
+
+    It doesn't if it holds most of the text, of the marked article's where there is one, or if nothing
+    else has any. FOREIGN elements, of which a page may have more than of its article, are discarded
+    whatever their size, unless there is no surge's worth of text besides.
+    """
+    marked = any(inside and w for _, w, inside, _, _ in rows)
+    weighed = any(r[1] for r in rows)
+    counted = [(w if weighed else len(t), k) for t, w, inside, _, k in rows if inside or not marked]
+    foreign: list[bool] = []
+    for up, f in found:  # outer elements come first
+        foreign.append(f or (up >= 0 and foreign[up]))
+    own = sum(w for w, k in counted if k < 0 or not foreign[k])
+    if own < (1 if marked else SURGE):
+        foreign, own = [False] * len(found), sum(w for w, _ in counted)
+    size = [0] * len(found)
+    for w, k in counted:
+        if k >= 0 and not foreign[k]:
+            size[k] += w
+    for k in range(len(found) - 1, -1, -1):
+        if found[k][0] >= 0:
+            size[found[k][0]] += size[k]
+    stays = [2 * n > own for n in size]
+    gone: list[bool] = []
+    for k, (up, _) in enumerate(found):
+        gone.append(not stays[k] or (up >= 0 and gone[up]))
+    if own and not any(w for w, k in counted if k < 0 or not gone[k]):
+        gone = foreign
+    return gone
 
 
 def lines(page: str) -> list[tuple[str, int, bool, int]]:
     """(text, weight, inside an article or main element, open block elements) of each line; lines around the article are empty."""
-    out: list[tuple[str, int, bool, int]] = []
-    stack: list[tuple[str, bool]] = []  # (element, whether it surrounds the article)
-    skipping = mains = links = depth = 0
+    rows, found = _parsed(page, None)
+    return [r[:4] for r in (_parsed(page, _discarded(rows, found))[0] if found else rows)]
+
+
+def _parsed(page: str, gone: list[bool] | None) -> tuple[list[tuple[str, int, bool, int, int]], list[tuple[int, bool]]]:
+    """(lines with the innermost element found by its words, the elements so found: the one around each, whether FOREIGN).
+
+    gone: which of these surround the article; None: lines end at their borders, and all stay.
+    """
+    out: list[tuple[str, int, bool, int, int]] = []
+    found: list[tuple[int, bool]] = []
+    stack: list[tuple[str, bool, bool, bool]] = []  # (element, whether it surrounds the article, has words, marks the article)
+    skipping = mains = marks = links = depth = 0
+    worded = -1
     text: list[str] = []
     weight = 0
 
     def flush() -> None:
         nonlocal weight
         line = " ".join("".join(text).split())
-        out.append((line, min(weight, len(line)), mains > 0, depth))
+        out.append((line, min(weight, len(line)), marks > 0, depth, worded))
         text.clear()
         weight = 0
 
     def pop() -> None:
-        nonlocal skipping, mains, links, depth
-        tag, skip = stack.pop()
+        nonlocal skipping, mains, marks, links, depth, worded
+        tag, skip, by_words, mark = stack.pop()
+        if by_words:
+            if gone is None:
+                flush()
+            worded = found[worded][0]
         skipping -= skip
-        mains -= tag in ("article", "main")
+        mains -= tag in ("article", "main") and not by_words
+        marks -= mark
         links -= tag == "a"
         depth -= tag not in INLINE
 
@@ -111,7 +165,7 @@ def lines(page: str) -> list[tuple[str, int, bool, int]]:
         if tag not in INLINE:
             flush()
         if m[1] or m[4]:
-            if any(t == tag for t, _ in stack):
+            if any(x[0] == tag for x in stack):
                 while stack[-1][0] != tag:
                     pop()
                 pop()
@@ -130,14 +184,23 @@ def lines(page: str) -> list[tuple[str, int, bool, int]]:
             if k >= 0 and (stack[k][0] == "p" or stack[k][0] == tag and tag in SELF_ENDING):
                 while len(stack) > k:
                     pop()
-        skip = _surrounds(tag, attributes, mains > 0)
-        stack.append((tag, skip))
+        skip, words = _surrounds(tag, attributes, mains > 0)
+        if words:
+            if gone is None:
+                flush()
+            else:
+                skip = gone[len(found)]
+            found.append((worded, bool(words & FOREIGN)))
+            worded = len(found) - 1
+        mark = tag in ("article", "main") and not skip and not (words and gone is None)
+        stack.append((tag, skip, bool(words), mark))
         skipping += skip
-        mains += tag in ("article", "main")
+        mains += tag in ("article", "main") and not words
+        marks += mark
         links += tag == "a"
         depth += tag not in INLINE
     flush()
-    return out
+    return out, found
 
 
 def select(rows: list[tuple[str, int, bool, int]]) -> list[str]:

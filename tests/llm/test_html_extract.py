@@ -67,3 +67,19 @@ def test_short_lines_in_wrappers_of_their_own_stay():
     assert main_text(f"<div><div><p>{LONG}</p></div>\n<div>\n<div>\n<p>Brief.</p>\n</div>\n</div>\n<div>\n<p>{LONG}</p></div></div>") == f"{LONG} Brief. {LONG}"
     assert "Brief." in main_text(f"<div><p>{LONG}</p>{LINKS}<p>Brief.</p>{LINKS}<p>{LONG}</p></div>")
     assert main_text(f"<div>{LINKS}</div><div><h1><a href='/'>Linked</a></h1><p>{LONG}</p></div><div>{LINKS}</div>") == f"Linked {LONG}"
+
+
+def test_words_do_not_discard_the_article():
+    inner = f"<h1>Title</h1><p>{LONG}</p><p>{LONG}</p>"
+    text = f"Title {LONG} {LONG}"
+    around = f"<div class='sidebar'><p>{LONG}</p></div><div id='comments'>{f'<p>{LONG}</p>' * 9}</div>"
+    for name in ("layout has-sidebar", "no-sidebar", "with-comments", "hasSidebar", "post category-social", "search-results", "widget", "comments"):
+        assert main_text(f"<div class='{name}'><article>{inner}</article></div>{around}") == text, name
+        assert main_text(f"<div id='{name}'>{inner}</div><div class='sidebar'><p>Brief.</p></div>") == text, name
+    for name in ("no-sidebar", "post category-social"):
+        assert main_text(f"<div class='{name}'><div class='widget'>{inner}</div></div>{around}") == text, name
+    assert main_text(f"<article><div class='entry-header'><h1>Title</h1></div><p>{LONG}</p><div class='ad'>Buy</div></article>") == f"Title {LONG}"
+    assert main_text(f"<main class='main sidebar'>{inner}</main>") == text
+    assert main_text(f"<main>{inner}<div class='related'><article><p>{LONG * 9}</p></article></div></main>") == text
+    assert main_text(f"<div class='widget'><article><p>{LONG}</p></article></div><div class='widget'><article><p>{LONG}</p></article></div>") == f"{LONG} {LONG}"
+    assert main_text(f"<p>{LONG}<p>Hello<span class='ad'>Buy</span>, you.") == f"{LONG} Hello, you."
