@@ -11,7 +11,10 @@ ends where its block ends, which adds at most one phrase in BLOCK characters to
 
 Bounds (parameters): SAMPLE_TEXTS texts of each language, those with the smallest hash of doc_id in
 as many hash buckets among labelled texts of SAMPLE_MIN to SAMPLE_MAX code points, of which the
-first SAMPLE_CHARS folded characters are learnt. Only these few texts reach the driver.
+first SAMPLE_CHARS folded characters are learnt. A language that has no such text learns from its
+texts of other lengths, the first SAMPLE_MAX code points of each; only languages without a letter in
+any of these go unlearnt. A phrase costs as if a sample had SAMPLE_MIN characters at least, or else
+a sample of a few would be the cheapest for every text. Only these few texts reach the driver.
 
 Defined results: a null text or one without a letter is `und` with score 0; if nothing can be learnt
 every text is `und`; rows with a null doc_id are never learnt from and count as not held out; equal
@@ -115,7 +118,7 @@ class Model:
             go = suffix_automaton(self.code[texts[k]].tolist(), self.symbols)
             tables.append(np.where(go >= 0, go + at, -1))
             self.roots.append(at)
-            self.bits.append(np.log2(len(texts[k]) + 1))
+            self.bits.append(np.log2(max(len(texts[k]), SAMPLE_MIN) + 1))
             at += len(go)
         self.go = np.concatenate(tables).astype(np.int32).ravel() if tables else np.zeros(0, np.int32)
 
@@ -185,15 +188,15 @@ def held_out() -> Column:
 def sample(docs: DataFrame) -> dict[str, str]:
     """The bounded sample of labelled text of each language."""
     text = F.col("text")
-    eligible = docs.select("text", "lang", "doc_id", F.xxhash64("doc_id").alias("h")).filter(
-        F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & (F.length(text) >= SAMPLE_MIN) & (F.length(text) <= SAMPLE_MAX)
+    labelled = docs.select("text", "lang", "doc_id", F.xxhash64("doc_id").alias("h"), ((F.length(text) >= SAMPLE_MIN) & (F.length(text) <= SAMPLE_MAX)).alias("fit")).filter(
+        F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & F.substring("text", 1, SAMPLE_MAX).rlike(r"\p{L}")
     )
-    picked = [r.h for r in eligible.groupBy("lang", F.pmod("h", F.lit(SAMPLE_TEXTS)).alias("b")).agg(F.min("h").alias("h")).collect()]
-    if not picked:  # nothing of that length: any lengths
-        eligible = docs.select("text", "lang", "doc_id", F.xxhash64("doc_id").alias("h")).filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & text.isNotNull())
-        picked = [r.h for r in eligible.groupBy("lang", F.pmod("h", F.lit(SAMPLE_TEXTS)).alias("b")).agg(F.min("h").alias("h")).collect()]
+    buckets = labelled.groupBy("lang", F.pmod("h", F.lit(SAMPLE_TEXTS)).alias("b")).agg(F.min(F.when(F.col("fit"), F.col("h"))).alias("fit"), F.min("h").alias("h")).collect()
+    fitting = {r.lang for r in buckets if r.fit is not None}
+    picked = [r.fit if r.lang in fitting else r.h for r in buckets if r.fit is not None or r.lang not in fitting]
     if not picked:
         return {}
+    eligible = labelled.filter(F.col("fit") | ~F.col("lang").isin(sorted(fitting)))  # nothing of that length: any lengths
     rows = eligible.filter(F.col("h").isin(picked)).groupBy("lang", "h").agg(F.min(F.substring("text", 1, SAMPLE_MAX)).alias("text")).collect()
     out: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.h)):

@@ -51,6 +51,18 @@ def test_rows(spark):
     assert {r.lang_pred for r in language_id.identify(docs.withColumn("lang", language_id.F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_each_language_learns_from_what_it_has(spark):
+    words = {"en": "the cat sat on the mat and dogs were barking at night", "fr": "le chien est dans la rue avec une petite maison bleue", "ja": "吾輩は猫である名前はまだ無いどこで生れたか", "ok": "ok", "no": "123"}
+    rng = random.Random(5)
+    say = lambda k, n: " ".join(rng.choices(words[k].split() if k != "ja" else list(words[k]), k=n))
+    rows = [(i, k, say(k, n)) for i, (k, n) in enumerate([("en", 80), ("fr", 8), ("ja", 4000), ("no", 70)] * 12)] + [(i, "ok", "ok") for i in range(100, 104)] + [(i, "ja", "!") for i in range(200, 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    assert sorted(language_id.sample(docs)) == ["en", "fr", "ja", "ok"]
+    assert max(len(x) for x in language_id.sample(docs)["ja"].split("\n")) == language_id.SAMPLE_MAX
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs).collect()}
+    assert all(got[i] == k for i, k, _ in rows[:48] if k != "no")
+
+
 def test_held_out_accuracy(spark):
     docs = documents(spark, "/root/testdata/sf0.01")
     rows = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
