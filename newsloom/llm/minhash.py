@@ -44,7 +44,7 @@ BANDS, ROWS = 30, 5
 PERMUTATIONS = BANDS * ROWS
 FINE = 1024
 LOW_BITS = 4
-MARGIN = 3.5
+MARGIN = 4.5
 TILE = 1024
 #: Members of a bucket that one task compares.
 CHUNK = 1024
@@ -132,8 +132,8 @@ def similarity(a: np.ndarray, b: np.ndarray, count: int) -> np.ndarray:
 
 
 def floor_estimate(threshold: float, count: int) -> float:
-    match = CHANCE + (1 - CHANCE) * threshold
-    return threshold - MARGIN * math.sqrt(match * (1 - match) / count) / (1 - CHANCE)
+    """MARGIN standard errors under the threshold of pairs without chance collisions: low bits of two shingles collide always or never, in small sets often never."""
+    return (threshold - MARGIN * math.sqrt(threshold * (1 - threshold) / count) - CHANCE) / (1 - CHANCE)
 
 
 def _list_array(flat: np.ndarray, edges: np.ndarray) -> pa.Array:

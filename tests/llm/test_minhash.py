@@ -142,3 +142,13 @@ def test_components(spark):
             label[a] = label[b] = min(label[a], label[b])
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: v for k, v in label.items() if k != 2000 and (k in got)} and set(label) - set(got) <= {a for a, b in edges if a == b}
+
+
+def test_small_sets_at_the_threshold_are_not_estimated_away():
+    rng, n = np.random.default_rng(11), 3000
+    values = rng.integers(0, 1 << 54, (n, 5), np.uint64)
+    starts = np.arange(n) * 9
+    both = np.concatenate([values[:, :4], values], 1).ravel()  # sets of 4 and of 5: 0.80
+    least = minhash.minima(both, np.sort(np.concatenate([starts, starts + 4])), minhash.FINE)
+    a, b = (minhash.packed(least[:, k::2]).view(np.uint64) for k in (0, 1))
+    assert (minhash.similarity(a, b, minhash.FINE) >= minhash.floor_estimate(0.8, minhash.FINE)).all()
