@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; our own only where none is named, as in tests."""
+    """The folder the cluster names in spark.checkpoint.dir; one of our own only where one machine does everything, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="newsloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
