@@ -27,10 +27,11 @@ from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import documents, file_based, materialise, mix64, row_key, small_batches, whole_runs
+from newsloom.llm.common import Places, Scratch, documents, file_based, materialise, mix64, row_key, small_batches, whole_runs
 from newsloom.llm.components import components
 
 THRESHOLD = 0.98
@@ -39,6 +40,8 @@ LIST_MEAN, LIST_LEAST = 20, 12
 #: Directions for each class.
 SPREAD = 30
 TILE = 1024
+#: Caps whose members are marked at once, when it's looked for the smallest that a pair shares.
+CAPS = 4096
 #: Sums of half a direction of one vector, and of all vectors decoded at once.
 MOST_SUMS = 1 << 18
 DECODE_CELLS = 1 << 20
@@ -113,25 +116,78 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
 
 
+def _rowwise(f: np.ufunc, values: np.ndarray, sizes: np.ndarray, nothing: object) -> np.ndarray:
+    """f over the values of each row; rows without values give `nothing`."""
+    some = sizes > 0
+    out = np.full(len(sizes), nothing, values.dtype)
+    if some.any():
+        out[some] = f.reduceat(values, (np.cumsum(sizes) - sizes)[some])
+    return out
+
+
+KEYS = "vec_id long, _file long, _row long, good boolean, k1 long, k2 long, area long"
+
+
+def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each row: whether its vector can link, two hashes of label and vector, and one of label and length."""
+    for b in batches:
+        vector = b.column("vector")
+        sizes = pc.list_value_length(vector).fill_null(0).to_numpy().astype(np.int64)
+        x = vector.flatten().to_numpy(zero_copy_only=False).astype(np.float64) + 0.0  # one zero, not two
+        good = _rowwise(np.logical_and, np.isfinite(x), sizes, False) & _rowwise(np.logical_or, x != 0, sizes, False) & b.column("labelled").to_numpy(zero_copy_only=False)
+        place = mix64((np.arange(len(x)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.uint64) + np.uint64(1))
+        area = mix64(b.column("label").to_numpy().view(np.uint64) + mix64(sizes.astype(np.uint64)))
+        keys = []
+        for salt in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+            total = _rowwise(np.add, mix64((x.view(np.uint64) ^ place) * np.uint64(salt)), sizes, 0)
+            keys.append(mix64(total + area * np.uint64(salt)))
+        signed = lambda v: pa.array(v.view(np.int64))
+        yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("_file"), b.column("_row"), pa.array(good), *map(signed, keys), signed(area)], names=[c.split()[0] for c in KEYS.split(", ")])
+
+
 def _decode_batches(batches: Iterator[pa.RecordBatch], classes: int) -> Iterator[pa.RecordBatch]:
-    """node, area (label and length), caps: sorted."""
+    """_file, _row, vector, caps: sorted."""
     for batch in batches:
-        dims = batch.column("dim").to_numpy()
-        for d in np.unique(dims):
-            rows = batch.take(pa.array(np.flatnonzero(dims == d)))
+        sizes = pc.list_value_length(batch.column("vector")).to_numpy()
+        for d in np.unique(sizes):
+            rows = batch.take(pa.array(np.flatnonzero(sizes == d)))
             x = _vectors(rows.column("vector"))
+            vectors = rows.column("vector")
+            largest = np.abs(x).max(1, keepdims=True)
+            if ((largest < 1e-120) | (largest > 1e120)).any():  # their squares would leave the range of doubles; cosines don't depend on the length
+                x = x / np.where((largest < 1e-120) | (largest > 1e120), largest, 1.0)
+                vectors = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), int(d)).cast(vectors.type)
             x = x / np.linalg.norm(x, axis=1, keepdims=True)
             m = codewords_needed(classes, int(d))
             step = max(1, DECODE_CELLS // m ** ((parts_of(int(d)) + 1) // 2))
             lists = [c for i in range(0, len(x), step) for c in decode(x[i : i + step], m)]
-            caps = [mix64(c.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + a) for c, a in zip(lists, rows.column("area").to_numpy().view(np.uint64), strict=True)]
+            area = mix64(rows.column("label").to_numpy().view(np.uint64) + mix64(np.full(len(x), d, np.uint64)))
+            caps = [np.sort(mix64(c.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + a).view(np.int64)) for c, a in zip(lists, area, strict=True)]
             edges = np.concatenate([[0], np.cumsum([len(c) for c in caps])])
-            flat = np.concatenate([np.sort(c.view(np.int64)) for c in caps])
-            yield pa.RecordBatch.from_arrays([rows.column("node"), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(flat))], names=["node", "caps"])
+            yield pa.RecordBatch.from_arrays([rows.column("_file"), rows.column("_row"), vectors, pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.concatenate(caps)))], names=["_file", "_row", "vector", "caps"])
+
+
+def _share_lower(cap: int, flat: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """[member, member]: whether two members are in a cap below this one together. Caps are looked at CAPS at a time."""
+    lower = flat < cap
+    flat, owner = flat[lower], owner[lower]
+    _, code_, size = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = size[code_] > 1
+    _, code_ = np.unique(code_[shared], return_inverse=True)
+    owner = owner[shared]
+    out = np.zeros((n, n), bool)
+    order = np.argsort(code_, kind="stable")
+    code_, owner = code_[order], owner[order]
+    for lo in range(0, int(code_[-1]) + 1 if len(code_) else 0, CAPS):
+        a, z = np.searchsorted(code_, [lo, lo + CAPS])
+        has = np.zeros((n, CAPS), np.float32)
+        has[owner[a:z], code_[a:z] - lo] = 1
+        out |= (has @ has.T) > 0
+    return out
 
 
-def compare(cap: int, x: np.ndarray, caps: list, copies: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(copies linked to each member counted at this cap, least linked member) of left x right."""
+def compare(cap: int, x: np.ndarray, flat: np.ndarray, owner: np.ndarray, copies: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(copies linked to each member counted at this cap, least linked member) of left x right. flat, owner: all caps of the members."""
     norms = np.sqrt((x * x).sum(1))
     near = (x @ x.T) / np.outer(norms, norms) >= THRESHOLD
     near &= (left[:, None] & right[None, :]) | (right[:, None] & left[None, :])
@@ -139,20 +195,7 @@ def compare(cap: int, x: np.ndarray, caps: list, copies: np.ndarray, left: np.nd
     n = len(x)
     if not near.any():
         return np.zeros(n, np.int64), np.arange(n)
-    # pairs that share a smaller cap are counted there
-    flat = np.concatenate(caps)
-    owner = np.repeat(np.arange(n), [len(c) for c in caps])
-    lower = flat < cap
-    flat, owner = flat[lower], owner[lower]
-    _, code_, size = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = size[code_] > 1
-    ids, code_ = np.unique(code_[shared], return_inverse=True)
-    here = near.copy()
-    if len(ids):
-        has = np.zeros((n, len(ids)), np.float32)
-        has[owner[shared], code_] = 1
-        here &= (has @ has.T) == 0
-    count = here @ copies
+    count = (near & ~_share_lower(cap, flat, owner, n)) @ copies  # pairs that share a smaller cap are counted there
     least = np.arange(n)
     while True:  # least member reachable by links in here
         now = np.minimum(least, np.where(near, least[None, :], n).min(1))
@@ -164,52 +207,51 @@ def compare(cap: int, x: np.ndarray, caps: list, copies: np.ndarray, left: np.nd
 
 def _compare_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table, cuts in whole_runs(batches, "run"):
-        cap, node, copies = (table[c].to_numpy() for c in ("cap", "node", "copies"))
-        side = table["side"].to_numpy()
-        caps = [np.asarray(c) for c in table["caps"].to_pylist()]
+        cap, node, copies, side = (table[c].to_numpy() for c in ("cap", "node", "copies", "side"))
+        vectors, lists = table["vector"].combine_chunks(), table["caps"].combine_chunks()
+        sizes, dims = pc.list_value_length(lists).to_numpy(), pc.list_value_length(vectors).to_numpy()
+        flat, edge = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)])
         counts, heads = [], []
-        dims = table["dim"].to_numpy()
-        vectors = table["vector"].combine_chunks()
         for s, e in zip(cuts[:-1], cuts[1:], strict=True):
             count, head = np.zeros(e - s, np.int64), np.arange(e - s)
             if e - s > 1 and (dims[s:e] == dims[s]).all():
-                x = _vectors(vectors.slice(s, e - s))
-                count, head = compare(int(cap[s]), x, caps[s:e], copies[s:e], (side[s:e] & 1) > 0, (side[s:e] & 2) > 0)
+                owner = np.repeat(np.arange(e - s), sizes[s:e])
+                count, head = compare(int(cap[s]), _vectors(vectors.slice(s, e - s)), flat[edge[s] : edge[e]], owner, copies[s:e], (side[s:e] & 1) > 0, (side[s:e] & 2) > 0)
             counts.append(count)
             heads.append(node[s:e][head])
         yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(counts)), pa.array(np.concatenate(heads))], names=["node", "links", "head"])
 
 
-def usable(vector: Column, label: Column) -> Column:
-    finite = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    return F.coalesce(label.isNotNull() & vector.isNotNull() & finite & F.exists(vector, lambda v: v != 0), F.lit(False))
-
-
 class CapFilters:
     def __init__(self, vectors: DataFrame) -> None:
-        small_batches(vectors.sparkSession)
-        table = file_based(vectors)
-        vector = F.col("embedding").cast("array<double>")
-        good = usable(vector, F.col("label"))
-        scan = table.select("vec_id", *row_key(), "label", vector.alias("vector"), good.alias("good"))
-        key = [F.when(F.col("good"), F.xxhash64(*salt, "label", "vector")).alias(n) for n, salt in (("k1", ()), ("k2", (F.lit(7),)))]
-        self.rows = scan.select("vec_id", "_file", "_row", "good", *key, F.when(F.col("good"), F.xxhash64("label", F.size("vector"))).alias("area"), "vector")
+        spark = vectors.sparkSession
+        small_batches(spark)
+        table = self.table = file_based(vectors)
+        kind = dict(table.dtypes)["embedding"]
+        self.kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
+        self.columns = [F.col("embedding").cast(self.kind).alias("vector"), F.xxhash64("label").alias("label")]
+        scan = table.select("vec_id", *row_key(table), *self.columns, F.col("label").isNotNull().alias("labelled"))
+        self.rows = materialise(scan.mapInArrow(_key_batches, KEYS), "keys")
         best = F.min(F.struct(F.col("vec_id").isNull().alias("none"), "vec_id", "_file", "_row")).alias("best")
         grouped = self.rows.filter("good").groupBy("k1", "k2", "area").agg(best, F.count(F.lit(1)).alias("copies"))
         self.classes = materialise(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
         self.count = self.classes.count()
-        self._link()
-
-    def _link(self) -> None:
-        classes = self.count
-        own = self.classes.select("node", "area", "copies", F.col("best._file").alias("_file"), F.col("best._row").alias("_row"))
-        # squares of doubles this large or small would leave their range; cosines don't depend on the length
-        largest = F.array_max(F.transform("vector", lambda v: F.abs(v)))
-        unit = F.when(F.col("good") & ~largest.between(1e-120, 1e120), largest).otherwise(F.lit(1.0))
-        scaled = self.rows.select("_file", "_row", F.transform("vector", lambda v: v / unit).alias("vector"))
-        reps = materialise(scaled.join(own, ["_file", "_row"]).select("node", "area", "copies", "vector", F.size("vector").alias("dim")), "vectors")
-        self.caps = materialise(reps.mapInArrow(lambda it: _decode_batches(it, classes), "node long, caps array<long>"), "caps")
-        spread = self.caps.select("node", F.explode("caps").alias("cap"))
+        with Scratch(spark) as scratch:
+            found = scratch.keep(self._found(), "found")
+        self.links = found.groupBy("node").agg(F.sum("links").alias("links"))
+        self.labels = components(found.select(F.col("node").alias("a"), F.col("head").alias("b")))
+
+    def _found(self) -> DataFrame:
+        """node, head, links: of each member and linked head, the links counted."""
+        classes, kind = self.count, self.kind
+        own = self.classes.select("node", "copies", F.col("best._file").alias("_file"), F.col("best._row").alias("_row"))
+
+        def work(rows: DataFrame) -> DataFrame:
+            decoded = rows.select("_file", "_row", "vector", "label").mapInArrow(lambda it: _decode_batches(it, classes), f"_file long, _row long, vector {kind}, caps array<long>")
+            return decoded.join(own, ["_file", "_row"]).select("node", "copies", "vector", "caps")
+
+        reps = Places(self.table, own).gather(self.columns, work, "reps")
+        spread = reps.select("node", F.explode("caps").alias("cap"))
         shared = spread.groupBy("cap").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
         met = spread.join(materialise(shared, "shared"), "cap")
         # a cap of many members is compared tile against tile
@@ -218,19 +260,17 @@ class CapFilters:
         met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         met = met.select("cap", "node", F.xxhash64("cap", F.least("tile", "other"), F.greatest("tile", "other")).alias("run"),
                          F.when(F.col("tile") == F.col("other"), 3).when(F.col("tile") < F.col("other"), 1).otherwise(2).alias("side"))
-        met = met.join(self.caps, "node").join(reps.select("node", "copies", "vector", "dim"), "node")
-        found = met.repartition("run").sortWithinPartitions("run").mapInArrow(_compare_batches, "node long, links long, head long")
-        found = materialise(found.groupBy("node", "head").agg(F.sum("links").alias("links")), "found")
-        self.links = found.groupBy("node").agg(F.sum("links").alias("links"))
-        self.labels = components(found.select(F.col("node").alias("a"), F.col("head").alias("b")))
+        met = met.join(reps, "node").repartition("run").sortWithinPartitions("run")
+        found = met.mapInArrow(_compare_batches, "node long, links long, head long")
+        return found.groupBy("node", "head").agg(F.sum("links").alias("links"))
 
     @property
     def members(self) -> DataFrame:
         named = self.classes.join(self.links, "node", "left").join(self.labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         heads = materialise(named.groupBy("component").agg(F.min("best").alias("head")), "heads")
-        groups = materialise(named.join(heads, "component").select("k1", "k2", "head", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "groups")
-        out = self.rows.drop("vector").join(groups, ["k1", "k2"], "left")
-        return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("good"), F.col("head.vec_id")).otherwise(F.col("vec_id")).alias("component_id"))
+        groups = materialise(named.join(heads, "component").select("k1", "k2", "area", "head", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "groups")
+        out = self.rows.filter("good").join(groups, ["k1", "k2", "area"]).select("vec_id", F.col("n_links").cast("long").alias("n_links"), F.col("head.vec_id").alias("component_id"))
+        return out.unionByName(self.rows.filter("NOT good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
 
 
 def near_vectors(vectors: DataFrame) -> DataFrame:

@@ -1,14 +1,14 @@
-"""What the corpus operators share: tables in the shared folder, row keys, Arrow buffers, filters.
+"""What the corpus operators share: tables in the shared folder, row keys, Arrow buffers, places of rows.
 
-Nothing here collects data that grows with the corpus: the only driver-side objects are counts and
-bitmaps whose size has a fixed upper bound (``MAX_FILTER_BITS``).
+Nothing here collects data that grows with the corpus: what reaches the driver are counts, a number
+of rows for each input file (as many as the driver lists anyway), and bitmaps whose size has a fixed
+upper bound (`GROUP_BLOCKS`).
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,62 +16,180 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.operators.graph import shared_folder
+
 #: The white space of the contracts: space and U+0009 to U+000D.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
-#: A membership bitmap never takes more than 16 MB, whatever the corpus.
-MAX_FILTER_BITS = 1 << 27
-#: Rows handed to Python at once; texts are processed in slices of at most SLICE_BYTES.
+#: Rows and bytes handed to Python at once; texts are processed in slices of at most SLICE_BYTES.
 BATCH_ROWS = 512
+BATCH_BYTES = 8 << 20
 SLICE_BYTES = 512 << 10
+#: Bytes of a text whose words are looked for at once.
+SEGMENT = 512 << 10
+#: A block of a file is 2 ** BLOCK_BITS rows; a group of files has fewer than 2 * GROUP_BLOCKS blocks, of 600 bytes each.
+BLOCK_BITS = 12
+GROUP_BLOCKS = 16_384
+
+_tables: list[str] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where it is unset, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="newsloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
+def _new_path(spark: SparkSession, name: str) -> str:
+    path = f"{shared_folder(spark)}/newsloom-{name}-{uuid.uuid4().hex}"
+    _tables.append(path)
+    return path
 
 
-def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
+def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/newsloom-{name}-{uuid.uuid4().hex}"
+    path = _new_path(spark, name)
     schema = df.schema
-    df.write.options(**options).parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete a table that materialise() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/newsloom-" in folder:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if folder in _tables:
+        _tables.remove(folder)
+
+
+def drop_table(*tables: DataFrame) -> None:
+    """Delete tables that materialise() wrote, once nothing reads them any more."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/newsloom-" in folder:
+                _delete(df.sparkSession, folder)
+
+
+class Scratch:
+    """with Scratch(spark) as scratch: tables written inside are deleted at the end, but for those of scratch.keep()."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+
+    def __enter__(self) -> Scratch:
+        self.before = list(_tables)
+        return self
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        out = materialise(df, name)
+        self.before.append(_tables[-1])
+        return out
+
+    def __exit__(self, *_: object) -> None:
+        for folder in [t for t in _tables if t not in self.before]:
+            _delete(self.spark, folder)
 
 
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches that stay small with very long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def row_key() -> tuple[Column, Column]:
-    """Two longs that identify a row of a file-based table, the same in every scan."""
-    return F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")
+def row_key(df: DataFrame) -> tuple[Column, Column]:
+    """Two longs that identify a row of a file-based table, the same in every scan, whatever its columns are called."""
+    place = df.metadataColumn("_metadata")
+    return F.xxhash64(place["file_path"]).alias("_file"), place["row_index"].alias("_row")
 
 
 def file_based(df: DataFrame) -> DataFrame:
     """df itself where its rows have file positions, else a Parquet copy of it."""
     try:
-        df.select("_metadata.row_index").schema
+        df.select(*row_key(df)).schema
         return df
     except AnalysisException:
         return materialise(df, "rows")
 
 
+class Places:
+    """A set of rows of a file-based table: a bitmap for each block of each file that has some.
+
+    Which rows belong is told where they are scanned, by a join with the broadcast bitmaps, so neither
+    these rows nor any others move. A broadcast holds the bitmaps of one group of files, whose size is
+    bounded; groups follow one another, each a scan of its own files only. places: _file, _row.
+    """
+
+    def __init__(self, docs: DataFrame, places: DataFrame) -> None:
+        self.docs = docs
+        bit = F.expr("shiftleft(1L, CAST(_row & 63 AS INT))")
+        words = places.select("_file", F.shiftright("_row", 6).alias("w"), bit.alias("m")).groupBy("_file", "w").agg(F.bit_or("m").alias("m"))
+        entry = F.struct((F.col("w") % 64).cast("int").alias("k"), "m")
+        blocks = words.groupBy("_file", F.shiftright("w", BLOCK_BITS - 6).alias("_block")).agg(F.map_from_entries(F.collect_list(entry)).alias("map"))  # 64 words at most
+        dense = F.transform(F.sequence(F.lit(0), F.lit(2 ** (BLOCK_BITS - 6) - 1)), lambda k: F.coalesce(F.try_element_at("map", k), F.lit(0).cast("bigint")))
+        self.blocks = materialise(blocks.select("_file", "_block", dense.alias("words")), "places")
+        per_file = self.blocks.groupBy("_file").agg(F.count(F.lit(1)).alias("n"), F.min("_block").alias("a"), F.max("_block").alias("z")).orderBy("_file").collect()
+        self.groups: list[list[tuple[int, int | None]]] = [[]]  # (file, its first block, or None for the whole file)
+        held = 0
+        for r in per_file:
+            pieces = [None] if r.n <= GROUP_BLOCKS else list(range(r.a, r.z + 1, GROUP_BLOCKS))
+            for start in pieces:
+                n = min(r.n, GROUP_BLOCKS)
+                if held and held + n > GROUP_BLOCKS:
+                    self.groups.append([])
+                    held = 0
+                self.groups[-1].append((r._file, start))
+                held += n
+
+    @staticmethod
+    def _pieces(group: list[tuple[int, int | None]]) -> Column:
+        """Whether a row's _file and _block are in the group. Only files of the group are read."""
+        out = F.col("_file").isin([f for f, start in group if start is None])
+        for f, start in group:
+            if start is not None:
+                out = out | ((F.col("_file") == f) & F.col("_block").between(start, start + GROUP_BLOCKS - 1))
+        return out
+
+    def _scan(self, columns: list[Column]) -> DataFrame:
+        return self.docs.select(*columns, *row_key(self.docs)).withColumn("_block", F.shiftright("_row", BLOCK_BITS))
+
+    def _marked(self, scan: DataFrame, blocks: DataFrame, how: str) -> tuple[DataFrame, Column]:
+        word = F.get("words", F.shiftright("_row", 6).bitwiseAND(F.lit(63)).cast("int"))
+        both = scan.join(F.broadcast(blocks), ["_file", "_block"], how)
+        return both, F.getbit(word, F.col("_row").bitwiseAND(F.lit(63)).cast("int")) == 1
+
+    def rows(self, columns: list[Column]) -> Iterator[DataFrame]:
+        """Of each group, columns and _file, _row of the rows that belong."""
+        for group in self.groups:
+            mine = self._pieces(group)
+            both, inside = self._marked(self._scan(columns).filter(mine), self.blocks.filter(mine), "inner")
+            yield both.filter(inside).drop("_block", "words")
+
+    def gather(self, columns: list[Column], work: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+        """work(rows) of all groups, as one written table."""
+        path, schema = _new_path(self.docs.sparkSession, name), None
+        for rows in self.rows(columns):
+            out = work(rows)
+            schema = out.schema
+            out.write.mode("append").parquet(path)
+        drop_table(self.blocks)
+        return self.docs.sparkSession.read.schema(schema).parquet(path)
+
+    def others(self, columns: list[Column]) -> Iterator[DataFrame]:
+        """As rows(), of the rows that don't belong."""
+        groups: list = self.groups if len(self.groups) > 1 else [None]
+        for group in groups:
+            mine = F.lit(True) if group is None else self._pieces(group)
+            both, inside = self._marked(self._scan(columns).filter(mine), self.blocks.filter(mine), "left")
+            yield both.filter(~F.coalesce(inside, F.lit(False))).drop("_block", "words")
+        if len(groups) > 1:
+            yield self._scan(columns).filter(~self._pieces([p for g in groups for p in g])).drop("_block")
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, but those at the places of gone (_file, _row). Rows stay where they are."""
+    record = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record")
+    parts = list(Places(docs, gone).others([record]))
+    if len(parts) == 1:
+        return parts[0].select("record.*")
+    path = _new_path(docs.sparkSession, "kept")
+    for part in parts:
+        part.select("record.*").write.mode("append").parquet(path)
+    return docs.sparkSession.read.schema(docs.schema).parquet(path)
+
+
 def binary_values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a binary or string Arrow array, without copying; a null has length 0."""
     if isinstance(column, pa.ChunkedArray):
@@ -105,11 +223,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+BASE = 0x9E3779B97F4A7C15
+#: Powers of a base that are kept for the next batch.
+KEPT_POWERS = 1 << 20
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i modulo 2^64 for i < n."""
+    """base^i and base^-i modulo 2^64 for i < n, or more."""
     have = _POWERS.get(base)
     if have is None or len(have[0]) < n:
         n = max(n, 1 << 16)
@@ -117,21 +238,26 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         up[0] = 1
         down = np.full(n, pow(base, -1, 1 << 64), np.uint64)
         down[0] = 1
-        have = _POWERS[base] = (np.multiply.accumulate(up), np.multiply.accumulate(down))
+        have = (np.multiply.accumulate(up), np.multiply.accumulate(down))
+        if n <= KEPT_POWERS:
+            _POWERS[base] = have
     return have
 
 
+def _finish(raw: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return mix64(raw + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 class RangeHash:
     """64-bit hashes of any ranges of a sequence of uint64 values, from prefix sums modulo 2^64."""
 
-    def __init__(self, values: np.ndarray, base: int = 0x9E3779B97F4A7C15) -> None:
+    def __init__(self, values: np.ndarray, base: int = BASE) -> None:
         up, self.down = _powers(base, len(values) + 1)
         self.sums = np.zeros(len(values) + 1, np.uint64)
         np.cumsum(values * up[: len(values)], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        raw = (self.sums[end] - self.sums[start]) * self.down[start]
-        return mix64(raw + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        return _finish((self.sums[end] - self.sums[start]) * self.down[start], end - start)
 
 
 _BYTE_VALUES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -142,55 +268,57 @@ _LOWER[65:91] += 32
 
 
 class Words:
-    """Words `[^\\x20\\x09-\\x0D]+` of many texts at once: byte ranges, hashes, and each text's range of words."""
+    """Words `[^\\x20\\x09-\\x0D]+` of many texts at once: byte ranges, hashes, and each text's range of words.
+
+    Bytes are looked at SEGMENT by SEGMENT, so what a text takes besides its bytes is 24 bytes a word.
+    """
 
     def __init__(self, raw: np.ndarray, at: np.ndarray, lower: bool = False) -> None:
         base, top = int(at[0]), int(at[-1])
-        body = raw[base:top]
-        if lower:
-            body = _LOWER[body]
-        inside = ~_IS_SPACE[body]
+        self.body = body = raw[base:top]
+        cuts = np.unique(at[1:-1] - base)  # words also end where a text ends
+        starts, ends, sums = [], [], []
+        for lo in range(0, len(body), SEGMENT):
+            part = body[lo : lo + SEGMENT]
+            if lower:
+                part = _LOWER[part]
+            a, z = np.searchsorted(cuts, [lo, lo + len(part)])
+            self._segment(lo, part, cuts[a:z] - lo, bool(lo in cuts[a : a + 1]), starts, ends, sums)
+        empty = np.zeros(0, np.int64)
+        self.start = np.concatenate(starts) if starts else empty
+        self.end = np.concatenate(ends) if ends else empty
+        self.first = np.searchsorted(self.start, at - base)  # of each text, and the end of the last
+        whole = np.concatenate(sums) if sums else np.zeros(0, np.uint64)
+        self.hash = _finish(whole, self.end - self.start)
+
+    @staticmethod
+    def _segment(lo: int, part: np.ndarray, cut: np.ndarray, cut_before: bool, starts: list, ends: list, sums: list) -> None:
+        inside = ~_IS_SPACE[part]
         begin = inside.copy()
         begin[1:] &= ~inside[:-1]
+        begin[cut] = inside[cut]
         finish = inside.copy()
         finish[:-1] &= ~inside[1:]
-        cut = at[1:-1] - base  # words also end where a text ends
-        cut = cut[(cut > 0) & (cut < len(body))]
-        begin[cut] = inside[cut]
+        cut = cut[cut > 0]
         finish[cut - 1] = inside[cut - 1]
-        self.body = body
-        self.start = np.flatnonzero(begin)
-        self.end = np.flatnonzero(finish) + 1
-        self.first = np.searchsorted(self.start, at - base)  # of each text, and the end of the last
-        self.hash = RangeHash(_BYTE_VALUES[body]).of(self.start, self.end) if len(body) else np.zeros(0, np.uint64)
-
-
-def membership(df: DataFrame, key: Column, expected: int) -> np.ndarray | None:
-    """A bitmap of bounded size over 64-bit keys: may answer yes wrongly, never no. None: it would not pay.
-
-    The bits are or-ed together on the executors; at most MAX_FILTER_BITS of them reach the driver.
-    Whoever uses it must still join exactly: it only spares rows the way into a shuffle.
-    """
-    bits = 1 << max(16, (max(expected, 1) * 10 - 1).bit_length())
-    if bits > MAX_FILTER_BITS:
-        return None
-    words = bits >> 6
-    slot = key.bitwiseAND(F.lit(bits - 1))
-    rows = (
-        df.select(F.shiftright(slot, 6).alias("w"), F.expr("1L").alias("one"), slot.bitwiseAND(F.lit(63)).cast("int").alias("b"))
-        .select("w", F.expr("shiftleft(one, b)").alias("m"))
-        .groupBy("w")
-        .agg(F.bit_or("m").alias("m"))
-    )
-    table = rows.toArrow()
-    out = np.zeros(words, np.int64)
-    out[table["w"].to_numpy()] = table["m"].to_numpy()
-    return out.view(np.uint64)
-
-
-def may_hold(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    slot = keys.astype(np.uint64) & np.uint64(len(bitmap) * 64 - 1)
-    return (bitmap[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
+        s, e = np.flatnonzero(begin), np.flatnonzero(finish) + 1
+        if not len(s):
+            return
+        size = e - s
+        where = np.cumsum(size) - size
+        power, _ = _powers(BASE, int(size.max()) + 1)
+        value = _BYTE_VALUES[part[inside]] * power[np.arange(int(size.sum())) - np.repeat(where, size)]
+        total = np.add.reduceat(value, where)
+        s, e = s + lo, e + lo
+        if starts and not cut_before and s[0] == lo == ends[-1][-1]:  # a word that the border cuts in two
+            before = int(ends[-1][-1] - starts[-1][-1])
+            joined = (int(sums[-1][-1]) + int(total[0]) * pow(BASE, before, 1 << 64)) % (1 << 64)
+            sums[-1][-1], ends[-1][-1] = np.uint64(joined), e[0]
+            s, e, total = s[1:], e[1:], total[1:]
+        if len(s):
+            starts.append(s)
+            ends.append(e)
+            sums.append(total)
 
 
 def whole_runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.Table, np.ndarray]]:

@@ -1,8 +1,9 @@
 """Connected components of an edge table, with alternating large-star and small-star steps.
 
 Each step is an aggregation with map-side combine and a join; the edge table of every round is
-written to the shared folder, so lineage stays short and a lost executor costs one round. Rounds grow
-with the logarithm of the largest component. Nothing but two numbers a round reaches the driver.
+written to the shared folder, so lineage stays short and a lost executor costs one round; a round's
+tables go when the next one is written. Rounds grow with the logarithm of the largest component.
+Nothing but two numbers a round reaches the driver.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import drop_table, materialise
+from newsloom.llm.common import Scratch, drop_table, materialise
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -27,14 +28,17 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (the least node of its component) for every node of an edge. edges: columns a, b of long."""
-    now = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
-    while True:
-        n, total = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if not n or before == (n, total):
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v")).distinct())
-        before = n, total
-        after = materialise(_star(_star(now, large=True), large=False), "edges")
-        drop_table(now)
-        now = after
+    """node, component (the least node of its component) for every node of an edge, as a written table. edges: columns a, b of long."""
+    spark = edges.sparkSession
+    with Scratch(spark) as scratch:
+        now = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+        before = None
+        while True:
+            n, total = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if not n or before == (n, total):
+                return scratch.keep(now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v")).distinct()), "labels")
+            before = n, total
+            with Scratch(spark) as round_:
+                after = round_.keep(_star(_star(now, large=True), large=False), "edges")
+            drop_table(now)
+            now = after

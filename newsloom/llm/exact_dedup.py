@@ -2,17 +2,16 @@
 
 Shape of the index on Spark:
 
-* memtable: each task normalises and digests its texts (``ExactIndex.flush``); a full memtable is
-  flushed as a run sorted by digest. Runs are a Parquet table in the shared folder, written with
-  Parquet's own Bloom filter on the digest.
+* memtable: each task normalises and digests its texts (`flush`); a full memtable is flushed as a
+  run sorted by digest. Runs are a Parquet table in the shared folder.
 * compaction: runs merge into one level by an aggregation on the digest with map-side combine, so a
   digest that a third of all rows share is one row of each task before the shuffle. The entry that
   stays is the longest original text, then the smallest identifier.
-* filter: a bitmap of bounded size over the digests with more than one entry. Rows outside it are
-  certainly single; their texts never move.
-* verification: texts that hit the filter are compared byte by byte, inside a memtable first (one
-  representative of each digest and content leaves a task), then across tasks by grouping on the
-  bytes themselves. Digests with different contents are regrouped on the contents.
+* filters: for each block of a file, a bitmap of its rows whose digest the level has (`Places`). The
+  texts of all other rows, which are single, are never read again and never move.
+* verification: texts that the filters let through are compared byte by byte, inside a memtable first
+  (one representative of each digest and content leaves a task), then across tasks by grouping on
+  the bytes themselves. Digests with different contents are regrouped on the contents.
 
 Defined results: a null text counts as empty; equal texts without a doc_id rank after those with
 one; of fully equal rows exactly one is kept; an empty table gives no rows; other columns are not
@@ -24,12 +23,11 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import ASCII_SPACE, documents, file_based, materialise, may_hold, membership, row_key, small_batches
+from newsloom.llm.common import ASCII_SPACE, Places, Scratch, documents, file_based, materialise, row_key, small_batches, without
 
 #: Entries of a memtable before it is flushed as a run, and bytes of text held for verification.
 MEMTABLE_ROWS = 50_000
@@ -44,10 +42,6 @@ def _digest(sha: bytes, size: int) -> bytes:
     return sha[:size]
 
 
-def _key(digest: bytes) -> int:
-    return int.from_bytes(digest[:8].ljust(8, b"\0"), "big", signed=True)
-
-
 def flush(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Memtables of digests, each flushed in digest order."""
     table: list[tuple] = []
@@ -73,8 +67,8 @@ def flush(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
         yield run()
 
 
-def representatives(batches: Iterator[pa.RecordBatch], size: int, bitmap: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """One row for each digest and content that a memtable has seen, for rows that may be in the filter."""
+def representatives(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """One row for each digest and content that a memtable has seen."""
     seen: dict[bytes, set[bytes]] = {}
     held = 0
 
@@ -83,20 +77,16 @@ def representatives(batches: Iterator[pa.RecordBatch], size: int, bitmap: np.nda
         return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], names=["digest", "norm"])
 
     for batch in batches:
-        norms = [normalise(x.as_py()) for x in batch.column("body")]
-        digests = [_digest(hashlib.sha256(x).digest(), size) for x in norms]
-        if not digests:
-            continue
-        hit = np.ones(len(digests), bool) if bitmap is None else may_hold(bitmap, np.array([_key(d) for d in digests], np.int64))
-        for i in np.flatnonzero(hit):
-            known = seen.setdefault(digests[i], set())
-            if norms[i] not in known:  # compares bytes
-                known.add(norms[i])
-                held += len(norms[i])
-        if held >= MEMTABLE_BYTES:
-            yield run()
-            seen.clear()
-            held = 0
+        for text in batch.column("body"):
+            norm = normalise(text.as_py())
+            known = seen.setdefault(_digest(hashlib.sha256(norm).digest(), size), set())
+            if norm not in known:  # compares bytes
+                known.add(norm)
+                held += len(norm)
+            if held >= MEMTABLE_BYTES:
+                yield run()
+                seen.clear()
+                held = 0
     if seen:
         yield run()
 
@@ -105,19 +95,18 @@ class ExactIndex:
     """index = ExactIndex(docs); index.members: a row of each input row with its group."""
 
     def __init__(self, docs: DataFrame, digest_bytes: int = 32) -> None:
-        small_batches(docs.sparkSession)
+        spark = docs.sparkSession
+        small_batches(spark)
         self.docs = file_based(docs)
-        self.size = digest_bytes
-        text = F.coalesce(F.col("text"), F.lit(""))
-        scan = self.docs.select("doc_id", F.length(text).cast("long").alias("points"), text.cast("binary").alias("body"), *row_key())
-        size = digest_bytes
-        self.runs = materialise(
-            scan.mapInArrow(lambda it: flush(it, size), "digest binary, sha binary, doc_id long, points long, _file long, _row long"),
-            "runs", **{"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": str(MEMTABLE_ROWS)},
-        )
-        self.level = materialise(self._compact(self.runs, "digest"), "level")
-        self.hits = self.level.count()
-        self.mixed = self._verify() if self.hits else None
+        self.size = size = digest_bytes
+        scan = self.docs.select("doc_id", F.length(_text()).cast("long").alias("points"), _text().cast("binary").alias("body"), *row_key(self.docs))
+        with Scratch(spark) as scratch:
+            runs = materialise(scan.mapInArrow(lambda it: flush(it, size), "digest binary, sha binary, doc_id long, points long, _file long, _row long"), "runs")
+            self.entries = scratch.keep(runs.join(self._compact(runs, "digest"), "digest", "left"), "entries")
+            reps = Places(self.docs, self.entries.filter("size IS NOT NULL")).gather([_text().cast("binary").alias("body")], lambda rows: rows.select("body").mapInArrow(lambda it: representatives(it, size), "digest binary, norm binary"), "hits")
+            mixed = scratch.keep(reps.groupBy("digest", "norm").agg(F.lit(1).alias("one")).groupBy("digest").count().filter("count > 1").select("digest"), "mixed")
+        #: Digests whose texts differ; None if there are none.
+        self.mixed = None if mixed.isEmpty() else mixed
 
     @staticmethod
     def _compact(rows: DataFrame, *key: str) -> DataFrame:
@@ -125,19 +114,10 @@ class ExactIndex:
         rank = F.struct((-F.col("points")).alias("p"), F.col("doc_id").isNull().alias("n"), "doc_id", "_file", "_row")
         return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("size"), F.min(rank).alias("best")).filter("size > 1")
 
-    def _verify(self) -> DataFrame | None:
-        """Digests whose texts differ; None if there are none."""
-        size = self.size
-        key = F.conv(F.hex(F.rpad(F.substring("digest", 1, 8), 8, F.lit(b"\0"))), 16, -10).cast("long")
-        bitmap = membership(self.level.select("digest"), key, self.hits)
-        reps = self.docs.select(F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body")).mapInArrow(lambda it: representatives(it, size, bitmap), "digest binary, norm binary")
-        mixed = materialise(reps.groupBy("digest", "norm").agg(F.lit(1).alias("one")).groupBy("digest").count().filter("count > 1").select("digest"), "mixed")
-        return None if mixed.isEmpty() else mixed
-
     @property
     def members(self) -> DataFrame:
         """doc_id, keep_id, group_size, kept, text_sha256, _file, _row: one row for each input row."""
-        out = self.runs.join(self.level, "digest", "left")
+        out = self.entries
         if self.mixed is not None:
             out = out.join(self.mixed, "digest", "left_anti").unionByName(self._by_content())
         kept = F.col("size").isNull() | ((F.col("best._file") == F.col("_file")) & (F.col("best._row") == F.col("_row")))
@@ -153,14 +133,17 @@ class ExactIndex:
     def _by_content(self) -> DataFrame:
         """The rows of digests with different texts, grouped by the texts themselves."""
         size = self.size
-        text = F.coalesce(F.col("text"), F.lit(""))
-        norm = F.translate(text, ASCII_SPACE.decode(), "").cast("binary")
-        rows = self.docs.select("doc_id", F.length(text).cast("long").alias("points"), norm.alias("norm"), *row_key())
+        norm = F.translate(_text(), ASCII_SPACE.decode(), "").cast("binary")
+        columns = [F.col("doc_id"), F.length(_text()).cast("long").alias("points"), norm.alias("norm")]
+        rows = Places(self.docs, self.entries.join(self.mixed, "digest", "left_semi")).gather(columns, lambda rows: rows, "mixed-texts")
         rows = rows.withColumn("sha", F.unhex(F.sha2("norm", 256))).withColumn("digest", F.substring("sha", 1, size))
-        rows = rows.join(self.mixed, "digest", "left_semi")
         return rows.join(self._compact(rows, "digest", "norm"), ["digest", "norm"], "left").drop("norm")
 
 
+def _text() -> Column:
+    return F.coalesce(F.col("text"), F.lit(""))
+
+
 def exact_dedup(docs: DataFrame) -> DataFrame:
     return ExactIndex(docs).members.drop("_file", "_row")
 
@@ -169,9 +152,7 @@ def keep_first_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, all columns."""
     index = ExactIndex(docs)
     gone = index.members.filter(~F.col("kept")).select("_file", "_row")
-    names = index.docs.columns
-    rows = index.docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("rec"), *row_key())
-    return rows.join(gone, ["_file", "_row"], "left_anti").select("rec.*")
+    return without(index.docs, gone)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,10 +11,11 @@
    proposals the best of either kind is confirmed on the full sets.
 4. Later rounds look only at buckets that still hold several components, with longer signatures
    (FINE minima) of their members. Members outside a bucket's largest component propose their best
-   partners of other components that were not refuted before, first a few, then more, then all. They
-   end when no bucket has a proposal left, so every candidate pair is either inside a component,
-   refuted on the full sets, or estimated below MARGIN standard errors under the threshold. Pairs of
-   a group are never emitted: a round's output is linear in bucket members until the last.
+   PROPOSALS partners of other components, and then, in the last round, all that are left. Pairs
+   refuted before are not tested again. After the last round every candidate pair is inside a
+   component, refuted on the full sets or by the sizes of the sets, or estimated below MARGIN standard
+   errors under the threshold, and components only grow: nothing is left to look for. Pairs of a group
+   are never emitted before the last round, and then only those that may link but don't.
 5. Confirmed links make components by large-star and small-star steps.
 
 Buckets of more than CHUNK members are dealt to several tasks. In the first round each part is on its
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import Words, binary_values, documents, file_based, materialise, may_hold, membership, mix64, row_key, slices, small_batches, whole_runs
+from newsloom.llm.common import Places, Scratch, Words, binary_values, documents, file_based, materialise, mix64, row_key, slices, small_batches, whole_runs, without
 from newsloom.llm.components import components
 
 BANDS, ROWS = 30, 5
@@ -47,11 +48,13 @@ LOW_BITS = 4
 MARGIN = 4.5
 TILE = 1024
 #: Members of a bucket that one task compares.
-CHUNK = 1024
+CHUNK = 2048
 #: Members of a large bucket that others are compared with in the first round, and its hubs.
 SAMPLE, HUBS = 256, 16
-#: Proposals of a member in each later round; afterwards all.
-PROPOSALS = [16]
+#: Proposals of a member in the round before the last.
+PROPOSALS, ALL = 16, 1 << 30
+#: Shingles that are hashed at once.
+STEP = 1 << 18
 #: Bits of a shingle's hash; the rest of a word holds its text's place in a slice.
 HASH_BITS = 54
 
@@ -63,26 +66,28 @@ CHANCE = 2.0**-LOW_BITS
 
 def shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(distinct shingle hashes of each text in turn, sorted; where each text's begin, and the end)."""
-    raw, at = binary_values(column)
-    words = Words(raw, at, lower=True)
+    words = Words(*binary_values(column), lower=True)
     n, sizes = len(column), np.diff(words.first)
-    owner = np.repeat(np.arange(n), sizes)
     count = np.maximum(sizes - width + 1, np.minimum(sizes, 1))
-    first = np.repeat(words.first[:-1] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
-    mine = np.repeat(np.arange(n), count)
-    key = np.zeros(len(first), np.uint64)
-    for k in range(width):
-        place = first + k
-        inside = place < words.first[mine + 1]
-        value = np.where(inside, words.hash[np.minimum(place, len(owner) - 1)], np.uint64(0x5851F42D4C957F2D)) if len(owner) else key
-        key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + value)
-    packed = (mine.astype(np.uint64) << np.uint64(HASH_BITS)) | (key >> np.uint64(64 - HASH_BITS))
+    ends = np.cumsum(count)
+    packed = np.empty(int(ends[-1]) if n else 0, np.uint64)
+    for lo in range(0, len(packed), STEP):
+        number = np.arange(lo, min(lo + STEP, len(packed)))
+        mine = np.searchsorted(ends, number, side="right")
+        place = words.first[mine] + number - (ends - count)[mine]
+        last = words.first[mine + 1]
+        key = np.zeros(len(number), np.uint64)
+        for k in range(width):
+            value = np.where(place + k < last, words.hash[np.minimum(place + k, len(words.hash) - 1)], np.uint64(0x5851F42D4C957F2D))
+            key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + value)
+        packed[lo : lo + STEP] = (mine.astype(np.uint64) << np.uint64(HASH_BITS)) | (key >> np.uint64(64 - HASH_BITS))
     packed.sort()
     new = np.ones(len(packed), bool)
     new[1:] = packed[1:] != packed[:-1]
     packed = packed[new]
     edges = np.searchsorted(packed, np.arange(n + 1, dtype=np.uint64) << np.uint64(HASH_BITS))
-    return packed & np.uint64((1 << HASH_BITS) - 1), edges
+    packed &= np.uint64((1 << HASH_BITS) - 1)
+    return packed, edges
 
 
 def minima(values: np.ndarray, starts: np.ndarray, count: int) -> np.ndarray:
@@ -163,11 +168,9 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[p
             )
 
 
-def _set_batches(batches: Iterator[pa.RecordBatch], width: int, bitmap: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Full sets and fine signatures of the rows that may be in the bitmap."""
+def _set_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Full sets and fine signatures."""
     for whole in batches:
-        if bitmap is not None:
-            whole = whole.filter(pa.array(may_hold(bitmap, whole.column("key").to_numpy())))
         for batch in slices(whole, "body"):
             values, edges = shingle_sets(batch.column("body"), width)
             blobs = [values[edges[i] : edges[i + 1]].tobytes() for i in range(batch.num_rows)]
@@ -192,11 +195,12 @@ def _confirm_batches(batches: Iterator[pa.RecordBatch], percent: int) -> Iterato
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
 
-def propose(nodes: np.ndarray, comps: np.ndarray, sigs: np.ndarray, refuted: list, role: np.ndarray, least: float, count: int, threshold: float, top: int = 1, every: bool = False) -> tuple[np.ndarray, ...]:
+def propose(nodes: np.ndarray, comps: np.ndarray, sigs: np.ndarray, refuted: list, role: np.ndarray, least: float, count: int, threshold: float, top: int = 1, every: bool = False, sizes: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """(member, partner, estimate, degree of the partner), by place: proposals between components of one bucket.
 
     Members whose role has bit 1 propose to those whose role has bit 2. every: their `top` best
-    partners of all; otherwise the best of a sample and of the hubs, and the best hub.
+    partners of all; otherwise the best of a sample and of the hubs, and the best hub. sizes of the sets
+    rule out partners that are too large or too small for the threshold.
     """
     none = np.zeros(0, np.int64)
     rows, columns = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
@@ -219,6 +223,8 @@ def propose(nodes: np.ndarray, comps: np.ndarray, sigs: np.ndarray, refuted: lis
             cols = columns[j : j + TILE]
             part = similarity(sigs[mine, None, :], sigs[None, cols, :], count)
             part[comps[mine][:, None] == comps[cols][None, :]] = -1
+            if sizes is not None:
+                part[apart(sizes[mine][:, None], sizes[cols][None, :], threshold)] = -1
             est[:, j : j + TILE] = part
         for k, r in enumerate(mine):
             for other in refuted[r] or ():
@@ -242,6 +248,11 @@ def propose(nodes: np.ndarray, comps: np.ndarray, sigs: np.ndarray, refuted: lis
     return tuple(np.concatenate([x[i] for x in out]) for i in range(4))
 
 
+def apart(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether sets of these sizes can't be as similar as the threshold, whatever they hold."""
+    return np.minimum(a, b) < threshold * np.maximum(a, b) - 1e-6
+
+
 def _first_meeting(buckets: np.ndarray, bands: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Whether rows i and j (of one bucket) are in no earlier bucket together."""
     first = (bands[i] == bands[j]).argmax(1)
@@ -250,17 +261,17 @@ def _first_meeting(buckets: np.ndarray, bands: np.ndarray, i: np.ndarray, j: np.
 
 def _proposal_batches(batches: Iterator[pa.RecordBatch], least: float, count: int, threshold: float, top: int, every: bool) -> Iterator[pa.RecordBatch]:
     for table, cuts in whole_runs(batches, "run"):
-        nodes, comps = table["node"].to_numpy(), table["component"].to_numpy()
+        nodes, comps, sizes, role = (table[c].to_numpy() for c in ("node", "component", "n", "role"))
         sigs = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint64).reshape(len(nodes), -1)
-        refuted, role = table["refuted"].to_pylist(), table["role"].to_numpy()
+        refuted = table["refuted"].to_pylist()
         two = cuts[:-1][np.diff(cuts) == 2]  # most buckets: a pair
         est = similarity(sigs[two], sigs[two + 1], count)
-        good = (est >= least) & (comps[two] != comps[two + 1])
+        good = (est >= least) & (comps[two] != comps[two + 1]) & ~apart(sizes[two], sizes[two + 1], threshold)
         good[good] = [nodes[i + 1] not in (refuted[i] or ()) for i in two[good]]
         found = [(two[good], two[good] + 1, est[good], np.ones(int(good.sum()), np.int64))]
         for s, e in zip(cuts[:-1], cuts[1:], strict=True):
             if e - s > 2:
-                i, j, est, degree = propose(nodes[s:e], comps[s:e], sigs[s:e], refuted[s:e], role[s:e], least, count, threshold, top, every)
+                i, j, est, degree = propose(nodes[s:e], comps[s:e], sigs[s:e], refuted[s:e], role[s:e], least, count, threshold, top, every, sizes[s:e])
                 found.append((i + s, j + s, est, degree))
         i, j, est, degree = (np.concatenate([p[k] for p in found]) for k in range(4))
         if every and len(i):
@@ -271,6 +282,9 @@ def _proposal_batches(batches: Iterator[pa.RecordBatch], least: float, count: in
         yield pa.RecordBatch.from_arrays([pa.array(nodes[i[once]]), pa.array(nodes[j[once]]), pa.array(est[once]), pa.array(degree[once])], names=["a", "b", "est", "degree"])
 
 
+ROWS_OF_A_RUN = ["run", "role", "bucket", "node", "component", "n", "signature", "refuted", "bands"]
+
+
 class NearDuplicates:
     """links = NearDuplicates(docs, width, percent); links.members: a row of each input row."""
 
@@ -278,53 +292,60 @@ class NearDuplicates:
         self.width, self.percent = width, percent
         small_batches(docs.sparkSession)
         self.docs = file_based(docs)
-        scan = self.docs.select("doc_id", *row_key(), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body"))
+        scan = self.docs.select("doc_id", *row_key(self.docs), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body"))
         self.sketches = materialise(scan.mapInArrow(lambda it: _sketch_batches(it, width), SKETCH), "sketches")
         rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_file", "_row")
         classes = self.sketches.filter("n > 0").groupBy("d1", "d2").agg(F.min(rank).alias("best"))
         self.classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-        self.labels = self._link()
+        with Scratch(docs.sparkSession) as scratch:
+            self.labels = scratch.keep(self._link(), "labels")
 
     def _link(self) -> DataFrame:
         """node, component: of all nodes that have a link."""
         own = self.classes.select("node", F.col("best._file").alias("_file"), F.col("best._row").alias("_row"))
-        reps = self.sketches.select("_file", "_row", "bands", "signature").join(own, ["_file", "_row"])
-        rows = materialise(reps.select("node", "_file", "_row", "signature", "bands"), "reps")
+        reps = self.sketches.select("_file", "_row", "n", "bands", "signature").join(own, ["_file", "_row"])
+        rows = materialise(reps.select("node", "_file", "_row", "n", "signature", "bands"), "reps")
         spread = rows.select("node", F.explode("bands").alias("bucket"))
         shared = materialise(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "shared")
         self.buckets = materialise(spread.join(shared, "bucket"), "buckets")
-        inside = self.buckets.select("node").distinct()
-        met = materialise(rows.join(inside, "node", "left_semi"), "met")
+        met = materialise(rows.join(self.buckets.select("node").distinct(), "node", "left_semi"), "met")
         self.sets = self._sets(met)
 
         part = F.pmod(F.xxhash64("node", "bucket"), F.ceil(F.col("size") / CHUNK))
         run = F.when(F.col("size") <= CHUNK, F.col("bucket")).otherwise(F.xxhash64("bucket", part))
-        first = self.buckets.withColumn("component", F.col("node")).withColumn("run", run).withColumn("role", F.lit(3)).join(met.select("node", "signature"), "node").withColumn("refuted", F.lit(None).cast("array<long>")).withColumn("bands", F.lit(None).cast("array<long>"))
+        nothing = F.lit(None).cast("array<long>")
+        first = self.buckets.withColumn("component", F.col("node")).withColumn("run", run).withColumn("role", F.lit(3)).withColumn("refuted", nothing)
+        first = first.join(met.select("node", "n", "signature"), "node").withColumn("bands", nothing)
         proposed = self._proposals(first, PERMUTATIONS, 1, False)
         best = proposed.groupBy("a").agg(F.max(F.struct("est", "b")).alias("near"), F.max(F.struct("degree", "est", "b")).alias("hub"))
-        pairs = best.select("a", F.explode(F.array("near.b", "hub.b")).alias("b"))
-        tested = self._confirm(pairs)
-        refuted = tested.filter("not linked")
-        labels = materialise(components(tested.filter("linked")), "labels")
-        for top in [*PROPOSALS, *([1 << 30] * 1_000_000)]:
-            fresh = materialise(self._unordered(self._open(labels, refuted, top)), "proposals")
+        first = materialise(best.select("a", F.explode(F.array("near.b", "hub.b")).alias("b")).distinct(), "first")
+        tested = self._confirm(first)
+        refuted = tested.filter("not linked").select("a", "b")
+        labels = components(tested.filter("linked"))
+        # a member's own proposals, two at most, don't take the place of better ones again
+        asked = first.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), F.col("a").alias("node"), F.col("b").alias("partner"))
+        own_no = asked.join(refuted.toDF("x", "y"), ["x", "y"]).groupBy("node").agg(F.collect_set("partner").alias("refuted"))
+        for top, no in ((PROPOSALS, own_no), (ALL, None)):
+            fresh = materialise(self._unordered(self._open(labels, no, top)).join(refuted, ["a", "b"], "left_anti"), "proposals")
             if fresh.isEmpty():
-                return labels
+                continue
             tested = self._confirm(fresh)
-            refuted = refuted.union(tested.filter("not linked"))
+            refuted = refuted.union(tested.filter("not linked").select("a", "b"))
             found = tested.filter("linked").select("a", "b")
             if not found.isEmpty():
-                labels = materialise(components(found.union(labels.select("node", "component"))), "labels")
-        raise AssertionError("every round refutes or links something")
+                labels = components(found.union(labels.select("node", "component")))
+        return labels
 
     def _sets(self, met: DataFrame) -> DataFrame:
-        """node, items, fine, bands: the full set, long signature and buckets of each node that shares one."""
-        key = F.xxhash64("_file", "_row")
-        bitmap = membership(met, key, met.count())
+        """node, n, items, fine, bands: the full set, long signature and buckets of each node that shares one."""
         width = self.width
-        scan = self.docs.select(*row_key(), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body")).withColumn("key", key)
-        found = scan.mapInArrow(lambda it: _set_batches(it, width, bitmap), "_file long, _row long, items binary, fine binary")
-        return materialise(found.join(met.select("node", "_file", "_row", "bands"), ["_file", "_row"]).select("node", "items", "fine", "bands"), "sets")
+        own = met.select("node", "_file", "_row", "n", "bands")
+
+        def work(rows: DataFrame) -> DataFrame:
+            found = rows.select("_file", "_row", "body").mapInArrow(lambda it: _set_batches(it, width), "_file long, _row long, items binary, fine binary")
+            return found.join(own, ["_file", "_row"]).select("node", "n", "items", "fine", "bands")
+
+        return Places(self.docs, own).gather([F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body")], work, "sets")
 
     @staticmethod
     def _unordered(pairs: DataFrame) -> DataFrame:
@@ -339,11 +360,11 @@ class NearDuplicates:
     def _proposals(self, rows: DataFrame, count: int, top: int, every: bool) -> DataFrame:
         threshold = self.percent / 100
         least = floor_estimate(threshold, count)
-        rows = rows.select("run", "role", "bucket", "node", "component", "signature", "refuted", "bands").repartition("run").sortWithinPartitions("run")
+        rows = rows.select(*ROWS_OF_A_RUN).repartition("run").sortWithinPartitions("run")
         return rows.mapInArrow(lambda it: _proposal_batches(it, least, count, threshold, top, every), "a long, b long, est double, degree long")
 
-    def _open(self, labels: DataFrame, refuted: DataFrame, top: int) -> DataFrame:
-        """New candidate pairs between components, from buckets that hold several."""
+    def _open(self, labels: DataFrame, no: DataFrame | None, top: int) -> DataFrame:
+        """Candidate pairs between components, from buckets that hold several. no: node, its refuted partners."""
         at = self.buckets.select("bucket", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         sizes = at.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket")
         open_ = sizes.agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("top")).filter("comps > 1")
@@ -357,8 +378,8 @@ class NearDuplicates:
         proposers = large.filter(outside).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("bucket", "node", "component", F.xxhash64("bucket", deal("row_parts"), F.col("j").cast("bigint")).alias("run"), F.lit(1).alias("role"))
         partners = large.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("row_parts") - 1))).select("bucket", "node", "component", F.xxhash64("bucket", F.col("i").cast("bigint"), deal("parts")).alias("run"), F.lit(2).alias("role"))
         at = whole.union(proposers).union(partners)
-        no = refuted.select("a", "b").union(refuted.select("b", "a")).groupBy("a").agg(F.collect_set("b").alias("refuted")).withColumnRenamed("a", "node")
-        rows = at.join(self.sets.select("node", F.col("fine").alias("signature"), "bands"), "node").join(no, "node", "left")
+        rows = at.join(self.sets.select("node", "n", F.col("fine").alias("signature"), "bands"), "node")
+        rows = rows.join(no, "node", "left") if no is not None else rows.withColumn("refuted", F.lit(None).cast("array<long>"))
         return self._proposals(rows, FINE, top, True)
 
     @property
@@ -387,8 +408,7 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     """One row of docs of each group of near-duplicates, all columns."""
     index = NearDuplicates(docs, width, percent)
     gone = index.members.filter(~F.col("first")).select("_file", "_row")
-    rows = index.docs.select(F.struct(*[F.col(f"`{c}`") for c in index.docs.columns]).alias("rec"), *row_key())
-    return rows.join(gone, ["_file", "_row"], "left_anti").select("rec.*")
+    return without(index.docs, gone)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import Words, binary_values, documents, materialise, mix64, slices, small_batches
+from newsloom.llm.common import Words, binary_values, documents, file_based, materialise, mix64, row_key, slices, small_batches, without
 
 THRESHOLD = 0.3
 POOL, DIAGONAL = 0.5, 0.1
@@ -59,19 +59,18 @@ def features(column: pa.Array) -> np.ndarray:
     body, edge = words.body, at - at[0]
 
     def count(mask: np.ndarray) -> np.ndarray:
-        sums = np.zeros(len(mask) + 1, np.int64)
-        np.cumsum(mask, out=sums[1:])
-        return (sums[edge[1:]] - sums[edge[:-1]]).astype(float)
+        """Of each text; reduceat gives an empty range the value at its start."""
+        return np.where(edge[1:] > edge[:-1], np.add.reduceat(np.append(mask, False), edge[:-1], dtype=np.int64), 0).astype(float)
 
     upper = _ASCII_UPPER[body]
     if len(body) > 1:  # U+00C0 to U+00DE
         upper[1:] |= (body[:-1] == 0xC3) & (body[1:] >= 0x80) & (body[1:] <= 0x9E)
     letters, points = count(_LETTER[body]), count(_POINT[body])
-    alnum = np.zeros(len(body) + 1, np.int64)
-    np.cumsum(_LETTER[body] | _DIGIT[body], out=alnum[1:])
+    told = np.append(_LETTER[body] | _DIGIT[body], False)
+    told = np.logical_or.reduceat(told, np.column_stack([words.start, words.end]).ravel())[::2] if len(words.start) else np.zeros(0, bool)
     n_words = np.diff(words.first).astype(float)
     owner = np.repeat(np.arange(n), np.diff(words.first))
-    bare = np.bincount(owner, alnum[words.end] == alnum[words.start], n)
+    bare = np.bincount(owner, ~told, n)
     same = np.zeros(len(owner), bool)
     same[1:] = (words.hash[1:] == words.hash[:-1]) & (owner[1:] == owner[:-1])
     runs = np.zeros(n)
@@ -136,7 +135,8 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     for whole in batches:
         for batch in slices(whole, "body"):
             x = features(batch.column("body"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), K).cast(pa.list_(pa.float64()))], names=["doc_id", "x"])
+            kept = batch.schema.names[:-1]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), K).cast(pa.list_(pa.float64()))], names=[*kept, "x"])
 
 
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +161,7 @@ def held_out() -> Column:
 
 def feature_table(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", text_bytes().alias("body")).mapInArrow(_feature_batches, "doc_id long, x array<double>")
+    return docs.select("doc_id", *row_key(docs), text_bytes().alias("body")).mapInArrow(_feature_batches, "doc_id long, _file long, _row long, x array<double>")
 
 
 def fit(table: DataFrame, labels: DataFrame) -> Discriminant:
@@ -174,33 +174,34 @@ def fit(table: DataFrame, labels: DataFrame) -> Discriminant:
     return Discriminant.fit(total[:, 0], total[:, 1 : 1 + K], total[:, 1 + K :].reshape(2, K, K))
 
 
+KEPT = ["doc_id", "_file", "_row", "held_out"]
+
+
 def score_table(table: DataFrame, model: Discriminant) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = b.column("x").flatten().to_numpy().reshape(-1, K)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(model.score(x))], names=["doc_id", "held_out", "score"])
+            yield pa.RecordBatch.from_arrays([*map(b.column, KEPT), pa.array(model.score(x))], names=[*KEPT, "score"])
 
-    rows = table.select("doc_id", held_out().alias("held_out"), "x").mapInArrow(run, "doc_id long, held_out boolean, score double")
+    rows = table.select("doc_id", "_file", "_row", held_out().alias("held_out"), "x").mapInArrow(run, "doc_id long, _file long, _row long, held_out boolean, score double")
     return rows.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted. Texts are read once: the features stay in a table of ours."""
+def _scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Scores of all rows with their places. Texts are read once: the features stay in a table of ours."""
     table = materialise(feature_table(docs), "features")
     return score_table(table, fit(table, labels))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the classifier doesn't reject, all columns. Rows never move."""
-    model = fit(feature_table(docs), labels)
+def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    return _scored(file_based(docs), labels).drop("_file", "_row")
 
-    @F.arrow_udf("double")
-    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in batches:
-            whole = pa.RecordBatch.from_arrays([column], names=["body"])
-            yield pa.concat_arrays([pa.array(model.score(features(b.column("body")))) for b in slices(whole, "body")] or [pa.array([], pa.float64())])
 
-    return docs.filter(score(text_bytes()) >= THRESHOLD)
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that the classifier doesn't reject, all columns. Rows never move."""
+    docs = file_based(docs)
+    return without(docs, _scored(docs, labels).filter("predicted = 0"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,10 +13,11 @@ Level-wise doubling, where only what repeats at one length is extended to the ne
 4. Full length. A run whose context occurs twice repeats as a whole. One run of each context is
    expanded into its windows; a window that occurs once among them is unique.
 
-Rows are (file, row position) of the scan, so the texts move only where their windows are expanded
-and where words are removed, behind a membership bitmap of bounded size. No key gathers its rows in
-one task: counts are aggregated map-side, joins are against tables with one row of each key. Hashes
-have 64 bits; spans and windows are also told apart by the gram they are anchored at (128 bits).
+Rows are (file, row position) of the scan, so texts move only where their windows are expanded and
+where words are removed; other rows are told apart where they are scanned (`Places`). No key gathers
+its rows in one task: counts are aggregated map-side, joins are against tables with one row of each
+key. Word sequences are compared by 64-bit polynomial hashes of 64-bit word hashes, and only among
+those anchored at one gram; the words themselves are not compared again.
 
 Defined results: a null text has no words; texts shorter than a window lose nothing; equal rows of
 the same doc_id count as two documents and lose everything (from 35 words on); an empty table gives
@@ -26,14 +27,14 @@ no rows.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import RangeHash, Words, binary_values, documents, file_based, materialise, may_hold, membership, mix64, row_key, slices, small_batches
+from newsloom.llm.common import Places, RangeHash, Scratch, Words, binary_values, documents, file_based, materialise, mix64, row_key, slices, small_batches
 
 WINDOW = 35
 #: Room for the place of a word in a slice; the other bits of a word order the grams.
@@ -127,8 +128,8 @@ def _window_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[
             yield pa.RecordBatch.from_arrays([pa.array(hashes.of(at, at + window).view(np.int64)), pa.array(v[which]), files, rows, pa.array(p.astype(np.int32)), pa.array(single[which])], names=["w", "v", "_file", "_row", "p", "single"])
 
 
-def _cut_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """What is left of texts with ranges to remove."""
+def _cut_batches(batches: Iterator[pa.RecordBatch], window: int, texts: bool) -> Iterator[pa.RecordBatch]:
+    """What is left of texts with ranges to remove, and its digest."""
     for batch in batches:
         out = []
         for body, ranges in zip(batch.column("body"), batch.column("ranges"), strict=True):
@@ -139,7 +140,7 @@ def _cut_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.
                 edge[r["hi"] + window] -= 1
             gone = np.cumsum(edge[:-1]) > 0
             kept = b" ".join([words[i] for i in np.flatnonzero(~gone)])
-            out.append((int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept))
+            out.append((int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept if texts else None))
         yield pa.RecordBatch.from_arrays([batch.column("_file"), batch.column("_row"), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.binary())], names=["_file", "_row", "n_removed", "kept_sha", "kept"])
 
 
@@ -147,25 +148,17 @@ class SubstringDedup:
     def __init__(self, docs: DataFrame, window: int = WINDOW) -> None:
         small_batches(docs.sparkSession)
         self.docs, self.window = file_based(docs), window
-        scan = self.docs.select("doc_id", *row_key(), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body"))
+        scan = self.docs.select("doc_id", *row_key(self.docs), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body"))
         both = materialise(scan.mapInArrow(lambda it: _scan_batches(it, window), SCAN), "runs")
         self.rows = both.filter("v is null").select("doc_id", "_file", "_row", "n_words", "sha")
         self.runs = both.filter("v is not null").select("v", "c", "r", "l", "_file", "_row", "p0", "n", "o")
-        self.ranges = self._repeated()
+        with Scratch(docs.sparkSession) as scratch:
+            self.ranges = scratch.keep(self._repeated(), "ranges")
 
-    def _texts(self, wanted: DataFrame) -> DataFrame:
-        """wanted (with _file, _row) joined with the texts."""
-        key = F.xxhash64("_file", "_row")
-        bitmap = membership(wanted, key, wanted.count())
-        scan = self.docs.select(*row_key(), F.col("text").cast("binary").alias("body"))
-        if bitmap is not None:
-
-            def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for b in batches:
-                    yield b.filter(pa.array(may_hold(bitmap, b.column("key").to_numpy()))).select(["_file", "_row", "body"])
-
-            scan = scan.withColumn("key", key).mapInArrow(held, "_file long, _row long, body binary")
-        return scan.join(wanted, ["_file", "_row"])
+    def _texts(self, wanted: DataFrame, work: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+        """work(rows of wanted, which has _file, _row, with their texts), as a written table."""
+        body = F.col("text").cast("binary").alias("body")
+        return Places(self.docs, wanted).gather([body], lambda rows: work(rows.join(wanted, ["_file", "_row"]).select("_file", "_row", "body", "ranges")), name)
 
     def _repeated(self) -> DataFrame:
         """_file, _row, ranges: first and last start of repeated windows of each document that has some."""
@@ -188,31 +181,30 @@ class SubstringDedup:
         # full length
         wanted = level.groupBy("_file", "_row").agg(F.collect_list(F.struct("lo", "hi", "v", (F.col("k") == 1).alias("single"))).alias("ranges"))
         wanted = materialise(wanted, "wanted")
-        windows = self._texts(wanted).select("_file", "_row", "body", "ranges").mapInArrow(lambda it: _window_batches(it, window), "w long, v long, _file long, _row long, p int, single boolean")
-        windows = materialise(windows, "windows")
+        windows = self._texts(wanted, lambda rows: rows.mapInArrow(lambda it: _window_batches(it, window), "w long, v long, _file long, _row long, p int, single boolean"), "windows")
         twice = windows.groupBy("w", "v").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("w", "v")
         found = windows.filter("single").join(twice, ["w", "v"], "left_semi").select("_file", "_row", F.col("p").alias("lo"), F.col("p").alias("hi"))
         copied = contexts.filter("k > 1").select("v", "c", "r", "l")
         whole = alive.filter("differ").join(copied, ["v", "c", "r", "l"], "left_semi").select("_file", "_row", F.col("p0").alias("lo"), (F.col("p0") + F.col("n") - 1).alias("hi"))
         every = done.unionByName(whole).unionByName(found)
-        return materialise(every.groupBy("_file", "_row").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "ranges")
+        return every.groupBy("_file", "_row").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
 
-    def _cut(self) -> DataFrame:
+    def _cut(self, texts: bool) -> DataFrame:
         window = self.window
-        return self._texts(self.ranges).select("_file", "_row", "body", "ranges").mapInArrow(lambda it: _cut_batches(it, window), "_file long, _row long, n_removed long, kept_sha string, kept binary")
+        return self._texts(self.ranges, lambda rows: rows.mapInArrow(lambda it: _cut_batches(it, window, texts), "_file long, _row long, n_removed long, kept_sha string, kept binary"), "cut")
 
     @property
     def members(self) -> DataFrame:
         """doc_id, n_words, n_removed, kept_sha256: one row for each input row."""
-        out = self.rows.join(self._cut().drop("kept"), ["_file", "_row"], "left")
+        out = self.rows.join(self._cut(False).drop("kept"), ["_file", "_row"], "left")
         return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha", "sha").alias("kept_sha256"))
 
     @property
     def texts(self) -> DataFrame:
         """The input rows with a column `kept`: the text without the removed words; untouched texts stay as they are."""
         names = self.docs.columns
-        rows = self.docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("rec"), F.col("text").alias("own"), *row_key())
-        return rows.join(self._cut().select("_file", "_row", F.col("kept").cast("string").alias("cut")), ["_file", "_row"], "left").select("rec.*", F.coalesce("cut", "own").alias("kept"))
+        rows = self.docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("rec"), F.col("text").alias("own"), *row_key(self.docs))
+        return rows.join(self._cut(True).select("_file", "_row", F.col("kept").cast("string").alias("cut")), ["_file", "_row"], "left").select("rec.*", F.coalesce("cut", "own").alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
