@@ -1,3 +1,4 @@
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -69,3 +70,39 @@ def test_given_weights_and_order(spark):
 def test_no_python_on_the_executors(spark):
     plan = mixing.mix(corpus(spark), [F.col("doc_id")])._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_sources_of_one_quota_take_turns(spark):
+    rng = random.Random(3)
+    quota = [1 + rng.randrange(4) for _ in range(180)]
+    period = 512
+    quota[7] += period - sum(quota)
+    df = spark.createDataFrame([Row(i=i, q=q) for i, q in enumerate(quota)], "i int, q long")
+    assert [r.i for r in mixing.period_slots(df, period).orderBy("slot").collect()] == brute_period(quota, period)
+
+
+def test_many_sources_get_a_longer_period(spark):
+    docs = spark.createDataFrame([Row(doc_id=i, text="t", source=f"s{i % 90}") for i in range(400)], "doc_id long, text string, source string")
+    rows = mixing.mix(docs, [F.col("doc_id")], block_rows=2, period=64).collect()
+    assert {r.doc_id for r in rows} == set(range(400)) and all(r.release <= r.slot < r.deadline for r in rows)
+    assert sorted({r.slot for r in rows}) == list(range(len({r.slot for r in rows})))
+
+
+def test_lopsided_weights_repeat_no_row_without_end(spark):
+    docs = spark.createDataFrame([Row(doc_id=i, source="small" if i < 10 else "large") for i in range(4000)], "doc_id long, source string")
+    for weights in ({"small": 1.0}, {"small": 1.0, "large": 1e-9}):
+        rows = mixing.mix(docs, [F.col("doc_id")], weights=weights, block_rows=4, period=64, epochs=5).collect()
+        seen = Counter(r.doc_id for r in rows)
+        assert set(seen) == set(range(4000)) and max(seen.values()) <= 5
+        assert all(r.release <= r.slot < r.deadline for r in rows)
+
+
+def test_oracle_agrees(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    expect = con.sql(mixing.ORACLE).fetchall()
+    names = [d[0] for d in con.sql(mixing.ORACLE).description]
+    got = mixing.query(spark, "/root/testdata/sf0.001").select(*names).collect()
+    assert sorted(map(tuple, got)) == sorted(expect)
