@@ -6,8 +6,11 @@ log2(sample length), per character, estimates the cross entropy. The language ne
 normalised phrases wins (ties: the smaller name).
 
 Text is folded first: letters lower-cased, every run of other characters one space. A text is parsed
-whole, in blocks of BLOCK characters that run in lockstep through a dense transition table: a phrase
-ends where its block ends, which adds at most one phrase in BLOCK characters to every language alike.
+whole, in blocks of BLOCK characters that run in lockstep, all languages at once, through one sparse
+transition table (the transitions of a state lie at its base plus the symbol, interleaved with those
+of others; a slot names the state it belongs to), so a table grows with the samples and not with their
+alphabets. A phrase ends where its block ends, which adds at most one phrase in BLOCK characters to
+every language alike. Texts of more than PIECE characters are folded and parsed piece by piece.
 
 Bounds (parameters): SAMPLE_TEXTS texts of each language, those with the smallest hash of doc_id in
 as many hash buckets among labelled texts of SAMPLE_MIN to SAMPLE_MAX code points, of which the
@@ -39,6 +42,8 @@ SAMPLE_TEXTS = 64
 SAMPLE_MIN, SAMPLE_MAX = 200, 4000
 SAMPLE_CHARS = 40_000
 BLOCK = 1024
+#: Characters of a long text that are parsed at once.
+PIECE = 1 << 20
 #: How sharply the score falls with the margin: bits of total evidence are capped here.
 EVIDENCE_BITS = 30.0
 
@@ -65,10 +70,9 @@ def folded(points: np.ndarray) -> np.ndarray:
     return x[keep]
 
 
-def suffix_automaton(text: list[int], symbols: int) -> np.ndarray:
-    """Dense transitions [state, symbol] of the automaton of all substrings; -1 where there is none."""
+def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
+    """Transitions of each state of the automaton of all substrings; state 0 is the root."""
     size = 2 * len(text) + 2
-    go = np.full((size, symbols), -1, np.int32)
     link, length = [-1] * size, [0] * size
     moves: list[dict[int, int]] = [{}]
     last = 0
@@ -96,11 +100,42 @@ def suffix_automaton(text: list[int], symbols: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    go = go[: len(moves)]
-    for s, d in enumerate(moves):
-        if d:
-            go[s, list(d)] = list(d.values())
-    return go
+    return moves
+
+
+def interleaved(moves: list[dict[int, int]], symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(base of each state, state and target of each slot): a state's transition by c is at base + c if that slot is its own.
+
+    States of several transitions go where a draw finds room for all of them, largest first; those of
+    one fill the gaps. Base + c is a slot for every c.
+    """
+    rng = np.random.default_rng(7)
+    total = sum(map(len, moves))
+    room = int(1.6 * total) + symbols
+    owner = np.full(room + 2 * symbols, -1, np.int32)
+    target = np.zeros(room + 2 * symbols, np.int32)
+    base = np.full(len(moves), symbols, np.int32)
+    single = []
+    for state in sorted(range(len(moves)), key=lambda k: -len(moves[k])):
+        move = moves[state]
+        if len(move) == 1:
+            single.append(state)
+        if len(move) < 2:
+            continue
+        at = np.fromiter(move, np.int64, len(move))
+        while True:
+            tried = rng.integers(symbols, room, 16)
+            free = np.flatnonzero((owner[tried[:, None] + at] < 0).all(1))
+            if len(free):
+                break
+        start = tried[free[0]]
+        base[state] = start
+        owner[start + at] = state
+        target[start + at] = np.fromiter(move.values(), np.int32, len(move))
+    gaps = symbols + np.flatnonzero(owner[symbols : symbols + room] < 0)[: len(single)]
+    symbol, to = (np.array([next(iter(f(moves[k]))) for k in single], np.int32) for f in (dict.keys, dict.values))
+    owner[gaps], target[gaps], base[single] = single, to, gaps - symbol
+    return base, owner, target
 
 
 class Model:
@@ -110,17 +145,23 @@ class Model:
         texts = {k: folded(np.frombuffer(v.encode("utf-32-le"), np.uint32))[:SAMPLE_CHARS] for k, v in sorted(samples.items())}
         self.languages = [k for k, v in texts.items() if len(v)]
         letters = np.unique(np.concatenate([texts[k] for k in self.languages])) if self.languages else np.zeros(0, np.uint32)
-        self.symbols = len(letters) + 1  # 0: a character that no sample has
-        self.code = np.zeros(0x110000, np.uint16)
-        self.code[letters] = np.arange(1, len(letters) + 1)
-        tables, self.roots, self.bits, at = [], [], [], 0
+        symbols = len(letters) + 1  # 0: a character that no sample has
+        self.code = np.zeros(0x110000, np.int32)
+        self.code[letters] = np.arange(1, symbols)
+        parts, begins, self.bits, self.roots, states, slots = [], [], [], [], 0, 0
         for k in self.languages:
-            go = suffix_automaton(self.code[texts[k]].tolist(), self.symbols)
-            tables.append(np.where(go >= 0, go + at, -1))
-            self.roots.append(at)
+            moves = suffix_automaton(self.code[texts[k]].tolist())
+            base, owner, target = interleaved(moves, symbols)
+            begin = np.full(symbols, states, np.int64)  # an unknown character is a phrase of its own
+            begin[list(moves[0])] = np.fromiter(moves[0].values(), np.int64, len(moves[0])) + states
+            parts.append((base.astype(np.int64) + slots, np.where(owner < 0, np.int64(-1), owner + np.int64(states)), target + np.int64(states)))
+            begins.append(begin)
+            self.roots.append(states)
             self.bits.append(np.log2(max(len(texts[k]), SAMPLE_MIN) + 1))
-            at += len(go)
-        self.go = np.concatenate(tables).astype(np.int32).ravel() if tables else np.zeros(0, np.int32)
+            states += len(base)
+            slots += len(owner)
+        self.base, self.owner, self.target = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(3))
+        self.begin = np.stack(begins) if begins else np.zeros((0, symbols), np.int64)
 
     def phrases(self, symbols: np.ndarray, blocks: np.ndarray) -> np.ndarray:
         """Phrases of each block and language. blocks: start of each block and the end of the last."""
@@ -128,23 +169,39 @@ class Model:
         order = np.argsort(-sizes, kind="stable")  # so that blocks still running are a prefix
         starts, sizes = starts[order], sizes[order]
         running = len(sizes) - np.searchsorted(sizes[::-1], np.arange(int(sizes[0]) if len(sizes) else 0), side="right")
+        roots = np.array(self.roots, np.int64)[:, None]
+        state = np.repeat(roots, len(starts), 1)
+        count = np.zeros(state.shape, np.int64)
+        for j, n in enumerate(running.tolist()):
+            now, c = state[:, :n], symbols[starts[:n] + j]
+            slot = self.base[now] + c
+            goes = self.owner[slot] == now
+            count[:, :n] += ~goes | (now == roots)  # a phrase begins after a cut, and where none is open
+            state[:, :n] = np.where(goes, self.target[slot], self.begin[:, c])
         out = np.empty((len(starts), len(self.languages)), np.int64)
-        wide = np.int32(self.symbols)
-        for k, root in enumerate(self.roots):
-            state = np.full(len(starts), root, np.int32)
-            count = np.zeros(len(starts), np.int64)
-            begin = self.go[root * self.symbols : (root + 1) * self.symbols]
-            begin = np.where(begin >= 0, begin, root).astype(np.int32)  # an unknown character is a phrase of its own
-            for j, n in enumerate(running.tolist()):
-                c = symbols[starts[:n] + j]
-                now = self.go[state[:n] * wide + c]
-                cut = now < 0
-                count[:n] += cut | (state[:n] == root)  # a phrase begins after a cut, and where none is open
-                state[:n] = np.where(cut, begin[c], now)
-            out[order, k] = count
+        out[order] = count.T
         return out
 
-    def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
+    def _long(self, text: str) -> tuple[np.ndarray, bool]:
+        """(phrases of each language, whether there is a letter) of one text, piece by piece."""
+        total, lettered, open_ = np.zeros(len(self.languages), np.int64), False, False
+        rest = np.zeros(0, np.int32)
+        for at in range(0, len(text), PIECE):
+            x = fold_table()[np.frombuffer(text[at : at + PIECE].encode("utf-32-le"), np.uint32)]
+            letter = x != 32
+            keep = letter.copy()
+            keep[1:] |= letter[:-1]
+            keep[0] |= open_
+            open_, lettered = bool(letter[-1]), lettered or bool(letter.any())
+            rest = np.concatenate([rest, self.code[x[keep]]])
+            whole = len(rest) if at + PIECE >= len(text) else len(rest) // BLOCK * BLOCK
+            if whole:
+                total += self.phrases(rest, np.append(np.arange(0, whole, BLOCK), whole)).sum(0)
+            rest = rest[whole:]
+        return total, lettered
+
+    def _short(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of several texts at once."""
         points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
         ends = np.cumsum([len(t) for t in texts])
         x = fold_table()[points]
@@ -155,17 +212,21 @@ class Model:
         inside = first[first < len(keep)]
         keep[inside] = letter[inside]  # no space at the start of a text
         at = np.concatenate([[0], np.cumsum(keep)])
-        symbols = self.code[x[keep]].astype(np.int32)
+        symbols = self.code[x[keep]]
         begin, end = at[first], at[ends]
         has = np.concatenate([[0], np.cumsum(letter)])
-        lettered = has[ends] > has[first]
         n_blocks = -(-(end - begin) // BLOCK)
         owner = np.repeat(np.arange(len(texts)), n_blocks)
         index = np.arange(len(owner)) - np.repeat(np.cumsum(n_blocks) - n_blocks, n_blocks)
-        edges = np.concatenate([begin[owner] + index * BLOCK, [at[-1]]])
-        per_block = self.phrases(symbols, edges)
         total = np.zeros((len(texts), len(self.languages)), np.int64)
-        np.add.at(total, owner, per_block)
+        np.add.at(total, owner, self.phrases(symbols, np.concatenate([begin[owner] + index * BLOCK, [at[-1]]])))
+        return total, has[ends] > has[first]
+
+    def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
+        total, lettered = self._short([t if len(t) <= PIECE else "" for t in texts])
+        for i, t in enumerate(texts):
+            if len(t) > PIECE:
+                total[i], lettered[i] = self._long(t)
         names, scores = [], []
         bits = np.array(self.bits)
         for i in range(len(texts)):
@@ -192,12 +253,10 @@ def sample(docs: DataFrame) -> dict[str, str]:
         F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & F.substring("text", 1, SAMPLE_MAX).rlike(r"\p{L}")
     )
     buckets = labelled.groupBy("lang", F.pmod("h", F.lit(SAMPLE_TEXTS)).alias("b")).agg(F.min(F.when(F.col("fit"), F.col("h"))).alias("fit"), F.min("h").alias("h")).collect()
-    fitting = {r.lang for r in buckets if r.fit is not None}
-    picked = [r.fit if r.lang in fitting else r.h for r in buckets if r.fit is not None or r.lang not in fitting]
-    if not picked:
-        return {}
-    eligible = labelled.filter(F.col("fit") | ~F.col("lang").isin(sorted(fitting)))  # nothing of that length: any lengths
-    rows = eligible.filter(F.col("h").isin(picked)).groupBy("lang", "h").agg(F.min(F.substring("text", 1, SAMPLE_MAX)).alias("text")).collect()
+    fitting = {r.lang for r in buckets if r.fit is not None}  # others have no text of that length: they learn from any
+    picked = [(r.lang, r.fit if r.lang in fitting else r.h, r.lang in fitting) for r in buckets if r.fit is not None or r.lang not in fitting]
+    picks = docs.sparkSession.createDataFrame(picked, "lang string, h long, fits boolean")  # SAMPLE_TEXTS of each language
+    rows = labelled.join(F.broadcast(picks), ["lang", "h"]).filter("fit OR NOT fits").groupBy("lang", "h").agg(F.min(F.substring("text", 1, SAMPLE_MAX)).alias("text")).collect()
     out: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.h)):
         out.setdefault(r.lang, []).append(r.text)

@@ -68,3 +68,24 @@ def test_held_out_accuracy(spark):
     rows = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
     assert len(rows) > 200
     assert sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.98
+
+
+def test_many_letters_take_little_room():
+    rng = random.Random(8)
+    letters = [chr(0x4E00 + i) for i in range(5000)]
+    samples = {f"l{k}": "".join(rng.choices(letters[k * 100 : k * 100 + 2900], k=6000)) for k in range(20)}
+    model = language_id.Model(samples)
+    assert sum(x.nbytes for x in (model.base, model.owner, model.target, model.begin, model.code)) < 100 << 20
+    assert model.predict([samples["l3"][100:900], samples["l17"][5000:]])[0] == ["l3", "l17"]
+
+
+def test_pieces_of_a_long_text_are_one_text(monkeypatch):
+    model = language_id.Model(SAMPLES)
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("the catsonmdlgrué ñxß..", k=n)) for n in (0, 1, 700, 3000, 2048)] + ["... 12", "   the cat" * 500]
+    want = model._short(texts)
+    monkeypatch.setattr(language_id, "PIECE", 640)
+    for text, phrases, lettered in zip(texts, *want, strict=True):
+        got = model._long(text)
+        assert (got[0] == phrases).all() and got[1] == lettered
+    assert model.predict(texts) == (lambda: (monkeypatch.undo(), model.predict(texts))[1])()
