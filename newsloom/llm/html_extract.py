@@ -1,16 +1,21 @@
 """Main text of web pages by line-block distribution.
 
-A page is stripped to lines, one for each block element; a line's weight is its text outside links.
-Lines inside elements that can't be part of the article (navigation, headers, footers, sidebars,
-forms, scripts, notices, adverts, reader comments: by element, role, or words of class and id) have
-no text. Words of an element that holds most of the text (of the marked article's, if there is one)
-don't count, nor do names such as has-sidebar or entry-header. Where a page marks its article or main part and that has text outside links, all its lines
-stay, links too, and no others. Elsewhere only lines with text count. Block weights are sums over
-WINDOW lines from each line on. A surge is a block of at least SURGE characters with text right after
-it, a dive the next block of no weight; the text between surges and dives stays, whole, and so do
-short stretches between two surges of one container (at most one wrapper apart) and fewer than WINDOW
-link lines in a row before the first or after the last text of their container. A page without a surge keeps the stretch of lines
-with most text. Other runs of link lines on unmarked pages are dropped.
+A page is stripped to lines, one for each block element; a line weighs the length of its text outside
+links. Lines inside elements that can't be part of the article (navigation, headers, footers,
+sidebars, forms, scripts, notices, adverts, reader comments: by element, role, or words of class and
+id) have no text. Words of an element that holds most of the text (of the marked article's, if there
+is one) don't count, nor do names such as has-sidebar or entry-header.
+
+The weight of a block is the sum over the WINDOW lines around a line. A surge is a line with a weight
+of its own whose block reaches SURGE, a dive a block of no weight. The text between the dives around
+a surge stays, from the first line of weight to the last, link lines between them included. So do
+short stretches between two surges of one container (at most one wrapper apart), and, at either end,
+fewer than WINDOW link lines in a row in the container of that line, or a linked heading a wrapper
+before it. A page without a surge keeps the stretch of most weight.
+
+What a page marks as its article or main part weighs MARKED times its whole length, links too, and a
+window ends where marks begin or end; beside a marked surge, other text needs blocks of a RATIO-th of
+the heaviest one. Marks thus decide between texts of similar size, and nothing when they hold none.
 
 Defined results: null or empty html gives the empty text; pages cut off inside a tag, a comment or an
 element are read as far as they go; equal rows get equal results; other columns are not read.
@@ -21,6 +26,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +36,7 @@ from newsloom.llm.common import documents, slices, small_batches
 
 WINDOW = 3
 SURGE = 60
+MARKED, RATIO = 64, 16
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 #: Elements whose content is no markup: skipped up to their end tag.
@@ -51,11 +58,23 @@ WORDS = {
 FOREIGN = {"related", "recommended", "comment", "comments", "commentlist", "disqus", "respond", "replies", "reply", "cookie", "cookies", "consent", "gdpr", "newsletter"}
 #: Names of classes that tell of a layout or of an article's own parts, not of what the element is.
 MODIFIER = re.compile(r"(?:has|no|with|without)[-_]|(?:entry|post|article|story)[-_]+header(?![a-z])")
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: An end tag may be left out: these end when a sibling or a block begins.
 SELF_ENDING = {"p", "li", "dt", "dd", "option", "tr", "td", "th", "thead", "tbody", "tfoot", "colgroup"}
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
+class Line(NamedTuple):
+    """Text, its length outside links, whether a mark holds it, open block elements, innermost element found by its words, whether it is a heading."""
+
+    text: str
+    weight: int
+    marked: bool
+    depth: int
+    worded: int
+    heading: bool
+
+
 def _surrounds(tag: str, attributes: str, inside_main: bool) -> tuple[bool, set[str]]:
     """Whether the element certainly surrounds the article, and its words that say so of elements in general."""
     if tag in BOILERPLATE or (tag == "header" and not inside_main):
@@ -76,16 +95,16 @@ def _surrounds(tag: str, attributes: str, inside_main: bool) -> tuple[bool, set[
     return False, words & ({"comment", "comments", "reply", "related", "sidebar"} if tag in ("article", "main") else WORDS)
 
 
-def _discarded(rows: list[tuple[str, int, bool, int, int]], found: list[tuple[int, bool]]) -> list[bool]:
+def _discarded(rows: list[Line], found: list[tuple[int, bool]]) -> list[bool]:
     """Whether each element found by its words surrounds the article.
 
     It doesn't if it holds most of the text, of the marked article's where there is one, or if nothing
     else has any. FOREIGN elements, of which a page may have more than of its article, are discarded
     whatever their size, unless there is no surge's worth of text besides.
     """
-    marked = any(inside and w for _, w, inside, _, _ in rows)
-    weighed = any(r[1] for r in rows)
-    counted = [(w if weighed else len(t), k) for t, w, inside, _, k in rows if inside or not marked]
+    marked = any(r.marked and r.weight for r in rows)
+    weighed = any(r.weight for r in rows)
+    counted = [(r.weight if weighed else len(r.text), r.worded) for r in rows if r.marked or not marked]
     foreign: list[bool] = []
     for up, f in found:  # outer elements come first
         foreign.append(f or (up >= 0 and foreign[up]))
@@ -108,21 +127,23 @@ def _discarded(rows: list[tuple[str, int, bool, int, int]], found: list[tuple[in
     return gone
 
 
-def lines(page: str) -> list[tuple[str, int, bool, int]]:
-    """(text, weight, inside an article or main element, open block elements) of each line; lines around the article are empty."""
+def lines(page: str) -> list[Line]:
+    """The lines of a page; those around the article are empty."""
     rows, found = _parsed(page, None)
-    return [r[:4] for r in (_parsed(page, _discarded(rows, found))[0] if found else rows)]
+    return _parsed(page, _discarded(rows, found))[0] if found else rows
 
 
-def _parsed(page: str, gone: list[bool] | None) -> tuple[list[tuple[str, int, bool, int, int]], list[tuple[int, bool]]]:
-    """(lines with the innermost element found by its words, the elements so found: the one around each, whether FOREIGN).
+def _parsed(page: str, gone: list[bool] | None) -> tuple[list[Line], list[tuple[int, bool]]]:
+    """(lines, the elements found by their words: the one around each, whether FOREIGN).
 
     gone: which of these surround the article; None: lines end at their borders, and all stay.
     """
-    out: list[tuple[str, int, bool, int, int]] = []
+    out: list[Line] = []
     found: list[tuple[int, bool]] = []
     stack: list[tuple[str, bool, bool, bool]] = []  # (element, whether it surrounds the article, has words, marks the article)
-    skipping = mains = marks = links = depth = 0
+    blocks: list[int] = []  # places of the block elements among them
+    open_: dict[str, int] = {}
+    skipping = mains = marks = links = headings = 0
     worded = -1
     text: list[str] = []
     weight = 0
@@ -130,13 +151,14 @@ def _parsed(page: str, gone: list[bool] | None) -> tuple[list[tuple[str, int, bo
     def flush() -> None:
         nonlocal weight
         line = " ".join("".join(text).split())
-        out.append((line, min(weight, len(line)), marks > 0, depth, worded))
+        out.append(Line(line, min(weight, len(line)), marks > 0, len(blocks), worded, headings > 0))
         text.clear()
         weight = 0
 
     def pop() -> None:
-        nonlocal skipping, mains, marks, links, depth, worded
+        nonlocal skipping, mains, marks, links, headings, worded
         tag, skip, by_words, mark = stack.pop()
+        open_[tag] -= 1
         if by_words:
             if gone is None:
                 flush()
@@ -145,7 +167,9 @@ def _parsed(page: str, gone: list[bool] | None) -> tuple[list[tuple[str, int, bo
         mains -= tag in ("article", "main") and not by_words
         marks -= mark
         links -= tag == "a"
-        depth -= tag not in INLINE
+        headings -= tag in HEADINGS
+        if tag not in INLINE:
+            blocks.pop()
 
     at, size = 0, len(page)
     while at < size:
@@ -165,7 +189,7 @@ def _parsed(page: str, gone: list[bool] | None) -> tuple[list[tuple[str, int, bo
         if tag not in INLINE:
             flush()
         if m[1] or m[4]:
-            if any(x[0] == tag for x in stack):
+            if open_.get(tag):
                 while stack[-1][0] != tag:
                     pop()
                 pop()
@@ -178,9 +202,7 @@ def _parsed(page: str, gone: list[bool] | None) -> tuple[list[tuple[str, int, bo
             at = end.end() if end else size
             continue
         if tag not in INLINE:
-            k = len(stack) - 1
-            while k >= 0 and stack[k][0] in INLINE:
-                k -= 1
+            k = blocks[-1] if blocks else -1
             if k >= 0 and (stack[k][0] == "p" or stack[k][0] == tag and tag in SELF_ENDING):
                 while len(stack) > k:
                     pop()
@@ -193,70 +215,87 @@ def _parsed(page: str, gone: list[bool] | None) -> tuple[list[tuple[str, int, bo
             found.append((worded, bool(words & FOREIGN)))
             worded = len(found) - 1
         mark = tag in ("article", "main") and not skip and not (words and gone is None)
+        if tag not in INLINE:
+            blocks.append(len(stack))
         stack.append((tag, skip, bool(words), mark))
+        open_[tag] = open_.get(tag, 0) + 1
         skipping += skip
         mains += tag in ("article", "main") and not words
         marks += mark
         links += tag == "a"
-        depth += tag not in INLINE
+        headings += tag in HEADINGS
     flush()
     return out, found
 
 
-def select(rows: list[tuple[str, int, bool, int]]) -> list[str]:
-    """The lines of the marked article, or else the texts between surge and dive points of the block distribution."""
-    if any(inside and w for _, w, inside, _ in rows):
-        return [t for t, _, inside, _ in rows if inside and t]
-    texts, weights, depths, lows = [], [], [], []  # lows: fewest open elements since the line before
-    kept, low = set(), 0
-    for t, w, inside, depth in rows:
-        low = min(low, depth)
-        if t:
-            if inside:  # a marked article of links only
-                kept.add(len(texts))
-            texts.append(t)
-            weights.append(w)
-            depths.append(depth)
+def block_weights(weights: list[int], borders: list[bool]) -> list[int]:
+    """Sums over the WINDOW lines around each line, as far as no border lies between. borders: whether one comes before each line."""
+    out, half = [], WINDOW // 2
+    begin = 0
+    for i in range(1, len(weights) + 1):
+        if i < len(weights) and not borders[i]:
+            continue
+        total = sum(weights[begin : begin + half])
+        for k in range(begin, i):
+            total += weights[k + half] if k + half < i else 0
+            out.append(total)
+            total -= weights[k - half] if k - half >= begin else 0
+        begin = i
+    return out
+
+
+def select(rows: list[Line]) -> list[str]:
+    """The texts between surge and dive points of the block distribution."""
+    told, lows, low = [], [], 0  # lows: fewest open elements since the line before
+    for r in rows:
+        low = min(low, r.depth)
+        if r.text:
+            told.append(r)
             lows.append(low)
-            low = depth
-    n = len(texts)
-    blocks, total = [], sum(weights[: WINDOW - 1])
-    for i in range(n):
-        total += weights[i + WINDOW - 1] if i + WINDOW - 1 < n else 0
-        blocks.append(total)
-        total -= weights[i]
-    stretches: list[tuple[int, int, bool]] = []
+            low = r.depth
+    n = len(told)
+    weights = [MARKED * len(r.text) if r.marked else r.weight for r in told]
+    blocks = block_weights(weights, [i > 0 and told[i].marked != told[i - 1].marked for i in range(n)])
+    marked = max((b for b, r in zip(blocks, told, strict=True) if r.marked), default=0)
+    surge = [b >= (SURGE if r.marked else max(SURGE, marked / RATIO)) and w > 0 for b, w, r in zip(blocks, weights, told, strict=True)]
+
+    stretches: list[tuple[int, int, bool]] = []  # first and past the last line of weight, whether one is a surge
     i = 0
     while i < n:
         if not blocks[i]:
             i += 1
             continue
         start = i
-        while i < n and blocks[i]:
+        while i < n and blocks[i] and (i == start or told[i].marked == told[i - 1].marked):
             i += 1
-        stretches.append((start, i, any(blocks[k] >= SURGE and weights[k] for k in range(start, i))))
+        first = next(k for k in range(start, i) if weights[k])
+        last = next(k for k in range(i - 1, start - 1, -1) if weights[k])
+        stretches.append((first, last + 1, any(surge[first : last + 1])))
     surges = [s for s in stretches if s[2]]
-    if not surges and stretches and not kept:
+    if not surges and stretches:
         surges = [max(stretches, key=lambda s: (sum(weights[s[0] : s[1]]), -s[0]))]
+
+    kept: set[int] = set()
     for a, b, _ in surges:
-        first = next(k for k in range(a, b) if weights[k])
-        kept.update(range(first, b))
-        for slack in (1, 2):  # link lines before the first text: of its container, or a wrapper apart
-            start = first
-            while start and not weights[start - 1] and min(lows[start], depths[start - 1]) >= depths[first] - slack:
-                start -= 1
-            if first - start < WINDOW:
-                kept.update(range(start, first))
+        kept.update(range(a, b))
+        if told[a].marked:
+            continue
+        start = a  # link lines of its container
+        while start and not weights[start - 1] and min(lows[start], told[start - 1].depth) >= told[a].depth - 1:
+            start -= 1
+        if a - start < WINDOW:
+            kept.update(range(start, a))
+        if start == a and a and not weights[a - 1] and told[a - 1].heading and min(lows[a], told[a - 1].depth) >= told[a].depth - 2:
+            kept.add(a - 1)
         end = b
-        while end < n and not weights[end] and min(lows[end], depths[end]) >= depths[b - 1] - 1:
+        while end < n and not weights[end] and min(lows[end], told[end].depth) >= told[b - 1].depth - 1:
             end += 1
         if end - b < WINDOW:
             kept.update(range(b, end))
     for (_, a, _), (b, _, _) in zip(surges, surges[1:], strict=False):
-        b = next(k for k in range(b, n) if weights[k])
-        if min(lows[a : b + 1]) >= max(depths[a - 1], depths[b]) - 2:
+        if not told[a - 1].marked and not told[b].marked and min(lows[a : b + 1]) >= max(told[a - 1].depth, told[b].depth) - 2:
             kept.update(k for k in range(a, b) if blocks[k])
-    return [texts[k] for k in sorted(kept)]
+    return [told[k].text for k in sorted(kept)]
 
 
 def main_text(page: str | None) -> str:
