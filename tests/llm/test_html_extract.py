@@ -1,10 +1,11 @@
 import html
 import re
+import time
 
 import pyarrow.parquet as pq
 from pyspark.sql import Row
 
-from newsloom.llm.html_extract import extract, main_text
+from newsloom.llm.html_extract import SURGE, WINDOW, block_weights, extract, main_text
 
 ARTICLE = "<h1>Title</h1><p>First paragraph, long enough to be a surge, with words and more words.<p>Short.<p><b>Second</b> part&nbsp;is &lt;here&gt;,\n and long&#33; enough too."
 EXPECTED = "Title First paragraph, long enough to be a surge, with words and more words. Short. Second part is <here>, and long! enough too."
@@ -83,3 +84,57 @@ def test_words_do_not_discard_the_article():
     assert main_text(f"<main>{inner}<div class='related'><article><p>{LONG * 9}</p></article></div></main>") == text
     assert main_text(f"<div class='widget'><article><p>{LONG}</p></article></div><div class='widget'><article><p>{LONG}</p></article></div>") == f"{LONG} {LONG}"
     assert main_text(f"<p>{LONG}<p>Hello<span class='ad'>Buy</span>, you.") == f"{LONG} Hello, you."
+
+
+def brute(page):
+    """Surges and dives by their definition, over the lines of a page of the driver's kind without marks."""
+    for gone in (r"<head>.*?</head>", r"<nav>.*?</nav>", r"<!--.*?-->", r"<div class=.ad.>.*?</div>", r"<footer>.*?</footer>"):
+        page = re.sub(gone, "\n", page, flags=re.S)
+    told = [" ".join(html.unescape(x).split()) for x in re.sub(r"<[^>]+>", "\n", page.replace("<b>", "").replace("</b>", "")).split("\n")]
+    told = [x for x in told if x]
+    block = [sum(len(x) for x in told[max(0, i - WINDOW // 2) : i + WINDOW // 2 + 1]) for i in range(len(told))]
+    return " ".join(told) if any(b >= SURGE for b in block) else None
+
+
+def test_the_distribution_finds_articles_without_marks():
+    rows = pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()
+    seen = 0
+    for r in rows:
+        page = re.sub("</?article>", "", r["html"])
+        expect = brute(page)
+        if expect is not None and len(expect) > 200:
+            seen += 1
+            assert main_text(page) == main_text(r["html"]) == expect
+    assert seen > 150
+
+
+def test_block_weights():
+    weights, borders = [5, 0, 0, 0, 7, 1, 9, 2], [False, False, False, False, False, False, True, False]
+    part = [0] * 6 + [1] * 2
+    expect = [sum(w for k, w in enumerate(weights) if abs(k - i) <= 1 and part[k] == part[i]) for i in range(8)]
+    assert block_weights(weights, borders) == expect and block_weights([], []) == []
+
+
+def test_marks_are_weights():
+    assert main_text(f"<article><p>Teaser.</p></article><div>{f'<p>{LONG}</p>' * 30}</div>") == " ".join(["Teaser.", *[LONG] * 30])
+    assert main_text(f"<article><p>{LONG}</p></article><div><p>{LONG}</p></div>") == LONG
+
+
+def test_wrappers_whose_class_mentions_what_surrounds():
+    inner = f"<h1>Title</h1><p>{LONG}</p><p>{LONG}</p>"
+    for page in (f'<div class="content no-sidebar">{inner}</div>', f'<main class="layout has-sidebar">{inner}</main>', f'<section class="notice-of-meeting">{inner}</section>', f'<div id="search-engine-article">{inner}</div><p>x'):
+        assert main_text(f"<html><body>{page}</body></html>").startswith(f"Title {LONG} {LONG}")
+
+
+def test_links_above_the_article_do_not_leak():
+    for above in ("<div><a href='/'>Home</a></div><div><a href='/a'>About</a></div>", "<ul><li><a href='/'>Home</a><li><a href='/a'>About</a></ul>"):
+        assert main_text(f"<body>{above}<div><p>{LONG}</p><p>{LONG}</p></div></body>") == f"{LONG} {LONG}"
+    assert main_text(f"<div><h1><a href='/'>Linked</a></h1></div><div><p>{LONG}</p></div>") == f"Linked {LONG}"
+
+
+def test_unclosed_and_unopened_tags_take_linear_time():
+    begin = time.time()
+    assert main_text("<b>" * 20_000 + "</i>" * 20_000 + "x") == "x"
+    assert main_text("<b><p>" * 20_000 + "y") == "y"
+    assert main_text("<div>" * 20_000 + "</p>" * 20_000 + "z") == "z"
+    assert time.time() - begin < 3
