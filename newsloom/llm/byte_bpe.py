@@ -10,20 +10,24 @@ each symbol is a transition function over the few states of a transducer. Functi
 associatively, and the symbols generate a small monoid, so an inclusive scan over monoid elements
 (blocks in lockstep, then across blocks) yields the state before every character of a whole batch.
 State and symbol tell whether a match starts there. Slices between boundaries feed a cache of merged
-pieces; ids are decoded through the vocabulary with the byte offset of each token at hand.
+pieces; ids are decoded through the vocabulary with the byte offset of each token at hand. A text of
+more than PIECE characters is scanned piece by piece, the state carried on.
 
 Defined results: a null text is the empty text, which has no tokens; invalid UTF-8 becomes U+FFFD;
 ids, doc_ids and order of equal rows are independent of each other; other columns are not read.
-Texts of any length work: slices of a batch are bounded, a longer text is a slice of its own.
+What a text takes besides itself is bounded, but for one match of very many characters, which takes
+about 60 bytes a byte while it is merged. `tokens` encodes equal texts (by MD5) once.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import itertools
 import unicodedata
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -32,11 +36,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import documents, file_based, slices, small_batches
+from newsloom.llm.common import Places, documents, file_based, materialise, row_key, slices, small_batches
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Pieces in a worker's cache before it starts anew.
 CACHE_PIECES = 300_000
+#: Characters of a long text that are scanned at once.
+PIECE = 1 << 20
 
 #: Character classes. GAP stands before each text of a batch.
 LETTER, NUMBER, BLANK, SPACE, APOSTROPHE, OTHER, GAP = range(7)
@@ -97,7 +103,7 @@ def step(state: int, symbol: tuple[int, int]) -> tuple[int, bool]:
 
 @cache
 def monoid() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
-    """(element of each symbol, flat composition table, element at FRESH, starts[state, symbol], size)."""
+    """(element of each symbol, flat composition table, elements[state, element], starts[state, symbol], size)."""
     functions = [tuple(step(s, x)[0] for s in range(N_STATES)) for x in SYMBOLS]
     elements = {tuple(range(N_STATES)): 0}
     todo = list(elements)
@@ -112,7 +118,7 @@ def monoid() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
     order = list(elements)
     table = np.array([[elements[tuple(g[f[s]] for s in range(N_STATES))] for g in order] for f in order], np.uint16)
     starts = np.array([[step(s, x)[1] for x in SYMBOLS] for s in range(N_STATES)])
-    return np.array([elements[f] for f in functions], np.uint16), table.ravel(), np.array([f[FRESH] for f in order], np.uint8), starts, n
+    return np.array([elements[f] for f in functions], np.uint16), table.ravel(), np.array(order, np.uint8).T.copy(), starts, n
 
 
 def scan(elements: np.ndarray, block: int = 128) -> np.ndarray:
@@ -123,7 +129,7 @@ def scan(elements: np.ndarray, block: int = 128) -> np.ndarray:
         out = np.empty(len(elements), np.uint16)
         now = 0
         for i, e in enumerate(elements.tolist()):
-            now = out[i] = table[now * n + e]
+            now = out[i] = int(table[now * n + e])
         return out
     grid = np.zeros(m * block, np.uint16)  # 0 is the identity
     grid[: len(elements)] = elements
@@ -137,8 +143,8 @@ def scan(elements: np.ndarray, block: int = 128) -> np.ndarray:
     return grid.T.ravel()[: len(elements)]
 
 
-def boundaries(points: np.ndarray, gap: np.ndarray) -> np.ndarray:
-    """Positions at which a match starts. gap: mask of positions between texts."""
+def boundaries(points: np.ndarray, gap: np.ndarray, state: int = FRESH) -> tuple[np.ndarray, np.ndarray]:
+    """(positions at which a match starts, state after each position). gap: mask of positions between texts; state: before the first."""
     kinds = class_table()[points]
     kinds[gap] = GAP
     n = len(points)
@@ -157,12 +163,12 @@ def boundaries(points: np.ndarray, gap: np.ndarray) -> np.ndarray:
         two = ((a == ord("r")) & (b == ord("e"))) | ((a == ord("v")) & (b == ord("e"))) | ((a == ord("l")) & (b == ord("l")))
         gaps = np.concatenate([gap, np.ones(2, bool)])
         symbols[at] += (one & ~gaps[at + 1]) + 2 * (two & ~gaps[at + 1] & ~gaps[at + 2]).astype(np.uint8)
-    of_symbol, _, at_fresh, starts, _ = monoid()
-    after = at_fresh[scan(of_symbol[symbols])]
+    of_symbol, _, states, starts, _ = monoid()
+    after = states[state][scan(of_symbol[symbols])]
     before = np.empty_like(after)
-    before[0] = FRESH
+    before[0] = state
     before[1:] = after[:-1]
-    return np.flatnonzero(starts[before, symbols])
+    return np.flatnonzero(starts[before, symbols]), after
 
 
 class Codec:
@@ -200,25 +206,26 @@ class Codec:
 
     def _merge_long(self, piece: bytes) -> tuple[int, ...]:
         """The same with a heap over linked parts, for pieces without white space of any length."""
-        import heapq
-
         ranks, n = self.ranks, len(piece)
-        right, left, end, alive = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+        right, left, end, alive = array("q", range(1, n + 1)), array("q", range(-1, n - 1)), array("q", range(1, n + 1)), bytearray(b"\1" * n)
+        # rank, start and end in one number
+        heap = [r << 80 | i << 40 | i + 2 for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
         heapq.heapify(heap)
+        low = (1 << 40) - 1
         while heap:
-            r, i, stop = heapq.heappop(heap)
+            top = heapq.heappop(heap)
+            i, stop = top >> 40 & low, top & low
             j = right[i] if alive[i] else n
             if not alive[i] or j >= n or end[j] != stop:
                 continue
-            alive[j] = False
+            alive[j] = 0
             end[i], right[i] = stop, right[j]
             if right[i] < n:
                 left[right[i]] = i
                 if (x := ranks.get(piece[i : end[right[i]]])) is not None:
-                    heapq.heappush(heap, (x, i, end[right[i]]))
+                    heapq.heappush(heap, x << 80 | i << 40 | end[right[i]])
             if left[i] >= 0 and (x := ranks.get(piece[left[i] : stop])) is not None:
-                heapq.heappush(heap, (x, left[i], stop))
+                heapq.heappush(heap, x << 80 | left[i] << 40 | stop)
         return tuple(ranks[piece[i : end[i]]] for i in range(n) if alive[i])
 
     def pieces(self, texts: list[str]) -> list[list[bytes]]:
@@ -228,7 +235,7 @@ class Codec:
         first = np.cumsum(np.concatenate([[1], sizes + 1]))  # of each text; the last is past the end
         gap = np.zeros(len(points), bool)
         gap[first[:-1] - 1] = True
-        cut = boundaries(points, gap)
+        cut, _ = boundaries(points, gap)
         widths = 1 + (points > 0x7F).astype(np.int8) + (points > 0x7FF) + (points > 0xFFFF)
         at = np.zeros(len(points) + 1, np.int64)
         np.cumsum(widths, out=at[1:])
@@ -241,15 +248,42 @@ class Codec:
             out.append([joined[a:b] for a, b in itertools.pairwise(edges)])
         return out
 
+    def long_pieces(self, text: str) -> Iterator[list[bytes]]:
+        """The matches of one long text, in portions."""
+        state, open_ = FRESH, bytearray()  # the match that goes on in the next portion
+        for at in range(0, len(text), PIECE):
+            part = text[at : at + PIECE]
+            points = np.frombuffer((part + text[at + PIECE : at + PIECE + 2]).encode("utf-32-le"), np.uint32)
+            cut, after = boundaries(points, np.zeros(len(points), bool), state)
+            cut, state, points = cut[cut < len(part)], int(after[len(part) - 1]), points[: len(part)]
+            raw = part.encode()
+            place = np.zeros(len(points) + 1, np.int64)
+            np.cumsum(1 + (points > 0x7F).astype(np.int8) + (points > 0x7FF) + (points > 0xFFFF), out=place[1:])
+            edges = place[cut].tolist()
+            if not edges:
+                open_ += raw
+                continue
+            open_ += raw[: edges[0]]
+            yield [*([bytes(open_)] if open_ else []), *(raw[a:b] for a, b in itertools.pairwise(edges))]
+            open_ = bytearray(raw[edges[-1] :])
+        if open_:
+            yield [bytes(open_)]
+
+    def _ids(self, pieces: list[bytes]) -> list[int]:
+        if len(self.cache) > CACHE_PIECES:
+            self.cache.clear()
+        for p in set(pieces).difference(self.cache):
+            self.cache[p] = self.merge(p)
+        return list(itertools.chain.from_iterable(map(self.cache.__getitem__, pieces)))
+
     def encode(self, texts: list[str]) -> list[list[int]]:
-        out = []
-        for pieces in self.pieces(texts):
-            if len(self.cache) > CACHE_PIECES:
-                self.cache.clear()
-            for p in set(pieces).difference(self.cache):
-                self.cache[p] = self.merge(p)
-            out.append(list(itertools.chain.from_iterable(map(self.cache.__getitem__, pieces))))
-        return out
+        return [self._ids(pieces) for pieces in self.pieces(texts)]
+
+    def portions(self, texts: list[str]) -> Iterator[Iterable[list[int]]]:
+        """Of each text its ids, in portions where it is long."""
+        short = iter(self.pieces([t for t in texts if len(t) <= PIECE]))
+        for t in texts:
+            yield ([self._ids(next(short))] if len(t) <= PIECE else map(self._ids, self.long_pieces(t)))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, ids))
@@ -272,17 +306,22 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, with_tokens: bo
         for batch in slices(whole, "body"):
             kept = batch.schema.names[:-1]
             sizes, ids_sha, back_sha, all_ids = [], [], [], []
-            for ids in tool.encode([(x.as_py() or b"").decode("utf-8", "replace") for x in batch.column("body")]):
-                sizes.append(len(ids))
-                ids_sha.append(hashlib.sha256(",".join(map(tool.names.__getitem__, ids)).encode()).hexdigest())
-                back_sha.append(hashlib.sha256(tool.decode(ids)).hexdigest())
-                if with_tokens:
-                    all_ids.append(ids)
+            for portions in tool.portions([(x.as_py() or b"").decode("utf-8", "replace") for x in batch.column("body")]):
+                size, named, back = 0, hashlib.sha256(), hashlib.sha256()
+                for ids in portions:
+                    named.update(("," * (size > 0) + ",".join(map(tool.names.__getitem__, ids))).encode())
+                    back.update(tool.decode(ids))
+                    size += len(ids)
+                    if with_tokens:
+                        all_ids.append(np.array(ids, np.int32))
+                sizes.append(size)
+                ids_sha.append(named.hexdigest())
+                back_sha.append(back.hexdigest())
             cols = [*(batch.column(k) for k in kept), pa.array(sizes, pa.int64()), pa.array(ids_sha), pa.array(back_sha)]
             names = [*kept, "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_tokens:
-                cut = np.concatenate([[0], np.cumsum(sizes)])
-                flat = np.fromiter(itertools.chain.from_iterable(all_ids), np.int32, int(cut[-1]))
+                cut = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+                flat = np.concatenate([*all_ids, np.zeros(0, np.int32)])
                 ends = np.concatenate([[0], np.cumsum(tool.widths[flat])])
                 ends = ends[1:] - np.repeat(ends[cut[:-1]], sizes)
                 cols += [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x)) for x in (flat, ends)]
@@ -302,12 +341,20 @@ def digests(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
 
 
 def tokens(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
-    """The tokens themselves: doc_id, shard and place (file and row it was read from), digests, ids, and the byte where each id ends."""
+    """The tokens themselves: doc_id, shard and place (file and row it was read from), digests, ids, and the byte where each id ends.
+
+    Rows of one text share one encoding, which is joined to each of them.
+    """
     path = public_tokenizers.path(ranks)
+    docs = file_based(docs)
     small_batches(docs.sparkSession)
-    rows = file_based(docs).select("doc_id", F.col("_metadata.file_name").alias("shard"), F.col("_metadata.row_index").alias("place"), _body())
-    schema = "doc_id long, shard string, place long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, ends array<long>"
-    return rows.mapInArrow(lambda it: encode_batches(it, path, True), schema)
+    digest = F.unhex(F.md5(_body())).alias("digest")
+    where = docs.metadataColumn("_metadata")
+    rows = materialise(docs.select("doc_id", where["file_name"].alias("shard"), where["row_index"].alias("place"), *row_key(docs), digest), "digests")
+    first = rows.groupBy("digest").agg(F.min(F.struct("_file", "_row")).alias("first")).select("first.*")
+    schema = "digest binary, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, ends array<long>"
+    coded = Places(docs, first).gather([digest, _body()], lambda found: found.select("digest", "body").mapInArrow(lambda it: encode_batches(it, path, True), schema), "tokens")
+    return rows.select("doc_id", "shard", "place", "digest").join(coded, "digest").drop("digest")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

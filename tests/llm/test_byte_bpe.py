@@ -59,3 +59,24 @@ def test_rows(spark, reference):
     assert byte_bpe.digests(docs.limit(0)).count() == 0
     tokens = byte_bpe.tokens(docs.filter("doc_id = 1")).first()
     assert tokens.ends[-1] == len("He's here") and tokens.ids == reference.encode_ordinary("He's here")
+
+
+def test_long_texts_in_portions(reference, monkeypatch):
+    rng = random.Random(7)
+    alphabet = ["'", "s", "ll", "x", "É", "7", " ", "  ", "\n", "!", "日本", "😀", "'re", "the "]
+    texts = ["".join(rng.choices(alphabet, k=n)) for n in (0, 1, 5, 40, 300, 900)] + ["y" * 70, " " * 50, "a" * 30 + "'s" * 20]
+    for size in (1, 3, 16):
+        monkeypatch.setattr(byte_bpe, "PIECE", size)
+        for text, portions in zip(texts, byte_bpe.codec(PATH).portions(texts), strict=True):
+            assert [i for ids in portions for i in ids] == reference.encode_ordinary(text), (size, text)
+
+
+def test_equal_texts_share_an_encoding(spark, tmp_path):
+    rows = [Row(doc_id=i, text=["one text", "another one", None, ""][i % 4]) for i in range(40)] + [Row(doc_id=None, text="one text")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    got = byte_bpe.tokens(docs).collect()
+    assert len(got) == 41 and len({(r.shard, r.place) for r in got}) == 41
+    ids = {tuple(r.ids) for r in got}
+    assert len(ids) == 3 and all((r.n_tokens, r.ends) == (len(r.ids), []) or r.ends[-1] in (8, 11) for r in got)
+    assert byte_bpe.tokens(docs.limit(0)).count() == 0
