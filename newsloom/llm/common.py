@@ -116,8 +116,8 @@ class Places:
         self.docs = docs
         bit = F.expr("shiftleft(1L, CAST(_row & 63 AS INT))")
         words = places.select("_file", F.shiftright("_row", 6).alias("w"), bit.alias("m")).groupBy("_file", "w").agg(F.bit_or("m").alias("m"))
-        entry = F.struct((F.col("w") % 64).cast("int").alias("k"), "m")
-        blocks = words.groupBy("_file", F.shiftright("w", BLOCK_BITS - 6).alias("_block")).agg(F.map_from_entries(F.collect_list(entry)).alias("map"))  # 64 words at most
+        entry = F.struct(F.col("w").bitwiseAND(F.lit(2 ** (BLOCK_BITS - 6) - 1)).cast("int").alias("k"), "m")
+        blocks = words.groupBy("_file", F.shiftright("w", BLOCK_BITS - 6).alias("_block")).agg(F.map_from_entries(F.collect_list(entry)).alias("map"))  # a block's words, 64 at most
         dense = F.transform(F.sequence(F.lit(0), F.lit(2 ** (BLOCK_BITS - 6) - 1)), lambda k: F.coalesce(F.try_element_at("map", k), F.lit(0).cast("bigint")))
         self.blocks = materialise(blocks.select("_file", "_block", dense.alias("words")), "places")
         per_file = self.blocks.groupBy("_file").agg(F.count(F.lit(1)).alias("n"), F.min("_block").alias("a"), F.max("_block").alias("z")).orderBy("_file").collect()
@@ -146,7 +146,7 @@ class Places:
         return self.docs.select(*columns, *row_key(self.docs)).withColumn("_block", F.shiftright("_row", BLOCK_BITS))
 
     def _marked(self, scan: DataFrame, blocks: DataFrame, how: str) -> tuple[DataFrame, Column]:
-        word = F.get("words", F.shiftright("_row", 6).bitwiseAND(F.lit(63)).cast("int"))
+        word = F.get("words", F.shiftright("_row", 6).bitwiseAND(F.lit(2 ** (BLOCK_BITS - 6) - 1)).cast("int"))
         both = scan.join(F.broadcast(blocks), ["_file", "_block"], how)
         return both, F.getbit(word, F.col("_row").bitwiseAND(F.lit(63)).cast("int")) == 1
 

@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import documents, materialise
+from newsloom.llm.common import documents, file_based, materialise, row_key
 
 ALPHA = 0.7
 BLOCK_ROWS = 16
@@ -135,10 +135,18 @@ def mix(docs: DataFrame, payload: list[Column], weights: dict[str, float] | None
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs in the order of the mixture, as its files are read one after the other; all columns."""
+    """The rows of docs in the order of the mixture, as its files are read one after the other; all columns.
+
+    Slots are worked out on the places of rows; texts move twice, once to their slots and once into order.
+    """
+    docs = file_based(docs)
+    placed = materialise(mix(docs, list(row_key(docs)), **how).select("_file", "_row", "slot", "place"), "placed")
     record = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record")
-    out = mix(docs, [record], **how)
-    return out.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select("record.*")
+    rows = docs.select(record, *row_key(docs)).join(placed, ["_file", "_row"])
+    last = placed.agg(F.max("slot")).first()[0] or 0
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.floor(F.col("slot") * parts / (last + 1)).cast("int")
+    return rows.repartitionById(parts, part).sortWithinPartitions("slot", "place").select("record.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
