@@ -9,7 +9,8 @@ again as the next stage's documents.
 4. mixture: sources are interleaved to target shares (rows ** 0.7). Files read one after the other
    are the mixture; small sources start again so that the shares hold until every row has been
    placed, so a row of a small source may be in it more than once.
-5. tokens: byte-level BPE ids of each placed row, decoded again as a check, with its place.
+5. tokens: byte-level BPE ids of each placed row, decoded again as a check, with its place. Each text
+   is encoded once, however often it is placed.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from newsloom.llm.byte_bpe import tokens
-from newsloom.llm.common import documents, materialise
+from newsloom.llm.common import Scratch, documents, drop_table
 from newsloom.llm.exact_dedup import keep_first_copies
 from newsloom.llm.minhash import keep_one_of_each
 from newsloom.llm.mixing import mixed_documents
@@ -50,7 +51,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs = first = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        with Scratch(spark) as scratch:  # a stage's own tables go when its result is written
+            kept = scratch.keep(stage(spark, docs, sf_dir), name)
+        if docs is not first:
+            drop_table(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
