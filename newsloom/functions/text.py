@@ -205,3 +205,17 @@ def lead(page: Column) -> Column:
 def normal_for_rules(text: Column) -> Column:
     """Case, white space and invisible characters don't matter to a literal rule."""
     return F.replace(F.lower(collapse(clean_invisible(text))), F.lit("ß"), F.lit("ss"))
+
+
+def clipped(label: Column, most: int = 40) -> Column:
+    """A label that fits, cut between words unless that would lose half of it."""
+    head = F.substring(label, 1, most - 1)
+    whole = F.regexp_extract(head, rf"(?s)^(.{{{most // 2},}}) [^ ]*$", 1)
+    cut = F.regexp_replace(F.when(whole != "", whole).otherwise(head), "[ ·-]+$", "")
+    return F.when(F.length(label) <= most, label).otherwise(F.concat(cut, F.lit("…")))
+
+
+def name_and_page(payload: Column) -> tuple[Column, Column]:
+    """T28: 'name:2' read from the right, as a name may hold colons; without a number page 0."""
+    page = F.regexp_extract(payload, r"(?s)^.*:([0-9]+)$", 1)
+    return F.when(page != "", F.regexp_extract(payload, r"(?s)^(.*):[0-9]+$", 1)).otherwise(payload), F.coalesce(F.nullif(page, F.lit("")).cast("int"), F.lit(0))

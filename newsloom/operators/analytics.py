@@ -141,3 +141,23 @@ def failure_streaks(polls: DataFrame, gap_minutes: int) -> DataFrame:
     new = F.when(F.col("failed") & F.coalesce(F.lag("failed").over(w), F.lit(False)) & (gap <= gap_minutes), 0).otherwise(1)
     runs = polls.withColumn("new", new).withColumn("run", F.sum("new").over(w)).filter("failed")
     return runs.groupBy("source_id", "run").agg(F.count(F.lit(1)).alias("failures"), F.min("at").alias("begin"), F.max("at").alias("end"))
+
+
+def reactions_total(counts: Column) -> Column:
+    """The sum of a post's reaction counts; null without any list, missing counts are 0."""
+    return F.aggregate(F.transform(counts, lambda c: F.coalesce(c.cast("bigint"), F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda s, c: s + c)
+
+
+OUTCOMES = [("ok", "ok"), ("dead", "quota_dead"), ("rl", "rate_limited"), ("busy", "busy"), ("err", "error")]
+
+
+def model_usage(calls: DataFrame) -> DataFrame:
+    """Calls of each model by how they ended, and the same as one line. calls: tag, outcome."""
+    out = calls.groupBy("tag").agg(*[F.count_if(F.col("outcome") == o).alias(short) for short, o in OUTCOMES])
+    told = F.concat_ws(" ", *[F.concat(F.lit(f"{short}="), F.col(short)) for short, _ in OUTCOMES])
+    return out.withColumn("line", F.concat("tag", F.lit("["), told, F.lit("]")))
+
+
+def never_posted(sources: DataFrame, items: DataFrame) -> DataFrame:
+    """Sources without a post in the store: their first poll is a bootstrap."""
+    return sources.join(items.select(F.col("source_id").alias("id")), "id", "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -23,10 +23,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """df as a table of its own: computed once, lineage cut, safe from lost executors."""
+    return _counted(df, None)[0]
+
+
+def _counted(df: DataFrame, what: Column | None) -> tuple[DataFrame, int]:
+    """cut(df), and how many of its rows hold `what`, counted while they are written."""
     path = f"{shared_folder(df.sparkSession)}/newsloom-cut-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    schema, seen = df.schema, Observation()
+    (df if what is None else df.observe(seen, F.count_if(what).alias("n"))).write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path), 0 if what is None else seen.get["n"]
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -37,8 +42,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         near = both.join(labels, both.b == labels.id).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("least"))
         moved = labels.join(near, "id", "left").select("id", F.least("component", "least").alias("component"), F.col("component").alias("before"))
         jump = moved.select(F.col("id").alias("component"), F.col("component").alias("to"))
-        now = cut(moved.join(jump, "component", "left").select("id", F.least("component", "to").alias("component"), "before"))
-        if now.filter("component <> before").isEmpty():
+        now, changed = _counted(moved.join(jump, "component", "left").select("id", F.least("component", "to").alias("component"), "before"), F.col("component") != F.col("before"))
+        if not changed:
             return now.select("id", "component")
         labels = now.select("id", "component")
 
@@ -51,9 +56,9 @@ def follow(pointers: DataFrame) -> DataFrame:
     while True:
         step = now.select(F.col("id").alias("last"), F.col("last").alias("next"), F.col("least").alias("step_least"))
         moved = now.join(step, "last", "left").select("id", F.coalesce("next", "last").alias("last"), F.least("least", "step_least").alias("least"), F.col("next").isNotNull().alias("more"))
-        now = cut(moved)
+        now, moving = _counted(moved, F.col("more"))
         rounds *= 2
-        if now.filter("more").isEmpty():
+        if not moving:
             return now.select("id", "last")
         if rounds > 2 * total:  # whoever still moves is in, or leads into, a cycle
             return now.select("id", F.when(F.col("more"), F.col("least")).otherwise(F.col("last")).alias("last"))

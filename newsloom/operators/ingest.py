@@ -74,3 +74,20 @@ def defer_empty(items: DataFrame, as_of: Column, days: int = 3) -> DataFrame:
     rows = items.withColumn("deferred", empty & F.coalesce(age < days, F.lit(False)))
     first = F.split_part(F.substring(text.strip(F.col("raw_text")), 1, 80), F.lit("\n"), F.lit(1))
     return rows.withColumn("summary", F.when(empty & ~F.col("deferred"), F.concat(F.lit("⚠️ "), first)).otherwise(F.col("summary")))
+
+
+def rest_of_page(posts: DataFrame, as_of: Column, page: int = 100) -> DataFrame:
+    """Posts of a page that a poll has seen before, newest first: as many as the page has room for after the
+    new ones, up to the first that is too old. posts: source_id, message_no, published_at, last_message_id."""
+    w = Window.partitionBy("source_id").orderBy(F.col("message_no").desc())
+    seen = F.col("message_no") <= F.coalesce("last_message_id", F.lit(0))
+    rows = posts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= page)  # the page: newest posts of any kind
+    old = F.coalesce(hours_between(as_of, F.col("published_at")) > MAX_AGE_HOURS, F.lit(False))
+    before = F.max(F.when(seen & old, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("stopped", before == 1).filter(seen & ~F.col("stopped")).drop("stopped")
+
+
+def skip_to_head(entries: DataFrame, store: DataFrame) -> DataFrame:
+    """ST09: what a resumed feed offers that isn't stored, as retired posts: it starts from now. entries: message_id, raw_text."""
+    new = entries.filter(F.trim(F.coalesce("raw_text", F.lit(""))) != "").join(store.select("message_id"), "message_id", "left_anti")
+    return new.withColumn("sent", F.lit(True)).withColumn("summary", F.substring("raw_text", 1, 200))

@@ -47,3 +47,18 @@ def earlier_links(lines: DataFrame, most: int = 4, dated_hours: int = 12) -> Dat
     dated = F.when(n > most, F.concat(F.slice("earlier", 1, 1), F.slice("earlier", F.greatest(n - most + 2, F.lit(1)), most - 1)))
     shown = F.when((n > most) & F.coalesce(F.try_subtract(F.try_to_timestamp("moment"), F.try_to_timestamp(first["moment"])).isNotNull() & (hours >= dated_hours), F.lit(False)), dated).otherwise(F.when(n > 0, tail).otherwise(F.col("earlier")))
     return lines.withColumn("shown", shown).withColumn("more", F.greatest(n - F.size("shown"), F.lit(0)))
+
+
+def by_topic(items: DataFrame, groups: DataFrame, least: int = 4) -> DataFrame:
+    """Id, component: the posts of a source without vectors, grouped as a provider says; fewer than `least` stay alone.
+
+    items: digest, source_id, id; groups: digest, source_id, group_no, ids. Posts left out are alone, a post
+    named twice is in its first group.
+    """
+    enough = items.groupBy("digest", "source_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    asked = items.join(enough, ["digest", "source_id"], "left_semi")
+    named = groups.select("digest", "source_id", "group_no", F.explode("ids").alias("id")).join(asked, ["digest", "source_id", "id"], "left_semi")
+    first = named.groupBy("digest", "source_id", "id").agg(F.min("group_no").alias("group_no"))
+    heads = first.groupBy("digest", "source_id", "group_no").agg(F.min("id").alias("component"))
+    told = first.join(heads, ["digest", "source_id", "group_no"]).select("id", "component")
+    return items.select("id").join(told, "id", "left").withColumn("component", F.coalesce("component", "id"))

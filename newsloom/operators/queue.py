@@ -65,3 +65,8 @@ def vector_pool(items: DataFrame, vectors: DataFrame, sources: DataFrame, as_of:
 def text_pool(items: DataFrame, as_of: Column, hours: int) -> DataFrame:
     """Recent posts that went out, with or without a vector."""
     return items.filter(F.col("sent") & F.col("blocked_reason").isNull() & within(F.col("processed_at"), as_of, hours=hours))
+
+
+def summary_batch(waiting: DataFrame, limit: int = 6) -> DataFrame:
+    """The posts one pass summarises: the first of the queue that need it."""
+    return needs_summary(waiting).orderBy(*queue_order()).limit(limit)

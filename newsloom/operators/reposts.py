@@ -58,9 +58,9 @@ def exact_reposts(posts: DataFrame, most: int = 2) -> DataFrame:
     A text told more often than that is a template, each time new. Hidden posts count, but are never
     the earlier post.
     """
-    slot = posts.filter("key <> ''").withColumn("slot", F.md5("key"))
-    whole = Window.partitionBy("source_id", "slot")
-    told = slot.withColumn("times", F.count(F.lit(1)).over(whole)).filter(F.col("times").between(2, most))
+    slot = cut(posts.filter("key <> ''").select("id", "source_id", F.md5("key").alias("slot"), "moment", "hidden", "pool"))
+    few = slot.groupBy("source_id", "slot").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times").between(2, most))
+    told = slot.join(few, ["source_id", "slot"])  # `most` rows of a text at most are ever sorted
     order = Window.partitionBy("source_id", "slot").orderBy((~F.col("pool")).cast("int"), F.col("moment").asc_nulls_first(), "id")
     shown = F.when(~F.col("hidden"), F.col("id"))
     earlier = F.first(shown, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))

@@ -96,12 +96,15 @@ def chunked(items: DataFrame, size: int = CHUNK) -> DataFrame:
 
 def shown_rules(chunks: DataFrame, rules: DataFrame) -> DataFrame:
     """digest, chunk, word_id: the judged rules that a chunk's posts can fall under at all."""
-    judged = rules.filter(~F.trim("rule").startswith(LITERAL))
+    judged = rules.filter(~F.trim("rule").startswith(LITERAL)).select("word_id", "categories", "source_ids").collect()  # a short hand-written list
     seen = chunks.groupBy("digest", "chunk").agg(F.collect_set(F.coalesce("category", F.lit("other"))).alias("cats"), F.collect_set("source_id").alias("srcs"))
-    fits = ((F.size("categories") == 0) | F.arrays_overlap("cats", "categories")) & ((F.size("source_ids") == 0) | F.arrays_overlap("srcs", "source_ids"))
-    # rules are a short hand-written list; chunks times rules is what a provider is shown
-    flat = seen.join(judged.select("word_id", "categories", "source_ids"), fits, "inner")
-    return flat.select("digest", "chunk", "word_id")
+
+    def fits(r) -> Column:
+        inside = lambda column, some: F.arrays_overlap(column, F.array(*map(F.lit, some))) if some else F.lit(True)
+        return inside("cats", r.categories) & inside("srcs", r.source_ids)
+
+    shown = F.array_compact(F.array(*[F.when(fits(r), F.lit(r.word_id)) for r in judged])) if judged else F.array().cast("array<bigint>")
+    return seen.select("digest", "chunk", F.explode(shown).alias("word_id"))
 
 
 def valid_blocks(chunks: DataFrame, rules: DataFrame, answers: DataFrame) -> DataFrame:

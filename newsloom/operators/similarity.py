@@ -1,7 +1,8 @@
 """Pairs of similar posts. Every join has an equality to hash on: the digest, or the day of a window.
 
 Vectors with their norms are joined within one digest (J10-J12) or one day bucket of the rolling
-window (J13), so work grows with what a digest holds, not with the square of the store.
+window (J13), so work grows with what a digest holds, not with the square of the store. A digest or a
+day of more than TILE posts is dealt to tiles, and tile meets tile in a task of its own.
 """
 
 from __future__ import annotations
@@ -13,6 +14,16 @@ from newsloom.functions.vectors import cosine, norm
 from newsloom.operators.graph import components
 
 
+#: Posts of a digest or a day that one task compares with as many others.
+TILE = 2048
+
+
+def tiled(rows: DataFrame, key: str) -> DataFrame:
+    """rows with tiles, how many their key has, and tile, theirs. rows: id and key."""
+    sizes = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / TILE).alias("tiles"))
+    return rows.join(sizes, key).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
+
+
 def floor_for(category_a: Column, category_b: Column, same: float, cross: float) -> Column:
     """What a pair must clear: more across categories, whose shared words link unrelated posts."""
     other = F.lit("other")
@@ -23,13 +34,17 @@ def embedded(items: DataFrame, vectors: DataFrame) -> DataFrame:
     return items.join(vectors, "id").withColumn("norm", norm(F.col("v")))
 
 
-def _side(rows: DataFrame, prefix: str, *more: str) -> DataFrame:
-    return rows.select("digest", *[F.col(c).alias(f"{prefix}_{c}") for c in ("id", "source_id", "category", "v", "norm", *more)])
+def _side(rows: DataFrame, prefix: str) -> DataFrame:
+    """Rows once for each tile they meet: as the left one of a pair of tiles, or the right one."""
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1))
+    left, right = (F.col("tile"), every) if prefix == "a" else (every, F.col("tile"))
+    return rows.select("digest", left.alias("left"), right.alias("right"), *[F.col(c).alias(f"{prefix}_{c}") for c in ("id", "source_id", "category", "v", "norm")])
 
 
 def digest_pairs(rows: DataFrame, same: float, cross: float, within_source: bool = False) -> DataFrame:
     """A < b of one digest, of different sources (or of one), with their cosine. rows: embedded()."""
-    pairs = _side(rows, "a").join(_side(rows, "b"), "digest")
+    rows = tiled(rows, "digest")
+    pairs = _side(rows, "a").join(_side(rows, "b"), ["digest", "left", "right"])
     sources = F.col("a_source_id") == F.col("b_source_id")
     pairs = pairs.filter((F.col("a_id") < F.col("b_id")) & (sources if within_source else ~sources))
     score = cosine(F.col("a_v"), F.col("b_v"), F.col("a_norm"), F.col("b_norm"))
@@ -47,11 +62,14 @@ def pool_matches(current: DataFrame, pool: DataFrame, hours: int, same: float, c
     the best below the near-identical line (a follow-up, never hidden).
 
     The window is an equality on the day plus a range on the exact time. current, pool: embedded() rows.
+    A day's pool is dealt to tiles, each of which the day's posts meet.
     """
     days = hours // 24 + 1
     day = F.floor(F.unix_timestamp("processed_at") / 86400)
-    shown = pool.select(F.col("id").alias("sid"), F.col("source_id").alias("s_source"), F.col("category").alias("s_category"), F.col("v").alias("s_v"), F.col("norm").alias("s_norm"), F.col("processed_at").alias("s_at"), F.explode(F.sequence(day, day + days)).alias("day"))
-    pairs = current.withColumn("day", day).join(shown, "day").filter((F.col("s_at") <= F.col("processed_at")) & (F.col("s_at") >= F.col("processed_at") - F.make_dt_interval(F.lit(0), F.lit(hours))) & (F.col("sid") != F.col("id")))
+    pool = tiled(pool.withColumn("shown_day", day), "shown_day")
+    tiles = pool.select(F.explode(F.sequence("shown_day", F.col("shown_day") + days)).alias("day"), "tile").distinct()
+    shown = pool.select("tile", F.col("id").alias("sid"), F.col("source_id").alias("s_source"), F.col("category").alias("s_category"), F.col("v").alias("s_v"), F.col("norm").alias("s_norm"), F.col("processed_at").alias("s_at"), F.explode(F.sequence(day, day + days)).alias("day"))
+    pairs = current.withColumn("day", day).join(tiles, "day").join(shown, ["day", "tile"]).filter((F.col("s_at") <= F.col("processed_at")) & (F.col("s_at") >= F.col("processed_at") - F.make_dt_interval(F.lit(0), F.lit(hours))) & (F.col("sid") != F.col("id")))
     pairs = pairs.withColumn("score", cosine(F.col("v"), F.col("s_v"), F.col("norm"), F.col("s_norm"))).filter(F.col("score") >= floor_for(F.col("category"), F.col("s_category"), same, cross))
     follow = (F.col("source_id") == F.col("s_source")) & (F.col("score") < near)
     rank = F.struct("score", (-F.col("sid")).alias("k"))

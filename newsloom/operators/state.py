@@ -124,3 +124,57 @@ def delivered(messages: DataFrame) -> DataFrame:
     """Messages up to the first that failed. messages: digest, seq, ok."""
     w = Window.partitionBy("digest").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return messages.withColumn("ok_so_far", F.min(F.col("ok").cast("int")).over(w) == 1).filter("ok_so_far").drop("ok_so_far")
+
+
+def source_changes(sources: DataFrame, facts: DataFrame) -> DataFrame:
+    """Failures in a row since the last success, and the last status, name, address and chat written.
+
+    facts: id, seq, kind ('fail', 'ok', 'status', 'name', 'url' or 'chat_id'), value.
+    """
+    healthy = facts.filter("kind = 'ok'").groupBy("id").agg(F.max("seq").alias("ok_at"))
+    fails = facts.filter("kind = 'fail'").join(healthy, "id", "left").filter("ok_at IS NULL OR seq > ok_at").groupBy("id").agg(F.count(F.lit(1)).alias("new_fails"))
+    fields = ["status", "name", "url", "chat_id"]
+    written = facts.filter(F.col("kind").isin(fields)).groupBy("id").agg(*[F.max_by(F.when(F.col("kind") == f, F.col("value")), F.when(F.col("kind") == f, F.col("seq"))).alias(f"new_{f}") for f in fields])
+    out = sources.join(healthy, "id", "left").join(fails, "id", "left").join(written, "id", "left")
+    before = F.when(F.col("ok_at").isNull(), F.col("fail_count")).otherwise(0)
+    out = out.withColumn("fail_count", (before + F.coalesce("new_fails", F.lit(0))).cast("int"))
+    for f in fields:
+        out = out.withColumn(f, F.coalesce(F.col(f"new_{f}").cast(sources.schema[f].dataType), F.col(f)))
+    return out.select(*sources.columns)
+
+
+def set_prompt(sources: DataFrame, category: str, prompt: str | None) -> DataFrame:
+    """The hint of all active sources of a category; `changed` marks them, for the count."""
+    hit = (F.col("category") == category) & (F.col("status") == "active")
+    return sources.withColumn("changed", F.coalesce(hit, F.lit(False))).withColumn("prompt_extra", F.when(hit, F.lit(prompt)).otherwise(F.col("prompt_extra")))
+
+
+def add_rules(rules: DataFrame, added: DataFrame) -> DataFrame:
+    """Rules that weren't there get the next numbers, in order; one that is there is left alone. added: rule, seq."""
+    new = insert_or_ignore(rules, added, "rule", [F.col("seq")])
+    top = rules.agg(F.coalesce(F.max("word_id"), F.lit(0)).alias("top")).first().top
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("seq"))  # rules typed by hand
+    return rules.unionByName(new.select((place + top).cast("bigint").alias("word_id"), "rule", F.lit(None).cast("string").alias("label")))
+
+
+def label_rules(rules: DataFrame, labels: DataFrame) -> DataFrame:
+    """The last label written to each rule, null too. labels: word_id, label, seq."""
+    last = labels.groupBy("word_id").agg(F.max_by(F.struct("label"), "seq").alias("new"))
+    return rules.join(last, "word_id", "left").withColumn("label", F.when(F.col("new").isNotNull(), F.col("new.label")).otherwise(F.col("label"))).drop("new")
+
+
+def remove_rules(rules: DataFrame, links: list[DataFrame], gone: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Rules without those that go, and every link table without their links. gone: word_id."""
+    return rules.join(gone, "word_id", "left_anti"), [t.join(gone, "word_id", "left_anti") for t in links]
+
+
+def upsert_settings(settings: DataFrame, writes: DataFrame) -> DataFrame:
+    """The last value written to a key, else the one that was there. settings: key, value; writes: key, value, seq."""
+    last = writes.groupBy("key").agg(F.max_by("value", "seq").alias("new"), F.lit(True).alias("written"))
+    out = settings.join(last, "key", "full_outer")
+    return out.select("key", F.when(F.coalesce("written", F.lit(False)), F.col("new")).otherwise(F.col("value")).alias("value"))
+
+
+def append_digest_log(log: DataFrame, sent: DataFrame) -> DataFrame:
+    """The log with a row for each digest that went out. sent: sent_at, items_total, status (null: ok)."""
+    return log.unionByName(sent.select("sent_at", F.col("items_total").cast("int").alias("items_total"), F.coalesce("status", F.lit("ok")).alias("status")))

@@ -44,23 +44,22 @@ def throttle_streaks(answers: DataFrame, least: int = 6, span: int = 900, stale:
     A streak breaks at an answer or after a silence; one that grows too long starts anew. The latter
     depends on where it started, so a model's answers are folded in order.
     """
-    import pandas as pd
+    from newsloom.operators.fold import folded
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["moment", "seq"])
-        count, first, last, dead = 0, None, None, None
-        for at, bad in zip(frame["moment"], frame["throttled"], strict=True):
-            if not bad:
-                count = 0
-                continue
-            if not count or (at - last).total_seconds() > stale or (at - first).total_seconds() > longest:
-                count, first = 0, at
-            count, last = count + 1, at
-            if dead is None and count >= least and (at - first).total_seconds() >= span:
-                dead = at
-        return pd.DataFrame({"tag": [frame["tag"].iloc[0]], "dead_at": [dead], "count": [count]})
+    def step(state: tuple | None, row: dict) -> tuple:
+        count, first, last, dead = state or (0, 0.0, 0.0, None)
+        at = row["at"]
+        if not row["throttled"]:
+            return (0, first, last, dead), None
+        if not count or at - last > stale or at - first > longest:
+            count, first = 0, at
+        if dead is None and count + 1 >= least and at - first >= span:
+            dead = at
+        return (count + 1, first, at, dead), None
 
-    return answers.groupBy("tag").applyInPandas(fold, "tag string, dead_at timestamp, count long")
+    rows = answers.select("tag", (F.unix_micros("moment") / 1e6).alias("at"), "seq", "throttled")
+    out = folded(rows, "tag", ["at", "seq"], step, "tag string, dead double, count long", lambda tag, s: {"tag": tag, "dead": s[3], "count": s[0]})
+    return out.select("tag", F.timestamp_seconds("dead").alias("dead_at"), "count")
 
 
 def filtered_sections(blocked: DataFrame, rules: DataFrame) -> DataFrame:
@@ -103,3 +102,48 @@ def with_attempts(items: DataFrame, failures: DataFrame, most: int = 12) -> Data
     first = F.substring(F.split_part(text.strip(F.col("raw_text")), F.lit("\n"), F.lit(1)), 1, 80)
     spent = (F.col("classify_attempts") >= most) & (F.trim(F.coalesce("summary", F.lit(""))) == "")
     return rows.withColumn("summary", F.when(spent, F.concat(F.lit("⚠️ "), first)).otherwise(F.col("summary"))).drop("failed")
+
+
+def summary_pass(waiting: DataFrame, written: Column, answers: DataFrame, limit: int = 6, most: int = 12) -> DataFrame:
+    """What a pass does to the posts that need a summary: id, how, summary, key_phrase, classify_attempts.
+
+    waiting: the queue; written: whether a post is shown as it stands; answers: id, summary, key_phrase of the
+    provider, asked about `limit` posts in the queue's order. Without an answer attempts go up, and a post out
+    of them shows its first line.
+    """
+    from newsloom.operators.queue import needs_summary, queue_order
+
+    rows = needs_summary(waiting).withColumn("written", written)
+    asked = rows.filter("NOT written").orderBy(*queue_order()).limit(limit).select("id", F.lit(True).alias("asked"))
+    rows = rows.join(asked, "id", "left").join(answers.select("id", F.col("summary").alias("said"), F.col("key_phrase").alias("phrase")), "id", "left")
+    good = F.coalesce("asked", F.lit(False)) & (F.trim(F.coalesce("said", F.lit(""))) != "")
+    failed = F.coalesce("asked", F.lit(False)) & ~good
+    attempts = F.col("classify_attempts") + F.when(failed, 1).otherwise(0)
+    how = F.when(F.col("written"), "written").when(good, "summarised").when(failed & (attempts >= most), "gave up").when(failed, "failed").otherwise("waits")
+    own = text.without_context(text.strip(F.col("raw_text")))
+    first = F.concat(F.lit("⚠️ "), F.substring(F.split_part(text.strip(F.col("raw_text")), F.lit("\n"), F.lit(1)), 1, 80))
+    told = F.when(F.col("written"), own).when(good, F.col("said")).when(how == "gave up", first)
+    return rows.select("id", how.alias("how"), told.alias("summary"), F.when(good, F.col("phrase")).alias("key_phrase"), attempts.cast("int").alias("classify_attempts"))
+
+
+def kept_rewrites(answers: DataFrame, year: int) -> DataFrame:
+    """A summary that brings in facts is written again, and the rewrite kept if it brings in strictly fewer.
+
+    answers: id, source, summary, rewrite (null if there was none).
+    """
+    from newsloom.functions.facts import unsupported_column
+
+    n = lambda c: F.size(unsupported_column(F.col(c), F.col("source"), year))
+    rows = answers.withColumn("brought", n("summary")).withColumn("left", F.when(F.trim(F.coalesce("rewrite", F.lit(""))) != "", n("rewrite")))
+    better = (F.col("brought") > 0) & F.coalesce(F.col("left") < F.col("brought"), F.lit(False))
+    return rows.select("id", F.when(better, F.col("rewrite")).otherwise(F.col("summary")).alias("summary"), better.alias("rewritten"))
+
+
+def within_budget(todo: DataFrame, seconds: DataFrame, budget: float = 120.0, size: int = 25) -> DataFrame:
+    """Chunks of a digest's posts that a pass before it gets to: a chunk is begun while the time its digest's
+    earlier ones took is within the budget. todo: digest, id; seconds: digest, chunk, seconds."""
+    place = F.row_number().over(Window.partitionBy("digest").orderBy("id")) - 1
+    rows = todo.withColumn("chunk", F.floor(place / size))
+    w = Window.partitionBy("digest").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    spent = seconds.withColumn("spent", F.coalesce(F.sum("seconds").over(w), F.lit(0.0)))
+    return rows.join(spent.select("digest", "chunk", "spent"), ["digest", "chunk"], "left").withColumn("asked", F.coalesce("spent", F.lit(0.0)) <= budget)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from newsloom.plans import operations, registry, stories, streams, texts, triage
+from newsloom.plans import operations, registry, stories, streams, texts, triage, writes
 
-MODULES = [operations, texts, stories, streams, triage]
+MODULES = [operations, texts, stories, streams, triage, writes]
 
 
 def queries() -> dict:

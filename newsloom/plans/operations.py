@@ -48,7 +48,7 @@ def _(v):
 
 @plan("vector_pool", "SELECT i.id, i.sent, s.sort_order AS source_sort_order, len(v.v) AS dims FROM items i JOIN vectors v USING (id) LEFT JOIN sources s ON s.id = i.source_id, present WHERE blocked_reason IS NULL AND processed_at >= as_of - INTERVAL 600 HOUR")
 def _(v):
-    return queue.vector_pool(v.items, v.vectors, v.sources, v.as_of, 600).select("id", "sent", "source_sort_order", F.size("v").alias("dims"))
+    return queue.vector_pool(v.judged, v.vectors, v.sources, v.as_of, 600).select("id", "sent", "source_sort_order", F.size("v").alias("dims"))
 
 
 @plan("sent_text_pool", "SELECT id, source_id, duplicate_of, length(raw_text) AS chars FROM items, present WHERE sent AND blocked_reason IS NULL AND processed_at >= as_of - INTERVAL 48 HOUR")
@@ -130,7 +130,7 @@ def _(v):
 
 @plan("rule_hits", "SELECT rule, label, (SELECT count(*) FROM items, present WHERE blocked_reason = rule AND processed_at >= as_of - INTERVAL 20 DAY) AS n FROM rules")
 def _(v):
-    return analytics.rule_hits(v.items, v.rules, v.as_of, 20)
+    return analytics.rule_hits(v.judged, v.rules, v.as_of, 20)
 
 
 @plan("engagement_vs_median", f"""{_QUEUE}, base AS (
@@ -250,8 +250,8 @@ def _(v):
 
 @plan("mark_blocked", "SELECT id, sent OR blocked_reason IS NOT NULL AS sent, blocked_reason FROM items")
 def _(v):
-    facts = v.items.filter("blocked_reason IS NOT NULL").select("id", F.col("blocked_reason").alias("reason"))
-    return state.mark_blocked(v.items.withColumn("blocked_reason", F.lit(None).cast("string")), facts).select("id", "sent", "blocked_reason")
+    facts = v.judged.filter("blocked_reason IS NOT NULL").select("id", F.col("blocked_reason").alias("reason"))
+    return state.mark_blocked(v.posts.withColumn("blocked_reason", F.lit(None).cast("string")), facts).select("id", "sent", "blocked_reason")
 
 
 @plan("discard_queue", "SELECT id, md5(CASE WHEN trim(coalesce(summary, '')) = '' THEN substr(raw_text, 1, 200) ELSE summary END) AS summary_md5 FROM items WHERE NOT sent AND source_id IN (SELECT id FROM sources WHERE status = 'paused')")
@@ -265,10 +265,11 @@ def _(v):
     return state.prune(v.posts, v.as_of, 10).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@plan("engagement_refresh", """, c AS (SELECT event_id % 1000 AS id, arg_max(CAST(floor(value) AS BIGINT), (ts, event_id)) AS views, max(ts) AS seen FROM events GROUP BY 1)
+@plan("engagement_refresh", """, c AS (SELECT event_id % (SELECT count(*) FROM items) AS id, arg_max(CAST(floor(value) AS BIGINT), (ts, event_id)) AS views, max(ts) AS seen FROM events GROUP BY 1)
 SELECT i.id, CASE WHEN c.id IS NOT NULL AND NOT sent THEN c.views ELSE i.views END AS views, strftime(CASE WHEN NOT sent THEN seen END, '%Y-%m-%d %H:%M:%S') AS engagement FROM items i LEFT JOIN c USING (id)""")
 def _(v):
-    counters = v.table("events").select((F.col("event_id") % 1000).alias("id"), F.floor("value").cast("bigint").alias("views"), F.col("ts").cast("timestamp").alias("seen_at"), F.col("event_id").alias("seq"))
+    n = v.table("documents").count()
+    counters = v.table("events").select((F.col("event_id") % F.lit(n)).alias("id"), F.floor("value").cast("bigint").alias("views"), F.col("ts").cast("timestamp").alias("seen_at"), F.col("event_id").alias("seq"))
     return state.refresh_counters(v.posts, counters).select("id", "views", clock.stamp(F.col("engagement_at")).alias("engagement"))
 
 

@@ -5,11 +5,10 @@ The test vectors are far apart, so thresholds here are lower than a model's cosi
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from newsloom.functions import vectors as vec
-from newsloom.operators import analytics, dedup, digest, merge, queue, render, rules, similarity, story
+from newsloom.operators import analytics, assemble, dedup, digest, ingest, merge, queue, rules, similarity, story
 from newsloom.operators.graph import cut
 from newsloom.operators.judge import TableJudge
 from newsloom.plans.registry import plan
@@ -22,7 +21,10 @@ alike AS (SELECT * FROM pair WHERE a_source <> b_source AND score >= CASE WHEN a
 
 
 def _emb(v):
-    return similarity.embedded(v.posts, v.vectors)
+    """Posts with vectors and norms, without texts; written once for a query."""
+    if "_emb" not in v.__dict__:
+        v.__dict__["_emb"] = cut(similarity.embedded(v.posts.drop("raw_text", "summary"), v.vectors))
+    return v.__dict__["_emb"]
 
 
 @plan("cosine_counts", f"{_EMBEDDED} SELECT digest, count(*) AS pairs, count(*) FILTER (score >= 0.3) AS near, round(max(score), 6) AS top FROM pair GROUP BY 1")
@@ -65,7 +67,7 @@ m AS (SELECT c.id, p.id AS sid, list_cosine_similarity(c.v, p.v) AS score, c.sou
   WHERE list_cosine_similarity(c.v, p.v) >= CASE WHEN c.category = p.category THEN 0.1 ELSE 0.2 END)
 SELECT id, arg_max(sid, (score, -sid)) FILTER (NOT follow) AS best_id, round(max(score) FILTER (NOT follow), 6) AS best_score, arg_max(sid, (score, -sid)) FILTER (follow) AS follow_id FROM m GROUP BY 1""")
 def _(v):
-    rows = similarity.embedded(v.items, v.vectors)
+    rows = similarity.embedded(v.judged, v.vectors)
     out = similarity.pool_matches(rows.filter("NOT sent"), rows.filter("sent AND blocked_reason IS NULL"), 48, 0.1, 0.2, NEAR)
     return out.select("id", "best_id", F.round("best_score", 6).alias("best_score"), "follow_id")
 
@@ -209,10 +211,7 @@ shown AS (SELECT DISTINCT digest, chunk, word_id FROM chunks JOIN scope ON (cats
 SELECT a.id, s.rule FROM answers a JOIN chunks c ON c.digest = a.digest AND c.chunk = a.chunk AND c.id = a.id JOIN scope s ON s.word_id = a.word_id SEMI JOIN shown h ON h.digest = a.digest AND h.chunk = a.chunk AND h.word_id = a.word_id
 WHERE coalesce(confidence, 10) >= 8 AND (cats IS NULL OR list_contains(cats, category)) AND (srcs IS NULL OR list_contains(srcs, source_id))""")
 def _(v):
-    chunks = rules.chunked(v.posts.filter("NOT sent"))
-    n = F.col("id")
-    answers = chunks.select("digest", F.when(n % 14 == 0, F.col("chunk") + 1).otherwise(F.col("chunk")).alias("chunk"), "id", F.element_at(F.array(*map(F.lit, (1, 3, 2, 7))), (n % 4 + 1).cast("int")).cast("bigint").alias("word_id"), F.when(n % 5 != 0, n % 11).alias("confidence"))
-    return rules.valid_blocks(chunks, rules.scoped(v.rules, v.rule_categories, v.rule_sources), answers)
+    return _judged_blocks(v, rules.chunked(v.posts.filter("NOT sent")), rules.scoped(v.rules, v.rule_categories, v.rule_sources))
 
 
 @plan("group_normalise", """, g AS (SELECT digest, id % 9 AS group_no, id + CASE WHEN id % 10 = 3 THEN 100000 WHEN id % 10 = 4 THEN 1 ELSE 0 END AS id FROM items WHERE views IS NOT NULL),
@@ -316,11 +315,71 @@ def _(v):
     return digest_lines(v).select("digest", "category", "source_name", "id", "line")
 
 
+def _labels(v):
+    """A judge that knows the labels of vectors."""
+    mark = lambda c, n: v.labelled.select(F.col("id").alias(c), F.col("label").alias(n))
+    both = (F.col("la") + F.col("lb")) % 3
+
+    class Labels:
+        def pairs(self, asked):
+            verdict = F.when(F.col("la") == F.col("lb"), "same").when(both == 0, "update").when(both == 1, "different")
+            return asked.join(mark("a", "la"), "a", "left").join(mark("b", "lb"), "b", "left").withColumn("verdict", verdict).drop("la", "lb")
+
+    return Labels()
+
+
+STORY = story.Lines(SAME, CROSS, 0.33, 0.36, 0.38, NEAR, 0.27)
+
+
+def _judged_blocks(v, chunks, scoped):
+    """The answers of a provider that was asked about all chunks, of which only those that fit count."""
+    n = F.col("id")
+    answers = chunks.select("digest", F.when(n % 14 == 0, F.col("chunk") + 1).otherwise(F.col("chunk")).alias("chunk"), "id", F.element_at(F.array(*map(F.lit, (1, 3, 2, 7))), (n % 4 + 1).cast("int")).cast("bigint").alias("word_id"), F.when(n % 5 != 0, n % 11).alias("confidence"))
+    return rules.valid_blocks(chunks, scoped, answers)
+
+
 @plan("digest_flagship")
 def _(v):
-    rows = digest_lines(v)
-    issue = F.min("day").over(Window.partitionBy("digest"))
-    return render.messages(rows.withColumn("issue", issue).drop("day")).select("digest", "seq", "text", F.array_join(F.transform("item_ids", lambda i: i.cast("string")), ",").alias("item_ids"))
+    """Every digest of the store as its messages, from the queue through all passes."""
+    n = F.col("id")
+    items = cut(queue.with_source(v.items, v.sources))
+    # posts without a summary wait or go out as their first line
+    waiting = ingest.defer_empty(items.filter("NOT sent AND coalesce(source_status, '') <> 'paused'"), v.as_of)
+    waiting = cut(rules.filterable(waiting.filter("NOT deferred")))
+    # rules: literal ones, then a provider's answers; sources that opted out and bare media pass
+    scoped = rules.scoped(v.rules, v.rule_categories, v.rule_sources)
+    open_ = waiting.filter("filterable")
+    literal = rules.literal_hits(open_, scoped).filter("hit IS NOT NULL").select("id", F.col("hit").alias("rule"))
+    judged = _judged_blocks(v, rules.chunked(open_.join(literal, "id", "left_anti")), scoped)
+    known = v.rules.select("rule", F.nullif(F.trim("label"), F.lit("")).alias("label"))
+    blocked = cut(literal.unionByName(judged).join(known, "rule", "left").withColumn("title", F.coalesce("label", assemble.titles(F.col("rule")))))
+    kept = cut(waiting.join(blocked, "id", "left_anti"))
+    # stories: copies hide under one post, updates link what was shown
+    pool = items.filter("sent AND blocked_reason IS NULL")
+    hidden, updates = (cut(x) for x in story.deduplicate(kept, pool, v.vectors, _labels(v), STORY))
+    shown = cut(kept.join(hidden, "id", "left_anti"))
+    # a source's own near-identical posts are one line
+    ends = similarity.digest_pairs(similarity.embedded(shown, v.vectors), NEAR, NEAR, within_source=True)
+    lines = cut(digest.capped(assemble.merged(shown, similarity.clusters(shown, ends), updates, items)).drop("line"))
+    links = assemble.told_elsewhere(lines, hidden, items, v.sources)
+    # a block of its own for the reports of one category
+    feed = lines.filter("category = 'feed'")
+    told = feed.select("digest", F.floor(n % 20 / 10).alias("chunk"), "id", (n % 25 == 0).alias("overview"))
+    folded = cut(rules.folded_reports(feed, told, v.as_of, most_hours=400))
+    # answers stand under what they answer
+    target = n - 13
+    replies = shown.filter("id >= 13").select("id", v.message_id(F.when((F.col("source_id") + 7) % 20 % 2 == 0, "telegram").otherwise("rss"), F.concat(F.lit("src"), target % 20), target).alias("reply_to"))
+    now_hidden = items.select("id", "message_id", "source_id").join(hidden.select("id", F.col("primary_id").alias("duplicate_of")), "id", "left")
+    parents = digest.reply_parents(replies, now_hidden, shown)
+    threads = assemble.threaded(lines, parents, items, v.as_of)
+    places = digest.category_order(v.categories.filter("is_active"), ["feed"], F.lit(18 * 60 + 30))
+    gone = blocked.join(waiting.select("id", "digest", "summary", "original_url", "published_at"), "id")
+    rows = assemble.rows(threads, links, folded, gone, places, v.as_of, F.lit(False))
+    day = F.min("processed_at")
+    head = F.concat(F.lit("<i>#"), F.dayofyear(day), F.lit("</i>  <b>Digest</b>  <b>18:30</b>\n<i>"), F.date_format(day, "dd MMMM"), F.lit("</i>"))
+    issues = kept.groupBy("digest").agg(F.dayofyear(day).alias("issue"), F.count(F.lit(1)).alias("items"), head.alias("title"))
+    out = assemble.messages(rows, issues)
+    return out.select("digest", "seq", "text", F.array_join(F.transform("item_ids", lambda i: i.cast("string")), ",").alias("item_ids"))
 
 
 @plan("vector_lengths", "SELECT id FROM vectors WHERE len(v) = (SELECT mode(len(v)) FROM vectors)")
@@ -333,14 +392,5 @@ def _(v):
     """D07 over every digest of the store, judged by the labels."""
     waiting = queue.unsent(v.items, v.sources)
     pool = queue.with_source(v.items.filter("sent AND blocked_reason IS NULL"), v.sources)
-    lines = story.Lines(SAME, CROSS, 0.33, 0.36, 0.38, NEAR, 0.27)
-    mark = lambda c, n: v.labelled.select(F.col("id").alias(c), F.col("label").alias(n))
-    both = (F.col("la") + F.col("lb")) % 3
-
-    class Labels:
-        def pairs(self, asked):
-            verdict = F.when(F.col("la") == F.col("lb"), "same").when(both == 0, "update").when(both == 1, "different")
-            return asked.join(mark("a", "la"), "a", "left").join(mark("b", "lb"), "b", "left").withColumn("verdict", verdict).drop("la", "lb")
-
-    hidden, updates = story.deduplicate(waiting, pool, v.vectors, Labels(), lines)
+    hidden, updates = story.deduplicate(waiting, pool, v.vectors, _labels(v), STORY)
     return hidden.select("id", F.col("primary_id").alias("other_id"), F.lit("hidden").alias("outcome")).unionByName(updates.select("id", F.col("shown_id").alias("other_id"), F.lit("update").alias("outcome")))

@@ -8,14 +8,24 @@ from newsloom.plans.registry import plan
 from newsloom.streaming import ingest
 
 
-@plan("stream_ingest", "SELECT DISTINCT 'tg_' || user_id || '_' || json_extract_string(props, '$.k') AS message_id, user_id AS source_id FROM events")
-def _(v):
-    return ingest.stored_once(v.spark, v.sf_dir)
+_POLLED = """, e AS (SELECT 'tg_' || user_id || '_' || json_extract_string(props, '$.k') AS message_id, user_id AS source_id, event_id, CASE WHEN event_id % 31 <> 0 THEN ts END AS moment, 3 - event_id % 4 AS poll, max(ts) OVER () AS as_of FROM events),
+f AS (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY poll, moment NULLS LAST, event_id) AS n FROM e)"""
 
 
-@plan("stream_lifecycle", """, e AS (SELECT user_id AS source_id, event_type = 'error' AS failed, ts, event_id, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM events),
-r AS (SELECT source_id, g, count(*) FILTER (failed) AS fails FROM e GROUP BY 1, 2)
-SELECT source_id, arg_max(fails, g) AS fails, count(*) FILTER (fails >= 3) AS errors, CASE WHEN arg_max(fails, g) >= 3 THEN 'error' ELSE 'active' END AS status FROM r GROUP BY 1""")
+@plan("stream_ingest", f"{_POLLED} SELECT message_id, source_id, coalesce(moment < as_of - INTERVAL 48 HOUR, false) AS late, CAST(floor(epoch(moment)) AS BIGINT) AS published FROM f WHERE n = 1")
+def _(v):
+    """Four polls, with old and undated posts in each; the stream is restarted for each, and loses its checkpoint before the last."""
+    events = v.table("events")
+    last = events.agg(F.unix_micros(F.max("ts").cast("timestamp")).alias("t")).first().t
+    late = events.withColumn("poll", 3 - F.col("event_id") % 4).withColumn("ts", F.when(F.col("event_id") % 31 != 0, F.col("ts")))
+    out = ingest.stored_once(v.spark, late, F.timestamp_micros(F.lit(last)), 4)
+    return out.select("message_id", "source_id", "late", F.unix_timestamp("published_at").alias("published"))
+
+
+@plan("stream_lifecycle", """, e AS (SELECT user_id AS source_id, event_type = 'error' AS failed, CAST(json_extract_string(props, '$.k') AS INT) < 50 AS client, ts, event_id, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM events),
+p AS (SELECT *, count(*) FILTER (failed) OVER (PARTITION BY source_id, g ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS nth FROM e),
+r AS (SELECT source_id, g, count(*) FILTER (failed) AS fails, count(*) FILTER (failed AND (nth = 8 OR (client AND nth = 2))) AS alerts FROM p GROUP BY 1, 2)
+SELECT source_id, arg_max(fails, g) AS fails, count(*) FILTER (fails >= 3) AS errors, CAST(sum(alerts) AS BIGINT) AS alerts, CASE WHEN arg_max(fails, g) >= 3 THEN 'error' ELSE 'active' END AS status FROM r GROUP BY 1""")
 def _(v):
     return ingest.source_lives(v.spark, v.sf_dir)
 

@@ -54,7 +54,7 @@ def _(v):
 @plan("filtered_sections", """SELECT i.digest, CASE WHEN ltrim(blocked_reason) LIKE '=%' THEN '= exact phrases' ELSE blocked_reason END AS section, max(CASE WHEN ltrim(blocked_reason) NOT LIKE '=%' THEN nullif(trim(coalesce(label, '')), '') END) AS title, count(*) AS n
 FROM items i LEFT JOIN rules r ON r.rule = i.blocked_reason WHERE blocked_reason IS NOT NULL GROUP BY 1, 2""")
 def _(v):
-    return triage.filtered_sections(v.items.filter("blocked_reason IS NOT NULL").select("digest", "id", F.col("blocked_reason").alias("rule")), v.rules)
+    return triage.filtered_sections(v.judged.filter("blocked_reason IS NOT NULL").select("digest", "id", F.col("blocked_reason").alias("rule")), v.rules)
 
 
 @plan("source_pages", "SELECT category, id, (row_number() OVER (PARTITION BY category ORDER BY sort_order, name) - 1) // 2 AS page FROM sources")

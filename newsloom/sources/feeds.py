@@ -77,10 +77,11 @@ def client_error(status: Column) -> Column:
 
 
 def tail(spark: SparkSession, path: str, lines: int, most: int = 4096) -> list[str]:
-    """The last lines of log files, as many of the newest as fit."""
-    rows = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
+    """The last lines of log files, as many of the newest as fit. A task keeps `lines` lines; only that many meet."""
+    place = F.struct(F.col("_metadata.file_modification_time").alias("t"), F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("n")).alias("place")
+    newest = spark.read.text(path).select("value", place).orderBy(F.col("place").desc()).limit(lines)
     out: list[str] = []
-    for r in rows.orderBy(F.col("at").desc()).limit(lines).collect():
+    for r in newest.collect():
         if sum(map(len, out)) + len(out) + len(r.value) > most:
             break
         out.append(r.value)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions.clock import minutes_after
+from newsloom.operators.graph import cut
 from newsloom.sources import schemas
 
 EPOCH = "2024-01-01 00:00:00"
@@ -93,14 +94,23 @@ class Views:
         )
 
     @cached_property
-    def items(self) -> DataFrame:
-        """posts, with the first post of the same text and the rule that blocked each."""
-        n = F.col("id")
+    def judged(self) -> DataFrame:
+        """posts, with the rule that blocked each; no other post is looked at."""
         toxic = self.table("labels").filter("toxic = 1").select(F.col("doc_id").alias("id"), F.lit(True).alias("toxic")).distinct()
-        first = self.table("documents").groupBy(F.md5("text").alias("h")).agg(F.min("doc_id").alias("first"))
-        rows = self.posts.withColumn("h", F.md5("raw_text")).join(toxic, "id", "left").join(first, "h", "left")
-        reason = F.element_at(F.array(F.lit("ads"), F.lit("war"), F.lit("gone rule")), (n % 3 + 1).cast("int"))
-        return rows.select(*self.posts.columns, F.nullif(F.col("first"), n).alias("duplicate_of"), F.when(F.col("toxic"), reason).alias("blocked_reason"))
+        reason = F.element_at(F.array(F.lit("ads"), F.lit("war"), F.lit("gone rule")), (F.col("id") % 3 + 1).cast("int"))
+        return self.posts.join(toxic, "id", "left").select(*self.posts.columns, F.when(F.col("toxic"), reason).alias("blocked_reason"))
+
+    @cached_property
+    def items(self) -> DataFrame:
+        """judged, with the first post of the same text."""
+        first = self._digests.groupBy("h").agg(F.min("doc_id").alias("first")).join(self._digests, "h").filter("doc_id <> first").select(F.col("doc_id").alias("id"), "first")
+        rows = self.judged.join(first, "id", "left")
+        return rows.select(*self.posts.columns, F.col("first").alias("duplicate_of"), "blocked_reason")
+
+    @cached_property
+    def _digests(self) -> DataFrame:
+        """A digest of each text, written once: texts are read for it one time."""
+        return cut(self.table("documents").select("doc_id", F.md5("text").alias("h")))
 
     @staticmethod
     def message_id(kind: Column, url: Column, raw_id: Column) -> Column:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from newsloom.operators.fold import folded
 from newsloom.operators.graph import shared_folder
 from newsloom.operators.state import unseen
 
@@ -25,60 +27,77 @@ def posts_stream(spark: SparkSession, folder: str, files: str) -> DataFrame:
     key = F.get_json_object("props", "$.k")
     return events.select(
         F.concat_ws("_", F.lit("tg"), F.col("user_id").cast("string"), key).alias("message_id"),
-        F.col("user_id").alias("source_id"), F.col("ts").cast("timestamp").alias("published_at"), (F.col("event_type") == "error").alias("failed"), F.col("event_id").alias("seq"),
+        F.col("user_id").alias("source_id"), F.col("ts").cast("timestamp").alias("published_at"), (F.col("event_type") == "error").alias("failed"), (key.cast("int") < 50).alias("client"), F.col("event_id").alias("seq"),
     )
 
 
-def ingest(posts: DataFrame, store: str, checkpoint: str, retention: str = "30 days") -> None:
-    """ST02/ST07: each message is stored once, however often it is polled or a batch is retried.
+LATE = "48 hours"
+RETENTION = "30 days"
 
-    Duplicates within the retention fall to the watermarked state; what the store already has falls to
-    an anti-join in the batch, so a restart with a lost checkpoint doesn't store twice either; it looks
-    back as far as the retention, as the state does. A batch is written into a folder of its own
-    number: writing it again replaces it.
+
+def ingest(posts: DataFrame, store: str, checkpoint: str, as_of: Column | None = None, late: str = LATE, retention: str = RETENTION) -> None:
+    """ST02/ST03/ST07: each message is stored once, however often it is polled or a batch is retried, and however late.
+
+    No watermark drops anything: a post older than `late` at as_of (default: the time of the batch) is
+    stored with the flag `late`, one without a time as it is, young. Of several with one message_id in
+    a batch the earliest stays (one without a time last); what the store has falls to an anti-join in
+    the batch, so a restart with a lost checkpoint doesn't store twice either. It looks back over what
+    was stored within the retention, which is what bounds it. A batch is written into a folder of its
+    stream and number: writing it again replaces it, and no other stream writes there.
     """
     spark = posts.sparkSession
-    fresh = posts.withWatermark("published_at", retention).dropDuplicatesWithinWatermark(["message_id"])
 
     def save(batch: DataFrame, number: int) -> None:
+        stream = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or hashlib.md5(checkpoint.encode()).hexdigest()
+        now = F.current_timestamp() if as_of is None else as_of
+        first = F.min_by(F.struct("source_id", "published_at"), F.struct(F.col("published_at").isNull().alias("none"), "published_at", "seq")).alias("first")
+        rows = batch.groupBy("message_id").agg(first).select("message_id", "first.*")
+        rows = rows.withColumn("late", F.coalesce(F.col("published_at") < now - F.expr(f"INTERVAL {late}"), F.lit(False))).withColumn("stored_at", F.current_timestamp())
         folder = spark._jvm.org.apache.hadoop.fs.Path(store)
-        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-        rows = batch.select("message_id", "source_id", "published_at")
-        first = batch.agg(F.min("published_at")).first()[0]
-        if first is None:
-            return
-        if files.exists(folder):
-            have = spark.read.option("basePath", store).parquet(store)
-            if "batch" in have.columns:
-                recent = F.col("published_at") >= F.lit(first) - F.expr(f"INTERVAL {retention}")
-                rows = unseen(rows, have.filter((F.col("batch") != number) & recent))
-        rows.write.mode("overwrite").parquet(f"{store}/batch={number}")
+        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            have = spark.read.schema(STORED).option("basePath", store).parquet(store)
+            mine = (F.col("stream") == stream) & (F.col("batch") == number)
+            rows = unseen(rows, have.filter(~mine & (F.col("stored_at") >= F.current_timestamp() - F.expr(f"INTERVAL {retention}"))))
+        rows.write.mode("overwrite").parquet(f"{store}/stream={stream}/batch={number}")
+
+    posts.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
-    fresh.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
+STORED = "message_id STRING, source_id BIGINT, published_at TIMESTAMP, late BOOLEAN, stored_at TIMESTAMP, stream STRING, batch BIGINT"
 
-def stored_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = shared_path(spark, "store")
-    ingest(posts_stream(spark, sf_dir, "events.parquet"), store, shared_path(spark, "stream"))
-    return spark.read.parquet(store).select("message_id", "source_id")
+
+def stored_once(spark: SparkSession, events: DataFrame, as_of: Column, polls: int) -> DataFrame:
+    """Polls of a source's events, each a file that arrives later than the one before. events: poll, and the columns of posts_stream.
+
+    The stream is stopped after each poll; before the last it has lost its checkpoint, and finds all files again.
+    """
+    arrived, store, place = (shared_path(spark, n) for n in ("arrived", "store", "stream"))
+    for k in range(polls):
+        events.filter(F.col("poll") == k).drop("poll").coalesce(1).write.mode("append").parquet(arrived)
+        ingest(posts_stream(spark, arrived, "*.parquet"), store, place if k < polls - 1 else place + "-new", as_of)
+    return spark.read.schema(STORED).option("basePath", store).parquet(store).select("message_id", "source_id", "late", "published_at")
 
 
 ERROR_AFTER = 3
+#: Failures in a row that the administrator hears of: of any kind, or of a kind that asking again won't heal.
+ALERT_AT, CLIENT_ALERT_AT = 8, 2
 
 
 def life(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """ST10: a source fails; so many failures in a row make it an error, one success revives it."""
-    fails, errors = state.get if state.exists else (0, 0)
-    for failed in pd.concat(list(frames)).sort_values(["published_at", "seq"])["failed"]:
+    """ST10: a source fails; so many failures in a row make it an error, one success revives it; long outages are told once."""
+    fails, errors, alerts = state.get if state.exists else (0, 0, 0)
+    polls = pd.concat(list(frames)).sort_values(["published_at", "seq"])
+    for failed, client in zip(polls["failed"], polls["client"], strict=True):
         fails = fails + 1 if failed else 0
         errors += fails == ERROR_AFTER
-    state.update((fails, errors))
-    yield pd.DataFrame({"source_id": [key[0]], "fails": [fails], "errors": [errors], "status": ["error" if fails >= ERROR_AFTER else "active"]})
+        alerts += failed and (fails == ALERT_AT or (client and fails == CLIENT_ALERT_AT))
+    state.update((int(fails), int(errors), int(alerts)))
+    yield pd.DataFrame({"source_id": [key[0]], "fails": [fails], "errors": [errors], "alerts": [alerts], "status": ["error" if fails >= ERROR_AFTER else "active"]})
 
 
 def lifecycle(polls: DataFrame) -> DataFrame:
-    """A row of each source and micro-batch: failures in a row, times it became an error, status."""
-    return polls.groupBy("source_id").applyInPandasWithState(life, "source_id long, fails long, errors long, status string", "fails long, errors long", "append", GroupStateTimeout.NoTimeout)
+    """A row of each source and micro-batch: failures in a row, times it became an error, alerts, status."""
+    return polls.groupBy("source_id").applyInPandasWithState(life, "source_id long, fails long, errors long, alerts long, status string", "fails long, errors long, alerts long", "append", GroupStateTimeout.NoTimeout)
 
 
 def source_lives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,13 +113,10 @@ def throttled(alerts: DataFrame, seconds: int = 3600) -> DataFrame:
     What counts is the last alert that went out, so a key's alerts are a fold in order of time.
     """
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["moment", "seq"])
-        last, keep = None, []
-        for at in frame["moment"]:
-            out = last is None or (at - last).total_seconds() >= seconds
-            last = at if out else last
-            keep.append(out)
-        return frame[keep][["key", "seq"]]
+    def step(last: float | None, row: dict) -> tuple[float, dict | None]:
+        if last is not None and row["at"] - last < seconds:
+            return last, None
+        return row["at"], {"key": row["key"], "seq": row["seq"]}
 
-    return alerts.groupBy("key").applyInPandas(fold, "key string, seq long")
+    rows = alerts.select("key", F.unix_micros("moment").alias("at_us"), "seq").withColumn("at", F.col("at_us") / 1e6).drop("at_us")
+    return folded(rows, "key", ["at", "seq"], step, "key string, seq long")

@@ -89,3 +89,41 @@ def test_lines():
     assert plain.rule_title("Posts that ask the reader to subscribe to a channel") == "Posts that ask the reader to subscribe…" and len(plain.rule_title("word " * 30)) <= 46
     assert plain.image_note("a [b]\n c") == "[Image: a (b) c]" and plain.image_note(" ") == ""
     assert plain.without_feed_footer("T (x)", "Body.\nThe post T (x) appeared first on Site.") == "Body." and plain.without_feed_footer("T", "The post office first appeared on stamps.") == "The post office first appeared on stamps."
+
+
+@pytest.mark.parametrize(("summary", "source", "found"), [
+    # figures in any writing
+    ("Costs 12 500", "It costs 12,500 now", []), ("Costs 12500", "costs 12.500 eura", []), ("Costs 12 501", "costs 12,500", ["12501"]), ("Rose 2,5 млн", "rose by 2.5 million", []), ("Met on 7 May", "on 07.05 in town", []),
+    # number words, scales, halves, shares
+    ("7 people", "seven people", []), ("7 people", "seventh heaven, sevenfold", []), ("9 people", "canine nineveh", []), ("6000 trips", "six thousand trips", []), ("3,5 years", "three and a half years", []), ("25 %", "a quarter of all", []), ("33 %", "a third of it", []), ("50 %", "on behalf of all", ["50"]),
+    # sums and differences
+    ("5 hurt", "two hurt there, three here", []), ("700 in all", "300, 250 and 150", []), ("400 left", "of 900 some 500 went", []), ("701 in all", "300, 250 and 150", ["701"]), ("8 hurt", "four hurt there, four here", []), ("8 hurt", "four hurt there", ["8"]),
+    ("11 hurt", "10 hurt, one of them a child", ["11"]), ("10 hurt", "9 hurt, one more later", []), ("in 2021", "in 2023, 2 years", ["2021"]), ("1300 coins", "0xab12cd34 sent 600 https://e.org/900000 and 700", []),
+    # years around the present, and nothing twice
+    ("in 2025 and 2027", "soon", []), ("1998, again 1998", "long ago", ["1998"]), ("", "", []), ("a …", "b", []),
+])
+def test_figures_of_a_summary(summary, source, found):
+    assert plain.unsupported(summary, source, 2026) == found
+
+
+def test_sounds_of_names():
+    for a, b in [("Мюллер", "Müller"), ("Філіп", "Philip"), ("Хвар", "Hvar"), ("Гаага", "Haag"), ("Джокер", "Joker"), ("Шахтар", "Shakhtar")]:
+        assert plain.skeleton(a) == plain.skeleton(b), (a, b)
+    assert plain.skeleton("") == "" and plain.skeleton("аеіо") == "" and len(plain.skeleton("Szczebrzeszyn")) == 3
+
+
+def test_mended_answers():
+    assert plain.repaired_json('{"a": "said "no" and "yes"", "b": ["x "y"", "z"]}') == {"a": 'said "no" and "yes"', "b": ['x "y"', "z"]}
+    assert plain.repaired_json('{"a": "open') is None and plain.repaired_json('[{"t": "a "b" c"}]', "items") == {"items": [{"t": 'a "b" c'}]}
+
+
+def test_quotes_of_what_is_answered():
+    assert plain.reply_quote("One two - three four five six seven", None) == "One two - three four five six…"
+    assert plain.reply_quote(" ", "[Context: a]\n[Forwarded from B] First line\nsecond") == "First line"
+    assert plain.reply_quote("[Photo] A caption", None) == "A caption" and plain.reply_quote("[Photo]", None) == "📷 Photo" and plain.reply_quote("[Media]", None) == ""
+    assert plain.reply_quote(None, None) == ""
+
+
+def test_labels(spark):
+    assert column(spark, ["short", "a label of very many words that goes on and on", "x" * 50, None], text.clipped) == ["short", "a label of very many words that goes…", "x" * 39 + "…", None]
+    assert column(spark, ["a:b:3", "a:b", "a:", "7"], lambda c: F.concat_ws("|", *text.name_and_page(c))) == ["a:b|3", "a:b|0", "a:|0", "7|0"]

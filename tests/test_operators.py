@@ -142,3 +142,131 @@ def test_entry_points_without_the_corpus_operators(monkeypatch):
     assert "stats_by_source" in names and not any(n.startswith("op1") or n == "pipeline" for n in names)
     assert set(entry.oracle_sql()) <= set(names)
     monkeypatch.delitem(sys.modules, "__spark_entry__")
+
+
+def test_stream_keeps_late_and_undated_posts(spark, tmp_path):
+    """Four polls: young, repeated, two months late, without a time; then a restart that has lost its checkpoint."""
+    from newsloom.streaming import ingest
+
+    folder, store = str(tmp_path / "in"), str(tmp_path / "store")
+
+    def arrive(rows):
+        df = spark.createDataFrame([(i, i % 7, f'{{"k": {i}}}', t) for i, t in rows], "event_id long, user_id long, props string, t string")
+        df.selectExpr("event_id", "CAST(t AS TIMESTAMP_NTZ) AS ts", "user_id", "'view' AS event_type", "1.0D AS value", "props").coalesce(1).write.mode("append").parquet(folder)
+
+    polls = [[(1, "2024-03-01 10:00:00"), (2, "2024-03-01 11:00:00")], [(2, "2024-03-01 11:00:00"), (3, None), (3, "2024-03-02 09:00:00")], [(4, "2024-01-01 00:00:00")], [(5, None), (5, None)], [(6, "2024-03-02 12:00:00")]]
+    now = F.lit("2024-03-02 12:00:00").cast("timestamp")
+    for k, rows in enumerate(polls):
+        arrive(rows)
+        ingest.ingest(ingest.posts_stream(spark, folder, "*.parquet"), store, str(tmp_path / ("a" if k < 4 else "b")), now)
+    got = {r.message_id.rsplit("_", 1)[1]: (r.late, str(r.published_at)) for r in spark.read.parquet(store).collect()}
+    assert spark.read.parquet(store).count() == 6
+    assert got == {"1": (False, "2024-03-01 10:00:00"), "2": (False, "2024-03-01 11:00:00"), "3": (False, "2024-03-02 09:00:00"), "4": (True, "2024-01-01 00:00:00"), "5": (False, "None"), "6": (False, "2024-03-02 12:00:00")}
+
+
+def test_a_batch_that_is_written_again_is_there_once(spark, tmp_path):
+    from newsloom.streaming import ingest
+
+    folder, store, place = str(tmp_path / "in"), str(tmp_path / "store"), str(tmp_path / "c")
+    rows = spark.createDataFrame([(i, i, f'{{"k": {i}}}') for i in range(5)], "event_id long, user_id long, props string")
+    rows.selectExpr("event_id", "timestamp_ntz'2024-01-01 00:00:00' as ts", "user_id", "'view' as event_type", "1.0D as value", "props").write.parquet(folder)
+    ingest.ingest(ingest.posts_stream(spark, folder, "*.parquet"), store, place)
+    import shutil
+
+    shutil.rmtree(f"{place}/commits")  # written, but not committed: the batch runs again
+    ingest.ingest(ingest.posts_stream(spark, folder, "*.parquet"), store, place)
+    assert spark.read.parquet(store).count() == 5
+
+
+def test_tiles_change_nothing(spark, monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    items = spark.createDataFrame([Row(id=i, digest=i % 2, source_id=i % 5, category="ab"[i % 2], processed_at=f"2024-01-0{1 + i % 4} 0{i % 9}:00:00") for i in range(60)]).withColumn("processed_at", F.col("processed_at").cast("timestamp"))
+    rows = similarity.embedded(items, spark.createDataFrame([Row(id=i, v=[rng.gauss(0, 1) for _ in range(4)]) for i in range(60)], "id long, v array<float>"))
+
+    def every():
+        pairs = {(r.a, r.b, round(r.score, 6)) for r in similarity.digest_pairs(rows, 0.3, 0.5).collect()}
+        own = {(r.a, r.b) for r in similarity.digest_pairs(rows, 0.2, 0.2, within_source=True).collect()}
+        best = {(r.id, r.best_id, r.follow_id) for r in similarity.pool_matches(rows.filter("id % 3 = 0"), rows.filter("id % 3 <> 0"), 48, 0.3, 0.5, 0.9).collect()}
+        return pairs, own, best
+
+    whole = every()
+    monkeypatch.setattr(similarity, "TILE", 4)
+    assert every() == whole and all(whole)
+
+
+def test_folds_hold_one_state(spark):
+    from newsloom.operators.fold import folded
+
+    rows = spark.createDataFrame([(k, i) for k in ("a", None, "b") for i in range(40)], "key string, i long").repartition(3)
+    out = folded(rows, "key", ["i"], lambda s, r: ((s or 0) + r["i"], {"key": r["key"], "n": (s or 0) + r["i"]} if r["i"] % 20 == 0 else None), "key string, n long", lambda key, s: {"key": key, "n": -s})
+    assert sorted((r.key or "", r.n) for r in out.collect()) == sorted((k, n) for k in ("a", "", "b") for n in (0, 210, -780))
+    assert folded(rows.limit(0), "key", ["i"], lambda s, r: (s, None), "key string, n long", lambda k, s: {}).count() == 0
+
+
+def test_templates_are_never_sorted(spark):
+    posts = spark.createDataFrame([(i, 1, "k" * 120 if i < 50 else f"{'x' * 110}{i // 2}", f"2024-01-01 00:00:{i % 60:02}", False, False) for i in range(60)], "id long, source_id long, key string, moment string, hidden boolean, pool boolean")
+    assert {(r.id, r.earlier_id) for r in reposts.exact_reposts(posts).collect()} == {(i, i - 1) for i in range(51, 60, 2)}
+
+
+def test_shown_rules_without_a_join(spark):
+    chunks = spark.createDataFrame([Row(digest=1, chunk=0, id=1, category="a", source_id=1), Row(digest=1, chunk=0, id=2, category=None, source_id=2), Row(digest=1, chunk=1, id=3, category="b", source_id=9)], "digest long, chunk long, id long, category string, source_id long")
+    known = spark.createDataFrame([(1, "= x", [], []), (2, "all", [], []), (3, "other", ["other"], []), (4, "b at 9", ["b"], [9]), (5, "b at 1", ["b"], [1])], "word_id long, rule string, categories array<string>, source_ids array<long>")
+    got = rules.shown_rules(chunks, known)
+    assert {tuple(r) for r in got.collect()} == {(1, 0, 2), (1, 0, 3), (1, 1, 2), (1, 1, 4)}
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_of_posts():
+    line = render.post_line
+    assert line({"summary": "Fed cut rates", "url": "https://e.org", "phrase": "cut rates", "at": "10:05"}) == '<i>10:05</i>  Fed <a href="https://e.org">cut rates</a>'
+    assert line({"summary": "[Photo]", "url": "u", "note": "×3"}) == '<a href="u">📷 Photo ×3</a>' and line({"summary": "[Video] Words here", "url": None, "note": "1:05"}) == "🎬 1:05 Words here"
+    assert line({"summary": "", "url": "u"}) == '<a href="u">→</a>' and line({"summary": " ", "url": None}) == ""
+    full = line({"summary": "A <b> c", "url": None, "at": "09:00", "nested": True, "deleted": True, "votes": 7, "links": [("X & Y", "x"), ("Z", None)], "earlier": [("08:00", "e")], "more": 2, "reply": ("07:00", "r", "what & why")})
+    assert full == '  <i>↳ 09:00</i>  🗑 A &lt;b&gt; c <i>· ▲ 7</i> <i>(<a href="x">X &amp; Y</a>)</i>\n<i>↳ to <a href="r">07:00</a> what &amp; why</i>\n<i>↻ earlier: +2 · <a href="e">08:00</a></i>'
+    assert line({"summary": "S", "url": None, "via": "a.b", "links": [("C", "c")]}) == 'S <i>· a.⁠b, <a href="c">C</a></i>'
+
+
+def test_filling_is_greedy():
+    import random
+
+    rng = random.Random(4)
+    for _ in range(300):
+        sizes = [rng.randint(0, 12) for _ in range(rng.randint(0, 14))]
+        joints = [rng.randint(0, 3) for _ in sizes]
+        room = rng.randint(1, 20)
+        got = [list(range(len(sizes)))[p] for p in render.fill(sizes, joints, room)]
+        assert [i for p in got for i in p] == list(range(len(sizes)))
+        long = lambda p: sum(sizes[i] for i in p) + sum(joints[i] for i in p[1:])
+        for p, after in zip(got, [*got[1:], None][: len(got)], strict=True):
+            assert len(p) == 1 or long(p) <= room
+            assert after is None or long([*p, after[0]]) > room
+
+
+def test_messages_keep_headings_with_their_quotes():
+    quote = lambda n, i: ("<blockquote>" + "x" * (n - 12), [i])
+    out = render.split_messages([("\nA", []), quote(40, 1), ("\nB", []), quote(40, 2), quote(20, 3), ("\nC", []), quote(95, 4), ("tail", [])], limit=96)
+    assert [ids for _, ids in out] == [[1, 2], [3], [4], []] and out[0][0].startswith("A") and out[1][0].endswith("C") and all(len(t) <= 96 for t, _ in out)
+    around = render.Frame(7, 1, "<b>T</b>")
+    done = around.around([("x" * (render.MESSAGE_LIMIT - around.room), [1])] * 3)
+    assert all(len(t) <= render.MESSAGE_LIMIT for t, _ in done) and done[2][0].endswith("1 item</i>") and done[0][0].startswith("<b>T</b>\n\n")
+
+
+def test_rewrites_are_kept_if_they_bring_in_less(spark):
+    from newsloom.operators import triage
+
+    answers = spark.createDataFrame([(1, "two died", "4 died", "2 died"), (2, "two died", "4 died", "5 died"), (3, "two died", "2 died", "nobody"), (4, "two died", "4 and 5 died", "4 died"), (5, "two died", "4 died", None), (6, None, None, None)], "id long, source string, summary string, rewrite string")
+    got = {r.id: (r.summary, r.rewritten) for r in triage.kept_rewrites(answers, 2026).collect()}
+    assert got == {1: ("2 died", True), 2: ("4 died", False), 3: ("2 died", False), 4: ("4 died", True), 5: ("4 died", False), 6: (None, False)}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext, conf = Context, {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        graph.shared_folder(Session)
