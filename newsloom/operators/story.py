@@ -7,6 +7,7 @@ judge leaves open simply has fewer rows. Thresholds are those of the embedding m
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -85,7 +86,8 @@ def deduplicate(items: DataFrame, pool: DataFrame, vectors: DataFrame, judge: Ju
     refused = outcome.unionByName(second).filter("outcome <> 'hidden'").select("id", "primary_id")
     again = cut(dedup.regroup(refused, items, close, lines.same).withColumnRenamed("survivor_id", "primary_id"))
     third = cut(dedup.confirm(_asked(_scored(again, scores), items, items, False), judge, 2.0, 2.0, 2.0))
-    hidden = cut(settled.unionByName(hidden).unionByName(second.filter("outcome = 'hidden'").select("id", "primary_id")).unionByName(third.filter("outcome = 'hidden'").select("id", "primary_id")).dropDuplicates(["id"]))
+    hide = lambda table: table.filter("outcome = 'hidden'").select("id", "primary_id")
+    hidden = cut(_first_said(repeated, near, hidden, hide(second), hide(third)))
 
     # 5. closest twins that nobody put to the judge together
     seen = outcome.select("id", "primary_id").unionByName(second.select("id", "primary_id")).unionByName(again.select("id", "primary_id")).unionByName(settled)
@@ -102,10 +104,17 @@ def deduplicate(items: DataFrame, pool: DataFrame, vectors: DataFrame, judge: Ju
     # 6. follow-ups of a source's own shown story, and where every hidden post finally stands
     follow = matches.filter("follow_id IS NOT NULL").select("id", F.col("follow_id").alias("shown_id")).join(hidden.select("id"), "id", "left_anti")
     said = judge.pairs(follow.select(F.col("shown_id").alias("a"), F.col("id").alias("b"))).filter("verdict IN ('same', 'update')").select(F.col("b").alias("id"), F.col("a").alias("shown_id"))
-    updates = outcome.filter("outcome = 'update'").select("id", F.col("primary_id").alias("shown_id")).unionByName(said).dropDuplicates(["id"])
-    final = dedup.survivors(hidden)
+    updates = cut(_first_said(outcome.filter("outcome = 'update'").select("id", F.col("primary_id").alias("shown_id")), said))
+    final = cut(dedup.survivors(hidden))
     handed = updates.join(final, "id").select(F.col("primary_id").alias("id"), "shown_id").join(updates.select("id"), "id", "left_anti")
-    return final, updates.unionByName(handed.dropDuplicates(["id"])).join(final.select("id"), "id", "left_anti")
+    return final, updates.unionByName(_first_said(handed)).join(final.select("id"), "id", "left_anti")
+
+
+def _first_said(*decisions: DataFrame) -> DataFrame:
+    """One decision of each post: of the first table that has one, the least other post. decisions: id, and another post."""
+    other = decisions[0].columns[1]
+    rows = reduce(DataFrame.unionByName, [t.withColumn("step", F.lit(k)) for k, t in enumerate(decisions)])
+    return rows.groupBy("id").agg(F.min(F.struct("step", other)).alias("first")).select("id", F.col(f"first.{other}").alias(other))
 
 
 def _grouped(items: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from newsloom.functions import text
 from newsloom.functions import vectors as vec
 from newsloom.operators import analytics, assemble, dedup, digest, ingest, merge, queue, rules, similarity, story
 from newsloom.operators.graph import cut
@@ -181,8 +182,8 @@ def _merged(v):
 
 @plan("merged_lines", f"{_MERGED} SELECT l.component, array_to_string(ids, ',') AS item_ids, top_url AS url, top AS moment, md5(summary) AS summary_md5, coalesce(array_to_string(list_sort(posts), ' | '), '') AS earlier FROM line l LEFT JOIN early USING (component)")
 def _(v):
-    text = F.array_join(F.transform("earlier", lambda p: F.concat_ws(" ", p["moment"], p["url"])), " | ")
-    return _merged(v).select("component", F.array_join(F.transform("item_ids", lambda i: i.cast("string")), ",").alias("item_ids"), "url", "moment", F.md5("summary").alias("summary_md5"), text.alias("earlier"))
+    posts = F.array_join(F.transform("earlier", lambda p: F.concat_ws(" ", p["moment"], p["url"])), " | ")
+    return _merged(v).select("component", F.array_join(F.transform("item_ids", lambda i: i.cast("string")), ",").alias("item_ids"), "url", "moment", F.md5("summary").alias("summary_md5"), posts.alias("earlier"))
 
 
 @plan("earlier_links", f"""{_MERGED}, s AS (SELECT l.component, top, coalesce(list_sort(posts), []) AS p FROM line l LEFT JOIN early USING (component)),
@@ -290,10 +291,8 @@ def _(v):
 
 @plan("unembedded", "SELECT source_id, count(*) AS n FROM items WHERE lower(trim(coalesce(nullif(summary, ''), raw_text))) NOT IN ('', 'no text', 'no caption', 'media') AND id NOT IN (SELECT id FROM vectors) GROUP BY 1")
 def _(v):
-    from newsloom.functions.text import is_placeholder, strip
-
-    text = strip(F.coalesce(F.nullif(F.col("summary"), F.lit("")), F.col("raw_text")))
-    return v.posts.filter((text != "") & ~is_placeholder(text)).join(v.vectors.select("id"), "id", "left_anti").groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
+    told = text.strip(F.coalesce(F.nullif(F.col("summary"), F.lit("")), F.col("raw_text")))
+    return v.posts.filter((told != "") & ~text.is_placeholder(told)).join(v.vectors.select("id"), "id", "left_anti").groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def digest_lines(v):
@@ -387,7 +386,99 @@ def _(v):
     return similarity.usual_length(v.vectors).select("id")
 
 
-@plan("story_dedup")
+_RANK = "CASE WHEN source_type = 'telegram' THEN 0 ELSE 1 END, -richness, coalesce(CAST(source_sort_order AS DOUBLE), 1e9), coalesce(strftime(published_at, '%Y-%m-%d %H:%M:%S'), '9999'), id"
+_UNTOLD = "(lower(trim(summary)) IN ('no text', 'no caption', 'media') OR (trim(summary) LIKE '[%]' AND length(trim(summary)) <= 20))"
+_TALLY = text.TALLY.replace("'", "''")
+_FLOOR = "CASE WHEN coalesce({}, 'other') = coalesce({}, 'other') THEN 0.25 ELSE 0.30 END"
+
+
+def _reached(name: str, edges: str) -> str:
+    """Components of a table of pairs."""
+    return f"""{name}_e AS MATERIALIZED (SELECT a, b FROM {edges} UNION SELECT b, a FROM {edges}), {name}_r(id, x) AS (SELECT a, a FROM {name}_e UNION SELECT r.id, e.b FROM {name}_r r JOIN {name}_e e ON e.a = r.x),
+{name} AS MATERIALIZED (SELECT id, min(x) AS component FROM {name}_r GROUP BY 1)"""
+
+
+def _best_of(members: str, first: str = "") -> str:
+    """Members of components under the one that stays, where that is another source's."""
+    return f"""SELECT DISTINCT m.id, p.id AS primary_id FROM {members} m JOIN (SELECT component, id, source_id FROM {members} QUALIFY row_number() OVER (PARTITION BY component ORDER BY {first}{_RANK}) = 1) p USING (component) WHERE m.id <> p.id AND m.source_id <> p.source_id"""
+
+
+def _asks(pairs: str, primaries: str, shown: bool) -> str:
+    return f"""SELECT q.id, q.primary_id, coalesce(q.score, 0) AS score, {shown} AS shown, coalesce(m.category, 'other') = coalesce(t.category, 'other') AS same_category, m.richness > t.richness AS richer,
+  m.tally AND t.tally AND coalesce(abs(epoch(m.published_at) - epoch(t.published_at)) / 3600, 0) >= 10 AS night FROM {pairs} q JOIN cur m ON m.id = q.id JOIN {primaries} t ON t.id = q.primary_id"""
+
+
+def _confirmed(asked: str, near: float, far: float, repeat: float) -> str:
+    return f"""SELECT id, primary_id, score, verdict, CASE WHEN shown AND night THEN 'kept' WHEN sure THEN 'hidden' WHEN verdict = 'same' THEN 'hidden' WHEN verdict = 'update' AND NOT shown AND NOT richer THEN 'hidden'
+    WHEN verdict = 'update' AND shown AND score >= {repeat} THEN 'hidden' WHEN verdict = 'update' AND shown THEN 'update' ELSE 'kept' END AS outcome
+  FROM (SELECT *, CASE WHEN NOT (shown AND night) AND NOT sure THEN v END AS verdict FROM (SELECT x.*, score >= CASE WHEN NOT shown AND same_category THEN {near} ELSE {far} END AND NOT richer AS sure,
+    CASE WHEN la.label = lb.label THEN 'same' WHEN (la.label + lb.label) % 3 = 0 THEN 'update' WHEN (la.label + lb.label) % 3 = 1 THEN 'different' END AS v
+    FROM ({asked}) x LEFT JOIN embeddings la ON la.vec_id = x.primary_id LEFT JOIN embeddings lb ON lb.vec_id = x.id))"""
+
+
+def _signed(lines: str) -> str:
+    """Last lines that sign five different bodies, in half of their posts."""
+    return f"SELECT source_id, l[-1] AS line FROM {lines} WHERE len(l) > 1 GROUP BY ALL HAVING count(DISTINCT array_to_string(l[:-2], chr(10))) >= 5 AND count(DISTINCT array_to_string(l[:-2], chr(10))) * 2 >= count(*)"
+
+
+def _unsigned(lines: str, signs: str) -> str:
+    """Lines without those that sign, from the end; never the only one."""
+    return f"""SELECT * EXCLUDE (l, known), l[1:greatest(len(l) - CASE WHEN coalesce(list_position(list_transform(list_reverse(l), lambda x: list_contains(known, x)), false), 0) = 0 THEN len(l) ELSE list_position(list_transform(list_reverse(l), lambda x: list_contains(known, x)), false) - 1 END, least(len(l), 1))] AS l
+  FROM (SELECT d.*, coalesce(k.known, []) AS known FROM {lines} d LEFT JOIN (SELECT source_id, list(line) AS known FROM {signs} GROUP BY 1) k USING (source_id))"""
+
+
+_LINES_OF = "list_filter([regexp_replace(x, '^\\s+|\\s+$', '', 'g') FOR x IN string_split({}, chr(10))], lambda x: x <> '')"
+
+STORY_SQL = f""", cur AS MATERIALIZED (SELECT i.*, s.type AS source_type, s.sort_order AS source_sort_order, {_RICH} AS richness, regexp_matches(raw_text, '{_TALLY}') AS tally FROM items i LEFT JOIN sources s ON s.id = i.source_id WHERE NOT sent AND coalesce(s.status, '') <> 'paused'),
+pool AS MATERIALIZED (SELECT *, {_RICH} AS richness, regexp_matches(raw_text, '{_TALLY}') AS tally FROM items WHERE sent AND blocked_reason IS NULL AND NOT {_UNTOLD}),
+both_ AS MATERIALIZED (SELECT id, source_id, raw_text, published_at, false AS hid, false AS old FROM cur UNION ALL SELECT id, source_id, raw_text, published_at, duplicate_of IS NOT NULL, true FROM pool),
+l1 AS MATERIALIZED (SELECT id, source_id, {_LINES_OF.format("raw_text")} AS l FROM both_), f1 AS MATERIALIZED ({_signed("l1")}),
+l2 AS MATERIALIZED ({_unsigned("l1", "f1")}), f2 AS MATERIALIZED (SELECT * FROM f1 UNION {_signed("l2")}), l3 AS MATERIALIZED ({_unsigned("l1", "f2")}), f3 AS MATERIALIZED (SELECT * FROM f2 UNION {_signed("l3")}),
+own_lines AS (SELECT id, source_id, published_at, hid, old, {_LINES_OF.format("regexp_replace(raw_text, '^\\[Context:[^\\n]*\\]\\n', '')")} AS l FROM both_),
+keyed AS MATERIALIZED (SELECT * FROM (SELECT * EXCLUDE l, regexp_replace(lower(array_to_string(l, chr(10))), '[^\\pL\\pN_]+', '', 'g') AS k FROM ({_unsigned("own_lines", "f3")})) WHERE length(k) >= 100 QUALIFY count(*) OVER (PARTITION BY source_id, k) = 2),
+told AS (SELECT *, first_value(CASE WHEN NOT hid THEN id END IGNORE NULLS) OVER (PARTITION BY source_id, k ORDER BY NOT old, published_at NULLS FIRST, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier_id FROM keyed),
+repeated AS MATERIALIZED (SELECT id, earlier_id AS primary_id FROM told WHERE NOT old AND earlier_id IS NOT NULL),
+emb AS MATERIALIZED (SELECT c.id, c.digest, c.source_id, c.category, c.processed_at, CAST(v AS DOUBLE[]) AS v FROM cur c JOIN vectors USING (id) WHERE NOT {_UNTOLD}),
+close_ AS MATERIALIZED (SELECT * FROM (SELECT a.digest, a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS score, {_FLOOR.format("a.category", "b.category")} AS floor FROM emb a JOIN emb b ON a.digest = b.digest AND a.id < b.id AND a.source_id <> b.source_id) WHERE score >= floor),
+near_ AS (SELECT a, b FROM close_ WHERE score >= 0.40), {_reached("near_c", "near_")}, near_m AS MATERIALIZED (SELECT c.component, cur.* FROM cur JOIN near_c c USING (id)), near_h AS MATERIALIZED ({_best_of("near_m")}),
+settled AS MATERIALIZED (SELECT * FROM repeated UNION SELECT * FROM near_h),
+seen_before AS MATERIALIZED (SELECT p.id, p.source_id, p.category, p.processed_at, CAST(v AS DOUBLE[]) AS v FROM pool p JOIN vectors USING (id)),
+match_ AS MATERIALIZED (SELECT * FROM (SELECT c.id, p.id AS sid, list_cosine_similarity(c.v, p.v) AS score, c.source_id = p.source_id AS own, {_FLOOR.format("c.category", "p.category")} AS floor
+  FROM emb c JOIN seen_before p ON p.processed_at <= c.processed_at AND p.processed_at >= c.processed_at - INTERVAL 48 HOUR WHERE c.id NOT IN (SELECT id FROM settled)) WHERE score >= floor),
+best AS MATERIALIZED (SELECT id, arg_max(sid, (score, -sid)) AS primary_id, max(score) AS score FROM match_ WHERE NOT (own AND score < 0.40) GROUP BY 1), follows AS MATERIALIZED (SELECT id, arg_max(sid, (score, -sid)) AS shown_id FROM match_ WHERE own AND score < 0.40 GROUP BY 1),
+live AS (SELECT a, b FROM close_ WHERE a NOT IN (SELECT id FROM settled) AND b NOT IN (SELECT id FROM settled)), {_reached("live_c", "live")},
+live_m AS MATERIALIZED (SELECT c.component, cur.*, cur.id IN (SELECT id FROM best) AS has_shown FROM cur JOIN live_c c USING (id)), own AS MATERIALIZED ({_best_of("live_m", "has_shown, ")}),
+scored AS MATERIALIZED (SELECT a AS id, b AS primary_id, score FROM close_ UNION ALL SELECT b, a, score FROM close_),
+first_ AS (SELECT o.*, score FROM own o LEFT JOIN scored USING (id, primary_id) WHERE o.id NOT IN (SELECT id FROM best)),
+outcome AS MATERIALIZED ({_confirmed(_asks("best", "pool", True) + " UNION ALL " + _asks("first_", "cur", False), 0.33, 0.36, 0.38)}),
+hid1 AS MATERIALIZED (SELECT id, primary_id FROM outcome WHERE outcome = 'hidden'),
+retry AS (SELECT o.*, score FROM own o LEFT JOIN scored USING (id, primary_id) WHERE o.id IN (SELECT id FROM best) AND o.id NOT IN (SELECT id FROM hid1) AND o.primary_id NOT IN (SELECT id FROM hid1)),
+second AS MATERIALIZED ({_confirmed(_asks("retry", "cur", False), 0.33, 0.36, 0.38)}),
+refused AS MATERIALIZED (SELECT r.primary_id, cur.* FROM (SELECT id, primary_id FROM outcome WHERE outcome <> 'hidden' UNION SELECT id, primary_id FROM second WHERE outcome <> 'hidden') r JOIN cur USING (id)),
+kin AS (SELECT x.id AS a, y.id AS b FROM refused x JOIN refused y ON x.primary_id = y.primary_id AND x.id < y.id AND x.source_id <> y.source_id AND x.category = y.category JOIN close_ c ON c.a = x.id AND c.b = y.id WHERE c.score >= 0.25), {_reached("kin_c", "kin")},
+kin_m AS MATERIALIZED (SELECT DISTINCT c.component, r.* EXCLUDE primary_id FROM refused r JOIN kin_c c USING (id)), kin_p AS ({_best_of("kin_m")}),
+again AS MATERIALIZED (SELECT p.*, score FROM kin_p p JOIN scored USING (id, primary_id) WHERE score >= 0.25), third AS MATERIALIZED ({_confirmed(_asks("again", "cur", False), 2.0, 2.0, 2.0)}),
+hid2 AS MATERIALIZED (SELECT id, arg_min(primary_id, (step, primary_id)) AS primary_id FROM (SELECT 0 AS step, * FROM repeated UNION ALL SELECT 1, * FROM near_h UNION ALL SELECT 2, * FROM hid1 UNION ALL SELECT 3, id, primary_id FROM second WHERE outcome = 'hidden' UNION ALL SELECT 4, id, primary_id FROM third WHERE outcome = 'hidden') GROUP BY id),
+judged AS MATERIALIZED (SELECT DISTINCT least(id, primary_id) AS a, greatest(id, primary_id) AS b FROM (SELECT id, primary_id FROM outcome UNION SELECT id, primary_id FROM second UNION SELECT id, primary_id FROM again UNION SELECT * FROM settled)),
+alive AS MATERIALIZED (SELECT * FROM close_ WHERE a NOT IN (SELECT id FROM hid2) AND b NOT IN (SELECT id FROM hid2)),
+twin AS MATERIALIZED (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b, score FROM (SELECT * FROM (SELECT a, b, score FROM alive UNION ALL SELECT b, a, score FROM alive) QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) = 1) t WHERE score >= 0.27 AND NOT EXISTS (SELECT 1 FROM judged j WHERE j.a = least(t.a, t.b) AND j.b = greatest(t.a, t.b))),
+ranked AS MATERIALIZED (SELECT id, digest, row_number() OVER (ORDER BY {_RANK}) AS r FROM cur),
+twins AS MATERIALIZED (SELECT x.digest, CASE WHEN x.r < y.r THEN t.b ELSE t.a END AS id, CASE WHEN x.r < y.r THEN t.a ELSE t.b END AS primary_id, score FROM twin t JOIN ranked x ON x.id = t.a JOIN ranked y ON y.id = t.b),
+agreed AS MATERIALIZED (SELECT t.*, row_number() OVER (PARTITION BY t.digest ORDER BY t.score DESC, t.id DESC, t.primary_id DESC) AS n FROM twins t JOIN ({_confirmed(_asks("twins", "cur", False), 2.0, 2.0, 2.0)}) c USING (id, primary_id) WHERE c.outcome = 'hidden' AND (c.verdict = 'same' OR t.score >= 0.33)),
+fold(digest, n, id, primary_id, took, h, p) AS (SELECT digest, n, id, primary_id, true, [id], [primary_id] FROM agreed WHERE n = 1
+  UNION ALL SELECT a.digest, a.n, a.id, a.primary_id, NOT list_contains(f.h, a.id) AND NOT list_contains(f.h, a.primary_id) AND NOT list_contains(f.p, a.id),
+    CASE WHEN NOT list_contains(f.h, a.id) AND NOT list_contains(f.h, a.primary_id) AND NOT list_contains(f.p, a.id) THEN list_append(f.h, a.id) ELSE f.h END, CASE WHEN NOT list_contains(f.h, a.id) AND NOT list_contains(f.h, a.primary_id) AND NOT list_contains(f.p, a.id) THEN list_append(f.p, a.primary_id) ELSE f.p END
+  FROM fold f JOIN agreed a ON a.digest = f.digest AND a.n = f.n + 1),
+hid3 AS MATERIALIZED (SELECT * FROM hid2 UNION ALL SELECT id, primary_id FROM fold WHERE took),
+walk(id, spot, d) AS (SELECT id, primary_id, 1 FROM hid3 UNION ALL SELECT w.id, h.primary_id, d + 1 FROM walk w JOIN hid3 h ON h.id = w.spot WHERE d < 50),
+final AS MATERIALIZED (SELECT id, arg_max(spot, d) AS primary_id FROM walk GROUP BY 1),
+said AS (SELECT f.id, f.shown_id FROM follows f JOIN embeddings x ON x.vec_id = f.id JOIN embeddings y ON y.vec_id = f.shown_id WHERE (x.label = y.label OR (x.label + y.label) % 3 = 0) AND f.id NOT IN (SELECT id FROM hid3)),
+upd AS MATERIALIZED (SELECT id, arg_min(shown_id, (step, shown_id)) AS shown_id FROM (SELECT 0 AS step, id, primary_id AS shown_id FROM outcome WHERE outcome = 'update' UNION ALL SELECT 1, id, shown_id FROM said) GROUP BY 1),
+handed AS (SELECT f.primary_id AS id, min(u.shown_id) AS shown_id FROM upd u JOIN final f USING (id) WHERE f.primary_id NOT IN (SELECT id FROM upd) GROUP BY 1)
+SELECT id, primary_id AS other_id, 'hidden' AS outcome FROM final UNION ALL SELECT id, shown_id, 'update' FROM (SELECT * FROM upd UNION ALL SELECT * FROM handed) WHERE id NOT IN (SELECT id FROM final)"""
+
+
+@plan("story_dedup", STORY_SQL)
 def _(v):
     """D07 over every digest of the store, judged by the labels."""
     waiting = queue.unsent(v.items, v.sources)
