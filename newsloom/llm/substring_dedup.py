@@ -27,6 +27,7 @@ no rows.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,11 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import Places, RangeHash, Scratch, Words, binary_values, documents, file_based, materialise, mix64, row_key, slices, small_batches
+from newsloom.llm.common import SEGMENT, Places, RangeHash, Scratch, Words, binary_values, documents, file_based, materialise, mix64, row_key, slices, small_batches
 
 WINDOW = 35
 #: Room for the place of a word in a slice; the other bits of a word order the grams.
 _PLACE_BITS = 30
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+#: Windows whose anchors are looked for at once.
+STEP = 1 << 18
 
 
 def gram_size(window: int) -> int:
@@ -63,15 +67,7 @@ class Runs:
         if not len(self.valid):
             self.first = self.last = self.anchor = self.owner = empty
             return
-        grams = self.hash.of(np.arange(n - g + 1), np.arange(g, n + 1))
-        low = (grams & ~np.uint64((1 << _PLACE_BITS) - 1)) | np.arange(n - g + 1, dtype=np.uint64)
-        width, have = window - g + 1, 1
-        while 2 * have <= width:  # sliding minimum
-            low = np.minimum(low[:-have], low[have:])
-            have *= 2
-        if have < width:
-            low = np.minimum(low[: len(low) - (width - have)], low[width - have :])
-        anchor = (low[self.valid] & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int64)
+        anchor = np.concatenate([self._anchors(lo, min(lo + STEP, n - window + 1), window, g) for lo in range(0, n - window + 1, STEP)])[self.valid]
         new = np.ones(len(anchor), bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (self.valid[1:] != self.valid[:-1] + 1)
         at = np.flatnonzero(new)
@@ -81,9 +77,36 @@ class Runs:
         self.owner = owner[self.first]
 
 
+    def _anchors(self, lo: int, hi: int, window: int, g: int) -> np.ndarray:
+        """Of the windows that start at words lo to hi - 1, where the gram with the least hash starts."""
+        at = np.arange(lo, hi + window - g)
+        low = (self.hash.of(at, at + g) & ~np.uint64((1 << _PLACE_BITS) - 1)) | at.astype(np.uint64)
+        width, have = window - g + 1, 1
+        while 2 * have <= width:  # sliding minimum
+            low = np.minimum(low[:-have], low[have:])
+            have *= 2
+        if have < width:
+            low = np.minimum(low[: len(low) - (width - have)], low[width - have :])
+        return (low & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int64)
+
+
 SCAN = "doc_id long, _file long, _row long, n_words long, sha string, v long, c long, r long, l long, p0 int, n int, o int"
 
 
+def joined_sha(body: bytes) -> str:
+    """Digest of the words of a text joined by one space, SEGMENT by SEGMENT."""
+    out, at, some = hashlib.sha256(), 0, False
+    while at < len(body):
+        space = _BLANK.search(body, at + SEGMENT)
+        end = space.start() if space else len(body)
+        words = body[at:end].split()
+        if words:
+            out.update(b" " * some + b" ".join(words))
+            some = True
+        at = end
+    return out.hexdigest()
+
+
 def _scan_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Two kinds of rows: one of each document (v null), one of each run."""
     g = gram_size(window)
@@ -105,7 +128,7 @@ def _scan_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa
                     names=["doc_id", "_file", "_row", "n_words", "sha", "v", "c", "r", "l", "p0", "n", "o"],
                 )
             count = batch.num_rows
-            sha = [hashlib.sha256(b" ".join((t.as_py() or b"").split())).hexdigest() for t in batch.column("body")]
+            sha = [joined_sha(t.as_py() or b"") for t in batch.column("body")]
             none = [pa.nulls(count, pa.int64())] * 4 + [pa.nulls(count, pa.int32())] * 3
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_file"), batch.column("_row"), pa.array(np.diff(words.first)), pa.array(sha, pa.string()), *none], names=["doc_id", "_file", "_row", "n_words", "sha", "v", "c", "r", "l", "p0", "n", "o"])
 
