@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from newsloom.plans import operations, registry, stories, streams, texts, triage, writes
+from newsloom.plans import digest_sql, operations, registry, stories, streams, texts, triage, writes
 
-MODULES = [operations, texts, stories, streams, triage, writes]
+MODULES = [operations, texts, stories, streams, triage, writes, digest_sql]
 
 
 def queries() -> dict:

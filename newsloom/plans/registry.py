@@ -17,13 +17,18 @@ def plan(name: str, sql: str | None = None) -> Callable:
     def register(f: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
         PLANS[name] = f
         if sql is not None:
-            body = sql.strip()
-            SQL[name] = f"WITH RECURSIVE {PRELUDE}{', ' + body[1:] if body.startswith(',') else ' ' + body}"
+            oracle(name, sql)
         return f
 
     return register
 
 
+def oracle(name: str, sql: str) -> None:
+    """SQL of a plan: a query over the views of PRELUDE, or, from a comma on, further views and the query."""
+    body = sql.strip()
+    SQL[name] = f"WITH RECURSIVE {PRELUDE}{', ' + body[1:] if body.startswith(',') else ' ' + body}"
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, sf_dir, f=f: f(Views(spark, sf_dir))) for name, f in PLANS.items()}
 

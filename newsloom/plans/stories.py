@@ -429,7 +429,8 @@ def _unsigned(lines: str, signs: str) -> str:
 
 _LINES_OF = "list_filter([regexp_replace(x, '^\\s+|\\s+$', '', 'g') FOR x IN string_split({}, chr(10))], lambda x: x <> '')"
 
-STORY_SQL = f""", cur AS MATERIALIZED (SELECT i.*, s.type AS source_type, s.sort_order AS source_sort_order, {_RICH} AS richness, regexp_matches(raw_text, '{_TALLY}') AS tally FROM items i LEFT JOIN sources s ON s.id = i.source_id WHERE NOT sent AND coalesce(s.status, '') <> 'paused'),
+#: D07 over the posts of `cur`: final (id, primary_id) and updated (id, shown_id).
+STORY_CTES = f"""
 pool AS MATERIALIZED (SELECT *, {_RICH} AS richness, regexp_matches(raw_text, '{_TALLY}') AS tally FROM items WHERE sent AND blocked_reason IS NULL AND NOT {_UNTOLD}),
 both_ AS MATERIALIZED (SELECT id, source_id, raw_text, published_at, false AS hid, false AS old FROM cur UNION ALL SELECT id, source_id, raw_text, published_at, duplicate_of IS NOT NULL, true FROM pool),
 l1 AS MATERIALIZED (SELECT id, source_id, {_LINES_OF.format("raw_text")} AS l FROM both_), f1 AS MATERIALIZED ({_signed("l1")}),
@@ -474,11 +475,13 @@ walk(id, spot, d) AS (SELECT id, primary_id, 1 FROM hid3 UNION ALL SELECT w.id,
 final AS MATERIALIZED (SELECT id, arg_max(spot, d) AS primary_id FROM walk GROUP BY 1),
 said AS (SELECT f.id, f.shown_id FROM follows f JOIN embeddings x ON x.vec_id = f.id JOIN embeddings y ON y.vec_id = f.shown_id WHERE (x.label = y.label OR (x.label + y.label) % 3 = 0) AND f.id NOT IN (SELECT id FROM hid3)),
 upd AS MATERIALIZED (SELECT id, arg_min(shown_id, (step, shown_id)) AS shown_id FROM (SELECT 0 AS step, id, primary_id AS shown_id FROM outcome WHERE outcome = 'update' UNION ALL SELECT 1, id, shown_id FROM said) GROUP BY 1),
-handed AS (SELECT f.primary_id AS id, min(u.shown_id) AS shown_id FROM upd u JOIN final f USING (id) WHERE f.primary_id NOT IN (SELECT id FROM upd) GROUP BY 1)
-SELECT id, primary_id AS other_id, 'hidden' AS outcome FROM final UNION ALL SELECT id, shown_id, 'update' FROM (SELECT * FROM upd UNION ALL SELECT * FROM handed) WHERE id NOT IN (SELECT id FROM final)"""
+handed AS (SELECT f.primary_id AS id, min(u.shown_id) AS shown_id FROM upd u JOIN final f USING (id) WHERE f.primary_id NOT IN (SELECT id FROM upd) GROUP BY 1),
+updated AS MATERIALIZED (SELECT * FROM (SELECT * FROM upd UNION ALL SELECT * FROM handed) WHERE id NOT IN (SELECT id FROM final))"""
+WAITING = f""", cur AS MATERIALIZED (SELECT i.*, s.type AS source_type, s.sort_order AS source_sort_order, {_RICH} AS richness, regexp_matches(raw_text, '{_TALLY}') AS tally FROM items i LEFT JOIN sources s ON s.id = i.source_id WHERE NOT sent AND coalesce(s.status, '') <> 'paused'),
+"""
 
 
-@plan("story_dedup", STORY_SQL)
+@plan("story_dedup", f"{WAITING}{STORY_CTES} SELECT id, primary_id AS other_id, 'hidden' AS outcome FROM final UNION ALL SELECT id, shown_id, 'update' FROM updated")
 def _(v):
     """D07 over every digest of the store, judged by the labels."""
     waiting = queue.unsent(v.items, v.sources)
