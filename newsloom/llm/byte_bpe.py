@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import Places, documents, file_based, materialise, row_key, slices, small_batches
+from newsloom.llm.common import Places, binary_values, documents, file_based, materialise, row_key, slices, small_batches
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Pieces in a worker's cache before it starts anew.
@@ -182,6 +182,7 @@ class Codec:
         self.widths = np.zeros(max(self.vocabulary) + 1, np.int64)
         for i, b in self.vocabulary.items():
             self.widths[i] = len(b)
+        self.small = np.dtype(np.uint16 if len(self.widths) <= 1 << 16 else np.uint32)
         self.cache: dict[bytes, tuple[int, ...]] = {}
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
@@ -300,35 +301,46 @@ def codec(path: str) -> Codec:
 
 
 def encode_batches(batches: Iterator[pa.RecordBatch], path: str, with_tokens: bool) -> Iterator[pa.RecordBatch]:
-    """Digests of each row, its ids and the bytes where they end if asked for; columns before the text are kept."""
+    """Digests of each row, and its ids if asked for, packed as small as they are; columns before the text are kept."""
     tool = codec(path)
     for whole in batches:
         for batch in slices(whole, "body"):
             kept = batch.schema.names[:-1]
-            sizes, ids_sha, back_sha, all_ids = [], [], [], []
+            sizes, ids_sha, back_sha, packed = [], [], [], []
             for portions in tool.portions([(x.as_py() or b"").decode("utf-8", "replace") for x in batch.column("body")]):
-                size, named, back = 0, hashlib.sha256(), hashlib.sha256()
+                size, named, back, all_ids = 0, hashlib.sha256(), hashlib.sha256(), bytearray()
                 for ids in portions:
                     named.update(("," * (size > 0) + ",".join(map(tool.names.__getitem__, ids))).encode())
                     back.update(tool.decode(ids))
                     size += len(ids)
                     if with_tokens:
-                        all_ids.append(np.array(ids, np.int32))
+                        all_ids += np.array(ids, tool.small).tobytes()
                 sizes.append(size)
                 ids_sha.append(named.hexdigest())
                 back_sha.append(back.hexdigest())
+                packed.append(bytes(all_ids))
             cols = [*(batch.column(k) for k in kept), pa.array(sizes, pa.int64()), pa.array(ids_sha), pa.array(back_sha)]
             names = [*kept, "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_tokens:
-                cut = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-                flat = np.concatenate([*all_ids, np.zeros(0, np.int32)])
-                ends = np.concatenate([[0], np.cumsum(tool.widths[flat])])
-                ends = ends[1:] - np.repeat(ends[cut[:-1]], sizes)
-                cols += [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x)) for x in (flat, ends)]
-                names += ["ids", "ends"]
+                cols.append(pa.array(packed, pa.binary()))
+                names.append("packed")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
 
+def unpack_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """The last column, packed ids, as ids and the bytes where they end; other columns are kept."""
+    tool = codec(path)
+    for whole in batches:
+        for batch in slices(whole, "packed"):
+            raw, at = binary_values(batch.column("packed"))
+            cut = (at - at[0]) // tool.small.itemsize
+            flat = np.frombuffer(raw[at[0] : at[-1]].tobytes(), tool.small).astype(np.int32)
+            ends = np.concatenate([[0], np.cumsum(tool.widths[flat])])
+            ends = ends[1:] - np.repeat(ends[cut[:-1]], np.diff(cut))
+            lists = [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x)) for x in (flat, ends)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *lists], names=[*batch.schema.names[:-1], "ids", "ends"])
+
+
 def _body() -> Column:
     return F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body")
 
@@ -352,9 +364,10 @@ def tokens(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
     where = docs.metadataColumn("_metadata")
     rows = materialise(docs.select("doc_id", where["file_name"].alias("shard"), where["row_index"].alias("place"), *row_key(docs), digest), "digests")
     first = rows.groupBy("digest").agg(F.min(F.struct("_file", "_row")).alias("first")).select("first.*")
-    schema = "digest binary, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, ends array<long>"
+    schema = "digest binary, n_tokens long, ids_sha256 string, decoded_sha256 string, packed binary"
     coded = Places(docs, first).gather([digest, _body()], lambda found: found.select("digest", "body").mapInArrow(lambda it: encode_batches(it, path, True), schema), "tokens")
-    return rows.select("doc_id", "shard", "place", "digest").join(coded, "digest").drop("digest")
+    every = rows.select("doc_id", "shard", "place", "digest").join(coded, "digest").drop("digest")
+    return every.mapInArrow(lambda it: unpack_batches(it, path), "doc_id long, shard string, place long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, ends array<long>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
