@@ -110,7 +110,7 @@ def _(v):
 SELECT *, tag || '[ok=' || ok || ' dead=' || dead || ' rl=' || rl || ' busy=' || busy || ' err=' || err || ']' AS line FROM c""")
 def _(v):
     kind = F.col("event_type")
-    outcome = F.when(kind == "view", "ok").when(kind == "click", "rate_limited").when(kind == "error", "error").when(F.col("value") > 50, "quota_dead").when(F.col("value") <= 50, "busy")
+    outcome = F.when(kind == "view", "ok").when(kind == "click", "rate_limited").when(kind == "error", "error").when((kind == "purchase") & (F.col("value") > 50), "quota_dead").when((kind == "purchase") & (F.col("value") <= 50), "busy")
     return analytics.model_usage(v.table("events").select(F.concat(F.lit("m"), (F.col("user_id") % 10).cast("string")).alias("tag"), outcome.alias("outcome")))
 
 
