@@ -10,12 +10,14 @@
    the most connected member it may be linked to (the original among edited copies); of all its
    proposals the best of either kind is confirmed on the full sets.
 4. Later rounds look only at buckets that still hold several components, with longer signatures
-   (FINE minima) of their members. Members outside a bucket's largest component propose their best
-   PROPOSALS partners of other components, and then, in the last round, all that are left. Pairs
-   refuted before are not tested again. After the last round every candidate pair is inside a
-   component, refuted on the full sets or by the sizes of the sets, or estimated below MARGIN standard
-   errors under the threshold, and components only grow: nothing is left to look for. Pairs of a group
-   are never emitted before the last round, and then only those that may link but don't.
+   (FINE minima) of their members. In the first of them, of each component but a bucket's largest FEW
+   members propose their best PROPOSALS partners of other components: enough to join what belongs
+   together but for rare cases. In the last round all members outside the largest component propose all
+   partners that are left; there, sets of at most SMALL shingles are compared exactly on the spot, so
+   that families just below the threshold emit nothing. Pairs refuted before are not tested again.
+   After the last round every candidate pair is inside a component, refuted on full sets or by their
+   sizes, or estimated below MARGIN standard errors under the threshold, and components only grow:
+   nothing is left to look for.
 5. Confirmed links make components by large-star and small-star steps.
 
 Buckets of more than CHUNK members are dealt to several tasks. In the first round each part is on its
@@ -51,8 +53,12 @@ TILE = 1024
 CHUNK = 2048
 #: Members of a large bucket that others are compared with in the first round, and its hubs.
 SAMPLE, HUBS = 256, 16
-#: Proposals of a member in the round before the last.
+#: Proposals of a member in the round before the last, and members of a component in a bucket that make them.
 PROPOSALS, ALL = 16, 1 << 30
+FEW = 32
+#: Sets of at most SMALL shingles travel whole in the last round: of two of them the similarity is exact, by
+#: products of their incidence with COLUMNS shingles at a time.
+SMALL, COLUMNS = 256, 8192
 #: Shingles that are hashed at once.
 STEP = 1 << 18
 #: Bits of a shingle's hash; the rest of a word holds its text's place in a slice.
@@ -195,7 +201,7 @@ def _confirm_batches(batches: Iterator[pa.RecordBatch], percent: int) -> Iterato
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
 
-def propose(nodes: np.ndarray, comps: np.ndarray, sigs: np.ndarray, refuted: list, role: np.ndarray, least: float, count: int, threshold: float, top: int = 1, every: bool = False, sizes: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+def propose(nodes: np.ndarray, comps: np.ndarray, sigs: np.ndarray, refuted: list, role: np.ndarray, least: float, count: int, threshold: float, top: int = 1, every: bool = False, sizes: np.ndarray | None = None, small: Incidence | None = None) -> tuple[np.ndarray, ...]:
     """(member, partner, estimate, degree of the partner), by place: proposals between components of one bucket.
 
     Members whose role has bit 1 propose to those whose role has bit 2. every: their `top` best
@@ -204,6 +210,8 @@ def propose(nodes: np.ndarray, comps: np.ndarray, sigs: np.ndarray, refuted: lis
     """
     none = np.zeros(0, np.int64)
     rows, columns = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
+    if every and top < ALL:
+        rows = _few_of_each(comps[rows], rows, FEW)
     if not len(rows) or not len(columns) or (comps == comps[0]).all():
         return none, none, np.zeros(0), none
     degree = np.zeros(len(nodes), np.int64)
@@ -225,6 +233,8 @@ def propose(nodes: np.ndarray, comps: np.ndarray, sigs: np.ndarray, refuted: lis
             part[comps[mine][:, None] == comps[cols][None, :]] = -1
             if sizes is not None:
                 part[apart(sizes[mine][:, None], sizes[cols][None, :], threshold)] = -1
+            if small is not None:
+                small.rule_out(part, mine, cols, threshold)
             est[:, j : j + TILE] = part
         for k, r in enumerate(mine):
             for other in refuted[r] or ():
@@ -248,11 +258,60 @@ def propose(nodes: np.ndarray, comps: np.ndarray, sigs: np.ndarray, refuted: lis
     return tuple(np.concatenate([x[i] for x in out]) for i in range(4))
 
 
+def _few_of_each(comps: np.ndarray, rows: np.ndarray, most: int) -> np.ndarray:
+    """The first `most` rows of each component."""
+    order = np.argsort(comps, kind="stable")
+    ordered = comps[order]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(rows) else np.zeros(0, np.int64)
+    place = np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows))))
+    return np.sort(rows[order[place < most]])
+
+
 def apart(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
     """Whether sets of these sizes can't be as similar as the threshold, whatever they hold."""
     return np.minimum(a, b) < threshold * np.maximum(a, b) - 1e-6
 
 
+class Incidence:
+    """Which small sets of a bucket hold which of the shingles that several of them hold."""
+
+    def __init__(self, sets: list[bytes | None], sizes: np.ndarray) -> None:
+        self.small = np.array([s is not None for s in sets])
+        self.sizes = sizes
+        parts = [np.frombuffer(s or b"", np.uint64) for s in sets]
+        owner = np.repeat(np.arange(len(sets)), [len(p) for p in parts])
+        _, code, times = np.unique(np.concatenate([*parts, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
+        shared = times[code] > 1
+        _, code = np.unique(code[shared], return_inverse=True)
+        order = np.argsort(code, kind="stable")
+        self.code, self.owner = code[order], owner[shared][order]
+
+    def common(self, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+        """[row, column]: shingles in both sets."""
+        total = np.zeros((len(rows), len(cols)), np.float32)
+        place = np.full((2, len(self.sizes)), -1)
+        place[0, rows], place[1, cols] = np.arange(len(rows)), np.arange(len(cols))
+        for lo in range(0, int(self.code[-1]) + 1 if len(self.code) else 0, COLUMNS):
+            a, z = np.searchsorted(self.code, [lo, lo + COLUMNS])
+            sides = []
+            for k, n in enumerate((len(rows), len(cols))):
+                at = place[k][self.owner[a:z]]
+                side = np.zeros((n, COLUMNS), np.float32)
+                side[at[at >= 0], self.code[a:z][at >= 0] - lo] = 1
+                sides.append(side)
+            total += sides[0] @ sides[1].T
+        return total
+
+    def rule_out(self, part: np.ndarray, rows: np.ndarray, cols: np.ndarray, threshold: float) -> None:
+        """-1 for the pairs of small sets that don't reach the threshold, by a safe hair below it."""
+        if not (self.small[rows].any() and self.small[cols].any()):
+            return
+        both = self.common(rows, cols)
+        union = self.sizes[rows][:, None] + self.sizes[cols][None, :] - both
+        known = self.small[rows][:, None] & self.small[cols][None, :]
+        part[known & (both < threshold * union - 1e-3)] = -1
+
+
 def _first_meeting(buckets: np.ndarray, bands: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Whether rows i and j (of one bucket) are in no earlier bucket together."""
     first = (bands[i] == bands[j]).argmax(1)
@@ -263,7 +322,7 @@ def _proposal_batches(batches: Iterator[pa.RecordBatch], least: float, count: in
     for table, cuts in whole_runs(batches, "run"):
         nodes, comps, sizes, role = (table[c].to_numpy() for c in ("node", "component", "n", "role"))
         sigs = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint64).reshape(len(nodes), -1)
-        refuted = table["refuted"].to_pylist()
+        refuted, whole = table["refuted"].to_pylist(), table["small"].to_pylist()
         two = cuts[:-1][np.diff(cuts) == 2]  # most buckets: a pair
         est = similarity(sigs[two], sigs[two + 1], count)
         good = (est >= least) & (comps[two] != comps[two + 1]) & ~apart(sizes[two], sizes[two + 1], threshold)
@@ -271,7 +330,8 @@ def _proposal_batches(batches: Iterator[pa.RecordBatch], least: float, count: in
         found = [(two[good], two[good] + 1, est[good], np.ones(int(good.sum()), np.int64))]
         for s, e in zip(cuts[:-1], cuts[1:], strict=True):
             if e - s > 2:
-                i, j, est, degree = propose(nodes[s:e], comps[s:e], sigs[s:e], refuted[s:e], role[s:e], least, count, threshold, top, every, sizes[s:e])
+                small = Incidence(whole[s:e], sizes[s:e]) if top == ALL else None
+                i, j, est, degree = propose(nodes[s:e], comps[s:e], sigs[s:e], refuted[s:e], role[s:e], least, count, threshold, top, every, sizes[s:e], small)
                 found.append((i + s, j + s, est, degree))
         i, j, est, degree = (np.concatenate([p[k] for p in found]) for k in range(4))
         if every and len(i):
@@ -282,7 +342,7 @@ def _proposal_batches(batches: Iterator[pa.RecordBatch], least: float, count: in
         yield pa.RecordBatch.from_arrays([pa.array(nodes[i[once]]), pa.array(nodes[j[once]]), pa.array(est[once]), pa.array(degree[once])], names=["a", "b", "est", "degree"])
 
 
-ROWS_OF_A_RUN = ["run", "role", "bucket", "node", "component", "n", "signature", "refuted", "bands"]
+ROWS_OF_A_RUN = ["run", "role", "bucket", "node", "component", "n", "signature", "refuted", "bands", "small"]
 
 
 class NearDuplicates:
@@ -315,7 +375,7 @@ class NearDuplicates:
         run = F.when(F.col("size") <= CHUNK, F.col("bucket")).otherwise(F.xxhash64("bucket", part))
         nothing = F.lit(None).cast("array<long>")
         first = self.buckets.withColumn("component", F.col("node")).withColumn("run", run).withColumn("role", F.lit(3)).withColumn("refuted", nothing)
-        first = first.join(met.select("node", "n", "signature"), "node").withColumn("bands", nothing)
+        first = first.join(met.select("node", "n", "signature"), "node").withColumn("bands", nothing).withColumn("small", F.lit(None).cast("binary"))
         proposed = self._proposals(first, PERMUTATIONS, 1, False)
         best = proposed.groupBy("a").agg(F.max(F.struct("est", "b")).alias("near"), F.max(F.struct("degree", "est", "b")).alias("hub"))
         first = materialise(best.select("a", F.explode(F.array("near.b", "hub.b")).alias("b")).distinct(), "first")
@@ -326,7 +386,9 @@ class NearDuplicates:
         asked = first.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), F.col("a").alias("node"), F.col("b").alias("partner"))
         own_no = asked.join(refuted.toDF("x", "y"), ["x", "y"]).groupBy("node").agg(F.collect_set("partner").alias("refuted"))
         for top, no in ((PROPOSALS, own_no), (ALL, None)):
-            fresh = materialise(self._unordered(self._open(labels, no, top)).join(refuted, ["a", "b"], "left_anti"), "proposals")
+            proposed = self._open(labels, no, top).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(False).alias("refuted"))
+            known = proposed.union(refuted.select("a", "b", F.lit(True))).groupBy("a", "b").agg(F.bool_or("refuted").alias("refuted"))
+            fresh = materialise(known.filter("NOT refuted").select("a", "b"), "proposals")
             if fresh.isEmpty():
                 continue
             tested = self._confirm(fresh)
@@ -378,7 +440,8 @@ class NearDuplicates:
         proposers = large.filter(outside).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("bucket", "node", "component", F.xxhash64("bucket", deal("row_parts"), F.col("j").cast("bigint")).alias("run"), F.lit(1).alias("role"))
         partners = large.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("row_parts") - 1))).select("bucket", "node", "component", F.xxhash64("bucket", F.col("i").cast("bigint"), deal("parts")).alias("run"), F.lit(2).alias("role"))
         at = whole.union(proposers).union(partners)
-        rows = at.join(self.sets.select("node", "n", F.col("fine").alias("signature"), "bands"), "node")
+        small = F.when(F.lit(top == ALL) & (F.col("n") <= SMALL), F.col("items"))
+        rows = at.join(self.sets.select("node", "n", F.col("fine").alias("signature"), "bands", small.alias("small")), "node")
         rows = rows.join(no, "node", "left") if no is not None else rows.withColumn("refuted", F.lit(None).cast("array<long>"))
         return self._proposals(rows, FINE, top, True)
 

@@ -152,3 +152,24 @@ def test_small_sets_at_the_threshold_are_not_estimated_away():
     least = minhash.minima(both, np.sort(np.concatenate([starts, starts + 4])), minhash.FINE)
     a, b = (minhash.packed(least[:, k::2]).view(np.uint64) for k in (0, 1))
     assert (minhash.similarity(a, b, minhash.FINE) >= minhash.floor_estimate(0.8, minhash.FINE)).all()
+
+
+def test_incidence_counts_common_shingles(monkeypatch):
+    rng = random.Random(1)
+    sets = [np.array(sorted(rng.sample(range(300), rng.randint(1, 80))), np.uint64) for _ in range(40)]
+    whole = [x.tobytes() if i % 7 else None for i, x in enumerate(sets)]
+    sizes = np.array([len(x) for x in sets])
+    for columns in (7, 8192):
+        monkeypatch.setattr(minhash, "COLUMNS", columns)
+        rows, cols = np.arange(3, 30), np.arange(40)
+        small = minhash.Incidence(whole, sizes)
+        got = small.common(rows, cols)
+        part = np.ones(got.shape)
+        small.rule_out(part, rows, cols, 0.2)
+        for i, r in enumerate(rows):
+            for j, c in enumerate(cols):
+                if r != c and whole[r] and whole[c]:
+                    both = len(set(sets[r].tolist()) & set(sets[c].tolist()))
+                    assert got[i, j] == both and (part[i, j] == 1) == (5 * both >= sizes[r] + sizes[c] - both)
+                elif r != c:
+                    assert part[i, j] == 1
