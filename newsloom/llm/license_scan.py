@@ -279,11 +279,21 @@ _NOT_KEYS = {b"the", b"of", b"to", b"and", b"by", b"what", b"you", b"a", b"in",
 
 
 def _keywords(pattern: str) -> frozenset[bytes]:
-    """The plain words that any match must hold: those outside optional or alternative parts."""
-    plain = re.sub(r"\((?:[^()]|\([^()]*\))*\)\??|\[[^]]*\]|\S* \?\S*", " ", pattern)
+    """The plain words that any match must hold: whole ones outside optional or alternative parts.
+
+    A part that begins or ends inside a word takes that word with it.
+    """
+    plain = re.sub(r"\((?:\?:)?((?:[^()]|\([^()]*\))*)\)\??|\[[^]]*\][+*?]?", lambda m: _gap(m[1]), pattern)
+    plain = re.sub(r"\S* \?\S*", " ", plain)
     return frozenset(w.encode() for w in plain.split() if re.fullmatch(r"[a-z0-9]{2,}", w)) - _NOT_KEYS
 
 
+def _gap(part: str | None) -> str:
+    """What stands for a removed part: marks that stick to a neighbouring word unless a space of every alternative parts them."""
+    options = (part or "").split("|")
+    return ("" if all(o.startswith(" ") for o in options) else "\0") + " " + ("" if all(o.endswith(" ") for o in options) else "\0")
+
+
 def _rule(label: str, pattern: str, priority: int, score: float) -> Rule:
     written = pattern.encode().decode("latin-1")  # texts are matched byte by byte
     return Rule(label, re.compile(rf"(?<= )(?:{written})(?= )"), _keywords(pattern), priority, score)
