@@ -2,19 +2,21 @@
 
 A page is stripped to lines, one for each block element; a line weighs the length of its text outside
 links. Lines inside elements that can't be part of the article (navigation, headers, footers,
-sidebars, forms, scripts, notices, adverts, reader comments: by element, role, or words of class and
-id) have no text. Words of an element that holds most of the text (of the marked article's, if there
-is one) don't count, nor do names such as has-sidebar or entry-header.
+sidebars, forms, scripts, notices, adverts, reader comments: by element, role, or names of class and
+id) have no text. A name counts if all its words are known, so not has-sidebar, entry-header or
+social-science. Names go by what they say, in three ranks (LOOSE words, which layouts use too, others,
+FOREIGN ones); a page that has no text outside named elements keeps those of the least rank that has
+some. Sizes of elements decide nothing.
 
 The weight of a block is the sum over the WINDOW lines around a line. A surge is a line with a weight
 of its own whose block reaches SURGE, a dive a block of no weight. The text between the dives around
-a surge stays, from the first line of weight to the last, link lines between them included. So do
-short stretches between two surges of one container (at most one wrapper apart), and, at either end,
+a surge stays, from the first line of weight to the last, link lines between them included. So does
+everything between two surges of one container (at most one wrapper apart), and, at either end,
 fewer than WINDOW link lines in a row in the container of that line, or a linked heading a wrapper
 before it. A page without a surge keeps the stretch of most weight.
 
 What a page marks as its article or main part weighs MARKED times its whole length, links too, and a
-window ends where marks begin or end; beside a marked surge, other text needs blocks of a RATIO-th of
+window ends where marks or named elements begin or end; beside a marked surge, other text needs blocks of a RATIO-th of
 the heaviest one. Marks thus decide between texts of similar size, and nothing when they hold none.
 
 Defined results: null or empty html gives the empty text; pages cut off inside a tag, a comment or an
@@ -54,10 +56,16 @@ WORDS = {
     "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "popup", "modal", "overlay", "alert", "disclaimer",
     "comment", "comments", "commentlist", "disqus", "respond", "replies", "reply", "login", "signup", "search",
 }
-#: Of these, words of what may be longer than the article itself.
+#: Of these, words of what may be longer than the article itself, and words that layouts of articles use as well.
 FOREIGN = {"related", "recommended", "comment", "comments", "commentlist", "disqus", "respond", "replies", "reply", "cookie", "cookies", "consent", "gdpr", "newsletter"}
-#: Names of classes that tell of a layout or of an article's own parts, not of what the element is.
-MODIFIER = re.compile(r"(?:has|no|with|without)[-_]|(?:entry|post|article|story)[-_]+header(?![a-z])")
+LOOSE = {"widget", "widgets", "header", "social", "search", "alert", "notice", "notices", "menu"}
+#: Words that say nothing of what an element is: names of these and of WORDS count as names of WORDS.
+NEUTRAL = {
+    "site", "main", "page", "top", "bottom", "left", "right", "side", "bar", "bars", "box", "boxes", "container", "wrap", "wrapper", "inner", "outer", "block", "blocks", "area", "section",
+    "list", "item", "items", "link", "links", "group", "row", "col", "column", "primary", "secondary", "global", "local", "fixed", "sticky", "mobile", "desktop", "small", "large", "button",
+    "buttons", "btn", "icon", "icons", "form", "field", "title", "text", "content", "body", "label", "slot", "unit", "google", "media", "this", "posts", "articles", "stories", "toggle", "next", "prev",
+    "previous", "warning", "info", "error", "open", "close", "js", "the", "and", "my", "new", "ul", "div",
+}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: An end tag may be left out: these end when a sibling or a block begins.
 SELF_ENDING = {"p", "li", "dt", "dd", "option", "tr", "td", "th", "thead", "tbody", "tfoot", "colgroup"}
@@ -88,43 +96,39 @@ def _surrounds(tag: str, attributes: str, inside_main: bool) -> tuple[bool, set[
         return True, set()
     if found.get("role", "").lower() in ROLES:
         return True, set()
-    names = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", f"{found.get('class', '')} {found.get('id', '')}").lower().split()
-    words = set(re.split(r"[^a-z0-9]+", " ".join(x for x in names if not MODIFIER.match(x))))
+    words: set[str] = set()
+    for name in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", f"{found.get('class', '')} {found.get('id', '')}").lower().split():
+        parts = set(re.findall(r"[^\W\d_]+", re.sub(r"\d+x\d+", " ", name)))
+        if parts <= WORDS | NEUTRAL:
+            words |= parts & WORDS
     if inside_main:
         words.discard("header")
     return False, words & ({"comment", "comments", "reply", "related", "sidebar"} if tag in ("article", "main") else WORDS)
 
 
-def _discarded(rows: list[Line], found: list[tuple[int, bool]]) -> list[bool]:
+def _rank(words: set[str]) -> int:
+    return 3 if words & FOREIGN else 1 if words <= LOOSE else 2
+
+
+def _discarded(rows: list[Line], found: list[tuple[int, int]]) -> list[bool]:
     """Whether each element found by its words surrounds the article.
 
-    It doesn't if it holds most of the text, of the marked article's where there is one, or if nothing
-    else has any. FOREIGN elements, of which a page may have more than of its article, are discarded
-    whatever their size, unless there is no surge's worth of text besides.
+    It does if the page has text (a surge's worth, or of the marked article where there is one) outside
+    elements of its rank and above.
     """
     marked = any(r.marked and r.weight for r in rows)
     weighed = any(r.weight for r in rows)
-    counted = [(r.weight if weighed else len(r.text), r.worded) for r in rows if r.marked or not marked]
-    foreign: list[bool] = []
-    for up, f in found:  # outer elements come first
-        foreign.append(f or (up >= 0 and foreign[up]))
-    own = sum(w for w, k in counted if k < 0 or not foreign[k])
-    if own < (1 if marked else SURGE):
-        foreign, own = [False] * len(found), sum(w for w, _ in counted)
-    size = [0] * len(found)
-    for w, k in counted:
-        if k >= 0 and not foreign[k]:
-            size[k] += w
-    for k in range(len(found) - 1, -1, -1):
-        if found[k][0] >= 0:
-            size[found[k][0]] += size[k]
-    stays = [2 * n > own for n in size]
-    gone: list[bool] = []
-    for k, (up, _) in enumerate(found):
-        gone.append(not stays[k] or (up >= 0 and gone[up]))
-    if own and not any(w for w, k in counted if k < 0 or not gone[k]):
-        gone = foreign
-    return gone
+    ranks: list[int] = []
+    for up, rank in found:  # outer elements come first
+        ranks.append(max(rank, ranks[up] if up >= 0 else 0))
+    text = [0] * 4
+    for r in rows:
+        if r.marked or not marked:
+            text[ranks[r.worded] if r.worded >= 0 else 0] += r.weight if weighed else len(r.text)
+    kept = next((k for k in range(4) if sum(text[: k + 1]) >= (1 if marked else SURGE)), None)
+    if kept is None:  # no surge at all: what has any text
+        kept = next((k for k in range(4) if text[k]), 3)
+    return [k > kept for k in ranks]
 
 
 def lines(page: str) -> list[Line]:
@@ -133,13 +137,13 @@ def lines(page: str) -> list[Line]:
     return _parsed(page, _discarded(rows, found))[0] if found else rows
 
 
-def _parsed(page: str, gone: list[bool] | None) -> tuple[list[Line], list[tuple[int, bool]]]:
-    """(lines, the elements found by their words: the one around each, whether FOREIGN).
+def _parsed(page: str, gone: list[bool] | None) -> tuple[list[Line], list[tuple[int, int]]]:
+    """(lines, the elements found by their words: the one around each, its rank).
 
     gone: which of these surround the article; None: lines end at their borders, and all stay.
     """
     out: list[Line] = []
-    found: list[tuple[int, bool]] = []
+    found: list[tuple[int, int]] = []
     stack: list[tuple[str, bool, bool, bool]] = []  # (element, whether it surrounds the article, has words, marks the article)
     blocks: list[int] = []  # places of the block elements among them
     open_: dict[str, int] = {}
@@ -212,7 +216,7 @@ def _parsed(page: str, gone: list[bool] | None) -> tuple[list[Line], list[tuple[
                 flush()
             else:
                 skip = gone[len(found)]
-            found.append((worded, bool(words & FOREIGN)))
+            found.append((worded, _rank(words)))
             worded = len(found) - 1
         mark = tag in ("article", "main") and not skip and not (words and gone is None)
         if tag not in INLINE:
@@ -255,7 +259,8 @@ def select(rows: list[Line]) -> list[str]:
             low = r.depth
     n = len(told)
     weights = [MARKED * len(r.text) if r.marked else r.weight for r in told]
-    blocks = block_weights(weights, [i > 0 and told[i].marked != told[i - 1].marked for i in range(n)])
+    borders = [i > 0 and (told[i].marked != told[i - 1].marked or told[i].worded != told[i - 1].worded) for i in range(n)]
+    blocks = block_weights(weights, borders)
     marked = max((b for b, r in zip(blocks, told, strict=True) if r.marked), default=0)
     surge = [b >= (SURGE if r.marked else max(SURGE, marked / RATIO)) and w > 0 for b, w, r in zip(blocks, weights, told, strict=True)]
 
@@ -266,7 +271,7 @@ def select(rows: list[Line]) -> list[str]:
             i += 1
             continue
         start = i
-        while i < n and blocks[i] and (i == start or told[i].marked == told[i - 1].marked):
+        while i < n and blocks[i] and (i == start or not borders[i]):
             i += 1
         first = next(k for k in range(start, i) if weights[k])
         last = next(k for k in range(i - 1, start - 1, -1) if weights[k])
@@ -294,7 +299,7 @@ def select(rows: list[Line]) -> list[str]:
             kept.update(range(b, end))
     for (_, a, _), (b, _, _) in zip(surges, surges[1:], strict=False):
         if not told[a - 1].marked and not told[b].marked and min(lows[a : b + 1]) >= max(told[a - 1].depth, told[b].depth) - 2:
-            kept.update(k for k in range(a, b) if blocks[k])
+            kept.update(range(a, b))
     return [told[k].text for k in sorted(kept)]
 
 

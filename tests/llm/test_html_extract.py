@@ -138,3 +138,23 @@ def test_unclosed_and_unopened_tags_take_linear_time():
     assert main_text("<b><p>" * 20_000 + "y") == "y"
     assert main_text("<div>" * 20_000 + "</p>" * 20_000 + "z") == "z"
     assert time.time() - begin < 3
+
+
+def test_names_go_by_what_they_say():
+    three, four = f"<p>{LONG}</p>" * 3, f"<p>{LONG}</p>" * 4
+    for name in ("elementor-widget", "widget"):
+        assert main_text(f'<div class="{name}">{three}</div><div class="{name}">{four}</div>') == " ".join([LONG] * 7)
+    for inner in ('<div class="menu-recipe">{}</div>', '<section id="search-algorithms">{}</section>', '<div class="social-science">{}</div>', '<div class="comment-policy">{}</div>'):
+        assert main_text(f"<article><p>{LONG}</p>{inner.format(three)}<p>End.</p></article>") == " ".join([LONG] * 4 + ["End."])
+        assert main_text(f"<div><p>{LONG}</p>{inner.format(three)}<p>End.</p></div>") == " ".join([LONG] * 4 + ["End."])
+    assert main_text(f'<article><p>{LONG}</p><p class="comment-policy">Be kind.</p></article>') == f"{LONG} Be kind."
+    for name in ("site-header", "mainMenu", "cookieNotice", "ad-300x250", "comment-42", "related-posts", "share_buttons", "sidebar-left"):
+        assert main_text(f'<div class="{name}">{four}</div><div><p>{LONG}</p></div>') == LONG, name
+
+
+def test_a_list_between_paragraphs_stays_whole():
+    items = "".join(f"<li><a href='/{k}'>l{k}</a></li>" for k in range(8))
+    told = " ".join(f"l{k}" for k in range(8))
+    assert main_text(f"<div><p>{LONG}</p><ul>{items}</ul><p>{LONG}</p></div>") == f"{LONG} {told} {LONG}"
+    assert main_text(f"<div><p>{LONG}</p>{LINKS}<p>Brief.</p>{LINKS}<p>{LONG}</p></div>") == f"{LONG} One Two Three Four Brief. One Two Three Four {LONG}"
+    assert main_text(f"<div><ul>{items}</ul></div><div><p>{LONG}</p></div><div><ul>{items}</ul></div>") == LONG
