@@ -39,8 +39,9 @@ from pyspark.sql import functions as F
 from newsloom.llm.common import Places, binary_values, documents, file_based, materialise, row_key, slices, small_batches
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Pieces in a worker's cache before it starts anew.
-CACHE_PIECES = 300_000
+#: Bytes of a worker's cache before it starts anew, and of the longest piece that it takes.
+CACHE_BYTES = 64 << 20
+CACHED_PIECE = 64
 #: Characters of a long text that are scanned at once.
 PIECE = 1 << 20
 
@@ -183,7 +184,8 @@ class Codec:
         for i, b in self.vocabulary.items():
             self.widths[i] = len(b)
         self.small = np.dtype(np.uint16 if len(self.widths) <= 1 << 16 else np.uint32)
-        self.cache: dict[bytes, tuple[int, ...]] = {}
+        self.cache: dict[bytes, list[int]] = {}
+        self.cached = 0
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Repeatedly join the adjacent pair of lowest rank, leftmost first."""
@@ -271,11 +273,20 @@ class Codec:
             yield [bytes(open_)]
 
     def _ids(self, pieces: list[bytes]) -> list[int]:
-        if len(self.cache) > CACHE_PIECES:
+        if self.cached > CACHE_BYTES:
             self.cache.clear()
+            self.cached = 0
+        long: dict[bytes, list[int]] = {}
         for p in set(pieces).difference(self.cache):
-            self.cache[p] = self.merge(p)
-        return list(itertools.chain.from_iterable(map(self.cache.__getitem__, pieces)))
+            ids = self.merge(p)
+            if len(p) > CACHED_PIECE:
+                long[p] = ids
+                continue
+            self.cache[p] = ids
+            self.cached += 200 + len(p) + 36 * len(ids)
+        if not long:
+            return list(itertools.chain.from_iterable(map(self.cache.__getitem__, pieces)))
+        return list(itertools.chain.from_iterable(self.cache[p] if len(p) <= CACHED_PIECE else long[p] for p in pieces))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [self._ids(pieces) for pieces in self.pieces(texts)]

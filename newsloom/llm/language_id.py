@@ -12,12 +12,12 @@ of others; a slot names the state it belongs to), so a table grows with the samp
 alphabets. A phrase ends where its block ends, which adds at most one phrase in BLOCK characters to
 every language alike. Texts of more than PIECE characters are folded and parsed piece by piece.
 
-Bounds (parameters): SAMPLE_TEXTS texts of each language, those with the smallest hash of doc_id in
-as many hash buckets among labelled texts of SAMPLE_MIN to SAMPLE_MAX code points, of which the
-first SAMPLE_CHARS folded characters are learnt. A language that has no such text learns from its
-texts of other lengths, the first SAMPLE_MAX code points of each; only languages without a letter in
-any of these go unlearnt. A phrase costs as if a sample had SAMPLE_MIN characters at least, or else
-a sample of a few would be the cheapest for every text. Only these few texts reach the driver.
+Bounds (parameters): SAMPLE_TEXTS texts of each of the LANGUAGES lang values with most learnable rows
+(ties: the smaller name), one of each of as many hash buckets of doc_id: one of SAMPLE_MIN to SAMPLE_MAX
+code points if the bucket has any, else one of another length, of which the first SAMPLE_MAX are
+learnt. Of these texts the first SAMPLE_CHARS folded characters are learnt; only languages without a
+letter in any of them go unlearnt. A phrase costs as if a sample had SAMPLE_MIN characters at least, or
+else a sample of a few would be the cheapest for every text. Only these few texts reach the driver.
 
 Defined results: a null text or one without a letter is `und` with score 0; if nothing can be learnt
 every text is `und`; rows with a null doc_id are never learnt from and count as not held out; equal
@@ -36,11 +36,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import documents, slices, small_batches
+from newsloom.llm.common import Scratch, documents, materialise, slices, small_batches
 
 SAMPLE_TEXTS = 64
 SAMPLE_MIN, SAMPLE_MAX = 200, 4000
 SAMPLE_CHARS = 40_000
+#: Languages that are learnt: those with most learnable rows.
+LANGUAGES = 256
 BLOCK = 1024
 #: Characters of a long text that are parsed at once.
 PIECE = 1 << 20
@@ -247,16 +249,21 @@ def held_out() -> Column:
 
 
 def sample(docs: DataFrame) -> dict[str, str]:
-    """The bounded sample of labelled text of each language."""
+    """The bounded sample of labelled text of each language.
+
+    Texts are dealt to SAMPLE_TEXTS buckets by a hash; of each bucket one text is learnt from, of SAMPLE_MIN to
+    SAMPLE_MAX code points if there is one, else of any length, cut to SAMPLE_MAX.
+    """
     text = F.col("text")
     labelled = docs.select("text", "lang", "doc_id", F.xxhash64("doc_id").alias("h"), ((F.length(text) >= SAMPLE_MIN) & (F.length(text) <= SAMPLE_MAX)).alias("fit")).filter(
         F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & F.substring("text", 1, SAMPLE_MAX).rlike(r"\p{L}")
     )
-    buckets = labelled.groupBy("lang", F.pmod("h", F.lit(SAMPLE_TEXTS)).alias("b")).agg(F.min(F.when(F.col("fit"), F.col("h"))).alias("fit"), F.min("h").alias("h")).collect()
-    fitting = {r.lang for r in buckets if r.fit is not None}  # others have no text of that length: they learn from any
-    picked = [(r.lang, r.fit if r.lang in fitting else r.h, r.lang in fitting) for r in buckets if r.fit is not None or r.lang not in fitting]
-    picks = docs.sparkSession.createDataFrame(picked, "lang string, h long, fits boolean")  # SAMPLE_TEXTS of each language
-    rows = labelled.join(F.broadcast(picks), ["lang", "h"]).filter("fit OR NOT fits").groupBy("lang", "h").agg(F.min(F.substring("text", 1, SAMPLE_MAX)).alias("text")).collect()
+    pick = F.min(F.struct((~F.col("fit")).alias("other"), "h")).alias("pick")
+    with Scratch(docs.sparkSession):
+        buckets = materialise(labelled.groupBy("lang", F.pmod("h", F.lit(SAMPLE_TEXTS)).alias("b")).agg(pick, F.count(F.lit(1)).alias("n")), "buckets")
+        most = buckets.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES)
+        picks = buckets.join(most.select("lang"), "lang").select("lang", "pick.h", (~F.col("pick.other")).alias("fit"))  # LANGUAGES * SAMPLE_TEXTS rows at most
+        rows = labelled.join(F.broadcast(picks), ["lang", "h", "fit"]).groupBy("lang", "h").agg(F.min(F.substring("text", 1, SAMPLE_MAX)).alias("text")).collect()
     out: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.h)):
         out.setdefault(r.lang, []).append(r.text)
@@ -282,7 +289,7 @@ def identify(docs: DataFrame, samples: dict[str, str] | None = None) -> DataFram
     small_batches(spark)
     samples = sample(docs) if samples is None else samples
     token = hash(tuple(sorted(samples.items()))) % sys.maxsize
-    shared = spark.sparkContext.broadcast(samples)  # bounded: SAMPLE_TEXTS * SAMPLE_MAX characters of each language
+    shared = spark.sparkContext.broadcast(samples)  # bounded: SAMPLE_TEXTS * SAMPLE_MAX characters of each of LANGUAGES
     rows = docs.select("doc_id", held_out().alias("held_out"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body"))
     return rows.mapInArrow(lambda it: predict_batches(it, token, shared.value), "doc_id long, held_out boolean, lang_pred string, score double")
 

@@ -80,3 +80,14 @@ def test_equal_texts_share_an_encoding(spark, tmp_path):
     ids = {tuple(r.ids) for r in got}
     assert len(ids) == 3 and all((r.n_tokens, r.ends) == (len(r.ids), []) or r.ends[-1] in (8, 11) for r in got)
     assert byte_bpe.tokens(docs.limit(0)).count() == 0
+
+
+def test_the_cache_is_bounded_in_bytes(reference, monkeypatch):
+    rng = random.Random(3)
+    codec = byte_bpe.Codec(PATH)
+    texts = ["".join(rng.choices("日本語中文字化け", k=300)) for _ in range(50)] + [" ".join("".join(rng.choices("abcdefgh", k=9)) for _ in range(400)) for _ in range(20)]
+    monkeypatch.setattr(byte_bpe, "CACHE_BYTES", 1 << 20)
+    for t in texts:
+        assert codec.encode([t]) == [reference.encode_ordinary(t)]
+        assert max(map(len, codec.cache), default=0) <= byte_bpe.CACHED_PIECE
+        assert sum(200 + len(p) + 36 * len(ids) for p, ids in codec.cache.items()) == codec.cached <= 2 << 20

@@ -89,3 +89,18 @@ def test_pieces_of_a_long_text_are_one_text(monkeypatch):
         got = model._long(text)
         assert (got[0] == phrases).all() and got[1] == lettered
     assert model.predict(texts) == (lambda: (monkeypatch.undo(), model.predict(texts))[1])()
+
+
+def test_one_text_of_the_right_length_does_not_replace_the_others(spark):
+    rng = random.Random(6)
+    words = "le chien est dans la rue avec une petite maison bleue et rouge".split()
+    rows = [(i, "fr", " ".join(rng.choices(words, k=25))[:150]) for i in range(79)]
+    short = language_id.sample(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    more = language_id.sample(spark.createDataFrame([*rows, (500, "fr", " ".join(rng.choices(words, k=60))[:230])], "doc_id long, lang string, text string"))
+    assert len(more["fr"]) > 0.9 * len(short["fr"]) > 3000
+
+
+def test_languages_are_bounded(spark):
+    rows = [(i, f"l{i % 700:04}", "abc def " * 40) for i in range(2100)] + [(5000 + i, "zz", "ghi jkl " * 40) for i in range(8)]
+    got = language_id.sample(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    assert len(got) == language_id.LANGUAGES and "zz" in got
