@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import APOSTROPHES, DASHES, is_media_only, normal_for_rules, wants, NO_FILTER
+from newsloom.operators.phrases import first_hits
 
 LITERAL = "="
+#: Literal rules up to which they are one expression of nested tests; more are looked for by an automaton.
+NESTED = 32
 BLOCK_AT = 8
 CHUNK = 10
 
@@ -69,17 +72,18 @@ def in_scope(category: Column, source_id: Column, categories: list[str], source_
     return out
 
 
-def literal_hits(items: DataFrame, rules: DataFrame) -> DataFrame:
+def literal_hits(items: DataFrame, rules: DataFrame, nested: int = NESTED) -> DataFrame:
     """Items plus `hit`, the first literal rule (by word_id) that matches in its scope, or null.
 
-    Rules are a hand-written list; they become one expression over a single scan of the items.
+    Up to `nested` rules become one expression over a single scan of the items, inside the JVM; of more,
+    a text would be searched once for each, so they become an automaton (phrases.first_hits). Both find the same.
     """
-    text = normal_for_rules(F.col("raw_text"))
-    rows = items.withColumn("_text", text)
+    few = rules.filter(F.trim("rule").startswith(LITERAL)).orderBy("word_id").limit(nested + 1).collect()
+    if len(few) > nested:
+        return first_hits(items, rules, LITERAL)
+    rows = items.withColumn("_text", normal_for_rules(F.col("raw_text")))
     hit = F.lit(None).cast("string")
-    for r in sorted(rules.collect(), key=lambda r: -r.word_id):
-        if not r.rule.strip().startswith(LITERAL):
-            continue
+    for r in reversed(few):
         pattern = literal_pattern(r.rule.strip()[len(LITERAL) :])
         if pattern is not None:
             hit = F.when(F.col("_text").rlike(pattern) & in_scope(F.col("category"), F.col("source_id"), r.categories, r.source_ids), r.rule).otherwise(hit)

@@ -203,6 +203,40 @@ def _(v):
     return rules.literal_hits(v.posts, rules.scoped(v.rules, v.rule_categories, v.rule_sources)).select("id", "hit")
 
 
+#: Words of a rule, and rules of a post that was found toxic, in literal_many.
+RULE_WORDS, RULES_A_POST = 3, 40
+
+
+def _alike(text: str) -> str:
+    """SQL of phrases.canonical over normal text."""
+    return f"regexp_replace(translate({text}, '‘’`', ''''''''), '\\s*[-–—][\\s–—-]*', '-', 'g')"
+
+
+def _words(text: str) -> str:
+    return f"string_split(trim(regexp_replace({text}, '\\s+', ' ', 'g')), ' ')"
+
+
+@plan("literal_many", f"""{_SCOPED},
+w AS (SELECT doc_id, {_words('text')} AS w FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+r AS (SELECT doc_id * 1000 + k AS word_id, '= ' || array_to_string(w[k + 1:k + {RULE_WORDS}], ' ') AS rule FROM w, range({RULES_A_POST}) AS t(k) WHERE len(w) >= k + {RULE_WORDS}),
+p AS (SELECT word_id, rule, {_alike("replace(lower(substr(rule, 3)), 'ß', 'ss')")} AS p FROM r),
+h AS (SELECT n.id, min_by(p.rule, p.word_id) AS hit FROM (SELECT *, {_alike('t')} AS c FROM norm) n JOIN p ON contains(n.c, p.p)
+  AND (word_id % 3 <> 0 OR category IN ('feed', 'tech')) AND (word_id % 5 <> 0 OR source_id % 4 = 1) GROUP BY 1)
+SELECT id, hit FROM norm LEFT JOIN h USING (id)""")
+def _(v):
+    """Every phrase of the beginnings of toxic posts as a rule of its own, a third and a fifth of them limited to categories and sources."""
+    toxic = v.table("labels").filter("toxic = 1").select("doc_id").distinct()
+    words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
+    posts = v.table("documents").join(toxic, "doc_id").select("doc_id", F.slice(words, 1, RULES_A_POST + RULE_WORDS - 1).alias("w"))
+    each = posts.filter(F.size("w") >= RULE_WORDS).select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - RULE_WORDS)).alias("k"))
+    made = each.select((F.col("doc_id") * 1000 + F.col("k")).alias("word_id"), F.concat(F.lit("= "), F.array_join(F.slice("w", F.col("k") + 1, RULE_WORDS), " ")).alias("rule"), F.lit(None).cast("string").alias("label"))
+    number = F.col("word_id")
+    some = v.every_source.select(F.col("id").alias("source_id"), (F.col("id") % 4).alias("rest"))
+    links = made.filter(number % 5 == 0).select("word_id", F.lit(1).cast("bigint").alias("rest")).join(some, "rest").select("word_id", "source_id")
+    kinds = made.filter(number % 3 == 0).select("word_id", F.explode(F.array(F.lit("feed"), F.lit("tech"))).alias("category"))
+    return rules.literal_hits(v.posts, rules.scoped(made, kinds, links)).select("id", "hit")
+
+
 _CHUNKS = """, chunks AS (SELECT id, digest, category, source_id, (row_number() OVER (PARTITION BY digest ORDER BY category, id) - 1) // 10 AS chunk FROM items WHERE NOT sent),
 answers AS (SELECT digest, CASE WHEN id % 14 = 0 THEN chunk + 1 ELSE chunk END AS chunk, id, CASE id % 4 WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE 7 END AS word_id, CASE WHEN id % 5 = 0 THEN NULL ELSE id % 11 END AS confidence FROM chunks)"""
 
