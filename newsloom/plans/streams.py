@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newsloom.plans.registry import plan
-from newsloom.streaming import ingest
+from newsloom.streaming import ingest, timers
 
 
 _POLLED = """, e AS (SELECT 'tg_' || user_id || '_' || json_extract_string(props, '$.k') AS message_id, user_id AS source_id, event_id, CASE WHEN event_id % 31 <> 0 THEN ts END AS moment, 3 - event_id % 4 AS poll, max(ts) OVER () AS as_of FROM events),
@@ -36,3 +36,36 @@ SELECT key || ':' || user_id AS key, seq FROM w WHERE out""")
 def _(v):
     alerts = v.table("events").select(F.concat_ws(":", "event_type", F.col("user_id").cast("string")).alias("key"), F.col("ts").cast("timestamp").alias("moment"), F.col("event_id").alias("seq"))
     return ingest.throttled(alerts, 86400)
+
+
+#: Milliseconds of a silence, and after which a source is forgotten.
+SILENT_MS, EXPIRE_MS = 2 * 86_400_000 + 1, 5 * 86_400_000 + 1
+
+
+@plan("stream_silence", f""", e AS (SELECT user_id AS source_id, event_id, event_type = 'error' AS failed, CAST(json_extract_string(props, '$.k') AS INT) < 50 AS client, epoch_us(ts) // 1000 AS ms FROM events),
+o AS (SELECT *, lag(ms) OVER w AS prev, lead(ms) OVER w AS nxt, max(ms) OVER () + CAST(2592000000 AS BIGINT) AS clock FROM e WINDOW w AS (PARTITION BY source_id ORDER BY ms, event_id)),
+l AS (SELECT *, sum(CASE WHEN NOT failed OR ms - prev > {EXPIRE_MS} THEN 1 ELSE 0 END) OVER (PARTITION BY source_id ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) AS g FROM o),
+f AS (SELECT *, count(*) FILTER (failed) OVER (PARTITION BY source_id, g ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) AS fails FROM l),
+x AS (SELECT *, lag(fails) OVER (PARTITION BY source_id ORDER BY ms, event_id) AS fails_before FROM f)
+SELECT source_id, 'error' AS kind, ms AS at_ms, fails FROM x WHERE failed AND fails = 3
+UNION ALL SELECT source_id, 'alert', ms, fails FROM x WHERE failed AND (fails = 8 OR (client AND fails = 2))
+UNION ALL SELECT source_id, 'revived', ms, fails_before FROM x WHERE NOT failed AND fails_before >= 3 AND ms - prev <= {EXPIRE_MS}
+UNION ALL SELECT source_id, CASE WHEN n = 1 THEN 'silent' ELSE 'probe' END, ms + n * {SILENT_MS}, fails FROM x, range(1, 3) AS t(n) WHERE ms + n * {SILENT_MS} < coalesce(nxt, clock)
+UNION ALL SELECT source_id, 'expired', ms + {EXPIRE_MS}, fails FROM x WHERE ms + {EXPIRE_MS} < coalesce(nxt, clock)""")
+def _(v):
+    """Polls of all sources, up to a day out of order, in three parts with a restart after each; then the clock alone moves on."""
+    return timers_of_events(v)
+
+
+def timers_of_events(v, parts: int = 3):
+    arrived, out, place = (ingest.shared_path(v.spark, n) for n in ("polls", "told", "stream"))
+    events = v.table("events").withColumn("moment", F.col("ts").cast("timestamp")).withColumn("day", F.datediff("ts", F.lit("2024-01-01")))
+    polls = events.select("user_id", "moment", "event_id", (F.col("event_type") == "error").alias("failed"), (F.get_json_object("props", "$.k").cast("int") < 50).alias("client"), F.least(F.floor((F.col("day") + F.col("event_id") % 2) / 10), F.lit(parts - 1)).alias("part"))
+    polls = polls.toDF("source_id", "moment", "seq", "failed", "client", "part")
+    tick = polls.agg((F.max("moment") + F.expr("INTERVAL 32 DAYS")).alias("moment")).select(F.lit(-1).cast("bigint").alias("source_id"), "moment", F.lit(0).cast("bigint").alias("seq"), F.lit(False).alias("failed"), F.lit(False).alias("client"))
+    for k in range(parts + 1):
+        rows = polls.filter(F.col("part") == k).drop("part") if k < parts else tick
+        rows.coalesce(1).write.mode("append").parquet(arrived)
+        stream = v.spark.readStream.schema(polls.drop("part").schema).parquet(arrived)
+        timers.told(stream, out, place, "2 days", timers.Patience(silent_ms=SILENT_MS, expire_ms=EXPIRE_MS))
+    return v.spark.read.schema(timers.TOLD).parquet(out).filter("source_id >= 0")
