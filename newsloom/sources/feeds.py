@@ -1,7 +1,8 @@
 """Feed files (RSS and Atom) as entries, log files as their last lines.
 
 Files are read by Spark's readers, so any store works, a file is one row, and a feed that can't be
-parsed is a row with an error, never an exception.
+parsed is a row with an error, never an exception. Feeds are parsed as bytes, in the encoding that they
+declare.
 """
 
 from __future__ import annotations
@@ -18,13 +19,18 @@ from pyspark.sql import functions as F
 ENTRIES = "file string, position int, link string, title string, summary string, published string, error string"
 
 
-def entries_of(document: str) -> list[dict]:
+#: What a document that is no feed raises: bad markup, an unknown encoding, bytes that aren't in it.
+BROKEN = (ET.ParseError, LookupError, ValueError)
+
+
+def entries_of(document: bytes | str) -> list[dict]:
     """Entries in the order of the feed; `published` as ISO in UTC, or None where it is no date."""
     def plain(tag: str) -> str:
         return tag.rsplit("}", 1)[-1].lower()
 
     out = []
-    for node in ET.fromstring(document.lstrip("﻿ \r\n\t")).iter():
+    clean = document.lstrip("\ufeff \r\n\t") if isinstance(document, str) else document.removeprefix(b"\xef\xbb\xbf").lstrip(b" \r\n\t")
+    for node in ET.fromstring(clean).iter():
         if plain(node.tag) not in ("item", "entry"):
             continue
         found: dict[str, str] = {}
@@ -57,18 +63,18 @@ _ARROW = pa.schema([(n, pa.int32() if n == "position" else pa.string()) for n in
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for file, document in zip(batch.column("file").to_pylist(), batch.column("value").to_pylist(), strict=True):
+        for file, document in zip(batch.column("file").to_pylist(), batch.column("content").to_pylist(), strict=True):
             try:
                 rows += [{"file": file, "position": i, **e} for i, e in enumerate(entries_of(document))]
-            except ET.ParseError as problem:
-                rows.append({"file": file, "error": str(problem)})
+            except BROKEN as problem:
+                rows.append({"file": file, "error": f"{type(problem).__name__}: {problem}"})
         yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
 
 def read_feeds(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of every feed file under path, and a row with `error` of each that is none."""
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
-    return files.select(F.col("_metadata.file_path").alias("file"), "value").mapInArrow(_parse, ENTRIES)
+    """Entries of every feed file under path, and a row with `error` of each that is none. Files without a byte have no row."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.col("path").alias("file"), "content").mapInArrow(_parse, ENTRIES)
 
 
 def client_error(status: Column) -> Column:
