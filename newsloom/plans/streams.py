@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from newsloom.plans.registry import plan
 from newsloom.sources.feed_stream import FeedSource
 from newsloom.streaming import ingest, timers
+from newsloom.streaming.store import Store
 
 
 _POLLED = """, e AS (SELECT 'tg_' || user_id || '_' || json_extract_string(props, '$.k') AS message_id, user_id AS source_id, event_id, CASE WHEN event_id % 31 <> 0 THEN ts END AS moment, 3 - event_id % 4 AS poll, max(ts) OVER () AS as_of FROM events),
@@ -90,3 +93,39 @@ def _(v):
         entries.writeStream.format("parquet").option("path", out).option("checkpointLocation", place).trigger(availableNow=True).start().awaitTermination()
     read = v.spark.read.schema(entries.schema).parquet(out)
     return read.select(F.col("feed").cast("bigint").alias("feed"), "snapshot", F.col("link").cast("bigint").alias("item"), F.col("error").isNotNull().alias("broken"))
+
+
+#: Days between the polls of store_days, and that its store looks back.
+POLL_DAYS, KEPT_DAYS = 8, 10
+
+
+class Killed(Exception):
+    """A compaction that was killed."""
+
+
+@plan("store_days", f""", m AS (SELECT DISTINCT 'tg_' || user_id || '_' || json_extract_string(props, '$.k') AS message_id, user_id AS source_id, least(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // {POLL_DAYS}, 3) AS poll FROM events),
+i AS (SELECT *, poll - row_number() OVER (PARTITION BY message_id ORDER BY poll) AS island FROM m), s AS (SELECT *, row_number() OVER (PARTITION BY message_id, island ORDER BY poll) AS n FROM i)
+SELECT message_id, source_id, CAST(CAST(DATE '2024-01-01' + CAST({POLL_DAYS} * (poll + 1) AS INT) AS DATE) AS VARCHAR) AS day FROM s WHERE n % 2 = 1 AND {POLL_DAYS} * (poll + 1) >= {POLL_DAYS} * 4 - {KEPT_DAYS}""")
+def _(v):
+    """A poll every eight days, in two batches; the store is compacted after each, twice by a compaction that is killed, and forgets after ten days."""
+    arrived, path, place = (ingest.shared_path(v.spark, n) for n in ("arrived", "store", "stream"))
+    day = F.datediff("ts", F.lit("2024-01-01"))
+    events = v.table("events").withColumn("poll", F.least(F.floor(day / POLL_DAYS), F.lit(3)))
+    store, begin = Store(v.spark, path), dt.date(2024, 1, 1)
+    for k in range(4):
+        for half in range(2):
+            events.filter((F.col("poll") == k) & (F.col("event_id") % 2 == half)).drop("poll").coalesce(1).write.mode("append").parquet(arrived)
+        now = begin + dt.timedelta(days=POLL_DAYS * (k + 1))
+        ingest.ingest(ingest.posts_stream(v.spark, arrived, "*.parquet", at_once=1), path, place, F.lit(now.isoformat()).cast("timestamp"), retention=KEPT_DAYS)
+        kill = {1: "written", 2: "committed"}.get(k)
+
+        def step(name: str, kill: str | None = kill) -> None:
+            if name == kill:
+                raise Killed
+
+        try:
+            store.compact(step)
+        except Killed:
+            pass
+        store.expire(now - dt.timedelta(days=KEPT_DAYS))
+    return store.read().select("message_id", "source_id", F.col("day").cast("string").alias("day"))

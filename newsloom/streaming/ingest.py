@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -14,16 +15,17 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from newsloom.operators.fold import folded
 from newsloom.operators.graph import shared_folder
 from newsloom.operators.state import unseen
+from newsloom.streaming.store import Store
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/newsloom-{name}-{uuid.uuid4().hex}"
 
 
-def posts_stream(spark: SparkSession, folder: str, files: str) -> DataFrame:
-    """Parquet files of events that arrive in a folder, as a stream of posts."""
+def posts_stream(spark: SparkSession, folder: str, files: str, at_once: int = 50) -> DataFrame:
+    """Parquet files of events that arrive in a folder, as a stream of posts; `at_once` of them are a batch."""
     schema = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
-    events = spark.readStream.schema(schema).option("pathGlobFilter", files).option("maxFilesPerTrigger", 50).parquet(folder)
+    events = spark.readStream.schema(schema).option("pathGlobFilter", files).option("maxFilesPerTrigger", at_once).parquet(folder)
     key = F.get_json_object("props", "$.k")
     return events.select(
         F.concat_ws("_", F.lit("tg"), F.col("user_id").cast("string"), key).alias("message_id"),
@@ -32,40 +34,36 @@ def posts_stream(spark: SparkSession, folder: str, files: str) -> DataFrame:
 
 
 LATE = "48 hours"
-RETENTION = "30 days"
+RETENTION_DAYS = 30
 
 
-def ingest(posts: DataFrame, store: str, checkpoint: str, as_of: Column | None = None, late: str = LATE, retention: str = RETENTION) -> None:
+def ingest(posts: DataFrame, store: str, checkpoint: str, as_of: Column | None = None, late: str = LATE, retention: int = RETENTION_DAYS) -> None:
     """ST02/ST03/ST07: each message is stored once, however often it is polled or a batch is retried, and however late.
 
     No watermark drops anything: a post older than `late` at as_of (default: the time of the batch) is
     stored with the flag `late`, one without a time as it is, young. Of several with one message_id in
     a batch the earliest stays (one without a time last); what the store has falls to an anti-join in
-    the batch, so a restart with a lost checkpoint doesn't store twice either. It looks back over what
-    was stored within the retention, which is what bounds it. A batch is written into a folder of its
-    stream and number: writing it again replaces it, and no other stream writes there.
+    the batch, so a restart with a lost checkpoint doesn't store twice either. It looks back over the
+    days of the retention and reads no others. A batch is a part of its own (store.Store): writing it
+    again replaces it, and no other stream writes there.
     """
     spark = posts.sparkSession
+    files = Store(spark, store)
 
     def save(batch: DataFrame, number: int) -> None:
         stream = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or hashlib.md5(checkpoint.encode()).hexdigest()
+        part = f"{stream}-{number}"
         now = F.current_timestamp() if as_of is None else as_of
+        today = spark.range(1).select(now.cast("date").alias("day")).first().day
         first = F.min_by(F.struct("source_id", "published_at"), F.struct(F.col("published_at").isNull().alias("none"), "published_at", "seq")).alias("first")
         rows = batch.groupBy("message_id").agg(first).select("message_id", "first.*")
-        rows = rows.withColumn("late", F.coalesce(F.col("published_at") < now - F.expr(f"INTERVAL {late}"), F.lit(False))).withColumn("stored_at", F.current_timestamp())
-        folder = spark._jvm.org.apache.hadoop.fs.Path(store)
-        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-            have = spark.read.schema(STORED).option("basePath", store).parquet(store)
-            mine = (F.col("stream") == stream) & (F.col("batch") == number)
-            rows = unseen(rows, have.filter(~mine & (F.col("stored_at") >= F.current_timestamp() - F.expr(f"INTERVAL {retention}"))))
-        rows.write.mode("overwrite").parquet(f"{store}/stream={stream}/batch={number}")
+        rows = rows.withColumn("late", F.coalesce(F.col("published_at") < now - F.expr(f"INTERVAL {late}"), F.lit(False))).withColumn("stored_at", now)
+        have = files.read(since=today - dt.timedelta(days=retention))
+        files.write(unseen(rows, have.filter(F.col("part") != part)), part, today)
 
     posts.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-STORED = "message_id STRING, source_id BIGINT, published_at TIMESTAMP, late BOOLEAN, stored_at TIMESTAMP, stream STRING, batch BIGINT"
-
-
 def stored_once(spark: SparkSession, events: DataFrame, as_of: Column, polls: int) -> DataFrame:
     """Polls of a source's events, each a file that arrives later than the one before. events: poll, and the columns of posts_stream.
 
@@ -75,7 +73,7 @@ def stored_once(spark: SparkSession, events: DataFrame, as_of: Column, polls: in
     for k in range(polls):
         events.filter(F.col("poll") == k).drop("poll").coalesce(1).write.mode("append").parquet(arrived)
         ingest(posts_stream(spark, arrived, "*.parquet"), store, place if k < polls - 1 else place + "-new", as_of)
-    return spark.read.schema(STORED).option("basePath", store).parquet(store).select("message_id", "source_id", "late", "published_at")
+    return Store(spark, store).read().select("message_id", "source_id", "late", "published_at")
 
 
 ERROR_AFTER = 3
