@@ -52,16 +52,29 @@ def with_keys(posts: DataFrame, signatures: DataFrame | None, least: int = 100)
     return strip_known(lines, signatures).withColumn("key", text.repost_key(F.array_join("lines", "\n"), least)).drop("lines")
 
 
-def exact_reposts(posts: DataFrame, most: int = 2) -> DataFrame:
-    """Id, earlier_id. posts: id, source_id, key, moment, hidden, pool (shown before, not in this digest).
+def looked_back(pool: DataFrame, digests: DataFrame, hours: int) -> DataFrame:
+    """id, digest: posts shown at most that long before a digest went out, and not after it. pool: id, processed_at; digests: digest, as_of.
+
+    A digest looks for its days by equality, so work grows with what the windows hold.
+    """
+    day = lambda c: F.floor(F.unix_timestamp(c) / 86400)
+    windows = digests.select("digest", "as_of", F.explode(F.sequence(day("as_of") - F.lit(-(-hours // 24)), day("as_of"))).alias("day"))
+    seen = pool.select("id", "processed_at", day("processed_at").alias("day")).join(windows, "day")
+    return seen.filter((F.col("processed_at") <= F.col("as_of")) & (F.col("processed_at") > F.col("as_of") - F.make_dt_interval(F.lit(0), F.lit(hours)))).select("id", "digest")
+
+
+def exact_reposts(posts: DataFrame, most: int = 2, within: tuple[str, ...] = ("source_id",)) -> DataFrame:
+    """Id, earlier_id. posts: id, source_id, key, moment, hidden, pool (shown before), and the columns of `within`.
 
     A text told more often than that is a template, each time new. Hidden posts count, but are never
-    the earlier post.
+    the earlier post. Texts are compared within equal columns of `within`; of a digest with what it looks
+    back on, these are its number and the source, and the pool what looked_back() gives for it.
     """
-    slot = cut(posts.filter("key <> ''").select("id", "source_id", F.md5("key").alias("slot"), "moment", "hidden", "pool"))
-    few = slot.groupBy("source_id", "slot").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times").between(2, most))
-    told = slot.join(few, ["source_id", "slot"])  # `most` rows of a text at most are ever sorted
-    order = Window.partitionBy("source_id", "slot").orderBy((~F.col("pool")).cast("int"), F.col("moment").asc_nulls_first(), "id")
+    group = [*within, "slot"]
+    slot = cut(posts.filter("key <> ''").select("id", *within, F.md5("key").alias("slot"), "moment", "hidden", "pool"))
+    few = slot.groupBy(*group).agg(F.count(F.lit(1)).alias("times")).filter(F.col("times").between(2, most))
+    told = slot.join(few, group)  # `most` rows of a text at most are ever sorted
+    order = Window.partitionBy(*group).orderBy((~F.col("pool")).cast("int"), F.col("moment").asc_nulls_first(), "id")
     shown = F.when(~F.col("hidden"), F.col("id"))
     earlier = F.first(shown, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     return told.withColumn("earlier_id", earlier).filter("NOT pool AND earlier_id IS NOT NULL").select("id", "earlier_id")

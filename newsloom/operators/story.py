@@ -50,15 +50,21 @@ def settle(pairs: DataFrame) -> DataFrame:
 def deduplicate(items: DataFrame, pool: DataFrame, vectors: DataFrame, judge: Judge, lines: Lines = Lines()) -> tuple[DataFrame, DataFrame]:
     """(hidden, updates): id, primary_id of posts hidden under a survivor; id, shown_id of posts that go on a shown story.
 
-    items: posts of digests with their source's columns (queue.with_source); pool: posts shown before.
+    items: posts of digests with their source's columns (queue.with_source); pool: posts that were shown, of
+    which a digest sees those of the `hours` before it went out, and each post those of the `hours` before it.
     """
     items = cut(dedup.with_richness(items))
-    pool = cut(dedup.with_richness(pool.join(items.select("id"), "id", "left_anti").filter(~text.is_placeholder(F.col("summary")))))
+    digests = cut(items.groupBy("digest").agg(F.min("processed_at").alias("begin"), F.max("processed_at").alias("as_of")))
+    seen = pool.filter(~text.is_placeholder(F.col("summary"))).join(items.select("id"), "id", "left_anti")
+    pool = cut(dedup.with_richness(_in_reach(seen, digests, lines.hours)))
+    before = cut(reposts.looked_back(pool, digests, lines.hours))
 
     # 1. a source's own words again
     columns = ["id", "source_id", "raw_text", F.col("published_at").alias("moment")]
-    both = items.select(*columns, F.lit(False).alias("hidden"), F.lit(False).alias("pool")).unionByName(pool.select(*columns, F.col("duplicate_of").isNotNull().alias("hidden"), F.lit(True).alias("pool")))
-    repeated = cut(reposts.exact_reposts(reposts.with_keys(both, reposts.footers(both))).select("id", F.col("earlier_id").alias("primary_id")))
+    recent = pool.join(before.select("id").distinct(), "id", "left_semi").select(*columns, F.col("duplicate_of").isNotNull().alias("hidden"), F.lit(True).alias("pool"))
+    both = items.select(*columns, F.lit(False).alias("hidden"), F.lit(False).alias("pool")).unionByName(recent)
+    keyed = reposts.with_keys(both, reposts.footers(both)).join(items.select("id", "digest").unionByName(before), "id")
+    repeated = cut(reposts.exact_reposts(keyed, within=("digest", "source_id")).select("id", F.col("earlier_id").alias("primary_id")))
 
     # 2. all but identical across sources: no judge
     embedded = cut(similarity.embedded(items.filter(~text.is_placeholder(F.col("summary"))), vectors))
@@ -110,6 +116,13 @@ def deduplicate(items: DataFrame, pool: DataFrame, vectors: DataFrame, judge: Ju
     return final, updates.unionByName(_first_said(handed)).join(final.select("id"), "id", "left_anti")
 
 
+def _in_reach(pool: DataFrame, digests: DataFrame, hours: int) -> DataFrame:
+    """What any digest, or any of its posts, looks back on; texts of other days are not read on."""
+    day = lambda c: F.floor(F.unix_timestamp(c) / 86400)
+    days = digests.select(F.explode(F.sequence(day(F.least("begin", "as_of")) - F.lit(-(-hours // 24)), day("as_of"))).alias("_day")).distinct()
+    return pool.withColumn("_day", day("processed_at")).join(days, "_day", "left_semi").drop("_day")
+
+
 def _first_said(*decisions: DataFrame) -> DataFrame:
     """One decision of each post: of the first table that has one, the least other post. decisions: id, and another post."""
     other = decisions[0].columns[1]

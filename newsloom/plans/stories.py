@@ -466,12 +466,14 @@ _LINES_OF = "list_filter([regexp_replace(x, '^\\s+|\\s+$', '', 'g') FOR x IN str
 #: D07 over the posts of `cur`: final (id, primary_id) and updated (id, shown_id).
 STORY_CTES = f"""
 pool AS MATERIALIZED (SELECT *, {_RICH} AS richness, regexp_matches(raw_text, '{_TALLY}') AS tally FROM items WHERE sent AND blocked_reason IS NULL AND NOT {_UNTOLD}),
-both_ AS MATERIALIZED (SELECT id, source_id, raw_text, published_at, false AS hid, false AS old FROM cur UNION ALL SELECT id, source_id, raw_text, published_at, duplicate_of IS NOT NULL, true FROM pool),
+went AS MATERIALIZED (SELECT digest, max(processed_at) AS at_ FROM cur GROUP BY 1),
+old_ AS MATERIALIZED (SELECT p.id, w.digest FROM pool p JOIN went w ON p.processed_at <= w.at_ AND p.processed_at > w.at_ - INTERVAL 48 HOUR), in_ AS (SELECT id, digest FROM cur UNION ALL SELECT * FROM old_),
+both_ AS MATERIALIZED (SELECT id, source_id, raw_text, published_at, false AS hid, false AS old FROM cur UNION ALL SELECT id, source_id, raw_text, published_at, duplicate_of IS NOT NULL, true FROM pool WHERE id IN (SELECT id FROM old_)),
 l1 AS MATERIALIZED (SELECT id, source_id, {_LINES_OF.format("raw_text")} AS l FROM both_), f1 AS MATERIALIZED ({_signed("l1")}),
 l2 AS MATERIALIZED ({_unsigned("l1", "f1")}), f2 AS MATERIALIZED (SELECT * FROM f1 UNION {_signed("l2")}), l3 AS MATERIALIZED ({_unsigned("l1", "f2")}), f3 AS MATERIALIZED (SELECT * FROM f2 UNION {_signed("l3")}),
 own_lines AS (SELECT id, source_id, published_at, hid, old, {_LINES_OF.format("regexp_replace(raw_text, '^\\[Context:[^\\n]*\\]\\n', '')")} AS l FROM both_),
-keyed AS MATERIALIZED (SELECT * FROM (SELECT * EXCLUDE l, regexp_replace(lower(array_to_string(l, chr(10))), '[^\\pL\\pN_]+', '', 'g') AS k FROM ({_unsigned("own_lines", "f3")})) WHERE length(k) >= 100 QUALIFY count(*) OVER (PARTITION BY source_id, k) = 2),
-told AS (SELECT *, first_value(CASE WHEN NOT hid THEN id END IGNORE NULLS) OVER (PARTITION BY source_id, k ORDER BY NOT old, published_at NULLS FIRST, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier_id FROM keyed),
+keyed AS MATERIALIZED (SELECT * FROM (SELECT * EXCLUDE l, regexp_replace(lower(array_to_string(l, chr(10))), '[^\\pL\\pN_]+', '', 'g') AS k FROM ({_unsigned("own_lines", "f3")})) JOIN in_ USING (id) WHERE length(k) >= 100 QUALIFY count(*) OVER (PARTITION BY digest, source_id, k) = 2),
+told AS (SELECT *, first_value(CASE WHEN NOT hid THEN id END IGNORE NULLS) OVER (PARTITION BY digest, source_id, k ORDER BY NOT old, published_at NULLS FIRST, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier_id FROM keyed),
 repeated AS MATERIALIZED (SELECT id, earlier_id AS primary_id FROM told WHERE NOT old AND earlier_id IS NOT NULL),
 emb AS MATERIALIZED (SELECT c.id, c.digest, c.source_id, c.category, c.processed_at, CAST(v AS DOUBLE[]) AS v FROM cur c JOIN vectors USING (id) WHERE NOT {_UNTOLD}),
 close_ AS MATERIALIZED (SELECT * FROM (SELECT a.digest, a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS score, {_FLOOR.format("a.category", "b.category")} AS floor FROM emb a JOIN emb b ON a.digest = b.digest AND a.id < b.id AND a.source_id <> b.source_id) WHERE score >= floor),

@@ -207,10 +207,20 @@ def _keyed(v):
     return reposts.with_keys(rows, None)
 
 
-@plan("exact_reposts", f"""{_KEYED}, told AS (SELECT *, count(*) OVER (PARTITION BY source_id, k) AS n FROM keyed WHERE k <> '')
-SELECT b.id, a.id AS earlier_id FROM told b JOIN told a ON a.source_id = b.source_id AND a.k = b.k AND a.id <> b.id WHERE b.n = 2 AND NOT b.sent AND a.id % 10 <> 0 AND (a.sent OR (a.processed_at, a.id) < (b.processed_at, b.id))""")
+#: Hours that exact_reposts looks back from a digest.
+LOOK_BACK = 30 * 24
+
+
+@plan("exact_reposts", f"""{_KEYED}, went AS (SELECT digest, max(processed_at) AS at_ FROM items WHERE NOT sent GROUP BY 1),
+seen AS (SELECT id, digest FROM items WHERE NOT sent UNION ALL SELECT i.id, w.digest FROM items i JOIN went w ON i.sent AND i.processed_at <= w.at_ AND i.processed_at > w.at_ - INTERVAL {LOOK_BACK} HOUR),
+told AS (SELECT *, count(*) OVER (PARTITION BY digest, source_id, k) AS n FROM keyed JOIN seen USING (id) WHERE k <> '')
+SELECT b.id, a.id AS earlier_id FROM told b JOIN told a ON a.digest = b.digest AND a.source_id = b.source_id AND a.k = b.k AND a.id <> b.id WHERE b.n = 2 AND NOT b.sent AND a.id % 10 <> 0 AND (a.sent OR (a.processed_at, a.id) < (b.processed_at, b.id))""")
 def _(v):
-    return reposts.exact_reposts(_keyed(v), 2)
+    """Posts of each digest against one another and against what was shown before it went out."""
+    waiting = v.posts.filter("NOT sent")
+    went = waiting.groupBy("digest").agg(F.max("processed_at").alias("as_of"))
+    seen = waiting.select("id", "digest").unionByName(reposts.looked_back(v.posts.filter("sent"), went, LOOK_BACK))
+    return reposts.exact_reposts(_keyed(v).join(seen, "id"), 2, ("digest", "source_id"))
 
 
 @plan("recurring_texts", f"{_KEYED} SELECT source_id, md5(k) AS slot, count(*) AS times, min(id) AS first_id FROM keyed WHERE k <> '' GROUP BY ALL HAVING count(*) > 1")

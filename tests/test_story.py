@@ -105,3 +105,25 @@ def test_log_tail(spark, tmp_path):
 def test_client_errors(spark):
     df = spark.createDataFrame([(200,), (404,), (408,), (429,), (500,)], "s int")
     assert [r.e for r in df.select(feeds.client_error(F.col("s")).alias("e")).collect()] == [False, True, False, False, False]
+
+
+def test_reposts_of_what_was_shown_before_the_digest_alone(spark):
+    long = "The very same words of one channel, told once more without a change of any letter. " * 3
+    at = lambda day, hour=10: {"published_at": f"2024-01-{day:02} {hour:02}:00:00", "processed_at": f"2024-01-{day:02} {hour:02}:00:00"}
+    items = [{"id": 1, "source_id": 1, "raw_text": long} | at(10), {"id": 2, "source_id": 2, "raw_text": long} | at(10), {"id": 3, "source_id": 3, "raw_text": long} | at(10), {"id": 4, "source_id": 4, "raw_text": long} | at(10)]
+    items += [{"id": 11, "digest": 2, "source_id": 1, "raw_text": long} | at(20)]
+    pool = [{"id": 100, "source_id": 1, "raw_text": long} | at(25), {"id": 101, "source_id": 2, "raw_text": long} | at(9), {"id": 102, "source_id": 3, "raw_text": long} | at(1)]  # later, the day before, days before
+    pool += [{"id": 103, "source_id": 4, "raw_text": long} | at(9), {"id": 104, "source_id": 4, "raw_text": long} | at(30)]  # no template yet
+    hidden, updates = run(spark, items, pool, {}, [])
+    assert hidden == {2: 101, 4: 103} and updates == {}
+
+
+def test_looking_back(spark):
+    rows = [(k, f"2024-01-{1 + k // 24:02} {k % 24:02}:00:00") for k in range(0, 200, 5)]
+    pool = spark.createDataFrame(rows, "id long, processed_at string").withColumn("processed_at", F.col("processed_at").cast("timestamp"))
+    digests = spark.createDataFrame([(1, "2024-01-03 02:00:00"), (2, "2024-01-05 00:00:00"), (3, "2023-12-31 00:00:00")], "digest long, as_of string").withColumn("as_of", F.col("as_of").cast("timestamp"))
+    for hours in (10, 24, 48):
+        from newsloom.operators import reposts
+
+        got = {(r.id, r.digest) for r in reposts.looked_back(pool, digests, hours).collect()}
+        assert got == {(k, d) for k, _ in rows for d, end in ((1, 50), (2, 96), (3, -24)) if end - hours < k <= end}
