@@ -11,6 +11,7 @@ from newsloom.functions import text
 from newsloom.functions import vectors as vec
 from newsloom.operators import analytics, assemble, dedup, digest, ingest, merge, queue, rules, similarity, story
 from newsloom.operators.graph import cut
+from newsloom.operators.metric_index import MetricIndex
 from newsloom.operators.judge import TableJudge
 from newsloom.plans.registry import plan
 
@@ -39,6 +40,13 @@ def _(v):
     return similarity.digest_pairs(_emb(v), SAME, CROSS).select("a", "b", F.round("score", 6).alias("score"))
 
 
+@plan("vector_pairs_all", """, one AS (SELECT min(vec_id) AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings GROUP BY embedding)
+SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM one a JOIN one b ON a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.33""")
+def _(v):
+    """Every pair of the whole vector table, no digest or other key between them."""
+    return MetricIndex(v.vectors).pairs(0.33).select("a", "b", F.round("score", 6).alias("score"))
+
+
 _REACH = """, edge AS (SELECT a, b FROM {edges} UNION SELECT b, a FROM {edges}), reach(id, x) AS (SELECT id, id FROM {nodes} UNION SELECT r.id, e.b FROM reach r JOIN edge e ON e.a = r.x),
 comp AS (SELECT id, min(x) AS component FROM reach GROUP BY 1)"""
 
