@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.operators.graph import cut
+from newsloom.operators.graph import counted_cut, cut
 
 LINES_PER_SOURCE = 50
 
@@ -45,20 +45,37 @@ def reply_parents(replies: DataFrame, store: DataFrame, shown: DataFrame) -> Dat
 def threads(lines: DataFrame) -> DataFrame:
     """Digest, id, place, nested: each answer right under its original, depth first; loops go out once, at the end.
 
-    lines: digest, id, position, parent (null or elsewhere: a top line). A line's path is the positions
-    from its top line down; paths double in length each round, so depth costs its logarithm.
+    lines: digest, id, position, parent (null or elsewhere: a top line). A thread is walked as an Euler tour,
+    a list in which every line is entered and left once; ranking these lists by pointer jumping gives
+    places in rounds that grow with the logarithm of the longest thread, and two rows a line, however deep.
     """
     here = lines.select("digest", F.col("id").alias("parent"), F.lit(True).alias("here"))
-    step = F.lpad(F.col("position").cast("string"), 12, "0")
-    rows = lines.join(here, ["digest", "parent"], "left").select("digest", "id", "position", F.when(F.col("here"), F.col("parent")).alias("up"), step.alias("path"), F.col("here").isNotNull().alias("nested"))
-    now = cut(rows.select("digest", "id", "position", "up", "path", "nested"))
-    most, rounds = now.count(), 0
-    while 2**rounds <= 2 * most and not now.filter("up IS NOT NULL").isEmpty():
-        above = now.select("digest", F.col("id").alias("up"), F.col("up").alias("next"), F.col("path").alias("head"))
-        now = cut(now.join(above, ["digest", "up"], "left").select("digest", "id", "position", F.col("next").alias("up"), F.concat_ws("/", "head", "path").alias("path"), "nested"))
+    sibling = Window.partitionBy("digest", "up").orderBy("position", "id")
+    rows = lines.join(here, ["digest", "parent"], "left").select("digest", "id", "position", F.when(F.col("here"), F.col("parent")).alias("up"))
+    rows = cut(rows.withColumn("nth", F.row_number().over(sibling)).withColumn("right", F.lead("id").over(sibling)))
+    first = rows.filter("up IS NOT NULL AND nth = 1").select("digest", F.col("up").alias("id"), F.col("id").alias("child"))
+    enter, leave = lambda c: F.col(c) * 2, lambda c: F.col(c) * 2 + 1
+    after_enter = F.coalesce(enter("child"), leave("id"))
+    after_leave = F.when(F.col("up").isNotNull(), F.coalesce(enter("right"), leave("up")))
+    steps = F.array(
+        F.struct(enter("id").alias("step"), after_enter.alias("next"), F.lit(1).cast("bigint").alias("entered"), F.lit(None).cast("bigint").alias("top")),
+        F.struct(leave("id").alias("step"), after_leave.alias("next"), F.lit(0).cast("bigint").alias("entered"), F.when(F.col("up").isNull(), F.col("id")).alias("top")),
+    )
+    tour = rows.join(first, ["digest", "id"], "left").select("digest", F.explode(steps).alias("s")).select("digest", "s.*")
+    now, moving = counted_cut(tour, F.col("next").isNotNull())
+    most, rounds = rows.count(), 0
+    while moving and 2**rounds <= 2 * most:  # who still moves then is in a loop, or answers one
+        ahead = now.select("digest", F.col("step").alias("next"), F.col("next").alias("further"), F.col("entered").alias("more"), F.col("top").alias("its_top"))
+        jumped = now.join(ahead, ["digest", "next"], "left").select("digest", "step", F.col("further").alias("next"), (F.col("entered") + F.coalesce("more", F.lit(0))).alias("entered"), F.coalesce("top", "its_top").alias("top"))
+        now, moving = counted_cut(jumped, F.col("next").isNotNull())
         rounds += 1
-    # whoever still has something above is in a loop, or answers one
-    loop = F.col("up").isNotNull()
-    order = F.when(loop, F.concat(F.lit("~"), F.lpad(F.col("position").cast("string"), 12, "0"))).otherwise(F.col("path"))
-    w = Window.partitionBy("digest").orderBy(order)
-    return now.select("digest", "id", F.row_number().over(w).alias("place"), (F.col("nested") & ~loop).alias("nested"))
+    told = rows.join(now.filter("step % 2 = 0").select("digest", F.floor(F.col("step") / 2).alias("id"), "entered", F.when(F.isnull("next"), F.col("top")).alias("top")), ["digest", "id"])
+    loop = F.col("top").isNull()
+    heads = told.filter("top = id").select("digest", F.col("id").alias("top"), F.col("position").alias("top_position"), F.col("entered").alias("size"))
+    down = Window.partitionBy("digest").orderBy("top_position", "top")
+    heads = heads.withColumn("start", F.sum("size").over(down) - F.col("size"))
+    whole = heads.groupBy("digest").agg(F.sum("size").alias("walked"))
+    out = told.join(heads, ["digest", "top"], "left").join(whole, "digest", "left")
+    late = F.row_number().over(Window.partitionBy("digest", loop).orderBy("position", "id"))
+    place = F.when(loop, F.coalesce("walked", F.lit(0)) + late).otherwise(F.col("start") + F.col("size") - F.col("entered") + 1)
+    return out.select("digest", "id", place.cast("int").alias("place"), (F.col("up").isNotNull() & ~loop).alias("nested"))

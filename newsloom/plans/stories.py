@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import text
 from newsloom.functions import vectors as vec
 from newsloom.operators import analytics, assemble, dedup, digest, ingest, merge, queue, rules, similarity, story
-from newsloom.operators.graph import cut
+from newsloom.operators.graph import GrowingComponents, cut
 from newsloom.operators.metric_index import MetricIndex
 from newsloom.operators.judge import TableJudge
 from newsloom.plans.registry import plan
@@ -57,6 +57,17 @@ def _(v):
     return similarity.clusters(rows, similarity.digest_pairs(rows, 0.35, 0.35))
 
 
+@plan("components_grown", f""", one AS (SELECT min(vec_id) AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings GROUP BY embedding),
+near AS (SELECT a.id AS a, b.id AS b FROM one a JOIN one b ON a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.33), ends AS (SELECT a AS id FROM near UNION SELECT b FROM near){_REACH.format(edges='near', nodes='ends')} SELECT id, component FROM comp""")
+def _(v):
+    """The similar pairs of the whole vector table, told in ten parts."""
+    pairs = cut(MetricIndex(v.vectors).pairs(0.33).select("a", "b"))
+    out = GrowingComponents(v.spark)
+    for k in range(10):
+        out.add(pairs.filter((F.col("a") * 31 + F.col("b")) % 10 == k))
+    return out.labels()
+
+
 @plan("within_source_clusters", f"{_EMBEDDED}, own AS (SELECT * FROM pair WHERE a_source = b_source AND score >= 0.15){_REACH.format(edges='own', nodes='items')} SELECT id, component FROM comp")
 def _(v):
     return similarity.clusters(v.posts, similarity.digest_pairs(_emb(v), 0.15, 0.15, within_source=True))
