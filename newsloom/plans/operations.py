@@ -69,12 +69,12 @@ def _(v):
     return v.sources.select("status", "type", "category", "id", "name", F.row_number().over(Window.partitionBy("status", "type").orderBy("sort_order", "name")).alias("place"))
 
 
-@plan("rule_scopes", """SELECT word_id, rule, coalesce((SELECT string_agg(category, ',' ORDER BY category) FROM rule_categories c WHERE c.word_id = r.word_id), '') AS categories,
-  coalesce((SELECT string_agg(CAST(source_id AS VARCHAR), ',' ORDER BY source_id) FROM rule_sources s WHERE s.word_id = r.word_id), '') AS sources FROM rules r""")
+@plan("rule_scopes", """SELECT word_id, rule, coalesce((SELECT string_agg(category, ',' ORDER BY category) FROM kept_rule_categories c WHERE c.word_id = r.word_id), '') AS categories,
+  coalesce((SELECT string_agg(CAST(source_id AS VARCHAR), ',' ORDER BY source_id) FROM kept_rule_sources s WHERE s.word_id = r.word_id), '') AS sources FROM kept_rules r""")
 def _(v):
-    c = v.rule_categories.groupBy("word_id").agg(F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"))
-    s = v.rule_sources.groupBy("word_id").agg(F.array_join(F.transform(F.array_sort(F.collect_set("source_id")), lambda x: x.cast("string")), ",").alias("sources"))
-    out = v.rules.join(c, "word_id", "left").join(s, "word_id", "left")
+    c = v.kept_rule_categories.groupBy("word_id").agg(F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"))
+    s = v.kept_rule_sources.groupBy("word_id").agg(F.array_join(F.transform(F.array_sort(F.collect_set("source_id")), lambda x: x.cast("string")), ",").alias("sources"))
+    out = v.kept_rules.join(c, "word_id", "left").join(s, "word_id", "left")
     return out.select("word_id", "rule", F.coalesce("categories", F.lit("")).alias("categories"), F.coalesce("sources", F.lit("")).alias("sources"))
 
 
@@ -172,12 +172,12 @@ def _(v):
     return analytics.timetable_groups(analytics.category_times_text(v.categories, v.category_times))
 
 
-@plan("schedule_split", f"""SELECT DISTINCT name, CAST(h * 60 + m AS INT) AS minute FROM (
+@plan("schedule_split", """SELECT DISTINCT name, CAST(h * 60 + m AS INT) AS minute FROM (
   SELECT name, try_cast(split_part(trim(x), ':', 1) AS INT) AS h, try_cast(split_part(trim(x), ':', 2) AS INT) AS m
-  FROM (SELECT column0 AS name, unnest(string_split(column1, ',')) AS x FROM (VALUES {values(data.LEGACY_SCHEDULES)}) t(column0, column1)))
+  FROM (SELECT name, unnest(string_split(digest_time, ',')) AS x FROM legacy_schedules))
 WHERE h BETWEEN 0 AND 23 AND m BETWEEN 0 AND 59""")
 def _(v):
-    return state.split_schedule(v.literal(data.LEGACY_SCHEDULES, "name string, digest_time string"))
+    return state.split_schedule(v.legacy_schedules)
 
 
 @plan("next_slot", """, slots AS (SELECT DISTINCT hour * 60 + minute AS s FROM category_times JOIN categories ON name = category WHERE is_active), w AS (
@@ -284,14 +284,14 @@ def _(v):
     return state.revive_feeds(v.sources, 5).select("name")
 
 
-@plan("remove_source", "SELECT word_id, source_id FROM rule_sources WHERE NOT (source_id = 2 AND word_id IN (SELECT word_id FROM rule_sources WHERE source_id <> 2))")
+@plan("remove_source", "SELECT word_id, source_id FROM kept_rule_sources WHERE NOT (source_id = 2 AND word_id IN (SELECT word_id FROM kept_rule_sources WHERE source_id <> 2))")
 def _(v):
-    return state.remove_source_rules(v.rule_sources, 2)
+    return state.remove_source_rules(v.kept_rule_sources, 2)
 
 
-@plan("move_category", "SELECT DISTINCT word_id, CASE WHEN category = 'feed' THEN 'tech' ELSE category END AS category FROM rule_categories")
+@plan("move_category", "SELECT DISTINCT word_id, CASE WHEN category = 'feed' THEN 'tech' ELSE category END AS category FROM kept_rule_categories")
 def _(v):
-    return state.move_category(v.rule_categories, "feed", "tech")
+    return state.move_category(v.kept_rule_categories, "feed", "tech")
 
 
 @plan("reassign_source", "SELECT id, CASE WHEN source_id = 3 AND NOT sent THEN 'feed' ELSE category END AS category FROM items")
@@ -310,9 +310,11 @@ def _(v):
     return state.moved_up(v.sources, ["src6", "src1"]).select("id", "new_order")
 
 
-@plan("toggle_links", "(SELECT * FROM rule_sources EXCEPT SELECT * FROM (VALUES (3, 2), (6, 2)) t) UNION ALL (SELECT * FROM (VALUES (3, 2), (6, 2)) t EXCEPT SELECT * FROM rule_sources)")
+@plan("toggle_links", """, t AS (SELECT DISTINCT k AS word_id, (user_id + 3) % 20 AS source_id FROM keyed_events WHERE event_type = 'purchase')
+(SELECT * FROM kept_rule_sources EXCEPT SELECT * FROM t) UNION ALL (SELECT * FROM t EXCEPT SELECT * FROM kept_rule_sources)""")
 def _(v):
-    return state.toggle(v.rule_sources, v.literal([(3, 2), (6, 2)], "word_id long, source_id long"), ["word_id", "source_id"])
+    toggled = v.keyed_events.filter("event_type = 'purchase'").select(F.col("k").alias("word_id"), ((F.col("user_id") + 3) % 20).alias("source_id")).distinct()
+    return state.toggle(v.kept_rule_sources, toggled, ["word_id", "source_id"])
 
 
 @plan("delivery_prefix", "SELECT conv_id AS digest, turn AS seq FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM conversations f WHERE f.conv_id = c.conv_id AND f.turn <= c.turn AND length(f.text) % 4 = 0)")

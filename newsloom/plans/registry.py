@@ -73,9 +73,17 @@ items AS (
   FROM (SELECT doc_id AS id, CAST(substr(source, 4) AS BIGINT) AS source_id, text AS raw_text FROM documents)),
 vectors AS (SELECT vec_id AS id, embedding AS v FROM embeddings),
 present AS (SELECT max(processed_at) AS as_of FROM items),
-categories(name, emoji, sort_order, is_active) AS (VALUES {values(data.CATEGORIES)}),
-category_times(category, hour, minute) AS (VALUES {values(data.CATEGORY_TIMES)}),
+categories AS (
+  SELECT category AS name, {data.EMOJI}[list_position({data.CATEGORY_NAMES}, category)] AS emoji, CAST(list_position({data.CATEGORY_NAMES}, category) - 1 AS INT) AS sort_order, true AS is_active FROM (SELECT DISTINCT category FROM every_source)
+  UNION ALL SELECT 'in ' || lang, '🌐', 4, lang <> 'de' FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)),
+keyed_events AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+category_times AS (SELECT DISTINCT {data.TIMED}[user_id % 8 + 1] AS category, CAST(user_id % 3 * 6 + 6 AS INT) AS hour, CASE WHEN k < 50 THEN 0 ELSE 30 END AS minute
+  FROM keyed_events WHERE event_type = 'purchase' AND NOT (user_id % 8 = 2 AND k >= 50) AND (user_id % 8 < 4 OR user_id % 3 = 0)),
+legacy_schedules AS (SELECT 'u' || user_id AS name, string_agg((k % 30) || ':' || (event_id % 70), ', ' ORDER BY event_id) AS digest_time FROM keyed_events GROUP BY user_id),
+kept_rules AS (SELECT k AS word_id, 'rule ' || k AS rule, CASE WHEN k % 4 = 0 THEN 'Label ' || k END AS label FROM (SELECT DISTINCT k FROM keyed_events)),
+kept_rule_categories AS (SELECT DISTINCT k AS word_id, {data.CATEGORY_NAMES}[user_id % 4 + 1] AS category FROM keyed_events WHERE event_type = 'purchase' AND k % 3 = 0),
+kept_rule_sources AS (SELECT DISTINCT k AS word_id, user_id % 20 AS source_id FROM keyed_events WHERE event_type = 'click' AND k % 5 <> 0),
 rules(word_id, rule, label) AS (VALUES {values(data.RULES)}),
 rule_categories(word_id, category) AS (VALUES {values(data.RULE_CATEGORIES)}),
 rule_sources(word_id, source_id) AS (VALUES {values(data.RULE_SOURCES)}),
-digest_log AS (SELECT CAST(column0 AS TIMESTAMP) AS sent_at, column1 AS items_total, column2 AS status FROM (VALUES {values(data.DIGEST_LOG)}) AS t(column0, column1, column2))"""
+digest_log AS (SELECT ts AS sent_at, CAST(k AS INT) AS items_total, CASE k % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'empty' ELSE 'ok' END AS status FROM keyed_events WHERE event_type = 'purchase')"""

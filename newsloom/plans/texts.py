@@ -10,10 +10,13 @@ from newsloom.operators import ingest, reposts
 from newsloom.plans.registry import plan, values
 from newsloom.sources import views as data
 
-_SUMMARIES = [(1, "no text"), (2, " No Caption "), (3, "[Photo]"), (4, "[a short note]"), (5, "[this one is far too long to be one]"), (6, ""), (7, None), (8, "media"), (9, "[Giveaway results]"), (10, "Text"), (11, "[Media]")]
-_MEDIA = [(1, 3, 0), (2, 1, 59), (3, 1, 3725), (4, 1, 0), (5, 0, 600)]
+_TOKENS = ["no text", " No Caption ", "[Photo]", "[a short note]", "[this one is far too long to be one]", "", None, "media", "[Giveaway results]", "Text", "[Media]"]
 _RAW_HOSTS = ["example.org", "late.example.net"]
-_URLS = [(1, "https://example.org/a"), (2, "https://news.example.org/x?y"), (3, "https://notexample.org/"), (4, "not a url"), (5, None), (6, "http://LATE.example.net/")]
+_ADDRESSES = ["https://example.org/a", "https://news.example.org/x?y", "https://notexample.org/", "not a url", None, "http://LATE.example.net/"]
+
+
+def _quoted(x: str | None) -> str:
+    return "NULL" if x is None else f"'{x}'"
 
 
 @plan("clean_text", """SELECT id, md5(regexp_replace(regexp_replace(x, '[⠀ㅤ]', ' ', 'g'), '[­​-‍⁠﻿︎️]', '', 'g')) AS text_md5
@@ -30,10 +33,12 @@ def _(v):
 
 
 @plan("placeholders", f"""SELECT id, coalesce(lower(trim(t)) IN ('no text', 'no caption', 'media') OR (trim(t) LIKE '[%]' AND length(trim(t)) <= 20), false) AS untold,
-  trim(coalesce(t, '')) IN ('', 'no text', '[Photo]', '[Giveaway results]', '[Media]') AS media_only FROM (VALUES {values(_SUMMARIES)}) s(id, t)""")
+  trim(coalesce(t, '')) IN ('', 'no text', '[Photo]', '[Giveaway results]', '[Media]') AS media_only FROM (SELECT id, CASE WHEN id % 20 < {len(_TOKENS)} THEN [{', '.join(map(_quoted, _TOKENS))}][id % 20 + 1] ELSE summary END AS t FROM items) s""")
 def _(v):
+    """Every summary; of most posts a bare token in its place."""
     t = F.col("t")
-    return v.literal(_SUMMARIES, "id int, t string").select("id", text.is_placeholder(t).alias("untold"), text.is_media_only(t).alias("media_only"))
+    token = F.get(F.array(*map(F.lit, _TOKENS)), (F.col("id") % 20).cast("int"))
+    return v.posts.select("id", F.when(F.col("id") % 20 < len(_TOKENS), token).otherwise(F.col("summary")).alias("t")).select("id", text.is_placeholder(t).alias("untold"), text.is_media_only(t).alias("media_only"))
 
 
 @plan("opt_outs", "SELECT id, coalesce(contains(lower(prompt_extra), 'no merge'), false) AS no_merge, false AS no_filter, coalesce(contains(lower(prompt_extra), 'no translat'), false) AS no_translate FROM sources")
@@ -42,14 +47,18 @@ def _(v):
     return v.sources.select("id", text.wants(p, text.NO_MERGE).alias("no_merge"), text.wants(p, text.NO_FILTER).alias("no_filter"), text.wants(p, text.NO_TRANSLATE).alias("no_translate"))
 
 
-@plan("late_hosts", f"SELECT id, coalesce(regexp_matches(lower(u), '^https?://([^/]*[.])?(example[.]org|late[.]example[.]net)(/|$)'), false) AS listed FROM (VALUES {values(_URLS)}) t(id, u)")
+@plan("late_hosts", f"SELECT id, coalesce(regexp_matches(lower(u), '^https?://([^/]*[.])?(example[.]org|late[.]example[.]net)(/|$)'), false) AS listed FROM (SELECT id, CASE WHEN id % 10 < {len(_ADDRESSES)} THEN [{', '.join(map(_quoted, _ADDRESSES))}][id % 10 + 1] ELSE original_url END AS u FROM items) t")
 def _(v):
-    return v.literal(_URLS, "id int, u string").select("id", text.host_listed(F.col("u"), _RAW_HOSTS).alias("listed"))
+    """Every post's address; of some another."""
+    other = F.get(F.array(*map(F.lit, _ADDRESSES)), (F.col("id") % 10).cast("int"))
+    return v.posts.select("id", F.when(F.col("id") % 10 < len(_ADDRESSES), other).otherwise(F.col("original_url")).alias("u")).select("id", text.host_listed(F.col("u"), _RAW_HOSTS).alias("listed"))
 
 
-@plan("media_notes", f"SELECT id, CASE WHEN n > 1 THEN '×' || n WHEN s >= 3600 THEN printf('%d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) WHEN s > 0 THEN printf('%d:%02d', s // 60, s % 60) END AS note FROM (VALUES {values(_MEDIA)}) t(id, n, s)")
+@plan("media_notes", "SELECT id, CASE WHEN n > 1 THEN '×' || n WHEN s >= 3600 THEN printf('%d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) WHEN s > 0 THEN printf('%d:%02d', s // 60, s % 60) END AS note FROM (SELECT event_id AS id, CASE WHEN k % 3 = 0 THEN k % 7 ELSE 0 END AS n, CASE WHEN k % 11 = 0 THEN 0 ELSE user_id * 37 % 8000 END AS s FROM keyed_events) t")
 def _(v):
-    return v.literal(_MEDIA, "id int, n int, s int").select("id", text.media_note(F.col("n"), F.col("s")).alias("note"))
+    k = F.col("k")
+    media = v.keyed_events.select(F.col("event_id").alias("id"), F.when(k % 3 == 0, k % 7).otherwise(0).cast("int").alias("n"), F.when(k % 11 == 0, 0).otherwise(F.col("user_id") * 37 % 8000).cast("int").alias("s"))
+    return media.select("id", text.media_note(F.col("n"), F.col("s")).alias("note"))
 
 
 @plan("feed_texts", """, e AS (SELECT id, trim(split_part(raw_text, chr(10), 1), ' ' || chr(9) || chr(13)) AS t, CASE WHEN id % 5 = 0 THEN '' WHEN id % 5 = 1 THEN substr(raw_text, 1, 20) ELSE substr(raw_text, strpos(raw_text || chr(10), chr(10)) + 1, 80) END AS b0,
@@ -80,12 +89,11 @@ def _(v):
     return v.posts.select("id", clock.ago(clock.hours_between(v.as_of, at)).alias("age"), clock.day_label(at, v.as_of).alias("day_label"), F.dayofyear(at).alias("issue"))
 
 
-@plan("parse_times", f"""SELECT n.name, coalesce((SELECT string_agg(CAST(h * 60 + m AS VARCHAR), ',' ORDER BY k) FROM (
+@plan("parse_times", """SELECT n.name, coalesce((SELECT string_agg(CAST(h * 60 + m AS VARCHAR), ',' ORDER BY k) FROM (
   SELECT k, try_cast(split_part(trim(x), ':', 1) AS INT) AS h, try_cast(split_part(trim(x), ':', 2) AS INT) AS m FROM (SELECT unnest(string_split(n.s, ',')) AS x, generate_subscripts(string_split(n.s, ','), 1) AS k))
-  WHERE h BETWEEN 0 AND 23 AND m BETWEEN 0 AND 59), '') AS minutes FROM (VALUES {values(data.LEGACY_SCHEDULES)}) n(name, s)""")
+  WHERE h BETWEEN 0 AND 23 AND m BETWEEN 0 AND 59), '') AS minutes FROM (SELECT name, digest_time AS s FROM legacy_schedules) n""")
 def _(v):
-    rows = v.literal(data.LEGACY_SCHEDULES, "name string, digest_time string")
-    return rows.select("name", F.array_join(F.transform(clock.parse_times(F.col("digest_time")), lambda m: m.cast("string")), ",").alias("minutes"))
+    return v.legacy_schedules.select("name", F.array_join(F.transform(clock.parse_times(F.col("digest_time")), lambda m: m.cast("string")), ",").alias("minutes"))
 
 
 @plan("early_jobs", "SELECT category, hour * 60 + minute AS slot, (hour * 60 + minute + 1438) % 1440 AS collect_at, (hour * 60 + minute + 1439) % 1440 AS classify_at FROM category_times")

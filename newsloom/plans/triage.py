@@ -62,9 +62,9 @@ def _(v):
     return triage.paged(v.sources, [F.col("sort_order"), F.col("name")], 2, "category").select("category", "id", "page")
 
 
-@plan("fires_at", "SELECT name, name IN (SELECT category FROM category_times WHERE hour = 18 AND minute = 30) AND name IN (SELECT category FROM category_times WHERE hour = 9 AND minute = 0) AS fires FROM categories WHERE is_active")
+@plan("fires_at", "SELECT name, name IN (SELECT category FROM category_times WHERE hour = 18 AND minute = 30) AND name IN (SELECT category FROM category_times WHERE hour = 6 AND minute = 0) AS fires FROM categories WHERE is_active")
 def _(v):
-    return triage.fires_at(analytics.category_times_text(v.categories, v.category_times), F.lit("18:30,9:00")).select("name", "fires")
+    return triage.fires_at(analytics.category_times_text(v.categories, v.category_times), F.lit("18:30,6:00")).select("name", "fires")
 
 
 @plan("rule_choices", "SELECT id, chosen, row_number() OVER (PARTITION BY category ORDER BY lower(name), id) AS place FROM (SELECT *, id IN (SELECT source_id FROM rule_sources WHERE word_id = 4) AS chosen FROM sources) WHERE chosen OR status = 'active'")
@@ -85,11 +85,11 @@ def _(v):
     return triage.with_attempts(v.posts, failures, 5).select("id", "classify_attempts", F.md5("summary").alias("summary_md5"))
 
 
-@plan("schedule_writes", "SELECT category, hour, minute FROM category_times WHERE NOT (hour = 9 AND minute = 0) UNION SELECT 'feed', 6, 15 UNION SELECT 'feed', 18, 30")
+@plan("schedule_writes", "SELECT category, hour, minute FROM category_times WHERE NOT (hour = 6 AND minute = 0) UNION SELECT 'feed', 6, 15 UNION SELECT 'feed', 18, 30")
 def _(v):
     """A time removed everywhere, two added, one of which is there."""
     added = v.literal([("feed", 6, 15), ("feed", 18, 30)], "category string, hour int, minute int")
-    return v.category_times.filter("NOT (hour = 9 AND minute = 0)").unionByName(added).distinct()
+    return v.category_times.filter("NOT (hour = 6 AND minute = 0)").unionByName(added).distinct()
 
 
 @plan("slow_digests", "SELECT digest, count(*) AS n, greatest(180.0::DOUBLE, 1.5::DOUBLE * count(*)) AS slow_after FROM items WHERE NOT sent GROUP BY 1")

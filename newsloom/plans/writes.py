@@ -30,18 +30,22 @@ def _(v):
     return state.set_prompt(v.sources, "crypto", "be brief").select("id", "changed", "prompt_extra")
 
 
-_ADDED = [("never", 1), ("new one", 2), ("another", 3), ("new one", 4)]
-
-
-@plan("rules_added", "SELECT * FROM rules UNION ALL SELECT 8, 'new one', NULL UNION ALL SELECT 9, 'another', NULL")
+@plan("rules_added", """, added AS (SELECT 'rule ' || (k + 50) AS rule, min(event_id) AS seq FROM keyed_events WHERE event_type = 'error' GROUP BY 1)
+SELECT * FROM kept_rules UNION ALL SELECT (SELECT max(word_id) FROM kept_rules) + row_number() OVER (ORDER BY seq), rule, NULL FROM added WHERE rule NOT IN (SELECT rule FROM kept_rules)""")
 def _(v):
-    return state.add_rules(v.rules, v.literal(_ADDED, "rule string, seq int"))
+    """Every failure asks for a rule, half of which are there."""
+    added = v.keyed_events.filter("event_type = 'error'").select(F.concat(F.lit("rule "), F.col("k") + 50).alias("rule"), F.col("event_id").alias("seq"))
+    return state.add_rules(v.kept_rules, added)
 
 
-@plan("rules_edited", "SELECT r.word_id, rule, CASE word_id WHEN 1 THEN 'Shops' WHEN 3 THEN NULL ELSE label END AS label, (SELECT count(*) FROM rule_categories c WHERE c.word_id = r.word_id) + (SELECT count(*) FROM rule_sources c WHERE c.word_id = r.word_id) AS links FROM rules r WHERE word_id NOT IN (2, 5)")
+@plan("rules_edited", """, named AS (SELECT k AS word_id, arg_max({'l': CASE WHEN event_id % 5 <> 0 THEN 'L' || user_id END}, event_id) AS new FROM keyed_events WHERE event_type = 'view' AND k % 2 = 0 GROUP BY 1), gone AS (SELECT k FROM keyed_events WHERE event_type = 'error' AND user_id % 30 = 1)
+SELECT r.word_id, rule, CASE WHEN n.new IS NULL THEN label ELSE n.new.l END AS label, (SELECT count(*) FROM kept_rule_categories c WHERE c.word_id = r.word_id) + (SELECT count(*) FROM kept_rule_sources c WHERE c.word_id = r.word_id) AS links
+FROM kept_rules r LEFT JOIN named n USING (word_id) WHERE word_id NOT IN (SELECT k FROM gone)""")
 def _(v):
-    labelled = state.label_rules(v.rules, v.literal([(1, "Ads", 1), (1, "Shops", 2), (3, None, 3), (99, "x", 4)], "word_id long, label string, seq int"))
-    left, links = state.remove_rules(labelled, [v.rule_categories, v.rule_sources], v.literal([(2,), (5,)], "word_id long"))
+    """Views write labels, null ones too; some failures take a rule away."""
+    labels = v.keyed_events.filter("event_type = 'view' AND k % 2 = 0").select(F.col("k").alias("word_id"), F.when(F.col("event_id") % 5 != 0, F.concat(F.lit("L"), "user_id")).alias("label"), F.col("event_id").alias("seq"))
+    gone = v.keyed_events.filter("event_type = 'error' AND user_id % 30 = 1").select(F.col("k").alias("word_id")).distinct()
+    left, links = state.remove_rules(state.label_rules(v.kept_rules, labels), [v.kept_rule_categories, v.kept_rule_sources], gone)
     n = links[0].select("word_id").union(links[1].select("word_id")).groupBy("word_id").agg(F.count(F.lit(1)).alias("links"))
     return left.join(n, "word_id", "left").select("word_id", "rule", "label", F.coalesce("links", F.lit(0)).alias("links"))
 

@@ -15,6 +15,6 @@ CATEGORY_TIMES = "category STRING, hour INT, minute INT"
 RULES = "word_id BIGINT, rule STRING, label STRING"
 RULE_CATEGORIES = "word_id BIGINT, category STRING"
 RULE_SOURCES = "word_id BIGINT, source_id BIGINT"
-DIGEST_LOG = "sent_at STRING, items_total INT, status STRING"
+DIGEST_LOG = "sent_at TIMESTAMP, items_total INT, status STRING"
 FEED_ENTRIES = "source_id BIGINT, position INT, link STRING, title STRING, summary STRING, published STRING"
 VERDICTS = "a BIGINT, b BIGINT, verdict STRING"

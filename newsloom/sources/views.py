@@ -18,15 +18,14 @@ EPOCH = "2024-01-01 00:00:00"
 CATEGORY_NAMES = ["feed", "finance", "crypto", "tech"]
 #: A source that its items outlive.
 VANISHED = 13
-CATEGORIES = [("feed", "📰", 0, True), ("finance", "💰", 1, True), ("crypto", "🪙", 2, True), ("tech", "💻", 3, True), ("quiet", "🌙", 4, True), ("old", "📦", 5, False)]
-CATEGORY_TIMES = [("feed", 9, 0), ("feed", 18, 30), ("finance", 9, 0), ("finance", 18, 30), ("crypto", 7, 5), ("tech", 18, 30), ("old", 6, 0), ("gone", 23, 59)]
+EMOJI = ["📰", "💰", "🪙", "💻"]
 RULES = [(1, "ads", "Adverts"), (2, "= licensed under", None), (3, "war", "War"), (4, "= er–st", None), (5, "= The", "The"), (6, "=", None), (7, "never", None)]
 RULE_CATEGORIES = [(2, "feed"), (2, "tech"), (4, "finance")]
 RULE_SOURCES = [(3, 2), (3, 3), (5, 1), (5, 6), (5, 11), (4, 5), (4, 9)]
-DIGEST_LOG = [("2024-01-01 09:00:00", 12, "ok"), ("2024-01-01 18:30:00", 0, "empty"), ("2024-01-02 09:00:10", 31, "ok"), ("2024-01-02 18:30:00", 7, "failed"), ("2024-01-03 09:00:00", 3, "empty")]
 #: Three days of posts.
 ITEMS_A_DIGEST = 108
-LEGACY_SCHEDULES = [("a", "11:00, 16:00, 21:00"), ("b", "9:30"), ("c", "11:00,11:00"), ("d", "25:99,12:00"), ("e", ""), ("f", None), ("g", "7:5,x,08:61,23:59")]
+#: Categories that a source's number stands for in timetables; the last is no category any more.
+TIMED = ["feed", "finance", "crypto", "tech", "in en", "in fr", "in de", "gone"]
 
 
 class Views:
@@ -135,11 +134,44 @@ class Views:
 
     @cached_property
     def categories(self) -> DataFrame:
-        return self.literal(CATEGORIES, schemas.CATEGORIES)
+        """Those of the sources, and one of each language, which has no sources."""
+        place = F.array_position(F.array(*map(F.lit, CATEGORY_NAMES)), F.col("category")).cast("int")
+        told = self.every_source.select("category").distinct()
+        told = told.select(F.col("category").alias("name"), F.element_at(F.array(*map(F.lit, EMOJI)), place).alias("emoji"), (place - 1).alias("sort_order"), F.lit(True).alias("is_active"))
+        tongues = self.table("documents").filter("lang IS NOT NULL").select("lang").distinct()
+        return told.unionByName(tongues.select(F.concat(F.lit("in "), "lang").alias("name"), F.lit("🌐").alias("emoji"), F.lit(4).alias("sort_order"), (F.col("lang") != "de").alias("is_active")))
+
+    @cached_property
+    def keyed_events(self) -> DataFrame:
+        """events, with the number in their properties."""
+        return self.table("events").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
 
     @cached_property
     def category_times(self) -> DataFrame:
-        return self.literal(CATEGORY_TIMES, schemas.CATEGORY_TIMES)
+        """Purchases as entries of a timetable."""
+        n = F.col("user_id")
+        rows = self.keyed_events.filter("event_type = 'purchase' AND NOT (user_id % 8 = 2 AND k >= 50) AND (user_id % 8 < 4 OR user_id % 3 = 0)")
+        return rows.select(F.element_at(F.array(*map(F.lit, TIMED)), (n % 8 + 1).cast("int")).alias("category"), (n % 3 * 6 + 6).cast("int").alias("hour"), F.when(F.col("k") < 50, 0).otherwise(30).alias("minute")).distinct()
+
+    @cached_property
+    def legacy_schedules(self) -> DataFrame:
+        """Of each user a list of what may be times."""
+        part = F.concat((F.col("k") % 30).cast("string"), F.lit(":"), (F.col("event_id") % 70).cast("string")).alias("part")
+        told = self.keyed_events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", part))).alias("parts"))
+        return told.select(F.concat(F.lit("u"), "user_id").alias("name"), F.array_join(F.transform("parts", lambda p: p["part"]), ", ").alias("digest_time"))
+
+    @cached_property
+    def kept_rules(self) -> DataFrame:
+        """Rules named after the numbers in events."""
+        return self.keyed_events.select("k").distinct().select(F.col("k").alias("word_id"), F.concat(F.lit("rule "), "k").alias("rule"), F.when(F.col("k") % 4 == 0, F.concat(F.lit("Label "), "k")).alias("label"))
+
+    @cached_property
+    def kept_rule_categories(self) -> DataFrame:
+        return self.keyed_events.filter("event_type = 'purchase' AND k % 3 = 0").select(F.col("k").alias("word_id"), self.category_of(F.col("user_id")).alias("category")).distinct()
+
+    @cached_property
+    def kept_rule_sources(self) -> DataFrame:
+        return self.keyed_events.filter("event_type = 'click' AND k % 5 <> 0").select(F.col("k").alias("word_id"), (F.col("user_id") % 20).alias("source_id")).distinct()
 
     @cached_property
     def rules(self) -> DataFrame:
@@ -155,4 +187,6 @@ class Views:
 
     @cached_property
     def digest_log(self) -> DataFrame:
-        return self.literal(DIGEST_LOG, schemas.DIGEST_LOG).withColumn("sent_at", F.col("sent_at").cast("timestamp"))
+        """Purchases as digests that went out."""
+        status = F.when(F.col("k") % 5 == 0, "failed").when(F.col("k") % 5 == 1, "empty").otherwise("ok")
+        return self.keyed_events.filter("event_type = 'purchase'").select(F.col("ts").cast("timestamp").alias("sent_at"), F.col("k").cast("int").alias("items_total"), status.alias("status"))
