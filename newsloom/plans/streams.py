@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from newsloom.plans.registry import plan
 from newsloom.sources.feed_stream import FeedSource
-from newsloom.streaming import ingest, timers
+from newsloom.streaming import ingest, timers, windows
+from newsloom.streaming.delivery import Delivery
 from newsloom.streaming.store import Store
 
 
@@ -129,3 +130,36 @@ def _(v):
             pass
         store.expire(now - dt.timedelta(days=KEPT_DAYS))
     return store.read().select("message_id", "source_id", F.col("day").cast("string").alias("day"))
+
+
+@plan("stream_windows", """, w AS (SELECT unnest(range(0, 4)) AS n), e AS (SELECT user_id AS source_id, user_id % 4 AS category, event_type = 'error' AS failed, epoch(ts) AS s FROM events),
+x AS (SELECT CAST(floor(s / 21600) AS BIGINT) * 21600 - n * 21600 AS begin_s, e.* FROM e, w)
+SELECT begin_s, category, count(*) AS total, count(*) FILTER (failed) AS failed, count(DISTINCT source_id) AS sources FROM x GROUP BY 1, 2""")
+def _(v):
+    """Days that begin every six hours; the stream is restarted in the middle, then the clock alone moves on."""
+    arrived, out, place = (ingest.shared_path(v.spark, n) for n in ("polls", "windows", "stream"))
+    events = v.table("events")
+    polls = events.select(F.col("user_id").alias("source_id"), (F.col("user_id") % 4).alias("category"), F.col("ts").cast("timestamp").alias("moment"), (F.col("event_type") == "error").alias("failed"), (F.dayofmonth("ts") > 15).alias("late"))
+    tick = polls.agg((F.max("moment") + F.expr("INTERVAL 30 DAYS")).alias("moment")).select(F.lit(-1).cast("bigint").alias("source_id"), F.lit(-1).cast("bigint").alias("category"), "moment", F.lit(False).alias("failed"))
+    for rows in (polls.filter("NOT late").drop("late"), polls.filter("late").drop("late"), tick):
+        rows.coalesce(1).write.mode("append").parquet(arrived)
+        windows.written(v.spark.readStream.schema(tick.schema).parquet(arrived), out, place, "24 hours", "6 hours", "1 day")
+    told = v.spark.read.schema(windows.SCHEMA).parquet(out).filter("category >= 0")
+    return told.select(F.unix_timestamp("begin").alias("begin_s"), "category", "total", "failed", "sources")
+
+
+@plan("delivery_replayed", "SELECT conv_id AS digest, turn AS seq FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM conversations f WHERE f.conv_id = c.conv_id AND f.turn <= c.turn AND length(f.text) % 4 = 0)")
+def _(v):
+    """Conversations as digests, whose delivery is killed between sending and committing, and replayed."""
+    messages = v.table("conversations").select(F.col("conv_id").alias("digest"), F.col("turn").alias("seq"), "text", F.array(F.col("conv_id") * 1000 + F.col("turn")).alias("item_ids"))
+    sink = Delivery(v.spark, ingest.shared_path(v.spark, "delivery"), lambda key, text: len(text) % 4 != 0)
+
+    def kill(step: str) -> None:
+        if step == "sent":
+            raise Killed
+
+    try:
+        sink.deliver(messages, 0, kill)
+    except Killed:
+        sink.deliver(messages, 0)
+    return sink.delivered().select("digest", "seq")
