@@ -55,12 +55,14 @@ def regroup(kept: DataFrame, members: DataFrame, scores: DataFrame, floor: float
     kept: id, primary_id; members: rank_key's columns and category; scores: a < b, score (of different sources).
     """
     rows = cut(kept.join(members, "id"))
-    side = lambda p: rows.select("primary_id", *[F.col(c).alias(f"{p}_{c}") for c in ("id", "source_id", "category")])
-    edges = side("x").join(side("y"), "primary_id").filter("x_id < y_id AND x_source_id <> y_source_id AND x_category = y_category")
-    edges = edges.join(scores.filter(F.col("score") >= floor), (F.col("x_id") == F.col("a")) & (F.col("y_id") == F.col("b")), "left_semi").select(F.col("x_id").alias("a"), F.col("y_id").alias("b"))
+    close = cut(scores.filter(F.col("score") >= floor).select("a", "b"))
+    side = lambda p, end: rows.select(F.col("primary_id").alias(f"{p}_primary"), F.col("id").alias(end), F.col("source_id").alias(f"{p}_source"), F.col("category").alias(f"{p}_category"))
+    # from the pairs that clear the floor to their ends, not from the rejected to one another
+    ends = close.join(side("x", "a"), "a").join(side("y", "b"), "b")
+    edges = ends.filter("x_primary = y_primary AND x_source <> y_source AND x_category = y_category").select("a", "b")
     groups = rows.join(components(rows.select("id").distinct(), edges), "id")
     pairs = candidates(groups).select("id", F.col("primary_id").alias("survivor_id"))
-    near = scores.filter(F.col("score") >= floor).select(F.col("a").alias("lo"), F.col("b").alias("hi"))
+    near = close.select(F.col("a").alias("lo"), F.col("b").alias("hi"))
     return pairs.withColumn("lo", F.least("id", "survivor_id")).withColumn("hi", F.greatest("id", "survivor_id")).join(near, ["lo", "hi"], "left_semi").select("id", "survivor_id")
 
 

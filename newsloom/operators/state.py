@@ -91,11 +91,13 @@ def reassign(items: DataFrame, source_id: int, category: str) -> DataFrame:
 
 
 def place_at_bottom(sources: DataFrame) -> DataFrame:
-    """M15 for every source: the place it gets below all others of its category."""
-    others = sources.select(F.col("id").alias("other"), "category", F.col("sort_order").alias("place"))
-    joined = sources.join(others, "category", "left").filter(F.col("other") != F.col("id"))
-    top = joined.groupBy("id").agg(F.max("place").alias("top"))
-    return sources.join(top, "id", "left").withColumn("bottom", F.coalesce("top", F.lit(-1)) + 1).drop("top")
+    """M15 for every source: the place it gets below all others of its category. Two rows of a category tell it."""
+    w = Window.partitionBy("category").orderBy(F.col("sort_order").desc_nulls_last(), "id")
+    top = sources.select("category", "id", "sort_order").withColumn("n", F.row_number().over(w)).filter("n <= 2")
+    first, second = F.max(F.when(F.col("n") == 1, F.struct("id", "sort_order"))), F.max(F.when(F.col("n") == 2, F.col("sort_order")))
+    held = top.groupBy("category").agg(first.alias("_first"), second.alias("_second"))
+    others = F.when(F.col("_first.id") == F.col("id"), F.col("_second")).otherwise(F.col("_first.sort_order"))
+    return sources.join(held, "category", "left").withColumn("bottom", F.coalesce(others, F.lit(-1)) + 1).select(*sources.columns, "bottom")
 
 
 def moved_up(sources: DataFrame, names: list[str]) -> DataFrame:

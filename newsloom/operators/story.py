@@ -39,9 +39,11 @@ def settle(pairs: DataFrame) -> DataFrame:
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
         hidden: dict[int, int] = {}
+        over: set[int] = set()
         for r in frame.sort_values(["score", "id", "primary_id"], ascending=False).itertuples():
-            if r.id not in hidden and r.primary_id not in hidden and r.id not in hidden.values():
+            if r.id not in hidden and r.primary_id not in hidden and r.id not in over:
                 hidden[r.id] = r.primary_id
+                over.add(r.primary_id)
         return pd.DataFrame({"id": list(hidden), "primary_id": list(hidden.values())}, dtype="int64")
 
     return pairs.groupBy("digest").applyInPandas(fold, "id long, primary_id long")
