@@ -219,3 +219,17 @@ def name_and_page(payload: Column) -> tuple[Column, Column]:
     """T28: 'name:2' read from the right, as a name may hold colons; without a number page 0."""
     page = F.regexp_extract(payload, r"(?s)^.*:([0-9]+)$", 1)
     return F.when(page != "", F.regexp_extract(payload, r"(?s)^(.*):[0-9]+$", 1)).otherwise(payload), F.coalesce(F.nullif(page, F.lit("")).cast("int"), F.lit(0))
+
+
+def image_note(text: Column, most: int = 600) -> Column:
+    """What a model read off a picture, as one line in brackets."""
+    line = F.substring(collapse(F.translate(F.coalesce(text, F.lit("")), "[]", "()")), 1, most)
+    return F.when(line == "", "").otherwise(F.concat(F.lit("[Image: "), line, F.lit("]")))
+
+
+def wait_seconds(header: Column) -> Column:
+    """Seconds of '2m59.5s', '1h30m' or a plain number; null for nothing."""
+    parts = lambda k: F.regexp_extract_all(F.coalesce(header, F.lit("")), F.lit(r"(\d*\.?\d+)([hms]?)"), F.lit(k))
+    unit = lambda u: F.when(u == "h", 3600.0).when(u == "m", 60.0).otherwise(1.0)
+    total = F.aggregate(F.zip_with(parts(1), parts(2), lambda n, u: n.cast("double") * unit(u)), F.lit(0.0), lambda s, x: s + x)
+    return F.when(total > 0, total)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from newsloom.functions import clock, text
+from newsloom.functions import clock, plain, text
 from newsloom.operators import ingest, reposts
 from newsloom.plans.registry import plan
 from newsloom.sources import views as data
@@ -240,3 +240,33 @@ def _(v):
 SELECT id, earlier_id FROM t WHERE earlier_id IS NOT NULL AND apart >= 10""")
 def _(v):
     return reposts.tally_nights(v.posts.select("id", "source_id", "raw_text", F.col("processed_at").alias("moment")), r"(?i)(licensed|token)[^.]{0,120}\d+")
+
+
+@plan("image_notes", "SELECT id, md5(CASE WHEN x = '' THEN '' ELSE '[Image: ' || x || ']' END) AS note_md5 FROM (SELECT id, substr(trim(regexp_replace(translate('[a]' || raw_text, '[]', '()'), '\\s+', ' ', 'g')), 1, 600) AS x FROM items)")
+def _(v):
+    return v.posts.select("id", F.md5(text.image_note(F.concat(F.lit("[a]"), "raw_text"))).alias("note_md5"))
+
+
+@plan("retry_waits", "SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN 60 * k + user_id % 60 + 0.5 WHEN 1 THEN nullif(k, 0) WHEN 2 THEN 3600 + 60 * k END::DOUBLE AS seconds FROM keyed_events")
+def _(v):
+    """Headers of a provider that is asked too often, of every event one."""
+    n, k = F.col("event_id"), F.col("k").cast("string")
+    header = F.when(n % 4 == 0, F.concat(k, F.lit("m"), (F.col("user_id") % 60).cast("string"), F.lit(".5s"))).when(n % 4 == 1, k).when(n % 4 == 2, F.concat(F.lit("1h"), k, F.lit("m"))).otherwise("soon")
+    return v.keyed_events.select(n.alias("id"), text.wait_seconds(header).alias("seconds"))
+
+
+@plan("source_inputs", """SELECT id, CASE id % 8 WHEN 2 THEN '-100' || id WHEN 3 THEN 'https://src' || source_id || '.example.org/feed' WHEN 5 THEN '-100' || id WHEN 6 THEN 't.me/+x' || id ELSE '@src' || source_id END AS address, CASE WHEN id % 8 = 3 THEN 'rss' ELSE 'telegram' END AS kind FROM items""")
+def _(v):
+    """What an administrator may paste for the source of each post."""
+    n, s, i = F.col("id") % 8, F.col("source_id").cast("string"), F.col("id").cast("string")
+    forms = [("https://t.me/src", s, "/12"), ("t.me/s/src", s, ""), ("https://t.me/c/", i, "/4"), ("https://src", s, ".example.org/feed"), (" @src", s, " "), ("-100", i, ""), ("t.me/+x", i, ""), ("src", s, "")]
+    pasted = F.coalesce(*[F.when(n == k, F.concat(F.lit(a), b, F.lit(c))) for k, (a, b, c) in enumerate(forms)])
+    return v.posts.select("id", plain.source_input_column(pasted).alias("x")).select("id", "x.address", "x.kind")
+
+
+@plan("mended_answers", """SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN NULL ELSE w[1] || ' "' || w[2] || '" ' || w[3] END AS summary FROM (SELECT conv_id, turn, string_split(trim(regexp_replace(text, '[^a-zA-Z]+', ' ', 'g')) || ' x y z', ' ') AS w FROM conversations)""")
+def _(v):
+    """Answers whose strings hold bare quotes; of each fourth turn one that is cut off."""
+    w = F.split(F.concat(F.trim(F.regexp_replace("text", "[^a-zA-Z]+", " ")), F.lit(" x y z")), " ")
+    answer = F.concat(F.lit('{"id": 1, "summary": "'), w[0], F.lit(' "'), w[1], F.lit('" '), w[2], F.lit('"'))
+    return v.table("conversations").select("conv_id", "turn", plain.answer_field(F.when(F.col("turn") % 4 == 3, answer).otherwise(F.concat(answer, F.lit("}"))), "summary").alias("summary"))
