@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import plain, text
 from newsloom.operators import analytics, ingest, merge, queue, rules, similarity, state, triage
+from newsloom.operators.judge import CallableJudge
 from newsloom.plans.registry import plan
 from newsloom.sources import feeds
 
@@ -174,3 +175,31 @@ def _(v):
     have = v.vectors
     out = similarity.fill_vectors(v.posts.select("id", F.col("summary").alias("text")), have, lambda texts: [[1.0, float(len(t))] for t in texts])
     return out.join(have.select("id", F.lit(False).alias("known")), "id", "left").select("id", F.size("v").alias("dims"), F.col("known").isNull().alias("new"))
+
+
+_ANSWERED = """, b AS (SELECT id, 'in all ' || (3107 + id % 50) || ' people came and ' || CASE WHEN id % 3 = 0 THEN 77777 ELSE 41 END || ' left' AS summary,
+  CASE WHEN id % 4 = 0 THEN 'in all ' || (3107 + id % 50) || ' people came' WHEN id % 4 = 1 THEN 'in all 88888 people came and 77777 left' WHEN id % 4 = 2 THEN ' ' END AS rewrite FROM items)"""
+
+
+@plan("rewrites_kept", f"{_ANSWERED} SELECT id, md5(CASE WHEN id % 12 = 0 THEN rewrite ELSE summary END) AS summary_md5, id % 12 = 0 AS rewritten FROM b")
+def _(v):
+    """A summary of each post, a third of which bring in a figure; some are written again, better, worse, or not at all."""
+    n = F.col("id")
+    came = (n % 50 + 3107).cast("string")
+    source = F.concat("raw_text", F.lit("\nThere were "), came, F.lit(" people and 41 cars."))
+    summary = F.concat(F.lit("in all "), came, F.lit(" people came and "), F.when(n % 3 == 0, "77777").otherwise("41"), F.lit(" left"))
+    rewrite = F.when(n % 4 == 0, F.concat(F.lit("in all "), came, F.lit(" people came"))).when(n % 4 == 1, "in all 88888 people came and 77777 left").when(n % 4 == 2, " ")
+    out = triage.kept_rewrites(v.posts.select("id", source.alias("source"), summary.alias("summary"), rewrite.alias("rewrite")), 2024)
+    return out.select("id", F.md5("summary").alias("summary_md5"), "rewritten")
+
+
+@plan("pairs_judged", """, t AS (SELECT id, length(substr(raw_text, 1, 500)) AS n FROM items)
+SELECT a.id AS a, b.id AS b, CASE WHEN a.n % 3 = b.n % 3 THEN 'same' WHEN a.n > b.n THEN 'update' END AS verdict FROM t a JOIN t b ON b.id = a.id + 7""")
+def _(v):
+    """Pairs of posts put to a provider, ten at a time, each cut at 500 characters; an answer that is no verdict counts as none."""
+    def ask(pairs: list[tuple[str, str]]) -> list[str]:
+        return ["same" if len(x) % 3 == len(y) % 3 else "update" if len(x) > len(y) else "perhaps" for x, y in pairs]
+
+    last = v.posts.select((F.col("id") - 7).alias("a"))
+    asked = v.posts.select(F.col("id").alias("a"), (F.col("id") + 7).alias("b")).join(last, "a", "left_semi")
+    return CallableJudge(v.posts.select("id", F.col("raw_text").alias("text")), ask).pairs(asked)
