@@ -147,3 +147,19 @@ def within_budget(todo: DataFrame, seconds: DataFrame, budget: float = 120.0, si
     w = Window.partitionBy("digest").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     spent = seconds.withColumn("spent", F.coalesce(F.sum("seconds").over(w), F.lit(0.0)))
     return rows.join(spent.select("digest", "chunk", "spent"), ["digest", "chunk"], "left").withColumn("asked", F.coalesce("spent", F.lit(0.0)) <= budget)
+
+
+#: Pictures read in one cycle, seconds that they may take before another is begun, and bytes of one.
+PICTURES, PICTURE_SECONDS, PICTURE_BYTES = 12, 90.0, 5 * 1024 * 1024
+
+
+def pictures_read(pictures: DataFrame, most: int = PICTURES, budget: float = PICTURE_SECONDS, largest: int = PICTURE_BYTES) -> DataFrame:
+    """ST11: pictures with `read`: whether their cycle gets to them. Posts past the budget stay as they are.
+
+    pictures: cycle, seq, size (bytes, null if unknown), seconds that reading takes. Too large ones cost nothing.
+    """
+    fits = F.coalesce(F.col("size") <= largest, F.lit(True))
+    before = Window.partitionBy("cycle").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    taken = F.coalesce(F.sum(F.when(fits, 1).otherwise(0)).over(before), F.lit(0))
+    spent = F.coalesce(F.sum(F.when(fits, F.col("seconds")).otherwise(0.0)).over(before), F.lit(0.0))
+    return pictures.withColumn("read", fits & (taken < most) & (spent <= budget))

@@ -100,3 +100,13 @@ def _(v):
 @plan("measured_ages", "SELECT id, round(epoch(processed_at - published_at) / 3600, 1) AS hours FROM items WHERE published_at IS NOT NULL")
 def _(v):
     return v.posts.filter("published_at IS NOT NULL").select("id", F.round((F.unix_timestamp("processed_at") - F.unix_timestamp("published_at")) / 3600, 1).alias("hours"))
+
+
+@plan("pictures_read", """, p AS (SELECT CAST(ts AS DATE) AS cycle, event_id AS seq, CASE WHEN k % 7 <> 0 THEN k * 60000 END AS size, k / 4.0::DOUBLE AS seconds FROM keyed_events WHERE event_type = 'view'),
+f AS (SELECT *, coalesce(size <= 5242880, true) AS fits FROM p)
+SELECT seq AS id, fits AND coalesce(count(*) FILTER (fits) OVER w, 0) < 12 AND coalesce(sum(seconds) FILTER (fits) OVER w, 0) <= 90 AS read FROM f WINDOW w AS (PARTITION BY cycle ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def _(v):
+    """Views of a day as the pictures of a cycle."""
+    k = F.col("k")
+    pictures = v.keyed_events.filter("event_type = 'view'").select(F.col("ts").cast("date").alias("cycle"), F.col("event_id").alias("seq"), F.when(k % 7 != 0, k * 60000).alias("size"), (k / 4.0).alias("seconds"))
+    return triage.pictures_read(pictures).select(F.col("seq").alias("id"), "read")
