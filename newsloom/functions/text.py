@@ -233,3 +233,8 @@ def wait_seconds(header: Column) -> Column:
     unit = lambda u: F.when(u == "h", 3600.0).when(u == "m", 60.0).otherwise(1.0)
     total = F.aggregate(F.zip_with(parts(1), parts(2), lambda n, u: n.cast("double") * unit(u)), F.lit(0.0), lambda s, x: s + x)
     return F.when(total > 0, total)
+
+
+def is_heading(block: Column) -> Column:
+    """A block of a message that quotes nothing heads those after it."""
+    return ~F.coalesce(block, F.lit("")).contains("<blockquote")

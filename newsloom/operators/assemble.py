@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import clock
 from newsloom.functions.plain import reply_quote_column, rule_title
+from newsloom.functions.text import source_link
 from newsloom.operators import digest, merge, render
 from newsloom.operators.graph import cut
 
@@ -84,6 +85,27 @@ def _escaped(c: Column) -> Column:
     return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
+# The head of the block, and what keeps a client from taking a name for a domain.
+QUIET = "<b>💤 Quiet sources</b> (5+ days without new items)"
+JOINER = "\u2060"
+
+
+def silent_block(silent: DataFrame) -> DataFrame:
+    """Text: the block of a digest that lists quiet sources, the longest silence first; empty without any.
+
+    silent: id, name, type, url, last_item_at, hours_silent (analytics.silent). A line is a source.
+    """
+    name = F.regexp_replace(F.replace(F.replace(_escaped(F.col("name")), F.lit('"'), F.lit("&quot;")), F.lit("'"), F.lit("&#x27;")), r"(?U)(?<=\w)\.(?=\w)", "." + JOINER)
+    link = source_link(F.col("type"), F.col("url"))
+    href = F.replace(F.replace(_escaped(link), F.lit('"'), F.lit("&quot;")), F.lit("'"), F.lit("&#x27;"))
+    label = F.when(link.isNotNull(), F.concat(F.lit('<a href="'), href, F.lit('">'), name, F.lit("</a>"))).otherwise(name)
+    age = F.coalesce(F.concat(F.floor(F.col("hours_silent") / 24).cast("string"), F.lit("d")), F.lit("never"))
+    line = F.struct(F.col("last_item_at").isNotNull().alias("known"), "last_item_at", "id", F.concat(F.lit("• "), label, F.lit(" — "), age).alias("line"))
+    told = silent.agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    body = F.concat(F.lit(f"<blockquote expandable>{QUIET}\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), F.lit("</blockquote>"))
+    return told.select(F.when(F.size("lines") > 0, body).otherwise("").alias("text"))
+
+
 def rows(lines: DataFrame, links: DataFrame, folded: DataFrame, blocked: DataFrame, categories: DataFrame, as_of: Column, morning: Column) -> DataFrame:
     """What render.messages packs: the lines of categories and sources, war blocks, the filtered section.
 

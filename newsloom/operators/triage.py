@@ -32,6 +32,21 @@ def unsigned(posts: DataFrame, footers: DataFrame) -> DataFrame:
     return rows.filter(open_ & ~F.exists("signs", lambda s: F.col("_last").endswith(s))).drop("_raw", "_last", "signs")
 
 
+#: Confidence from which on an answer blocks.
+AD_AT = 8
+
+
+def own_adverts(posts: DataFrame, footers: DataFrame, answers: DataFrame) -> DataFrame:
+    """Id of the paid posts among what sources that want no filter write themselves and don't sign.
+
+    posts: id, source_id, raw_text, summary, prompt; answers: id, confidence (null: 10) of a provider that was
+    asked about the one rule for adverts. What it wasn't asked about, or doesn't answer, stays.
+    """
+    asked = unsigned(posts.filter(text.wants(F.col("prompt"), text.NO_FILTER) & ~text.is_media_only(F.col("summary"))), footers)
+    sure = answers.filter(F.coalesce("confidence", F.lit(10)) >= AD_AT).select("id").distinct()
+    return asked.select("id").join(sure, "id", "left_semi")
+
+
 def too_young(sources: DataFrame, as_of: Column, hours: int) -> DataFrame:
     """Never posted, but not here long enough for that to mean anything. sources: last_item_at, created_at."""
     young = F.col("created_at") > as_of - F.make_dt_interval(F.lit(0), F.lit(hours))

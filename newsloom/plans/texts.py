@@ -270,3 +270,21 @@ def _(v):
     w = F.split(F.concat(F.trim(F.regexp_replace("text", "[^a-zA-Z]+", " ")), F.lit(" x y z")), " ")
     answer = F.concat(F.lit('{"id": 1, "summary": "'), w[0], F.lit(' "'), w[1], F.lit('" '), w[2], F.lit('"'))
     return v.table("conversations").select("conv_id", "turn", plain.answer_field(F.when(F.col("turn") % 4 == 3, answer).otherwise(F.concat(answer, F.lit("}"))), "summary").alias("summary"))
+
+
+@plan("headings", """SELECT conv_id, turn, NOT contains(CASE WHEN turn % 3 = 0 THEN '<blockquote expandable>' || text ELSE '<b>' || text || '</b>' END, '<blockquote') AS heading FROM conversations""")
+def _(v):
+    t = F.col("turn")
+    block = F.when(t % 3 == 0, F.concat(F.lit("<blockquote expandable>"), "text")).otherwise(F.concat(F.lit("<b>"), "text", F.lit("</b>")))
+    return v.table("conversations").select("conv_id", t, text.is_heading(block).alias("heading"))
+
+
+@plan("anchors", """, l AS (SELECT id, t, array_to_string(string_split(t, ' ')[3:4], ' ') AS p FROM (SELECT id, trim(regexp_replace(substr(raw_text, 1, 300), '\\s+', ' ', 'g')) AS t FROM items) WHERE len(string_split(t, ' ')) >= 4),
+a AS (SELECT id, t, p, strpos(lower(t), lower(p)) - 1 AS begin FROM l WHERE length(p) >= 4)
+SELECT id, CAST(begin AS INT) AS begin, CAST(begin + length(p) + length(regexp_extract(substr(t, begin + length(p) + 1), '^[\\pL\\pN_’''ʼ‘]*')) AS INT) AS past FROM a""")
+def _(v):
+    """Lines linked by a phrase of theirs: its first place, grown to whole words."""
+    line = F.trim(F.regexp_replace(F.substring("raw_text", 1, 300), r"\s+", " "))
+    words = F.split("t", " ")
+    lines = v.posts.select("id", line.alias("t")).filter(F.size(words) >= 4).withColumn("p", F.array_join(F.slice(words, 3, 2), " ")).filter(F.length("p") >= 4)
+    return lines.select("id", plain.anchor_column(F.col("t"), F.col("p")).alias("a")).select("id", "a.begin", "a.past")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newsloom.functions import text
-from newsloom.operators import analytics, queue, reposts, triage
+from newsloom.operators import analytics, assemble, queue, reposts, triage
 from newsloom.plans.registry import plan
 from newsloom.plans.texts import _LINES
 
@@ -110,3 +110,22 @@ def _(v):
     k = F.col("k")
     pictures = v.keyed_events.filter("event_type = 'view'").select(F.col("ts").cast("date").alias("cycle"), F.col("event_id").alias("seq"), F.when(k % 7 != 0, k * 60000).alias("size"), (k / 4.0).alias("seconds"))
     return triage.pictures_read(pictures).select(F.col("seq").alias("id"), "read")
+
+
+@plan("own_adverts", f"""{_LINES}, signs AS (SELECT source_id, list(DISTINCT line) AS s FROM signed GROUP BY 1)
+SELECT i.id FROM items i JOIN lined USING (id) JOIN signs g ON g.source_id = i.source_id WHERE len(l) > 0 AND len(list_filter(s, lambda x: ends_with(l[-1], x))) = 0
+  AND i.source_id % 3 <> 0 AND trim(i.summary) <> '' AND i.id % 2 = 0 AND (i.id % 5 = 0 OR i.id % 11 >= 8)""")
+def _(v):
+    """Unsigned posts of sources that want no filter; a provider that answers about every second post."""
+    n = F.col("id")
+    signs = reposts.footer_round(v.posts.select("source_id", text.text_lines(F.col("raw_text")).alias("lines")), 3)
+    posts = v.posts.withColumn("prompt", F.when(F.col("source_id") % 3 != 0, "Please: NO FILTER"))
+    answers = v.posts.filter(n % 2 == 0).select("id", F.when(n % 5 != 0, n % 11).alias("confidence"))
+    return triage.own_adverts(posts, signs, answers)
+
+
+@plan("silent_block", """, q AS (SELECT s.id, name, type, url, max(i.processed_at) AS last, as_of FROM sources s LEFT JOIN items i ON i.source_id = s.id, present WHERE status = 'active' AND NOT silent_alert_muted GROUP BY ALL HAVING last IS NULL OR last < as_of - INTERVAL 8 HOUR),
+l AS (SELECT *, CASE WHEN type = 'telegram' THEN 'https://t.me/' || substr(url, 2) ELSE url END AS link FROM q)
+SELECT coalesce('<blockquote expandable><b>💤 Quiet sources</b> (5+ days without new items)' || chr(10) || string_agg('• <a href="' || link || '">' || name || '</a> — ' || CASE WHEN last IS NULL THEN 'never' ELSE CAST(CAST(floor(epoch(as_of - last) / 3600) AS BIGINT) // 24 AS VARCHAR) || 'd' END, chr(10) ORDER BY last NULLS FIRST, id) || '</blockquote>', '') AS text FROM l""")
+def _(v):
+    return assemble.silent_block(analytics.silent(v.posts, v.sources, v.as_of, 8))

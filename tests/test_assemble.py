@@ -60,3 +60,15 @@ def test_nothing_to_show(spark):
     empty = spark.createDataFrame([], "id long, component long")
     lines = assemble.merged(none, empty, spark.createDataFrame([], "id long, shown_id long"), none)
     assert lines.count() == 0
+
+
+def test_the_block_of_quiet_sources(spark):
+    from newsloom.operators import assemble
+
+    rows = [(1, "a.b & <c>", "rss", "https://x.org/?a=\"1\"&b", "2024-01-01 00:00:00", 170), (2, "Two", "telegram", "@two", None, None), (3, "3. Three", "telegram", "-100123", "2023-12-30 00:00:00", 200)]
+    silent = spark.createDataFrame(rows, "id long, name string, type string, url string, last_item_at string, hours_silent long").withColumn("last_item_at", F.col("last_item_at").cast("timestamp"))
+    assert assemble.silent_block(silent).first().text == (
+        "<blockquote expandable><b>💤 Quiet sources</b> (5+ days without new items)\n• <a href=\"https://t.me/two\">Two</a> — never\n• 3. Three — 8d\n"
+        "• <a href=\"https://x.org/?a=&quot;1&quot;&amp;b\">a.⁠b &amp; &lt;c&gt;</a> — 7d</blockquote>"
+    )
+    assert assemble.silent_block(silent.limit(0)).first().text == ""
