@@ -7,12 +7,14 @@ declare.
 
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from email.utils import parsedate_to_datetime
 
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,13 +84,32 @@ def client_error(status: Column) -> Column:
     return status.between(400, 499) & ~status.isin(408, 429)
 
 
-def tail(spark: SparkSession, path: str, lines: int, most: int = 4096) -> list[str]:
-    """The last lines of log files, as many of the newest as fit. A task keeps `lines` lines; only that many meet."""
-    place = F.struct(F.col("_metadata.file_modification_time").alias("t"), F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("n")).alias("place")
-    newest = spark.read.text(path).select("value", place).orderBy(F.col("place").desc()).limit(lines)
+def _backwards(file: fs.NativeFile, size: int, block: int) -> Iterator[str]:
+    """The lines of a file, the last one first; no more of it is read than is asked for."""
+    rest, end = b"", size
+    while end > 0:
+        start = max(0, end - block)
+        file.seek(start)
+        first, *whole = (file.read(end - start) + rest).split(b"\n")
+        if end == size and whole and not whole[-1]:
+            whole.pop()  # the end of the last line
+        for line in reversed(whole):
+            yield line.decode("utf-8", "replace").removesuffix("\r")
+        rest, end = first, start
+    if size:
+        yield rest.decode("utf-8", "replace").removesuffix("\r")
+
+
+def tail(spark: SparkSession, path: str, lines: int, most: int = 4096, block: int = 64 << 10) -> list[str]:
+    """The last lines of log files, as many of the newest as fit. Files are read from their ends, the newest first, block by block."""
+    where, root = fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", path if ":/" in path else f"file://{path}"))
+    there = where.get_file_info(root)
+    files = [there] if there.type == fs.FileType.File else [f for f in where.get_file_info(fs.FileSelector(root, recursive=True)) if f.type == fs.FileType.File]
     out: list[str] = []
-    for r in newest.collect():
-        if sum(map(len, out)) + len(out) + len(r.value) > most:
-            break
-        out.append(r.value)
+    for f in sorted(files, key=lambda f: (f.mtime_ns or 0, f.path), reverse=True):
+        with where.open_input_file(f.path) as file:
+            for line in _backwards(file, f.size, block):
+                if len(out) == lines or sum(map(len, out)) + len(out) + len(line) > most:
+                    return out[::-1]
+                out.append(line)
     return out[::-1]

@@ -3,7 +3,7 @@
 import pytest
 
 from newsloom.sources.feed_stream import FeedReader, FeedSource
-from newsloom.sources.feeds import entries_of, read_feeds
+from newsloom.sources.feeds import entries_of, read_feeds, tail
 
 
 def feed(*links, head=""):
@@ -85,3 +85,18 @@ def test_a_restart_goes_on_where_each_feed_was(spark, tmp_path, polls):
             stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", place).trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.parquet(out).collect()
     assert sorted((r.feed, r.snapshot, r.link or "") for r in rows) == [("a", 0, "0"), ("a", 1, "1"), ("a", 2, "2"), ("b", 1, ""), ("b", 2, "12")]
+
+
+@pytest.mark.parametrize("block", [1, 7, 64, 1 << 16])
+def test_logs_are_read_from_their_ends(tmp_path, block):
+    import os
+
+    texts = {"a.log": "one\ntwo\r\n\nvier é\n", "b.log": "", "c.log": "last without end", "d.log": "\n\nx\n\n"}
+    for k, (name, text) in enumerate(texts.items()):
+        (tmp_path / name).write_bytes(text.encode())
+        os.utime(tmp_path / name, (1_700_000_000 + k, 1_700_000_000 + k))
+        expect = text.replace("\r\n", "\n").removesuffix("\n").split("\n") if text else []
+        for n in (0, 1, 2, 10):
+            assert tail(None, str(tmp_path / name), n, block=block) == expect[len(expect) - min(n, len(expect)) :]
+    assert tail(None, f"file://{tmp_path}", 6, block=block) == ["vier é", "last without end", "", "", "x", ""]
+    assert tail(None, f"file://{tmp_path}", 6, most=6, block=block) == ["", "", "x", ""]
