@@ -14,9 +14,10 @@ for each.
 Target weights are given, or proportional to rows ** alpha. Shares are whole slots of a period: each
 source gets one, the rest go by weight and largest remainder. The mixture lasts until every row has
 been placed once; a source that is through before starts again (``epoch``), so no row is dropped and
-the shares hold to the end. No row is placed more than EPOCHS times: weights that would ask for more
-are lowered to what that allows, and where the least share of one slot asks for more, the slots of a
-source that has had its epochs stay empty. So the mixture has at most EPOCHS times the rows.
+the shares hold to the end: the weights asked for are the weights kept. ``epochs``, where given, is the
+most often that a row may be placed: weights that would ask for more are then lowered to what that
+allows, and where the least share of one slot asks for more, the slots of a source that has had its
+epochs stay empty.
 
 Rows are ranked within their source by md5 of doc_id, then doc_id. The rank comes from a range sort
 (a source that holds a third of all rows is many partitions) plus offsets of partitions; nothing but
@@ -37,7 +38,6 @@ from newsloom.llm.common import documents, file_based, materialise, row_key
 ALPHA = 0.7
 BLOCK_ROWS = 16
 PERIOD = 4096
-EPOCHS = 16
 #: Steps of the fold whose picks are appended to one array before it goes to the whole one.
 STEPS = 512
 
@@ -54,7 +54,7 @@ def _ranked(docs: DataFrame, payload: list[Column]) -> tuple[DataFrame, DataFram
     return rows, counts.withColumn("skip", F.coalesce(before, F.lit(0)) - F.col("first"))
 
 
-def shares(counts: DataFrame, weights: dict[str, float] | None, alpha: float, period: int, epochs: int = EPOCHS) -> DataFrame:
+def shares(counts: DataFrame, weights: dict[str, float] | None, alpha: float, period: int, epochs: int | None = None) -> DataFrame:
     """key, i (place among the sources), total rows, q slots of a period. One row of each source."""
     totals = counts.groupBy("key").agg(F.sum("n").alias("total"))
     if weights is None:
@@ -64,8 +64,9 @@ def shares(counts: DataFrame, weights: dict[str, float] | None, alpha: float, pe
         weight = F.greatest(F.coalesce(given[F.col("key")], F.lit(0.0)), F.lit(0.0))
     all_rows = Window.partitionBy()  # a window over one row of each source
     totals = totals.withColumn("weight", weight)
-    least = F.min(F.when(F.col("weight") > 0, F.col("weight") / F.col("total"))).over(all_rows)  # the source that takes longest
-    totals = totals.withColumn("weight", F.least("weight", F.col("total") * F.coalesce(least, F.lit(0.0)) * epochs))
+    if epochs is not None:
+        least = F.min(F.when(F.col("weight") > 0, F.col("weight") / F.col("total"))).over(all_rows)  # the source that takes longest
+        totals = totals.withColumn("weight", F.least("weight", F.col("total") * F.coalesce(least, F.lit(0.0)) * epochs))
     exact = F.coalesce(F.try_divide(F.col("weight"), F.sum("weight").over(all_rows)), F.lit(0.0)) * (F.lit(period) - F.count(F.lit(1)).over(all_rows))
     out = totals.withColumn("exact", exact).withColumn("whole", F.floor("exact"))
     left = F.lit(period) - F.sum(F.col("whole") + 1).over(all_rows)
@@ -107,7 +108,7 @@ def period_slots(quota: DataFrame, period: int) -> DataFrame:
     return slots.withColumn("k", F.row_number().over(Window.partitionBy("i").orderBy("slot")) - 1)
 
 
-def mix(docs: DataFrame, payload: list[Column], weights: dict[str, float] | None = None, alpha: float = ALPHA, block_rows: int = BLOCK_ROWS, period: int = PERIOD, epochs: int = EPOCHS) -> DataFrame:
+def mix(docs: DataFrame, payload: list[Column], weights: dict[str, float] | None = None, alpha: float = ALPHA, block_rows: int = BLOCK_ROWS, period: int = PERIOD, epochs: int | None = None) -> DataFrame:
     """payload, and of each placement: block, epoch, release, deadline, slot, place."""
     rows, counts = _ranked(docs, payload)
     counts = materialise(counts, "counts")
@@ -120,7 +121,8 @@ def mix(docs: DataFrame, payload: list[Column], weights: dict[str, float] | None
     last = quota.select("i", F.col("blocks") - 1, (F.col("blocks") - 1) % F.col("q"), "q").toDF("i", "b", "k", "q")
     end = last.join(slots, ["i", "k"]).agg(F.max(F.floor(F.col("b") / F.col("q")) * period + F.col("slot"))).first()[0]
     end = -1 if end is None else end  # no rows at all
-    quota = quota.withColumn("epochs", F.least(F.ceil(F.lit(end // period + 1) * F.col("q") / F.col("blocks")), F.lit(epochs)))
+    times = F.ceil(F.lit(end // period + 1) * F.col("q") / F.col("blocks"))
+    quota = quota.withColumn("epochs", times if epochs is None else F.least(times, F.lit(epochs)))
     names = rows.columns[: len(payload)]
     out = rows.join(counts.select("part", "key", "skip"), ["part", "key"]).join(quota.drop("total"), "key")
     out = out.withColumn("rank", F.col("at") + F.col("skip")).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1)))
@@ -160,7 +162,7 @@ WITH RECURSIVE r AS (
   FROM documents),
 t AS (SELECT key, count(*) AS total, pow(count(*), {ALPHA}) AS weight FROM r GROUP BY key),
 p AS (SELECT CAST(greatest({PERIOD}, pow(2, ceil(log2(greatest(4 * count(*), 1))))) AS BIGINT) AS period FROM t),
-c AS (SELECT key, total, least(weight, total * min(weight / total) OVER () * {EPOCHS}) AS weight FROM t),
+c AS (SELECT key, total, weight FROM t),
 e AS (SELECT *, weight / sum(weight) OVER () * (period - count(*) OVER ()) AS exact FROM c, p),
 q AS (
   SELECT key, total, period, CAST(ceil(total / {BLOCK_ROWS}.0) AS BIGINT) AS blocks, row_number() OVER (ORDER BY key) AS i,
@@ -176,7 +178,7 @@ s AS (SELECT slot, pick AS i, row_number() OVER (PARTITION BY pick ORDER BY slot
 h AS (SELECT max((blocks - 1) // q * period + slot) AS last FROM q JOIN s ON s.i = q.i AND s.k = (blocks - 1) % q.q),
 x AS (
   SELECT doc_id, source, rnk, q.i, q.q, q.period, e.epoch, rnk // {BLOCK_ROWS} + e.epoch * blocks AS block
-  FROM r JOIN q USING (key), h, LATERAL (SELECT unnest(range(least({EPOCHS}, CAST(ceil((last // period + 1) * q.q / blocks) AS BIGINT)))) AS epoch) e)
+  FROM r JOIN q USING (key), h, LATERAL (SELECT unnest(range(CAST(ceil((last // period + 1) * q.q / blocks) AS BIGINT))) AS epoch) e)
 SELECT doc_id, source, block, epoch, block * period // x.q AS release, ((block + 1) * period + x.q - 1) // x.q AS deadline,
        block // x.q * period + s.slot AS slot, rnk % {BLOCK_ROWS} AS place
 FROM x JOIN s ON s.i = x.i AND s.k = block % x.q, h

@@ -106,3 +106,13 @@ def test_oracle_agrees(spark):
     names = [d[0] for d in con.sql(mixing.ORACLE).description]
     got = mixing.query(spark, "/root/testdata/sf0.001").select(*names).collect()
     assert sorted(map(tuple, got)) == sorted(expect)
+
+
+def test_given_weights_are_kept_however_small_the_source(spark):
+    docs = spark.createDataFrame([Row(doc_id=i, source="small" if i < 10 else "large") for i in range(2000)], "doc_id long, source string")
+    rows = mixing.mix(docs, [F.col("doc_id"), F.col("source")], weights={"small": 1.0, "large": 1.0}, block_rows=4, period=64).collect()
+    slots = {r.slot: r.source for r in rows}
+    assert sorted(slots) == list(range(len(slots))) and {r.doc_id for r in rows} == set(range(2000))
+    for n in range(1, len(slots) + 1, 37):
+        assert abs(sum(slots[k] == "small" for k in range(n)) - n / 2) < 1
+    assert max(r.epoch for r in rows) > 100
