@@ -219,7 +219,7 @@ def squares(symbols: np.ndarray, last: np.ndarray) -> Iterator[tuple[int, np.nda
         late = fresh.pop(level, None)
         if z > a or late:
             here = np.unique(np.concatenate([base[a:z], *(late or [])]))
-            here = here[classes.next[here] - here == level]
+            here = here[(classes.next[here] - here == level) & (last[here] >= level)]  # classes of texts that are through stay as they were
             if len(here):
                 yield level, here
         if not len(touched):

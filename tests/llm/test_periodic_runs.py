@@ -87,6 +87,16 @@ def test_words_full_of_runs():
         assert described(rows) == [brute(*r) for r in rows]
 
 
+def test_texts_that_are_through_before_others():
+    """A text that lacks the last word of a square, refined beside longer ones."""
+    draw = np.random.default_rng(4)
+    long = [str(x) for x in draw.integers(0, 3, 300)]
+    for q in range(4, 24):
+        block = [f"w{k}" for k in range(q)]
+        rows = [(None, " ".join(w)) for w in (block * 2, (block * 2)[:-1], ["x", *block, *block[:-1]], [*(block * 2)[1:], "y"], block + block[:-2], long + block * 3, block * 40 + block[:-1])]
+        assert described(rows) == [brute(*r) for r in rows]
+
+
 def test_words_are_bytes_and_spaces_are_ascii():
     nbsp = " "
     rows = [(None, "é  " * 12), (None, "A a " * 6), (None, "x\tx\nx\x0bx\x0cx\rx " * 2), (None, f"a{nbsp}b " * 11), (None, "0\x00 " * 30)]
