@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from newsloom.operators import dedup, digest, graph, judge, merge, render, reposts, rules, similarity, state
+from newsloom.operators import dedup, digest, graph, judge, merge, render, reposts, rules, similarity, state, triage
 
 
 def test_components_and_cycles(spark):
@@ -270,3 +270,22 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         graph.shared_folder(Session)
+
+
+def test_a_last_line_is_looked_up_by_its_ending_and_not_held_against_every_signature(spark):
+    signs = ["x", "abc", "abcd", "one two", "a line of more than sixteen characters", "tail." * 20]
+    footers = spark.createDataFrame([(1, s) for s in signs] + [(2, "abc"), (2, " "), (None, "abc")], "source_id long, line string")
+    texts = ["body\nxx", "zabc", "ab\nABC", "​abcd \n", "none", "", None, "[Photo]", "[Forwarded from a] none", "none two", "say: a line of more than sixteen characters", "a line of more than sixteen character", "tail." * 19, "!" + "tail." * 20]
+    posts = spark.createDataFrame([(s, 100 * (s or 9) + k, t) for s in (1, 2, 3, None) for k, t in enumerate(texts)] + [(1, None, "none"), (1, None, "none")], "source_id long, id long, raw_text string")
+    out = triage.unsigned(posts, footers)
+    assert out.columns == posts.columns
+
+    def unsigned(own, text):
+        raw = (text or "").strip()
+        last = raw.replace("​", "").split("\n")[-1].strip()
+        return raw not in ("", "[Photo]") and not raw.startswith("[Forwarded") and not any(last.endswith(s) for s in own)
+
+    want = [(s, 100 * s + k) for s, own in ((1, signs), (2, ["abc"])) for k, t in enumerate(texts) if unsigned(own, t)] + [(1, None), (1, None)]
+    assert sorted(((r.source_id, r.id) for r in out.collect()), key=str) == sorted(want, key=str)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "exists(" not in plan.lower()  # the lines of a text are not taken apart once for each signature
