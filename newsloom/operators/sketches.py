@@ -26,7 +26,9 @@ def counted(posts: DataFrame) -> DataFrame:
 def add_days(posts: DataFrame, path: str) -> None:
     """Sketches of the days of these posts, each instead of what the day had. posts: source_id, views, published_at, and the columns of counted()."""
     rows = counted(posts).groupBy(F.col("published_at").cast("date").alias("day"), "source_id").agg(F.kll_sketch_agg_bigint(F.col("views").cast("bigint"), F.lit(K)).alias("sketch"))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    # a day is one file, not one of each task, and all cores write: what a day costs is its file
+    tasks = 4 * posts.sparkSession.sparkContext.defaultParallelism
+    rows.repartition(tasks, "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
 
 
 def baseline(spark: SparkSession, path: str, last: dt.date, days: int = 7, least: int = 10) -> DataFrame:

@@ -78,3 +78,15 @@ def test_sketches_tell_quantiles_within_their_error(spark, tmp_path):
         assert abs(rank - 0.5) <= sketches.RANK_ERROR
     plan = sketches.baseline(spark, path, last, 7)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(day" in plan
+
+
+def test_a_day_of_sketches_is_one_file(spark, tmp_path):
+    import glob
+
+    rows = spark.range(0, 9_000, 1, 6).select((F.col("id") % 30).alias("source_id"), F.col("id").alias("views"), F.lit(True).alias("sent"), F.lit(None).cast("long").alias("duplicate_of"), F.lit(None).cast("string").alias("blocked_reason"), F.timestamp_seconds(1_704_067_200 + F.col("id") % 9 * 86_400).alias("published_at"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sketches.add_days(rows, f"file://{tmp_path}/sketches")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(glob.glob(f"{tmp_path}/sketches/day=*/*.parquet")) == 9
