@@ -49,3 +49,14 @@ def test_a_high_threshold_visits_few_lists(spark):
     radius = np.array([angle[own == k, k].max(initial=-np.inf) for k in range(index.lists)])
     visits = {t: (angle <= radius + np.arccos(t)).mean() for t in (0.99, 0.3)}
     assert visits[0.99] < visits[0.3]
+
+
+def test_lists_that_spare_no_visits_are_few(spark):
+    rows = np.random.default_rng(7).normal(size=(5000, 8))
+    index = MetricIndex(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "id long, v array<double>"))
+    assert index.lists == 35
+    got = {(r.a, r.b) for r in index.pairs(0.9).collect()}
+    assert index.lists == 2 * spark.sparkContext.defaultParallelism < 35
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    i, j = np.nonzero(np.triu(unit @ unit.T >= 0.9, 1))
+    assert got == set(zip(i.tolist(), j.tolist(), strict=True))
