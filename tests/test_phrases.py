@@ -60,3 +60,52 @@ def test_groups_are_bounded():
     groups = list(phrases.grouped((R(k) for k in range(100)), 20))
     assert [g[2] for group in groups for g in group] == [str(k) for k in range(100)]
     assert max(sum(len(g[0]) for g in group) for group in groups) <= 20
+
+
+def test_rules_beyond_an_automaton_are_joined(spark):
+    items, made = tables(spark, 5)
+    expect = hits(rules.literal_hits(items, made, nested=1000))
+    assert hits(phrases.first_hits(items, made, "=", 1)) == expect and len(set(expect.values())) > 15
+
+
+def test_no_worker_holds_the_rules(spark, monkeypatch):
+    """Of more rules than an automaton has, nothing but a bitmap is broadcast."""
+    monkeypatch.setattr(phrases, "_search", None)
+    draw = random.Random(8)
+    words = [f"w{k}" for k in range(60)]
+    lines = [" ".join(draw.choices(words, k=draw.randint(0, 60))) for _ in range(300)]
+    phrased = [" ".join(draw.choices(words, k=draw.choice([1, 2, 2, 3, 9]))) for _ in range(400)] + [lines[7][:90], lines[8][3:75], lines[9]]
+    items = spark.createDataFrame([(k, t, None, k % 3 or None) for k, t in enumerate([*lines, lines[7], lines[9] + lines[8]])], SCHEMA)
+    ruled = spark.createDataFrame([(k, f"={p}", None) for k, p in enumerate(phrased[::-1] + phrased)], "word_id long, rule string, label string")
+    made = rules.scoped(ruled, spark.createDataFrame([], "word_id long, category string"), ruled.filter("word_id % 2 = 0").selectExpr("word_id", "word_id % 3 AS source_id"))
+    scopes = {r.word_id: (r.rule[1:].strip(), r.source_ids) for r in made.collect()}
+    expect = {}
+    for r in items.collect():
+        mine = [k for k, (p, s) in scopes.items() if p and p in r.raw_text.strip() and (not s or r.source_id in s)]
+        expect[r.id] = "=" + scopes[min(mine)][0] if mine else None
+    got = {k: h and "=" + h[1:].strip() for k, h in hits(phrases.first_hits(items, made, "=", 100)).items()}
+    assert got == expect and len(set(expect.values())) > 25
+
+
+@pytest.mark.parametrize("piece", [1, 16, 100])
+def test_texts_are_looked_at_piece_by_piece(spark, monkeypatch, piece):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(phrases, "PIECE", piece)
+    draw = random.Random(piece)
+    texts = ["".join(draw.choices("abé ", k=draw.randint(0, 90))) for _ in range(40)] + [None, ""]
+    some = sorted({t[k : k + n].encode() for t in texts if t for k, n in [(draw.randint(0, 40), draw.choice([1, 2, 7, 8, 9, 16, 33]))]} - {b""})
+    bits = 1 << 15
+    bitmap = np.zeros(bits // 8, np.uint8)
+    for batch in phrases._bits_of(bits)(iter([pa.RecordBatch.from_arrays([pa.array(some)], ["pattern"])])):
+        for b in batch.column(0).to_pylist():
+            bitmap[b // 8] |= 1 << b % 8
+
+    class Shared:
+        value = bitmap.tobytes()
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["owner", "text"]).slice(3)
+    got = {(o, p) for b in phrases._found(Shared, sorted({len(p) for p in some}), bits)(iter([batch])) for o, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+    expect = {(k, p) for k, t in enumerate(texts) if t and k >= 3 for p in some if p in t.encode()}
+    assert {x for x in got if x[1] in some} == expect and len(got) < 3 * len(expect)
