@@ -100,3 +100,34 @@ def test_logs_are_read_from_their_ends(tmp_path, block):
             assert tail(None, str(tmp_path / name), n, block=block) == expect[len(expect) - min(n, len(expect)) :]
     assert tail(None, f"file://{tmp_path}", 6, block=block) == ["vier é", "last without end", "", "", "x", ""]
     assert tail(None, f"file://{tmp_path}", 6, most=6, block=block) == ["", "", "x", ""]
+
+
+def test_bundles_hold_many_feeds(spark, tmp_path):
+    """Files and bookmarks are those of bundles; each document is a feed of its own."""
+    spark.dataSource.register(FeedSource)
+    path, out, place = (str(tmp_path / n) for n in ("feeds", "out", "checkpoint"))
+    for k in range(2):
+        rows = [(str(f), "<rss><item>" if (f, k) == (3, 1) else feed(f * 10 + k, f * 10 + k), f % 4, k) for f in range(50)]
+        spark.createDataFrame(rows, "feed string, document string, bundle int, snapshot int").repartition("bundle").write.mode("append").partitionBy("bundle", "snapshot").json(path)
+        put(tmp_path / "feeds", "2", k, feed(7000 + k))
+        stream = spark.readStream.format("newsloom_feeds").option("path", path).load()
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", place).trigger(availableNow=True).start().awaitTermination()
+    assert FeedReader({"path": path}).latestOffset() == {"2": 1, **{f"bundle={b}": 1 for b in range(4)}}
+    got = sorted((r.feed, r.snapshot, r.link or "", r.error is not None) for r in spark.read.parquet(out).collect())
+    expect = [(str(f), k, str(f * 10 + k), False) for f in range(50) for k in range(2) for _ in range(2) if (f, k) != (3, 1)] + [("3", 1, "", True), ("2", 0, "7000", False), ("2", 1, "7001", False)]
+    assert got == sorted(expect)
+
+
+def test_odd_lines_of_a_bundle_are_error_rows(tmp_path):
+    import json
+
+    lines = [json.dumps({"feed": "a", "document": feed(1)}), "{", json.dumps({"feed": "b"}), json.dumps({"feed": "c", "document": None}), "7", json.dumps({"feed": "d", "document": feed("é")}, ensure_ascii=False)]
+    place = tmp_path / "bundle=x" / "snapshot=0"
+    place.mkdir(parents=True)
+    (place / "a.json").write_text("\n".join(lines))
+    reader = FeedReader({"path": str(tmp_path)})
+    (part,) = reader.partitions({}, reader.latestOffset())
+    rows = list(reader.read(part))
+    assert [(r[0], r[3], r[-1] is not None) for r in rows] == [("a", "1", False), ("bundle=x", None, True), ("b", None, True), ("c", None, True), ("bundle=x", None, True), ("d", "é", False)]
+    (place / "a.json").unlink()
+    assert [(r[0], r[-1][:17]) for r in reader.read(part)] == [("bundle=x", "FileNotFoundError")]
