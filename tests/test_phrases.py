@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from newsloom.operators import phrases, rules
 
@@ -109,3 +110,43 @@ def test_texts_are_looked_at_piece_by_piece(spark, monkeypatch, piece):
     got = {(o, p) for b in phrases._found(Shared, sorted({len(p) for p in some}), bits)(iter([batch])) for o, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
     expect = {(k, p) for k, t in enumerate(texts) if t and k >= 3 for p in some if p in t.encode()}
     assert {x for x in got if x[1] in some} == expect and len(got) < 3 * len(expect)
+
+
+@pytest.mark.parametrize("bounds", [2, 8])
+def test_few_of_what_a_text_holds_are_looked_up(spark, monkeypatch, bounds):
+    """However few are looked up at first, the first rule in its scope is found, be its bound shared or the first ones out of scope."""
+    monkeypatch.setattr(phrases, "BOUNDS", bounds)
+    monkeypatch.setattr(phrases, "PIECE", 200)
+    items, made = tables(spark, 21)
+    far = (F.col("word_id") - 60) * (1 << 53)  # further apart than bounds can tell
+    made = made.withColumn("source_ids", F.when(F.col("word_id") < 60, F.array(F.lit(77).cast("bigint"))).otherwise(F.col("source_ids"))).withColumn("word_id", far)
+    expect = hits(rules.literal_hits(items, made, nested=0))
+    assert hits(phrases.first_hits(items, made, "=", 1)) == expect and len(set(expect.values())) > 10
+
+
+def test_the_join_gets_few_of_what_a_text_holds():
+    import numpy as np
+    import pyarrow as pa
+
+    text = " ".join(f"w{k}" for k in range(500))
+    some = [f"w{k} w{k + 1}".encode() for k in range(499)]
+    bits = 1 << 15
+    bitmap = np.zeros(bits // 8, np.uint8)
+    for batch in phrases._bits_of(bits)(iter([pa.RecordBatch.from_arrays([pa.array(some)], ["pattern"])])):
+        for b in batch.column(0).to_pylist():
+            bitmap[b // 8] |= 1 << b % 8
+    table = np.full(1 << 16, phrases._NONE, np.uint32)
+    (made,) = phrases._slots_of(1 << 16)(iter([pa.RecordBatch.from_arrays([pa.array(some), pa.array(range(1000, 1499))], ["pattern", "bound"])]))
+    np.minimum.at(table, made.column(0).to_numpy() * phrases.BLOCK + made.column(1).to_numpy(), made.column(2).to_numpy().astype(np.uint32))
+
+    def shared(x):
+        return type("Shared", (), {"value": x.tobytes()})
+
+    def found(least, last):
+        batch = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([text]), pa.array([least]), pa.array([last])], ["owner", "text", "least", "last"])
+        out = [b.to_pylist() for b in phrases._found(shared(bitmap), sorted({len(p) for p in some}), bits, shared(table), 8)(iter([batch]))]
+        return [r for b in out for r in b if r["pattern"] in some]
+
+    begin = found(0, phrases._NONE - 1)
+    assert set(some[:7]) <= {r["pattern"] for r in begin} and 8 <= len(begin) < 20 and {r["next"] for r in begin} - {None}
+    assert [r["pattern"] for r in found(1100, 1101) if r["pattern"] in some[100:102]] and not {r["next"] for r in found(1100, 1101)} - {None}
